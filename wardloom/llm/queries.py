@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contained_items
+from .mixing import mix_report
 from .ngram_join import link_documents
+from .sharding import assign_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +23,45 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), k=4, pct=85)
 
 
+def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, equal texts together."""
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain at least 0.8 of a benchmark item's 5-word shingles."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, share=0.8)
+
+
+OP7_SQL = r"""
+WITH plain AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM plain
+), shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+), items AS (
+  SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i'
+)
+SELECT d.id AS doc_id, item_id, any_value(n)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_shared, count(*) / any_value(n)::DOUBLE AS containment
+FROM shingles d JOIN items USING (s) WHERE d.kind = 'd'
+GROUP BY d.id, item_id HAVING count(*) >= 0.8 * any_value(n)
+""".replace("\\", "\")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources at weights 3, 1, 2 takes of each document."""
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_minimax_sharding": op3_minimax_sharding,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_source_mixing": op9_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": OP7_SQL,
+}
