@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contained_items
 from .mixing import mix_report
 from .ngram_join import link_documents
+from .quality_rff import score_quality
+from .quality_rules import apply_rules
 from .sharding import assign_shards
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,21 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by random Fourier features and ridge regression."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of all documents, and which of them the rules and the n-gram model keep."""
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by gradient-boosted trees."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.8 of a benchmark item's 5-word shingles."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, share=0.8)
@@ -58,8 +76,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_minimax_sharding": op3_minimax_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
