@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import format_digest
 from .decontaminate import contained_items
+from .lm_score import score_documents
 from .mixing import mix_report
 from .ngram_join import link_documents
 from .quality_rff import score_quality
@@ -27,6 +28,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), k=4, pct=85)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under an interpolated bigram model of the training documents."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, equal texts together."""
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
@@ -86,6 +92,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_formatting": op6_chat_formatting,
