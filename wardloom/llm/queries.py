@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import format_digest
 from .decontaminate import contained_items
+from .license_scan import scan_licenses
 from .lm_score import score_documents
 from .mixing import mix_report
 from .ngram_join import link_documents
@@ -38,6 +39,11 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in all documents that match a licence template."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by random Fourier features and ridge regression."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_minimax_sharding": op3_minimax_sharding,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
