@@ -3,10 +3,11 @@
 Method (T-occurrence search with DivideSkip):
 
 1. Each text becomes its sorted set of shingle hashes. Documents with equal sets form one class; only classes go on.
-2. Shingles are ordered from rare to frequent. Two sets that reach the threshold must share a shingle among the rarest
-   ``n - ceil(t n) + 1`` of each; those short inverted lists bring partners together in *cells*: all classes that share
-   a rare shingle with the same smallest class and are of linkable size. A cell that is too large for one task is cut
-   into blocks, and each pair of blocks is searched, so nothing is dropped.
+2. Shingles are ordered from rare to frequent. Two sets that reach the threshold share at least ``l`` shingles among the
+   rarest ``n - ceil(t n) + l`` of each (``l`` is 1, plus one for each 40 shingles). A class with fewer than ``l`` rare
+   shingles in common with classes of linkable size has no partner. The short inverted lists of the others bring partners
+   together in *cells*: all classes that share a rare shingle with the same smallest class. A cell that is too large for
+   one task is cut into blocks, and each pair of blocks is searched, so nothing is dropped.
 3. In a cell, every class queries an inverted index of the members: the short lists are merged with a count, members
    that can still reach the overlap are probed by binary search in the long lists, and those that reach it are linked.
    Members that are already connected need no second proof.
@@ -45,6 +46,11 @@ def _needed(n: np.ndarray | int, pct: int):
     return (pct * n + 99) // 100
 
 
+def _least(n):
+    """Rare shingles that a set of size n must share with a partner, beyond the shortest prefix."""
+    return 1 + n // 40
+
+
 def _keys(got: np.ndarray) -> tuple[int, int]:
     """A 128-bit name of a set, as two signed longs."""
     d = xxhash.xxh3_128_digest(got.tobytes())
@@ -114,7 +120,7 @@ def _posting_rows(k: int, pct: int, frequent):
                 if len(seen) < 200_000:
                     seen.add(k1)
                 tokens, known = rare_first(got, often, counts)
-                p = n - _needed(n, pct) + 1
+                p = min(n, n - _needed(n, pct) + _least(n))
                 out.append((tokens[:p], np.where(known[:p], 1 + (k1 % SALTS), 0), np.full(p, k1, np.int64), np.full(p, n, np.int64)))
             if out:
                 t, s, k1s, ns = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -205,6 +211,10 @@ def _search(pct: int):
     return run
 
 
+def _least_col(size: str):
+    return F.lit(1) + F.floor(F.col(size) / 40)
+
+
 def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = 200_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -225,25 +235,30 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
 
     postings = docs.mapInArrow(_posting_rows(k, pct, frequent), "token long, salt int, k1 long, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = postings.repartition(parts, "token", "salt")  # one exchange serves the count and the filter
+    # one exchange serves the count and the filter; the null tests are those that the join would add to one side only
+    postings = postings.where("token is not null and salt is not null").repartition(parts, "token", "salt")
     shared = postings.groupBy("token", "salt").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("n").alias("_n")).where("a <> b or salt > 0").where("_n > 0").select("token", "salt")
-    shared = postings.join(shared, ["token", "salt"], "left_semi")
+    # an inner join on distinct keys: a semi-join would be moved below the exchange, which would then run twice
+    shared = settle(postings.join(shared.hint("merge"), ["token", "salt"]).select("token", "k1", "n"))
+    enough = shared.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(F.col("c") >= _least_col("m")).select("k1")
     # sets of linkable size fall in the same band or in two next to each other
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / pct)) + 1e-9)
-    shared = settle(shared.select("token", "k1", F.explode(F.array(band, band + 1)).alias("band")))
+    shared = settle(shared.join(enough, "k1", "left_semi").select("token", "k1", "n", F.explode(F.array(band, band + 1)).alias("band")))
     hubs = shared.groupBy("token", "band").agg(F.min("k1").alias("hub"), F.max("k1").alias("top")).where("hub <> top").select(F.col("token").alias("t"), (-F.col("band")).alias("b"), "hub")
-    cells = settle(shared.join(hubs, (F.col("token") == F.col("t")) & (-F.col("band") == F.col("b"))).select("hub", "band", "k1").distinct())
+    met = shared.join(hubs, (F.col("token") == F.col("t")) & (-F.col("band") == F.col("b")))
+    met = met.groupBy("k1", "band").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.collect_set("hub").alias("hubs")).where(F.col("c") >= _least_col("m"))
+    cells = settle(met.select(F.explode("hubs").alias("hub"), "band", "k1"))
 
-    wanted = cells.select("k1").distinct().join(classes, "k1")
-    wanted = settle(wanted)
+    sizes = settle(cells.groupBy("hub", "band").agg(F.count("*").alias("members")).where("members > 1"))
+    cells = settle(cells.join(sizes.select((-F.col("hub")).alias("h"), F.col("band").alias("b"), "members"), (-F.col("hub") == F.col("h")) & (F.col("band") == F.col("b"))).drop("h", "b"))
+    wanted = settle(cells.select("k1").distinct().join(classes, "k1"))
     near = wanted.withColumnRenamed("rep", "id")
     near = F.broadcast(near) if wanted.count() <= BROADCAST_IDS else near
     texts = docs.join(near, "id").select(F.col("id").alias("rep"), "k1", "k2", "text")
     arrays = texts.mapInArrow(_array_rows(k), "k1 long, rep long, shingles binary")
 
     width = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK_MEMBERS)), BLOCK_SHINGLES / F.pow(F.lit(100.0 / pct), F.col("band") + 1)))
-    sizes = cells.groupBy("hub", "band").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / width).cast("int"))
-    placed = cells.join(sizes.select((-F.col("hub")).alias("h"), F.col("band").alias("b"), "blocks"), (-F.col("hub") == F.col("h")) & (F.col("band") == F.col("b")))
+    placed = cells.withColumn("blocks", F.ceil(F.col("members") / width).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     placed = placed.select("hub", "band", "block", "k1", F.explode(pairs).alias("p")).select("hub", "band", "block", "k1", "p.i", "p.j")
