@@ -1,13 +1,650 @@
-"""All registered queries over the given tables, with their DuckDB SQL."""
+"""All registered districting queries over the given tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expr import rounded
+from ..operators import administrative as adm
+from ..operators import convergence as conv
+from ..operators import ensemble as ens
+from ..operators import experiments as exp
+from ..operators import geometry as geo
+from ..operators import graph as gr
+from ..operators import partisan as par
+from ..operators import rules as ru
+from .mapping import DRAWS, PRELUDE, State, r
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "plan_partisan_metrics"
+FLAGSHIP = "partisan_all"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Doubles rounded to nine digits, as in the SQL."""
+    return df.select(*[rounded(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    """Register a function of a State under its name, with the SQL that follows the prelude."""
+
+    def add(f: Callable[[State], DataFrame]) -> Callable[[State], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(State(spark, sf_dir)))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = PRELUDE + sql if not sql.lstrip().startswith("!") else sql.lstrip()[1:]
+        return f
+
+    return add
+
+
+def _dist(s: State) -> DataFrame:
+    return par.district_votes(s.assignments(), s.votes())
+
+
+# --- partisan -----------------------------------------------------------------------------------------------------
+
+@query("SELECT plan, district, dem, rep FROM dist")
+def district_votes(s: State) -> DataFrame:
+    return _dist(s)
+
+
+@query(f"SELECT plan, district, {r('share')} AS share FROM sh")
+def district_shares(s: State) -> DataFrame:
+    return par.district_shares(_dist(s))
+
+
+@query(f"SELECT {r('sum(dem) / sum(dem + rep)::DOUBLE')} AS dem_share FROM units")
+def statewide_share(s: State) -> DataFrame:
+    return par.statewide_share(s.votes())
+
+
+@query("SELECT plan, dem_seats, rep_seats, tied_districts AS tied FROM metrics")
+def seat_counts(s: State) -> DataFrame:
+    return par.seat_counts(_dist(s))
+
+
+@query("SELECT dem_seats AS seats, count(*) AS plans FROM metrics GROUP BY 1")
+def seat_histogram(s: State) -> DataFrame:
+    return par.seat_histogram(_dist(s))
+
+
+@query("SELECT median(dem_seats)::DOUBLE AS median_seats FROM metrics")
+def median_seats(s: State) -> DataFrame:
+    return par.median_seats(_dist(s))
+
+
+@query("SELECT plan, district, wd::DOUBLE AS wasted_dem, wr::DOUBLE AS wasted_rep, dem + rep AS total FROM sh")
+def wasted_votes_majority(s: State) -> DataFrame:
+    return par.wasted_votes(_dist(s))
+
+
+@query("SELECT plan, district, CASE WHEN dem > rep THEN dem - (dem + rep) / 2.0::DOUBLE ELSE dem::DOUBLE END AS wasted_dem, CASE WHEN rep > dem THEN rep - (dem + rep) / 2.0::DOUBLE ELSE rep::DOUBLE END AS wasted_rep, dem + rep AS total FROM dist")
+def wasted_votes_half(s: State) -> DataFrame:
+    return par.wasted_votes(_dist(s), "half")
+
+
+@query(f"SELECT plan, {r('efficiency_gap')} AS efficiency_gap FROM metrics")
+def efficiency_gap(s: State) -> DataFrame:
+    return par.efficiency_gap(_dist(s))
+
+
+@query(f"SELECT plan, {r('sum(CASE WHEN dem > rep THEN dem - (dem + rep) / 2.0 ELSE dem END - CASE WHEN rep > dem THEN rep - (dem + rep) / 2.0 ELSE rep END)::DOUBLE / sum(dem + rep)::DOUBLE')} AS efficiency_gap FROM dist GROUP BY plan")
+def efficiency_gap_half(s: State) -> DataFrame:
+    return par.efficiency_gap(_dist(s), "half")
+
+
+@query(f"SELECT plan, {r('mean_median')} AS mean_median FROM metrics")
+def mean_median(s: State) -> DataFrame:
+    return par.mean_median(_dist(s))
+
+
+@query(f"SELECT plan, {r('declination')} AS declination FROM metrics")
+def declination(s: State) -> DataFrame:
+    return par.declination(_dist(s))
+
+
+@query(f"SELECT plan, {r('partisan_bias')} AS partisan_bias FROM metrics")
+def partisan_bias(s: State) -> DataFrame:
+    return par.partisan_bias(_dist(s))
+
+
+@query(f"""SELECT plan, {r("(avg(CASE WHEN share + (0.55::DOUBLE - observed) > 0.5 THEN 1.0 WHEN share + (0.55::DOUBLE - observed) = 0.5 THEN 0.5 ELSE 0.0 END) - (1.0 - avg(CASE WHEN share + ((1.0::DOUBLE - 0.55::DOUBLE) - observed) > 0.5 THEN 1.0 WHEN share + ((1.0::DOUBLE - 0.55::DOUBLE) - observed) = 0.5 THEN 0.5 ELSE 0.0 END))) / 2.0")} AS partisan_bias FROM sh GROUP BY plan""")
+def partisan_bias_at_55(s: State) -> DataFrame:
+    return par.partisan_bias(_dist(s), 0.55)
+
+
+@query(f"SELECT plan, {r('t.range / 100.0::DOUBLE')} AS target, {r('avg(CASE WHEN share + (t.range / 100.0::DOUBLE - observed) > 0.5 THEN 1.0 WHEN share + (t.range / 100.0::DOUBLE - observed) = 0.5 THEN 0.5 ELSE 0.0 END)')} AS seat_share FROM sh, range(30, 71) t GROUP BY plan, t.range")
+def seats_votes_curve(s: State) -> DataFrame:
+    return par.seats_votes_curve(_dist(s))
+
+
+@query(f"SELECT plan, {r('pow(1.0, 1) * sum(dem::DOUBLE * dem) / pow(sum(dem)::DOUBLE, 2)')} AS concentration FROM dist GROUP BY plan")
+def vote_concentration(s: State) -> DataFrame:
+    return par.vote_concentration(_dist(s))
+
+
+@query("SELECT plan, competitive FROM metrics")
+def competitive_districts(s: State) -> DataFrame:
+    return par.competitive(_dist(s))
+
+
+_ALL = ["n_districts", "dem_seats", "rep_seats", "tied_districts", "dem_vote_share", "efficiency_gap", "mean_median", "median_share", "declination", "partisan_bias", "below", "above", "competitive"]
+_WHOLE = {"n_districts", "dem_seats", "rep_seats", "tied_districts", "below", "above", "competitive"}
+
+
+@query(f"SELECT plan, {r('dem_seats / n_districts::DOUBLE')} AS dem_seat_share, " + ", ".join(c if c in _WHOLE else f"{r(c)} AS {c}" for c in _ALL) + " FROM metrics")
+def partisan_all(s: State) -> DataFrame:
+    """Every partisan measure of every plan, side by side."""
+    return par.all_metrics(_dist(s))
+
+
+_ARMS = """, arms AS (SELECT *, abs(dem_vote_share - 0.5) > 0.05 AS arm_margin, (greatest(below, above) > n_districts - greatest(below, above)) AND (n_districts - greatest(below, above) <= 0.25 * n_districts) AS arm_sweep, abs(median_share - 0.5) > 0.05 AS arm_median FROM metrics)
+"""
+
+
+@query(_ARMS + "SELECT plan, arm_margin, arm_sweep, arm_median, arm_margin OR arm_sweep OR arm_median AS predominates FROM arms")
+def predominance_arms(s: State) -> DataFrame:
+    return par.predominance(par.all_metrics(_dist(s))).select("plan", "arm_margin", "arm_sweep", "arm_median", "predominates")
+
+
+@query(_ARMS + "SELECT plan, concat_ws(',', 'efficiency_gap', CASE WHEN NOT (arm_margin OR arm_sweep OR arm_median) THEN 'mean_median' END, CASE WHEN declination IS NOT NULL AND n_districts >= 8 THEN 'declination' END, CASE WHEN NOT (arm_margin OR arm_sweep OR arm_median) THEN 'partisan_bias' END) AS trusted FROM arms")
+def trusted_metrics(s: State) -> DataFrame:
+    return par.trusted_metrics(par.all_metrics(_dist(s))).select("plan", F.concat_ws(",", "trusted").alias("trusted"))
+
+
+@query(_ARMS + ", c AS (SELECT plan, (arm_margin OR arm_sweep OR arm_median)::INT + (dem_seats = n_districts OR rep_seats = n_districts)::INT + (tied_districts > 0)::INT + (n_districts < 8)::INT AS k FROM arms) SELECT plan, (CASE WHEN k > 0 THEN k + 1 ELSE 0 END)::BIGINT AS caveats FROM c")
+def caveats_count(s: State) -> DataFrame:
+    return par.caveats(par.all_metrics(_dist(s))).select("plan", F.size("caveats").cast("long").alias("caveats"))
+
+
+@query(f"SELECT plan, {r('abs(ea - eb)')} AS gap_apart FROM (SELECT a.plan, a.efficiency_gap AS ea, b.efficiency_gap AS eb FROM metrics a JOIN (SELECT plan, (sum(CASE WHEN dem > rep THEN dem - ((dem + rep) // 2 + 1) ELSE dem END - CASE WHEN rep > dem THEN rep - ((dem + rep) // 2 + 1) ELSE rep END)) / sum(dem + rep)::DOUBLE AS efficiency_gap FROM (SELECT plan, district, sum(dem) AS dem, sum(rep) AS rep FROM assign JOIN votes_b USING (unit) GROUP BY ALL) GROUP BY plan) b USING (plan))")
+def contest_agreement(s: State) -> DataFrame:
+    """How far the efficiency gaps of two contests lie apart."""
+    a = par.efficiency_gap(_dist(s)).withColumnRenamed("efficiency_gap", "ea")
+    b = par.efficiency_gap(par.district_votes(s.assignments(), s.votes_b())).withColumnRenamed("efficiency_gap", "eb")
+    return a.join(b, "plan").select("plan", F.abs(F.col("ea") - F.col("eb")).alias("gap_apart"))
+
+
+@query("SELECT 'dem' AS \"column\", sum(dem)::BIGINT AS votes FROM units UNION ALL SELECT 'rep', sum(rep)::BIGINT FROM units")
+def vote_totals(s: State) -> DataFrame:
+    return s.votes().unpivot(["unit"], ["dem", "rep"], "column", "votes").groupBy("column").agg(F.sum("votes").alias("votes"))
+
+
+@query("SELECT unit FROM units WHERE dem + rep = 0")
+def zero_vote_units(s: State) -> DataFrame:
+    return s.votes().where("dem + rep = 0").select("unit")
+
+
+# --- administrative -----------------------------------------------------------------------------------------------
+
+@query("SELECT plan, county_splits FROM splits")
+def county_splits(s: State) -> DataFrame:
+    return adm.split_metrics(s.assignments(), s.membership()).select("plan", "county_splits")
+
+
+@query("SELECT plan, split_pieces FROM splits")
+def split_pieces(s: State) -> DataFrame:
+    return adm.split_metrics(s.assignments(), s.membership()).select("plan", "split_pieces")
+
+
+@query("SELECT plan, excess_pieces FROM splits")
+def excess_pieces(s: State) -> DataFrame:
+    return adm.split_metrics(s.assignments(), s.membership()).select("plan", "excess_pieces")
+
+
+@query("SELECT DISTINCT plan, parent, district FROM assign JOIN units USING (unit)")
+def pieces_by_subdivision(s: State) -> DataFrame:
+    return adm.pieces_by_subdivision(s.assignments(), s.membership())
+
+
+@query("SELECT plan, count(DISTINCT district) AS ballot_styles FROM assign GROUP BY plan")
+def ballot_styles(s: State) -> DataFrame:
+    return adm.ballot_styles([s.assignments()])
+
+
+@query("SELECT plan, count(DISTINCT (district, unit % 5 + 1)) AS ballot_styles FROM assign GROUP BY plan")
+def ballot_styles_overlaid(s: State) -> DataFrame:
+    return adm.ballot_styles([s.assignments(), s.layer2()])
+
+
+@query("SELECT plan, count(DISTINCT (district, parent)) AS ballot_styles FROM assign JOIN units USING (unit) GROUP BY plan")
+def ballot_styles_by_parent(s: State) -> DataFrame:
+    return adm.ballot_styles([s.assignments()], s.membership())
+
+
+@query(f"SELECT plan, {r('10000 * count(DISTINCT (district, parent)) / (SELECT sum(pop) FROM units)::DOUBLE')} AS per_10k FROM assign JOIN units USING (unit) GROUP BY plan")
+def ballot_styles_per_10k(s: State) -> DataFrame:
+    return adm.ballot_styles_per_10k(adm.ballot_styles([s.assignments()], s.membership()), s.units().select("unit", F.col("pop").alias("voters")))
+
+
+@query("SELECT 'ballot_styles' AS metric, 'one layer: styles equal districts' AS reason UNION ALL SELECT m, 'each parent is one unit' FROM (VALUES ('county_splits'), ('split_pieces')) t(m) WHERE (SELECT max(c) FROM (SELECT count(*) AS c FROM units GROUP BY parent)) <= 1")
+def admin_degeneracy(s: State) -> DataFrame:
+    return adm.degeneracy(s.membership())
+
+
+# --- graph, legality ----------------------------------------------------------------------------------------------
+
+@query("SELECT plan, cut_edges FROM cuts")
+def cut_edges(s: State) -> DataFrame:
+    return gr.cut_edges(s.assignments(), s.edges())
+
+
+@query("SELECT plan, unit, district, count(DISTINCT other) AS reach FROM (SELECT plan, u AS unit, du AS district, dv AS other FROM ends WHERE du <> dv UNION ALL SELECT plan, v, dv, du FROM ends WHERE du <> dv) GROUP BY ALL")
+def boundary_units(s: State) -> DataFrame:
+    return gr.boundary_units(s.assignments(), s.edges())
+
+
+@query("SELECT unit, count(*) AS degree FROM (SELECT u AS unit FROM edges UNION ALL SELECT v FROM edges) GROUP BY unit")
+def degree_stats(s: State) -> DataFrame:
+    return gr.degrees(s.edges())
+
+
+_MOVES = """, moves AS (SELECT DISTINCT plan, unit, source, target FROM (SELECT plan, u AS unit, du AS source, dv AS target FROM ends WHERE du <> dv AND plan < 20 UNION ALL SELECT plan, v, dv, du FROM ends WHERE du <> dv AND plan < 20)),
+ideal AS (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units)
+"""
+
+
+@query(_MOVES + f"SELECT m.plan, m.unit, m.source, m.target, {r('pow(a.pop - x.pop - i, 2) + pow(b.pop + x.pop - i, 2) - pow(a.pop - i, 2) - pow(b.pop - i, 2)')} AS delta FROM moves m JOIN units x USING (unit) JOIN dist a ON a.plan = m.plan AND a.district = source JOIN dist b ON b.plan = m.plan AND b.district = target, ideal")
+def move_candidates(s: State) -> DataFrame:
+    """Single-unit moves of the first 20 plans and what they do to the population balance."""
+    total = s.orders.count()
+    return gr.move_candidates(s.assignments(20), s.edges(), s.units(), total / 8.0)
+
+
+@query(_MOVES + "SELECT DISTINCT a.plan, a.unit AS unit_a, b.unit AS unit_b FROM moves a JOIN moves b ON a.plan = b.plan AND a.source = b.target AND a.target = b.source AND a.unit < b.unit")
+def swap_candidates(s: State) -> DataFrame:
+    return gr.swap_candidates(gr.move_candidates(s.assignments(20), s.edges(), s.units(), 0.0))
+
+
+@query("SELECT u, v, 'one-sided' AS problem FROM (SELECT u, v FROM edges WHERE u % 7 <> 0 UNION ALL SELECT v, u FROM edges) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT u, v FROM edges WHERE u % 7 <> 0 UNION ALL SELECT v, u FROM edges) b WHERE b.u = a.v AND b.v = a.u)")
+def adjacency_symmetry(s: State) -> DataFrame:
+    """Problems of an adjacency from which every seventh unit's own arcs were taken."""
+    e = s.edges().select("u", "v")
+    arcs = e.where("u % 7 <> 0").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return gr.asymmetric_arcs(arcs, s.units())
+
+
+@query("SELECT plan, spread, least::BIGINT AS least, most::BIGINT AS most FROM spread")
+def population_spread(s: State) -> DataFrame:
+    return gr.population_spread(s.assignments(), s.units())
+
+
+@query(f"""SELECT plan, sum(c) = (SELECT count(*) FROM units) AS coverage, min(district) >= 1 AND max(district) <= 8 AS ids, count(*) = 8 AS non_empty, {r("max(abs(pop - i) / i)")} AS worst_deviation, max(abs(pop - i)) <= 0.05 * any_value(i) + 1e-9 AS balanced
+FROM (SELECT plan, district, count(*) AS c, sum(pop) AS pop FROM assign JOIN units USING (unit) GROUP BY ALL), (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units) GROUP BY plan""")
+def legality_checks(s: State) -> DataFrame:
+    return gr.legality(s.assignments(), s.units(), 8, 0.05)
+
+
+@query("SELECT plan, eps, worst <= eps * i + 1e-9 AS balanced FROM (SELECT plan, max(abs(pop - i)) AS worst, any_value(i) AS i FROM dist, (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units) GROUP BY plan), (VALUES (0.01::DOUBLE), (0.1::DOUBLE)) t(eps)")
+def legality_at_tolerances(s: State) -> DataFrame:
+    both = [gr.legality(s.assignments(), s.units(), 8, e).select("plan", F.lit(e).alias("eps"), "balanced") for e in (0.01, 0.1)]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT unit FROM units WHERE unit NOT IN (SELECT o_custkey FROM orders)")
+def unit_coverage_antijoin(s: State) -> DataFrame:
+    return s.membership().join(s.orders.select(F.col("o_custkey").alias("unit")), "unit", "left_anti").select("unit")
+
+
+@query("SELECT plan, count(DISTINCT district) = 8 AND min(district) = 1 AND max(district) = 8 AS valid FROM assign GROUP BY plan")
+def plan_id_validation(s: State) -> DataFrame:
+    a = s.assignments()
+    return a.groupBy("plan").agg((F.size(F.array_except(F.sequence(F.lit(1), F.lit(8)), F.collect_set("district"))) == 0).alias("valid"))
+
+
+@query("!WITH RECURSIVE " + PRELUDE.removeprefix("WITH ") + """, arcs AS (SELECT plan, u AS a, v AS b FROM ends WHERE du = dv AND plan < 4 UNION ALL SELECT plan, v, u FROM ends WHERE du = dv AND plan < 4),
+reach(plan, unit, label) AS (SELECT plan, unit, unit FROM assign WHERE plan < 4 UNION SELECT r.plan, arcs.b, r.label FROM reach r JOIN arcs ON arcs.plan = r.plan AND arcs.a = r.unit WHERE r.label < arcs.b)
+SELECT a.plan, a.district, a.unit, min(label) AS component FROM assign a JOIN reach USING (plan, unit) GROUP BY ALL""")
+def connected_components(s: State) -> DataFrame:
+    return gr.components(s.assignments(4), s.edges())
+
+
+@query("SELECT plan, left(sha256(string_agg(unit::VARCHAR || ':' || district::VARCHAR, ';' ORDER BY unit)), 16) AS digest FROM assign GROUP BY plan")
+def plan_digest(s: State) -> DataFrame:
+    return gr.plan_digest(s.assignments())
+
+
+_KEYS = ", named AS (SELECT plan, unit, min(unit) OVER (PARTITION BY plan, district) AS district FROM assign), keys AS (SELECT plan, left(sha256(string_agg(unit::VARCHAR || ':' || district::VARCHAR, ';' ORDER BY unit)), 16) AS key FROM named GROUP BY plan) "
+
+
+@query(_KEYS + "SELECT plan, key FROM keys")
+def canonical_key(s: State) -> DataFrame:
+    return gr.canonical_key(s.assignments())
+
+
+@query(_KEYS + "SELECT key, min(plan) AS first_plan, count(*) AS plans FROM keys GROUP BY key")
+def distinct_plans(s: State) -> DataFrame:
+    return gr.distinct_plans(gr.canonical_key(s.assignments()))
+
+
+# --- geometry -----------------------------------------------------------------------------------------------------
+
+def _ratios(s: State) -> DataFrame:
+    return geo.shape_ratios(geo.area_perimeter(s.assignments(), s.unit_geom(), s.edges()))
+
+
+@query(f"SELECT plan, district, {r('polsby_popper')} AS polsby_popper FROM ratios")
+def polsby_popper(s: State) -> DataFrame:
+    return _ratios(s).select("plan", "district", "polsby_popper")
+
+
+@query(f"SELECT plan, district, {r('schwartzberg')} AS schwartzberg FROM ratios")
+def schwartzberg(s: State) -> DataFrame:
+    return _ratios(s).select("plan", "district", "schwartzberg")
+
+
+@query("SELECT plan, " + ", ".join(f"{r(f'{m}_{k}')} AS {m}_{k}" for m in ("polsby_popper", "schwartzberg") for k in ("mean", "min", "max")) + " FROM shapes")
+def compactness_summary(s: State) -> DataFrame:
+    return geo.compactness_summary(_ratios(s))
+
+
+@query()
+def reock_and_hull(s: State) -> DataFrame:
+    """Reock and convex-hull ratios of the districts of all plans."""
+    return geo.outline_measures(s.assignments(20), s.unit_geom(), s.edges())
+
+
+# --- ensembles ----------------------------------------------------------------------------------------------------
+
+METRICS = ["efficiency_gap", "mean_median", "declination", "partisan_bias", "cut_edges", "polsby_popper_mean", "county_splits", "spread"]
+BETTER = {"polsby_popper_mean": 1, "cut_edges": -1, "county_splits": -1, "spread": -1}
+
+
+def _wide(s: State) -> DataFrame:
+    out = par.all_metrics(_dist(s)).select("plan", "dem_seats", "efficiency_gap", "mean_median", "declination", "partisan_bias", "competitive")
+    for other in (gr.cut_edges(s.assignments(), s.edges()), geo.compactness_summary(_ratios(s)).select("plan", "polsby_popper_mean"), adm.split_metrics(s.assignments(), s.membership()).select("plan", "county_splits"), gr.population_spread(s.assignments(), s.units()).select("plan", "spread")):
+        out = out.join(other, "plan")
+    return tidy(out)
+
+
+def _draws(s: State) -> DataFrame:
+    return ens.long_draws(_wide(s), METRICS)
+
+
+_WIDE = (
+    ", wide AS (SELECT plan, dem_seats, competitive, " + ", ".join(f"{r(c)} AS {c}" for c in ("efficiency_gap", "mean_median", "declination", "partisan_bias", "polsby_popper_mean")) + ", cut_edges, county_splits, spread FROM metrics JOIN cuts USING (plan) JOIN shapes USING (plan) JOIN splits USING (plan) JOIN spread USING (plan))"
+    + ", draws AS (" + " UNION ALL ".join(f"SELECT plan, '{m}' AS metric, {m}::DOUBLE AS value FROM wide" for m in METRICS) + ")"
+)
+_SUMMARY = ", counts AS (SELECT metric, value, count(*) AS m FROM draws WHERE value IS NOT NULL GROUP BY ALL), summary AS (SELECT d.metric, count(value) AS n, count(*) - count(value) AS n_undefined, count(DISTINCT value) AS distinct_values, avg(value) AS mean, min(value) AS least, max(value) AS most, stddev_pop(value) AS sd, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, any_value(e.ess) AS ess, any_value(e.mult_least) AS mult_least, any_value(e.mult_most) AS mult_most FROM draws d LEFT JOIN (SELECT metric, pow(sum(m), 2) / sum(m * m)::DOUBLE AS ess, arg_min(m, value) AS mult_least, arg_max(m, value) AS mult_most FROM counts GROUP BY metric) e USING (metric) GROUP BY d.metric)"
+
+
+@query(_WIDE + " SELECT plan, dem_seats, competitive, efficiency_gap, mean_median, declination, partisan_bias, polsby_popper_mean, cut_edges, county_splits, spread FROM wide")
+def plan_metrics(s: State) -> DataFrame:
+    """One row a plan over all metric families."""
+    return _wide(s)
+
+
+@query(_WIDE + _SUMMARY + " SELECT metric, n, n_undefined, distinct_values AS \"distinct\", " + ", ".join(f"{r(c)} AS {c}" for c in ("mean", "least", "most", "ess", "sd", "p05", "p25", "p50", "p75", "p95")) + f", mult_least, mult_most, {r('1 - 0.5 * mult_most / n')} AS max_interior, {r('0.5 * mult_least / n')} AS min_interior FROM summary")
+def ensemble_summary(s: State) -> DataFrame:
+    return ens.summarize(_draws(s))
+
+
+@query(f"SELECT {r('pow(sum(m), 2) / sum(m * m)::DOUBLE')} AS ess FROM (SELECT plan // 2 AS p, count(*) AS m FROM range(200) t(plan) GROUP BY 1)")
+def kish_ess(s: State) -> DataFrame:
+    """Effective number of plans when each occurs twice."""
+    return ens.kish_ess(gr.canonical_key(s.assignments(repeat=2)), "key")
+
+
+_LOCATED = _SUMMARY + ", cases AS (SELECT plan AS case_id, metric, value FROM draws WHERE plan % 10 = 0), located AS (SELECT c.*, s.n, s.distinct_values, s.ess, s.mean, s.sd, s.least, s.most, s.mult_least, s.mult_most, CASE WHEN c.value IS NULL THEN 'value_undefined' WHEN coalesce(s.n, 0) = 0 THEN 'missing_from_ensemble' WHEN s.least = s.most THEN 'degenerate' WHEN s.n < 20 THEN 'insufficient_ensemble' ELSE 'located' END AS status, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value < c.value) AS below, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value = c.value) AS ties FROM cases c LEFT JOIN summary s USING (metric))"
+
+
+def _cases(s: State) -> DataFrame:
+    return _draws(s).where("plan % 10 = 0").select(F.col("plan").alias("case_id"), "metric", "value")
+
+
+@query(_WIDE + _LOCATED + f" SELECT case_id, metric, {r('value')} AS value, status, n, " + ", ".join(f"CASE WHEN status = 'located' THEN {r(x)} END AS {c}" for c, x in (("percentile", "(below + 0.5 * ties) / n::DOUBLE"), ("p_below", "below / n::DOUBLE"), ("p_at_or_below", "(below + ties) / n::DOUBLE"), ("two_sided", "least(1.0, 2.0 * least((below + ties) / n::DOUBLE, (n - below) / n::DOUBLE))"), ("z", "(value - mean) / sd"))) + " FROM located")
+def locate_all(s: State) -> DataFrame:
+    """Where every tenth plan stands in the ensemble, for each metric."""
+    return ens.locate(_cases(s), _draws(s)).select("case_id", "metric", "value", "status", "n", "percentile", "p_below", "p_at_or_below", "two_sided", "z")
+
+
+@query(_WIDE + _LOCATED + " SELECT t.status, count(l.case_id) AS cases FROM (VALUES ('located'), ('value_undefined'), ('degenerate'), ('missing_from_ensemble'), ('insufficient_ensemble')) t(status) LEFT JOIN located l ON l.status = t.status GROUP BY t.status")
+def locate_status(s: State) -> DataFrame:
+    return ens.by_status(ens.locate(_cases(s), _draws(s)))
+
+
+@query(_WIDE + _SUMMARY + f" SELECT d.plan, d.metric, {r('d.value')} AS value, CASE WHEN d.value IS NULL THEN 'undefined' WHEN d.value < p05 - 1e-12 THEN 'low' ELSE 'high' END AS side FROM draws d JOIN summary s USING (metric) WHERE d.value IS NULL OR d.value < p05 - 1e-12 OR d.value > p95 + 1e-12")
+def bounds_violations(s: State) -> DataFrame:
+    d = _draws(s)
+    return ens.violations(d, ens.central_band(d))
+
+
+@query(_WIDE + _SUMMARY + f" SELECT metric AS measure, {r('p05')} AS lo, {r('p95')} AS hi FROM summary")
+def shape_envelope(s: State) -> DataFrame:
+    return ens.central_band(_draws(s))
+
+
+@query(_WIDE + _SUMMARY + f" SELECT s.metric AS measure, {r('d.value - 0.5 * (p75 - p25)')} AS lo, {r('d.value + 0.5 * (p75 - p25)')} AS hi FROM summary s JOIN draws d ON d.metric = s.metric AND d.plan = 0")
+def matched_envelope(s: State) -> DataFrame:
+    d = _draws(s)
+    return ens.matched_band(d.where("plan = 0"), d)
+
+
+@query(_WIDE + _SUMMARY + f" SELECT metric AS measure, CASE WHEN metric = 'polsby_popper_mean' THEN {r('least')} ELSE '-inf'::DOUBLE END AS lo, CASE WHEN metric = 'polsby_popper_mean' THEN 'inf'::DOUBLE ELSE {r('most')} END AS hi FROM summary WHERE metric IN ('polsby_popper_mean', 'cut_edges')")
+def compactness_floor(s: State) -> DataFrame:
+    return ens.floor_band(_draws(s), {"polsby_popper_mean": True, "cut_edges": False})
+
+
+@query(_WIDE + _SUMMARY + " SELECT plan FROM draws d JOIN summary s USING (metric) WHERE metric IN ('polsby_popper_mean', 'cut_edges') GROUP BY plan HAVING bool_and(d.value BETWEEN p05 - 1e-12 AND p95 + 1e-12)")
+def anchors_inside(s: State) -> DataFrame:
+    d = _draws(s).where(F.col("metric").isin("polsby_popper_mean", "cut_edges"))
+    return ens.inside(d, ens.central_band(d))
+
+
+@query(_WIDE + " SELECT a.plan FROM draws a JOIN draws b ON b.metric = a.metric AND b.plan = 3 GROUP BY a.plan HAVING bool_and(coalesce(abs(a.value - b.value) <= 1e-12, a.value IS NULL AND b.value IS NULL))")
+def review_matches(s: State) -> DataFrame:
+    """Plans that no metric tells from plan 3."""
+    d = _draws(s)
+    return ens.indistinguishable(d.where("plan = 3"), d)
+
+
+# --- rules --------------------------------------------------------------------------------------------------------
+
+RULE = ru.Rule(threshold=0.9, tail="two_sided", combination="any", metrics=("efficiency_gap", "mean_median", "partisan_bias", "cut_edges"), require_expressible=False)
+_RULE_METRICS = "('efficiency_gap', 'mean_median', 'partisan_bias', 'cut_edges')"
+
+
+def _locations(s: State) -> DataFrame:
+    wide = _wide(s)
+    middle = wide.agg(F.floor(F.median("dem_seats")).cast("long").alias("mid"))
+    kinds = wide.select(F.col("plan").alias("case_id"), "dem_seats").crossJoin(F.broadcast(middle)).select("case_id", F.when(F.col("dem_seats") != F.col("mid"), "planted").otherwise("null").alias("kind"), (F.col("dem_seats") - F.col("mid")).alias("shift"))
+    d = ens.long_draws(wide, METRICS)
+    return ens.locate(d.select(F.col("plan").alias("case_id"), "metric", "value"), d).join(kinds, "case_id")
+
+
+_RULES = _WIDE + _SUMMARY + f""", loc AS (SELECT d.plan AS case_id, d.metric, s.n, s.distinct_values, s.ess, d.value IS NOT NULL AND s.least < s.most AND s.n >= 20 AS located,
+  coalesce(sum(k.m) FILTER (WHERE k.value < d.value), 0) AS below, coalesce(sum(k.m) FILTER (WHERE k.value = d.value), 0) AS ties
+  FROM draws d JOIN summary s USING (metric) JOIN counts k ON k.metric = d.metric GROUP BY ALL),
+mid AS (SELECT floor(median(dem_seats))::BIGINT AS mid FROM wide),
+kinds AS (SELECT plan AS case_id, CASE WHEN dem_seats <> mid THEN 'planted' ELSE 'null' END AS kind, dem_seats - mid AS shift FROM wide, mid),
+screened AS (SELECT l.*, (below + 0.5 * ties) / n::DOUBLE AS p, CASE WHEN NOT located OR metric NOT IN {_RULE_METRICS} THEN 'excluded' WHEN distinct_values < 6 OR ess < 6 THEN 'unresolvable' ELSE 'eligible' END AS screen FROM loc l),
+decided AS (SELECT case_id, kind, shift, count(*) FILTER (WHERE screen = 'eligible') AS eligible, count(*) FILTER (WHERE screen = 'eligible' AND greatest(p, 1 - p) >= 0.9) AS fired, max(greatest(p, 1 - p)) FILTER (WHERE screen = 'eligible') AS outlierness FROM screened JOIN kinds USING (case_id) GROUP BY ALL),
+flags AS (SELECT *, CASE WHEN eligible > 0 THEN fired >= 1 END AS flagged FROM decided),
+conf AS (SELECT count(*) FILTER (WHERE kind = 'planted' AND flagged) AS tp, count(*) FILTER (WHERE kind = 'null' AND flagged) AS fp, count(*) FILTER (WHERE kind = 'null' AND NOT flagged) AS tn, count(*) FILTER (WHERE kind = 'planted' AND NOT flagged) AS fn, count(*) FILTER (WHERE kind = 'planted' AND flagged IS NULL) AS up, count(*) FILTER (WHERE kind = 'null' AND flagged IS NULL) AS un FROM flags),
+curve AS (SELECT abs(shift) AS magnitude, count(*) AS n, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE flagged IS NULL) AS unresolved FROM flags WHERE kind = 'planted' GROUP BY 1)
+"""
+
+
+@query(_RULES + "SELECT case_id, metric, screen FROM screened")
+def rule_screen(s: State) -> DataFrame:
+    return ru.screen(_locations(s), RULE).select("case_id", "metric", "screen")
+
+
+@query(_RULES + f"SELECT case_id, kind, shift, eligible, fired, flagged, {r('outlierness')} AS outlierness FROM flags")
+def flag_any(s: State) -> DataFrame:
+    return ru.flag(_locations(s), RULE)
+
+
+@query(_RULES + "SELECT case_id, CASE WHEN eligible > 0 THEN fired >= 2 END AS flagged FROM flags")
+def flag_k_of_n(s: State) -> DataFrame:
+    return ru.flag(_locations(s), ru.Rule(**{**RULE.__dict__, "combination": "k_of_n", "k": 2})).select("case_id", "flagged")
+
+
+@query(_RULES + "SELECT case_id, CASE WHEN eligible > 0 THEN fired = eligible END AS flagged FROM flags")
+def flag_all(s: State) -> DataFrame:
+    return ru.flag(_locations(s), ru.Rule(**{**RULE.__dict__, "combination": "all"})).select("case_id", "flagged")
+
+
+def _wilson_sql(k: str, n: str, end: str) -> str:
+    z, p = 1.959963984540054, f"({k} / {n}::DOUBLE)"
+    half = f"{z} / (1 + {z * z} / {n}) * sqrt({p} * (1 - {p}) / {n} + {z * z} / (4.0 * {n} * {n}))"
+    middle = f"({p} + {z * z} / (2.0 * {n})) / (1 + {z * z} / {n})"
+    return f"CASE WHEN {n} > 0 THEN {r(f'greatest(0.0, {middle} - {half})' if end == 'low' else f'least(1.0, {middle} + {half})')} END"
+
+
+@query(_RULES + f"SELECT tp, fp, tn, fn, up AS unresolved_planted, un AS unresolved_null, CASE WHEN tp + fn > 0 THEN {r('tp / (tp + fn)::DOUBLE')} END AS tpr, CASE WHEN fp + tn > 0 THEN {r('fp / (fp + tn)::DOUBLE')} END AS fpr, {_wilson_sql('tp', '(tp + fn)', 'low')} AS tpr_low, {_wilson_sql('tp', '(tp + fn)', 'high')} AS tpr_high, {_wilson_sql('fp', '(fp + tn)', 'low')} AS fpr_low, {_wilson_sql('fp', '(fp + tn)', 'high')} AS fpr_high, {r('tp / nullif(tp + fn + up, 0)::DOUBLE')} AS tpr_worst, {r('(fp + un) / nullif(fp + tn + un, 0)::DOUBLE')} AS fpr_worst, {r('tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE')} AS youden FROM conf")
+def confusion(s: State) -> DataFrame:
+    return ru.confusion(ru.flag(_locations(s), RULE))
+
+
+@query(_RULES + f"SELECT magnitude, n, flagged, unresolved, {r('flagged / nullif(n - unresolved, 0)::DOUBLE')} AS tpr, {r('flagged / n::DOUBLE')} AS tpr_worst FROM curve")
+def detection_curve(s: State) -> DataFrame:
+    return ru.detection_curve(ru.flag(_locations(s), RULE))
+
+
+@query(_RULES + f"SELECT {r('avg(CASE WHEN a.outlierness > b.outlierness THEN 1.0 WHEN a.outlierness = b.outlierness THEN 0.5 ELSE 0.0 END)')} AS auc, count(DISTINCT a.case_id) AS n_planted, count(DISTINCT b.case_id) AS n_null FROM flags a JOIN flags b ON a.kind = 'planted' AND b.kind = 'null' WHERE a.outlierness IS NOT NULL AND b.outlierness IS NOT NULL")
+def auc_rank(s: State) -> DataFrame:
+    return ru.auc(ru.flag(_locations(s), RULE))
+
+
+@query(_RULES + f", c AS (SELECT d AS detector, count(*) FILTER (WHERE d = 'always' AND kind = 'planted') AS tp, count(*) FILTER (WHERE d = 'always' AND kind = 'null') AS fp, count(*) FILTER (WHERE d = 'never' AND kind = 'null') AS tn, count(*) FILTER (WHERE d = 'never' AND kind = 'planted') AS fn FROM flags, (VALUES ('always'), ('never')) t(d) GROUP BY d) SELECT *, {r('tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE')} AS youden FROM c")
+def baselines(s: State) -> DataFrame:
+    return ru.baselines(ru.flag(_locations(s), RULE))
+
+
+@query(_RULES + "SELECT min(magnitude) FILTER (WHERE ok) AS shift FROM (SELECT a.magnitude, bool_and(b.flagged / b.n::DOUBLE >= 0.5) AS ok FROM curve a JOIN curve b ON b.magnitude >= a.magnitude GROUP BY 1)")
+def min_detectable_shift(s: State) -> DataFrame:
+    return ru.min_detectable_shift(ru.detection_curve(ru.flag(_locations(s), RULE)), 0.5)
+
+
+@query(_RULES + f"SELECT {r('tp / nullif(tp + fn + up, 0)::DOUBLE')} AS tpr_worst, {r('(fp + un) / nullif(fp + tn + un, 0)::DOUBLE')} AS fpr_worst, tp / nullif(tp + fn + up, 0)::DOUBLE >= 0.95 AS tpr_pass, (fp + un) / nullif(fp + tn + un, 0)::DOUBLE <= 0.05 AS fpr_pass FROM conf")
+def gates(s: State) -> DataFrame:
+    return ru.gates(ru.confusion(ru.flag(_locations(s), RULE)))
+
+
+# --- experiments --------------------------------------------------------------------------------------------------
+
+_RANKED = ", pairs AS (SELECT a.metric AS a, b.metric AS b, a.plan, a.value AS x, b.value AS y FROM draws a JOIN draws b ON a.plan = b.plan AND a.metric < b.metric), full_pairs AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0::DOUBLE AS ry FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL), matrix AS (SELECT a, b, count(*) AS n, (SELECT count(*) FROM pairs p WHERE p.a = f.a AND p.b = f.b AND (p.x IS NULL OR p.y IS NULL)) AS dropped, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS rho FROM full_pairs f GROUP BY a, b)"
+
+
+@query(_WIDE + _RANKED + f" SELECT a, b, n, dropped, {r('rho')} AS rho FROM matrix")
+def spearman_matrix(s: State) -> DataFrame:
+    return exp.spearman_matrix(_draws(s), METRICS)
+
+
+@query(_WIDE + _RANKED + f" SELECT a, b, n, dropped, {r('rho')} AS rho FROM matrix WHERE round(rho, 9) < 0.9 OR rho IS NULL")
+def metric_disagreements(s: State) -> DataFrame:
+    return exp.disagreements(tidy(exp.spearman_matrix(_draws(s), METRICS)))
+
+
+_XY = ", xy AS (SELECT plan, polsby_popper_mean AS x, -abs(efficiency_gap) AS y FROM wide)"
+
+
+def _xy(s: State) -> DataFrame:
+    return _wide(s).select("plan", F.floor(F.col("plan") / DRAWS).alias("chain"), (F.col("plan") % DRAWS).alias("draw"), F.col("polsby_popper_mean").alias("x"), (-F.abs("efficiency_gap")).alias("y"))
+
+
+@query(_WIDE + _XY + " SELECT DISTINCT x, y FROM xy a WHERE NOT EXISTS (SELECT 1 FROM xy b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))")
+def pareto_frontier(s: State) -> DataFrame:
+    return exp.pareto_frontier(_xy(s))
+
+
+_KEPT = ", kept AS (SELECT metric, d.plan % 4 = 0 AS kept, value FROM draws d WHERE value IS NOT NULL)"
+
+
+@query(_WIDE + _KEPT + f" SELECT a.metric, {r('sum(sign(a.value - b.value)) / count(*)')} AS delta FROM kept a JOIN kept b ON a.metric = b.metric AND a.kept AND NOT b.kept GROUP BY a.metric")
+def cliffs_delta(s: State) -> DataFrame:
+    return exp.cliffs_delta(_draws(s).select("metric", (F.col("plan") % 4 == 0).alias("kept"), "value"))
+
+
+@query(_WIDE + f""", levels AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS level), placed AS (SELECT plan, polsby_popper_mean AS t, row_number() OVER (ORDER BY polsby_popper_mean DESC, plan) AS place FROM wide), cuts2 AS (SELECT level, t AS cut FROM placed JOIN levels ON place = greatest(1, 200 - floor(level * 200)::INT)),
+lon AS (SELECT w.plan, polsby_popper_mean >= cut AS kept, level, metric, value FROM wide w JOIN draws USING (plan), cuts2 WHERE metric IN ('cut_edges', 'county_splits')),
+dl AS (SELECT a.level, a.metric, sum(sign(a.value - b.value)) / count(*) AS delta FROM lon a JOIN lon b ON a.level = b.level AND a.metric = b.metric AND a.kept AND NOT b.kept GROUP BY ALL)
+SELECT l.level, l.metric, count(*) FILTER (WHERE kept) AS kept, {r('coalesce(any_value(dl.delta), 0.0)')} AS delta, {r('median(value) FILTER (WHERE kept) - median(value)')} AS shift FROM lon l LEFT JOIN dl ON dl.level = l.level AND dl.metric = l.metric GROUP BY l.level, l.metric""")
+def sensitivity_sweep(s: State) -> DataFrame:
+    return exp.sensitivity_sweep(_wide(s), "polsby_popper_mean", ["cut_edges", "county_splits"])
+
+
+@query(f"SELECT {r('sum(sign(a.x - b.x) * sign(a.y - b.y)) / count(*)::DOUBLE')} AS tau FROM (SELECT parent, sum(dem)::BIGINT AS x, sum(rep)::BIGINT AS y FROM units GROUP BY 1) a JOIN (SELECT parent, sum(dem)::BIGINT AS x, sum(rep)::BIGINT AS y FROM units GROUP BY 1) b ON a.parent < b.parent")
+def kendall_tau(s: State) -> DataFrame:
+    """Agreement of counties ordered by the two parties' votes."""
+    return exp.kendall_tau(s.units().groupBy("parent").agg(F.sum("dem").alias("a"), F.sum("rep").alias("b")).withColumnRenamed("parent", "item"))
+
+
+_P = ", tests AS (SELECT parent AS id, (count(*) % 17 + 1 + parent) / 60.0::DOUBLE AS p FROM units GROUP BY parent)"
+
+
+@query(_P + f" SELECT id, {r('p')} AS p, {r('least(1.0, min(v) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM (SELECT id, p, row_number() OVER (ORDER BY p) AS rk, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS v FROM tests)")
+def bh_adjust(s: State) -> DataFrame:
+    tests = s.units().groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("c")).select("id", ((F.col("c") % 17 + 1 + F.col("id")) / F.lit(60.0)).alias("p"))
+    return exp.adjust_multiplicity(tests)
+
+
+@query(_WIDE + _XY + f", m AS (SELECT median(y) AS med FROM xy), sc AS (SELECT CASE WHEN median(abs(y - med)) > 0 THEN 1.4826 * median(abs(y - med)) ELSE stddev_pop(y) END AS sd FROM xy, m), cut AS (SELECT x AS cut FROM (SELECT x, row_number() OVER (ORDER BY x DESC) AS i FROM xy) WHERE i = 20) SELECT {r('(median(y) FILTER (WHERE x >= cut) - median(y)) / any_value(sd)')} AS effect, count(*) FILTER (WHERE x >= cut) AS kept FROM xy, sc, cut")
+def conditional_effect(s: State) -> DataFrame:
+    return exp.conditional_effect(_xy(s))
+
+
+@query(_WIDE + _XY + f", c AS (SELECT quantile_cont(x, 2 / 3.0) AS cx, quantile_cont(y, 2 / 3.0) AS cy FROM xy) SELECT {r('avg((x >= cx AND y >= cy)::INT)')} AS joint, {r('avg((x >= cx)::INT) * avg((y >= cy)::INT)')} AS expected, {r('avg((x >= cx AND y >= cy)::INT) / nullif(avg((x >= cx)::INT) * avg((y >= cy)::INT), 0)')} AS ratio FROM xy, c")
+def achievability(s: State) -> DataFrame:
+    return exp.achievability(_xy(s))
+
+
+@query()
+def bootstrap_ci(s: State) -> DataFrame:
+    """Spearman's rho of compactness and a small efficiency gap, with whole chains drawn anew."""
+    return exp.bootstrap_correlation(_xy(s))
+
+
+@query()
+def permutation_p(s: State) -> DataFrame:
+    """The conditional effect against chains turned round."""
+    return exp.permutation_p(_xy(s))
+
+
+# --- convergence --------------------------------------------------------------------------------------------------
+
+def _chains(s: State) -> DataFrame:
+    rows = _draws(s).where(F.col("metric").isin("efficiency_gap", "cut_edges", "polsby_popper_mean"))
+    return rows.select("metric", F.floor(F.col("plan") / DRAWS).alias("chain"), (F.col("plan") % DRAWS).alias("draw"), "value")
+
+
+@query()
+def split_rhat(s: State) -> DataFrame:
+    """Rank-normalised split R-hat of three measures over eight chains."""
+    return conv.split_rhat(_chains(s))
+
+
+_HALVES = f", halves AS (SELECT metric, plan // {DRAWS} * 2 + CASE WHEN plan % {DRAWS} < {DRAWS // 2} THEN 0 ELSE 1 END AS half, value FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') AND plan % {DRAWS} <> {DRAWS // 2}), hp AS (SELECT metric, half, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM halves GROUP BY ALL)"
+
+
+@query(_WIDE + _HALVES + f" SELECT metric, {r('sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(v) + var_samp(mean)) / avg(v))')} AS rhat FROM hp GROUP BY metric")
+def split_rhat_raw(s: State) -> DataFrame:
+    """Split R-hat of the values as they are."""
+    return conv.split_rhat(_chains(s), normalize=False, folded=False)
+
+
+@query()
+def ess(s: State) -> DataFrame:
+    return conv.ess(_chains(s))
+
+
+@query()
+def convergence_trace(s: State) -> DataFrame:
+    return conv.trace(_chains(s), [8, 16, 25])
+
+
+@query()
+def rectangles(s: State) -> DataFrame:
+    return conv.rectangles(_chains(s), least_chains=4, least_draws=20)
+
+
+@query(_WIDE + f", cp AS (SELECT metric, plan // {DRAWS} AS chain, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') GROUP BY ALL) SELECT metric, {r('sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(v) + var_samp(mean)) / avg(v))')} AS psrf FROM cp GROUP BY metric")
+def gelman_rubin(s: State) -> DataFrame:
+    return conv.psrf(_chains(s))
