@@ -37,7 +37,7 @@ COUNT_CHUNK, COUNT_LEAST = 4_000_000, 3
 #: Ids up to this number are broadcast to find the candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles (8 bytes each) and members of one block of a cell.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 4_000_000, 2048
+BLOCK_SHINGLES, BLOCK_MEMBERS = 4_000_000, 256
 SALTS = 64
 
 

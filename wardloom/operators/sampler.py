@@ -1,0 +1,231 @@
+"""Neutral plans: recombination chains, random growth, and searches for plans with given seats.
+
+The graph (units and edges) is small beside an ensemble and goes to every task after a check of its size; each chain or
+restart is one row of a DataFrame and runs in one task, and a cluster runs as many as it has cores. Measures of the plans
+are then taken by the set operators. Draws follow the published recombination step: two neighbouring districts are merged,
+a random spanning tree is drawn, and an edge is cut that leaves both parts within ``epsilon`` of the ideal population.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.seeds import derive
+
+#: Units of a graph that may be sent to every task.
+MAX_UNITS = 2_000_000
+
+
+class Graph:
+    """Units 0..n-1 with populations, votes and neighbours."""
+
+    def __init__(self, units: DataFrame, edges: DataFrame) -> None:
+        if units.count() > MAX_UNITS:
+            raise ValueError(f"more than {MAX_UNITS} units in one graph")
+        table = units.orderBy("unit").toPandas()
+        self.ids = table["unit"].to_numpy()
+        self.pop = table["pop"].to_numpy(float)
+        self.dem = table["dem"].to_numpy(float) if "dem" in table else np.zeros(len(table))
+        self.rep = table["rep"].to_numpy(float) if "rep" in table else np.zeros(len(table))
+        e = edges.select("u", "v").toPandas()
+        at = {u: i for i, u in enumerate(self.ids)}
+        self.near: list[list[int]] = [[] for _ in self.ids]
+        for u, v in zip(e["u"].map(at), e["v"].map(at), strict=True):
+            self.near[u].append(v)
+            self.near[v].append(u)
+        for x in self.near:
+            x.sort()
+
+    def connected(self, members: set[int]) -> bool:
+        if not members:
+            return False
+        seen, todo = set(), [next(iter(members))]
+        while todo:
+            u = todo.pop()
+            if u not in seen:
+                seen.add(u)
+                todo += [v for v in self.near[u] if v in members and v not in seen]
+        return len(seen) == len(members)
+
+    def tree(self, members: list[int], rng: np.random.Generator) -> tuple[list[int], dict[int, int]]:
+        """A random spanning tree (edges taken in random order): units from root to leaves, and each one's parent."""
+        inside = set(members)
+        edges = [(u, v) for u in members for v in self.near[u] if u < v and v in inside]
+        head = {u: u for u in members}
+
+        def find(u: int) -> int:
+            while head[u] != u:
+                head[u] = head[head[u]]
+                u = head[u]
+            return u
+
+        limbs: dict[int, list[int]] = {u: [] for u in members}
+        for i in rng.permutation(len(edges)):
+            u, v = edges[i]
+            a, b = find(u), find(v)
+            if a != b:
+                head[a] = b
+                limbs[u].append(v)
+                limbs[v].append(u)
+        root = members[int(rng.integers(len(members)))]
+        order, parent = [root], {root: -1}
+        for u in order:
+            for v in limbs[u]:
+                if v not in parent:
+                    parent[v] = u
+                    order.append(v)
+        return order, parent
+
+    def split(self, members: list[int], ideal: float, parts: tuple[int, int], epsilon: float, rng: np.random.Generator, tries: int = 50) -> list[int] | None:
+        """A connected part that holds ``parts[0]`` ideals of the members' people, the rest ``parts[1]``; None if not found."""
+        total = self.pop[members].sum()
+        for _ in range(tries):
+            order, parent = self.tree(members, rng)
+            if len(order) != len(members):
+                return None
+            below = {u: self.pop[u] for u in order}
+            for u in reversed(order[1:]):
+                below[parent[u]] += below[u]
+            fits = [u for u in order[1:] if abs(below[u] - parts[0] * ideal) <= epsilon * ideal * parts[0] and abs(total - below[u] - parts[1] * ideal) <= epsilon * ideal * parts[1]]
+            if fits:
+                cut = fits[int(rng.integers(len(fits)))]
+                side = {cut}
+                for u in order:
+                    if parent[u] in side:
+                        side.add(u)
+                return sorted(side)
+        return None
+
+    def seed_plan(self, k: int, epsilon: float, rng: np.random.Generator) -> np.ndarray | None:
+        """A first plan: one district after another is split off the rest."""
+        ideal = self.pop.sum() / k
+        plan = np.zeros(len(self.ids), int)
+        rest = list(range(len(self.ids)))
+        for d in range(1, k):
+            part = self.split(rest, ideal, (1, k - d), epsilon, rng)
+            if part is None:
+                return None
+            plan[part] = d
+            gone = set(part)
+            rest = [u for u in rest if u not in gone]
+        plan[rest] = k
+        return plan
+
+    def recombine(self, plan: np.ndarray, k: int, epsilon: float, rng: np.random.Generator) -> np.ndarray | None:
+        """One step: a random cut edge names two districts, which are merged and split anew."""
+        cut = [(u, v) for u in range(len(self.near)) for v in self.near[u] if u < v and plan[u] != plan[v]]
+        if not cut:
+            return None
+        u, v = cut[int(rng.integers(len(cut)))]
+        a, b = plan[u], plan[v]
+        members = [int(x) for x in np.flatnonzero((plan == a) | (plan == b))]
+        part = self.split(members, self.pop.sum() / k, (1, 1), epsilon, rng)
+        if part is None:
+            return None
+        out = plan.copy()
+        out[members] = b
+        out[part] = a
+        return out
+
+    def seats(self, plan: np.ndarray, k: int) -> int:
+        d = np.bincount(plan, self.dem, k + 1)[1:]
+        return int((d > np.bincount(plan, self.rep, k + 1)[1:]).sum())
+
+
+def recom_chains(units: DataFrame, edges: DataFrame, k: int, epsilon: float, steps: int, chains: int, master_seed: int = 1) -> DataFrame:
+    """(chain, draw, unit, district): ``chains`` chains of ``steps`` draws. A step that finds no split repeats the plan
+    before; a chain that finds no first plan gives no rows."""
+    spark = units.sparkSession
+    graph = spark.sparkContext.broadcast(Graph(units, edges))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        for b in batches:
+            for chain in b["id"]:
+                rng = np.random.default_rng(derive(master_seed, "chain", int(chain)))
+                plan = g.seed_plan(k, epsilon, rng)
+                for draw in range(steps if plan is not None else 0):
+                    yield pd.DataFrame({"chain": int(chain), "draw": draw, "unit": g.ids, "district": plan.astype("int32")})
+                    plan = next((p for p in (g.recombine(plan, k, epsilon, rng) for _ in range(5)) if p is not None), plan)
+
+    return spark.range(0, chains, 1, chains).mapInPandas(run, "chain long, draw int, unit long, district int")
+
+
+def random_growth(units: DataFrame, edges: DataFrame, k: int, restarts: int, master_seed: int = 1) -> DataFrame:
+    """(restart, unit, district): contiguous plans grown from random units, the least populous district growing first."""
+    spark = units.sparkSession
+    graph = spark.sparkContext.broadcast(Graph(units, edges))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        for b in batches:
+            for restart in b["id"]:
+                rng = np.random.default_rng(derive(master_seed, "growth", int(restart)))
+                plan = np.zeros(len(g.ids), int)
+                starts = rng.choice(len(g.ids), k, replace=False)
+                plan[starts] = np.arange(1, k + 1)
+                pops = g.pop[starts].copy()
+                rims = [set(v for v in g.near[u] if not plan[v]) for u in starts]
+                while any(rims):
+                    d = min((i for i in range(k) if rims[i]), key=lambda i: (pops[i], i))
+                    options = sorted(rims[d])
+                    u = options[int(rng.integers(len(options)))]
+                    plan[u] = d + 1
+                    pops[d] += g.pop[u]
+                    rims[d] |= {v for v in g.near[u] if not plan[v]}
+                    for r in rims:
+                        r.discard(u)
+                if (plan > 0).all():
+                    yield pd.DataFrame({"restart": int(restart), "unit": g.ids, "district": plan.astype("int32")})
+
+    return spark.range(0, restarts, 1, restarts).mapInPandas(run, "restart long, unit long, district int")
+
+
+def seat_search(units: DataFrame, edges: DataFrame, k: int, epsilon: float, restarts: int, steps: int, party: str = "dem", master_seed: int = 1) -> DataFrame:
+    """(restart, seats, unit, district): the plan with most seats that each restart finds, by recombination steps accepted
+    when they lose no seats, or else with a chance that falls as the search goes on."""
+    spark = units.sparkSession
+    graph = spark.sparkContext.broadcast(Graph(units, edges))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        if party == "rep":
+            g.dem, g.rep = g.rep, g.dem
+        for b in batches:
+            for restart in b["id"]:
+                rng = np.random.default_rng(derive(master_seed, "search", int(restart)))
+                plan = g.seed_plan(k, epsilon, rng)
+                if plan is None:
+                    continue
+                now = best = g.seats(plan, k)
+                kept = plan
+                for step in range(steps):
+                    new = g.recombine(plan, k, epsilon, rng)
+                    if new is None:
+                        continue
+                    seats = g.seats(new, k)
+                    if seats >= now or rng.random() < 0.3 * (1 - step / steps):
+                        plan, now = new, seats
+                        if seats > best:
+                            best, kept = seats, new
+                yield pd.DataFrame({"restart": int(restart), "seats": best, "unit": g.ids, "district": kept.astype("int32")})
+        if party == "rep":
+            g.dem, g.rep = g.rep, g.dem
+
+    return spark.range(0, restarts, 1, restarts).mapInPandas(run, "restart long, seats int, unit long, district int")
+
+
+def achievable_seats(found: DataFrame) -> DataFrame:
+    """(most) over the restarts of a search."""
+    return found.agg(F.max("seats").alias("most"))
+
+
+def plant(found: DataFrame, baseline: int, shift: int) -> DataFrame:
+    """(restart, unit, district) of the first restart whose seats are ``baseline + shift``; no rows if none is."""
+    first = found.where(F.col("seats") == baseline + shift).agg(F.min("restart").alias("_first"))
+    return found.join(F.broadcast(first), F.col("restart") == F.col("_first")).select("restart", "unit", "district")

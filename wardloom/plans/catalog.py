@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import seeds
 from ..functions.expr import rounded
 from ..operators import administrative as adm
 from ..operators import convergence as conv
@@ -15,7 +16,9 @@ from ..operators import experiments as exp
 from ..operators import geometry as geo
 from ..operators import graph as gr
 from ..operators import partisan as par
+from ..operators import nulls, sampler
 from ..operators import rules as ru
+from ..streaming import draws as draws_stream
 from .mapping import DRAWS, PRELUDE, State, r
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,3 +651,62 @@ def rectangles(s: State) -> DataFrame:
 @query(_WIDE + f", cp AS (SELECT metric, plan // {DRAWS} AS chain, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') GROUP BY ALL) SELECT metric, {r('sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(v) + var_samp(mean)) / avg(v))')} AS psrf FROM cp GROUP BY metric")
 def gelman_rubin(s: State) -> DataFrame:
     return conv.psrf(_chains(s))
+
+
+# --- sampler, search, nulls, streaming ----------------------------------------------------------------------------
+
+def _neutral(s: State) -> DataFrame:
+    return s.units().select("unit", "pop", "dem", "rep")
+
+
+@query()
+def recom_chain(s: State) -> DataFrame:
+    """Four recombination chains of ten draws over all units: each draw's cut edges and population spread."""
+    draws = sampler.recom_chains(s.units().select("unit", "pop"), s.edges(), 4, 0.1, 10, 4)
+    plans = draws.select((F.col("chain") * 1000 + F.col("draw")).alias("plan"), "unit", "district")
+    return gr.cut_edges(plans, s.edges()).join(gr.population_spread(plans, s.units()), "plan")
+
+
+@query()
+def growth_partition(s: State) -> DataFrame:
+    """Plans grown at random over all units: population and units of each district."""
+    g = sampler.random_growth(s.units().select("unit", "pop"), s.edges(), 8, 4)
+    return g.join(s.units().select("unit", "pop"), "unit").groupBy("restart", "district").agg(F.count("*").alias("units"), F.sum("pop").alias("pop"))
+
+
+@query()
+def seat_search(s: State) -> DataFrame:
+    """The most seats that four restarts find for each party."""
+    most = [sampler.achievable_seats(sampler.seat_search(_neutral(s), s.edges(), 8, 0.2, 4, 15, p)).withColumn("party", F.lit(p)) for p in ("dem", "rep")]
+    return most[0].unionByName(most[1])
+
+
+@query("SELECT plan, row_number() OVER (ORDER BY sha256(plan::VARCHAR || '|random'))::INTEGER AS place FROM metrics QUALIFY place <= 20")
+def null_strata(s: State) -> DataFrame:
+    """Twenty plans in hash order."""
+    return nulls.random_stratum(par.all_metrics(_dist(s)).select("plan"), 20)
+
+
+@query(f", conc AS (SELECT plan, {r('sum(dem::DOUBLE * dem) / pow(sum(dem)::DOUBLE, 2)')} AS concentration FROM dist GROUP BY plan) SELECT plan, concentration, row_number() OVER (ORDER BY concentration DESC, plan)::INTEGER AS place FROM conc QUALIFY place <= 20")
+def top_concentration(s: State) -> DataFrame:
+    return nulls.top_concentration(tidy(par.vote_concentration(_dist(s))), 20)
+
+
+@query(", sided AS (SELECT plan, CASE WHEN dem_seats > 4 THEN 'above' WHEN dem_seats < 4 THEN 'below' ELSE 'level' END AS side FROM metrics), turned AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY plan) AS turn, count(*) OVER (PARTITION BY side) AS size FROM sided) SELECT plan, side, row_number() OVER (ORDER BY side = 'level', turn, size DESC, side)::INTEGER AS place FROM turned QUALIFY place <= 60")
+def interleaved_nulls(s: State) -> DataFrame:
+    scored = par.seat_counts(_dist(s)).select("plan", F.col("dem_seats").alias("seats"), F.col("plan").alias("rank"))
+    return nulls.interleave(scored, 4.0, 60)
+
+
+@query("!SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL")
+def event_windows(s: State) -> DataFrame:
+    """Events in daily windows, by the operator that also runs on streams."""
+    events = s.spark.read.parquet(f"{s.dir}/events.parquet")
+    return draws_stream.event_windows(events).withColumn("total", rounded(F.col("total"), 4))
+
+
+@query()
+def derived_seeds(s: State) -> DataFrame:
+    """A seed for each nation's chain."""
+    nations = s.spark.read.parquet(f"{s.dir}/nation.parquet")
+    return nations.select("n_nationkey", seeds.seed_column(1, "chain", F.col("n_nationkey")).alias("seed"))
