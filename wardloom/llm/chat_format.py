@@ -145,6 +145,3 @@ def format_digest(rows: DataFrame, budget: int = 512, history: int = 2, history_
         F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w["chars"]).alias("formatted_chars"),
         F.size("ws").cast("long").alias("n_windows"),
     )
-
-
-__all__ = ["escape", "escape_role", "format_digest", "format_windows", "turns_of", "unescape"]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -111,10 +109,5 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows."""
-    return (b for b in batches if b.num_rows)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -27,10 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, hash_words, settle, shingle_set, signed, windows, words_of
-from .components import connected_components
-
-__all__ = ["divide_skip", "link_documents", "shingle_set", "near_duplicate_keep", "hash_words", "windows", "words_of"]
+from ..operators.components import connected_components
+from .common import binary_column, settle, shingle_set, signed
 
 #: Chunk of shingles in which repeated ones are counted, and the repeats that make one worth reporting.
 COUNT_CHUNK, COUNT_LEAST = 4_000_000, 3

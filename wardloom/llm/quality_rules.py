@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MIX, binary_column, hash_words, settle, windows
-from .textstats import base_counts, byte_counts, repeated_lines, repeated_words
+from .textstats import base_counts
 from .training import MAX_LABELLED, labelled_sample
 
 BUCKETS = 1 << 17
@@ -23,8 +23,6 @@ FAMILIES = 3
 PARTITIONS = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-__all__ = ["apply_rules", "base_counts", "byte_counts", "repeated_lines", "repeated_words"]
-
 
 def _buckets(h: np.ndarray, family: int) -> np.ndarray:
     return (((h * MIX) >> np.uint64(64 - 17)) + np.uint64(family * BUCKETS)).astype(np.int64)

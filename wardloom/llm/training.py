@@ -52,10 +52,6 @@ def isotonic(x: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> tuple[np.ndar
     return np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
-def scored_schema(extra: str = "") -> str:
-    return "doc_id long, score double" + extra
-
-
 def finish(scored: DataFrame, mod: int, held: int, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     return scored.select("doc_id", (crc_mod("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
