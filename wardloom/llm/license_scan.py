@@ -67,7 +67,7 @@ class Scanner:
         at = np.searchsorted(self.every, grams)
         at[at == len(self.every)] = 0
         hits = np.flatnonzero(self.every[at] == grams)
-        found: list[tuple[float, int, int, str]] = []
+        found: list[tuple[int, float, int, int, str]] = []
         for t in self.templates:
             if len(hits) < t.need or len(grams) < t.low:
                 continue
@@ -91,14 +91,15 @@ class Scanner:
                         if k - start + 1 >= t.low or len(kinds) >= t.low:
                             dice = 2 * len(seen) / (len(kinds) + len(t.grams))
                             if dice >= self.least - 1e-12:
-                                found.append((dice, start, k - start + 1, t.name))
-        found.sort(key=lambda m: (-m[0], -m[2], m[1], m[3]))
+                                found.append((len(seen), dice, start, k - start + 1, t.name))
+        # what shares most goes first, so that a short notice inside a long one doesn't win
+        found.sort(key=lambda m: (-m[0], -m[1], -m[3], m[2], m[4]))
         taken: list[tuple[int, int]] = []
         best = []
-        for m in found:
-            if all(m[1] + m[2] < a or z < m[1] for a, z in taken):
-                taken.append((m[1], m[1] + m[2]))
-                best.append(m)
+        for _, dice, start, length, name in found:
+            if all(start + length < a or z < start for a, z in taken):
+                taken.append((start, start + length))
+                best.append((dice, start, length, name))
         return sorted(best, key=lambda m: m[1])
 
 
@@ -122,8 +123,8 @@ def _scan(scanner):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """(doc_id, license, first_word, n_words, dice): a row for each place in a document that matches a template.
 
-    Of overlapping matches the one with the highest coefficient stays; ties go to the longer, then the earlier, then the
-    name first in the alphabet. Words are counted in the normalised text from 0. Null, empty and one-word texts give no
+    Of overlapping matches the one that shares most bigrams stays; ties go to the higher coefficient, then the longer, then
+    the earlier, then the name first in the alphabet. Words are counted in the normalised text from 0. Null, empty and one-word texts give no
     rows, nor do templates of fewer than two words. Repeated rows are scanned one by one. Only doc_id and text are read.
     An empty table gives no rows.
     """

@@ -71,10 +71,11 @@ class Marks(dict):
         if len(inner) > 2 and any(c.isalpha() for c in inner) and not inner.replace("-", "").replace("'", "").isalpha():
             mark |= OBFUSCATED
         if len(written) > 2 and not mark & WORD_HIT:
-            plain = "".join(c for c in written.lower().translate(DISGUISES) if c.isalpha())
-            squeezed = re.sub(r"(.)\1+", r"\1", plain)
-            if plain != word and plain in self.lexicon or squeezed != word and squeezed in self.lexicon:
-                mark |= DISGUISED_HIT
+            for form in (written, inner):
+                plain = "".join(c for c in form.lower().translate(DISGUISES) if c.isalpha())
+                squeezed = re.sub(r"(.)\1+", r"\1", plain)
+                if plain != word and plain in self.lexicon or squeezed != word and squeezed in self.lexicon:
+                    mark |= DISGUISED_HIT
         if word in self.you:
             mark |= YOU
         if len(word) > 1 and inner.isupper():
