@@ -1,0 +1,125 @@
+"""Tables, streams, samplers, and the registry of queries."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from wardloom.operators import graph as gr
+from wardloom.operators import nulls, sampler
+from wardloom.plans import catalog
+from wardloom.sources import tables as tb
+from wardloom.streaming import draws as st
+
+
+def test_tables(spark, tmp_path):
+    def write(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    units = tb.load_units(spark, write("units.csv", "GEOID,NAME,pop\n001,A,5\n002,B,7\n"))
+    assert [r["unit"] for r in units.orderBy("unit").collect()] == ["001", "002"]
+    with pytest.raises(tb.InvalidTable):
+        tb.load_units(spark, write("votes.csv", "GEOID,NAME,pop,G20PREDBID\n001,A,5,1\n"))
+    plan = tb.load_plan(spark, write("plan.csv", "GEOID,district\n001,1\n002,2\n"))
+    assert {(r["unit"], r["district"]) for r in plan.collect()} == {("001", 1), ("002", 2)}
+    for bad in ("GEOID\n1\n", "GEOID,district\n", "GEOID,district\n1,x\n", "GEOID,district\n1,1\n1,2\n", "GEOID,district\n ,1\n"):
+        with pytest.raises(tb.InvalidTable):
+            tb.load_plan(spark, write(f"bad{abs(hash(bad))}.csv", bad))
+    arcs = tb.load_adjacency(spark, write("adj.json", json.dumps({"001": ["002"], "002": ["001"]})))
+    assert {(r["u"], r["v"]) for r in arcs.collect()} == {("001", "002"), ("002", "001")}
+    votes = tb.load_elections(spark, write("e.csv", "GEOID,G20PREDBID,G20PRERTRU,G20PRELJOR\n001,4,5,1\n002,6,2,0\n"))
+    assert {tuple(r) for r in tb.two_party(votes, "G20PRE").collect()} == {("001", 4, 5), ("002", 6, 2)}
+    with pytest.raises(tb.InvalidTable):
+        tb.two_party(votes, "G20USS")
+    with pytest.raises(tb.InvalidTable):
+        tb.load_elections(spark, write("e2.csv", "GEOID,G20PREDBID\n001,-4\n"))
+    parents = tb.load_membership(spark, write("m.json", json.dumps({"001": " x ", "002": None, "003": "NaN"})))
+    assert {tuple(r) for r in parents.collect()} == {("001", "x"), ("002", None), ("003", None)}
+    tb.require_coverage(plan, units)
+    with pytest.raises(tb.InvalidTable):
+        tb.require_coverage(plan.where("unit = '001'"), units)
+    a = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "k int, v double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12), (2, None), (4, 2.0)], "k int, v double")
+    assert {r["k"] for r in tb.verify(a, b, ["k"]).collect()} == {3, 4}
+
+
+def test_streams(spark, tmp_path):
+    rows = [("a", c, d, float(d)) for c in range(2) for d in range(30)]
+    draws = spark.createDataFrame(rows, "metric string, chain long, draw long, value double")
+    tb.write_draws(draws, str(tmp_path / "draws"))
+    query = st.running_moments(st.stream_draws(spark, str(tmp_path / "draws"))).writeStream.outputMode("complete").format("memory").queryName("moments").start()
+    query.processAllAvailable()
+    query.stop()
+    r = spark.table("moments").first()
+    assert (r["n"], r["mean"], r["most"]) == (60, 14.5, 29.0)
+    reference = draws.selectExpr("draw as plan", "metric", "value")
+    st.write_located(st.stream_draws(spark, str(tmp_path / "draws")), reference, str(tmp_path / "located"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "located")).where("status = 'located'").count() == 60
+
+
+@pytest.fixture(scope="module")
+def state(spark):
+    side = 6
+    e = [(r * side + c, r * side + c + 1, 1.0) for r in range(side) for c in range(side - 1)] + [(r * side + c, r * side + c + side, 1.0) for r in range(side - 1) for c in range(side)]
+    units = [(u, 100, 80 if u % side < 3 and u < 18 else 30, 50) for u in range(36)]
+    return spark.createDataFrame(units, "unit long, pop long, dem long, rep long").cache(), spark.createDataFrame(e, "u long, v long, shared_len double").cache()
+
+
+def test_chains_are_legal_and_repeatable(state):
+    units, edges = state
+    draws = sampler.recom_chains(units, edges, 4, 0.12, 6, 3).cache()
+    plans = draws.selectExpr("chain * 100 + draw as plan", "unit", "district")
+    legal = gr.legality(plans, units, 4, 0.12, gr.components(plans, edges))
+    assert legal.count() == 18 and legal.where("coverage and ids and non_empty and balanced and contiguous").count() == 18
+    assert gr.distinct_plans(gr.canonical_key(plans)).count() > 3
+    again = sampler.recom_chains(units, edges, 4, 0.12, 6, 3)
+    assert draws.exceptAll(again).count() == 0
+
+
+def test_growth_and_search(state):
+    units, edges = state
+    grown = sampler.random_growth(units, edges, 4, 3).selectExpr("restart as plan", "unit", "district")
+    assert gr.contiguity(gr.components(grown, edges)).where("pieces > 1").count() == 0
+    found = sampler.seat_search(units, edges, 4, 0.12, 3, 25).cache()
+    most = sampler.achievable_seats(found).first()["most"]
+    first = found.where("seats = " + str(most)).groupBy("restart").count().count()
+    assert most >= 1 and first >= 1
+    assert sampler.plant(found, most, 0).select("restart").distinct().count() == 1 and sampler.plant(found, most, 5).count() == 0
+
+
+def test_nulls(spark):
+    scored = spark.createDataFrame([(i, [3, 5, 4, 5, 5, 3][i], i) for i in range(6)], "plan long, seats int, rank long")
+    got = [r["side"] for r in nulls.interleave(scored, 4.0, 6).orderBy("place").collect()]
+    assert got == ["above", "below", "above", "below", "above", "level"]
+    picked = [r["plan"] for r in nulls.random_stratum(spark.range(50).selectExpr("id as plan"), 5).orderBy("place").collect()]
+    assert len(set(picked)) == 5
+
+
+def test_registry(spark):
+    queries, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(queries) and catalog.FLAGSHIP in queries and len(catalog.QUERIES) > 80
+    assert entry.entry(spark).count() == 200
+
+
+@pytest.mark.parametrize("name", ["partisan_all", "plan_metrics", "locate_all", "confusion", "cut_edges", "kish_ess", "spearman_matrix"])
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = entry.queries()[name](spark, sf).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    key = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).map(lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x).itertuples(index=False, name=None)))
+    assert key(got) == key(want)
+
+
+def test_python_only_where_it_is_needed(spark):
+    df = catalog.QUERIES["plan_metrics"](spark, "/root/testdata/sf0.001")
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.agg(F.count("*")).first()[0] == 200

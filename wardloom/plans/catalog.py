@@ -388,7 +388,7 @@ def ensemble_summary(s: State) -> DataFrame:
     return ens.summarize(_draws(s))
 
 
-@query(f"SELECT {r('pow(sum(m), 2) / sum(m * m)::DOUBLE')} AS ess FROM (SELECT plan // 2 AS p, count(*) AS m FROM range(200) t(plan) GROUP BY 1)")
+@query(f", twice AS (SELECT p.range AS plan, unit, min(unit) OVER (PARTITION BY p.range, ((unit + 7 * (p.range // 2)) % n.n) * 8 // n.n) AS district FROM units, range(200) p, n), twice_keys AS (SELECT plan, string_agg(unit::VARCHAR || ':' || district::VARCHAR, ';' ORDER BY unit) AS key FROM twice GROUP BY plan) SELECT {r('pow(sum(m), 2) / sum(m * m)::DOUBLE')} AS ess FROM (SELECT key, count(*) AS m FROM twice_keys GROUP BY key)")
 def kish_ess(s: State) -> DataFrame:
     """Effective number of plans when each occurs twice."""
     return ens.kish_ess(gr.canonical_key(s.assignments(repeat=2)), "key")
