@@ -14,7 +14,7 @@ A conversation is one row of arrays: its length is bounded by what one chat can
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, COLON, CLOSE = "### ", ":\n", "</turn>\n"
@@ -45,47 +45,52 @@ def unescape(text: Column) -> Column:
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
-    """conv_id and its turns in order: role, text as written, tokens. Null role or text: empty.
+    """conv_id, its turns in order (role, text as written, tokens) and sums, the prefix sums of their tokens from 0.
 
-    Turns are ordered by turn, rows with equal or null turn by role and text; nulls come first.
+    Turns are ordered by turn, rows with equal or null turn by role and text; nulls come first. Null role or text: empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    turn = F.struct(
-        F.col("turn").cast("long").alias("turn"),
-        role.alias("role"),
-        escape(text).alias("text"),
-        (F.regexp_count(text, F.lit(TOKEN)) + 4).cast("long").alias("tokens"),
-    )
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    tokens = (F.regexp_count(text, F.lit(TOKEN)) + 4).cast("long")
+    flat = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), escape(text).alias("text"), tokens.alias("tokens"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    flat = flat.withColumns({"pos": F.row_number().over(order), "sum": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    convs = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text", "tokens", "sum"))).alias("turns"))
+    return convs.withColumn("sums", F.concat(F.array(F.lit(0).cast("long")), F.transform("turns", lambda t: t["sum"])))
 
 
 def windows_of(convs: DataFrame, budget: int, history: int, history_tokens: int) -> DataFrame:
-    """A row for each window: conv_id, window, first (the first new turn), after (the turn after the last), back (the
-    first repeated turn), system (whether turn 0 is a leading system turn)."""
+    """A row for each window: conv_id, window, shown (its turns) and new_from (how many of them are repeated)."""
     n = F.size("turns")
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("all"))
-    sums = F.aggregate("turns", zero, lambda a, t: F.struct((a["sum"] + t["tokens"]).alias("sum"), F.concat(a["all"], F.array(a["sum"] + t["tokens"])).alias("all")))["all"]
-    convs = convs.withColumn("sums", sums).withColumn("system", F.get("turns", F.lit(0))["role"] == "system").withColumn("head", F.when(F.col("system"), F.get("sums", F.lit(1))).otherwise(F.lit(0)))
+    convs = convs.withColumn("system", F.get("turns", F.lit(0))["role"] == "system")
     lead = F.when(F.col("system"), F.lit(1)).otherwise(F.lit(0))
+    convs = convs.withColumns({"lead": lead, "head": F.get("sums", lead)})
 
     def back_of(i: Column) -> Column:
         """The earliest turn within history and history_tokens before turn i."""
-        tries = F.filter(F.sequence(F.greatest(lead, i - history), i), lambda j: F.get("sums", i) - F.get("sums", j) <= history_tokens)
+        tries = F.filter(F.sequence(F.greatest(F.col("lead"), i - history), i), lambda j: F.get("sums", i) - F.get("sums", j) <= history_tokens)
         return F.array_min(tries)
 
     # turn i opens a window when it doesn't fit the one begun last
-    start = F.struct(lead.alias("first"), F.array(lead).alias("firsts"))
+    start = F.struct(F.col("lead").alias("first"), F.lit(0).cast("long").alias("base"), F.array("lead").alias("firsts"))
 
     def step(a: Column, i: Column) -> Column:
-        fits = F.col("head") + F.get("sums", i + 1) - F.get("sums", back_of(a["first"])) <= budget
-        return F.when(fits | (i == a["first"]), a).otherwise(F.struct(i.alias("first"), F.concat(a["firsts"], F.array(i)).alias("firsts")))
+        fits = F.col("head") + F.get("sums", i + 1) - F.when(i == a["first"], F.get("sums", i)).otherwise(a["base"]) <= budget
+        opened = F.struct(i.alias("first"), F.get("sums", back_of(i)).alias("base"), F.concat(a["firsts"], F.array(i)).alias("firsts"))
+        return F.when(i == F.col("lead"), F.struct(i.alias("first"), F.get("sums", i).alias("base"), a["firsts"].alias("firsts"))).when(fits, a).otherwise(opened)
 
-    firsts = F.aggregate(F.when(n > lead, F.sequence(lead, n - 1)).otherwise(F.array().cast("array<int>")), start, step)["firsts"]
+    firsts = F.aggregate(F.when(n > F.col("lead"), F.sequence(F.col("lead"), n - 1)).otherwise(F.array().cast("array<int>")), start, step)["firsts"]
     convs = convs.withColumn("firsts", firsts)
-    rows = convs.select("conv_id", "turns", "sums", "system", "head", "firsts", F.posexplode("firsts").alias("window", "first"))
-    after = F.coalesce(F.get("firsts", F.col("window") + 1), F.size("turns"))
-    return rows.withColumn("after", after).withColumn("back", back_of(F.col("first"))).drop("firsts")
+
+    def window(w: Column) -> Column:
+        """Only the turns that the window shows go on from here."""
+        first, after = F.get("firsts", w), F.coalesce(F.get("firsts", w + 1), n)
+        back = back_of(first)
+        shown = F.concat(F.slice("turns", F.lit(1), F.col("lead")), F.slice("turns", back + 1, after - back))
+        return F.struct(w.alias("window"), (F.col("lead") + first - back).alias("new_from"), shown.alias("shown"))
+
+    every = F.transform(F.sequence(F.lit(0), F.size("firsts") - 1), window)
+    return convs.select("conv_id", F.explode(every).alias("w")).select("conv_id", "w.window", "w.new_from", "w.shown")
 
 
 def format_windows(rows: DataFrame, budget: int = 512, history: int = 2, history_tokens: int = 128) -> DataFrame:
@@ -96,10 +101,6 @@ def format_windows(rows: DataFrame, budget: int = 512, history: int = 2, history
     empty table gives no rows; a conversation that is only a system turn gives one window.
     """
     w = windows_of(conversations_of(rows), budget, history, history_tokens)
-    lead = F.when(F.col("system"), F.lit(1)).otherwise(F.lit(0))
-    old = F.concat(F.slice("turns", F.lit(1), lead), F.slice("turns", F.col("back") + 1, F.col("first") - F.col("back")))
-    new = F.slice("turns", F.col("first") + 1, F.col("after") - F.col("first"))
-    w = w.withColumn("shown", F.concat(old, new)).withColumn("new_from", F.size(old))
     head = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(COLON))
     # written turn by turn, with the length before each, so that spans come from the text itself
     nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<from:int,length:int>>").alias("loss"))
