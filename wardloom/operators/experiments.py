@@ -170,3 +170,44 @@ def compare_contests(primary: DataFrame, other: DataFrame) -> DataFrame:
     """(a, b, verdict, other, agree): verdicts of two contests side by side; a missing one disagrees."""
     o = other.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("verdict").alias("other"))
     return primary.join(o, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left").select("a", "b", "verdict", "other", F.col("verdict").eqNullSafe(F.col("other")).alias("agree"))
+
+
+def inject(wide: DataFrame, blend: float, seed: int = 7) -> DataFrame:
+    """``wide(chain, draw, x, y)`` with y paired anew against x within each chain: best to lowest at blend 0, at random for
+    large blends. Each chain keeps its own values of y."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("chain"))
+    rank = F.row_number().over(Window.partitionBy("chain").orderBy("x", "draw")) - 1
+    noise = F.pmod(F.xxhash64("chain", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    keyed = wide.withColumn("_key", rank + blend * size * noise)
+    slot = F.row_number().over(Window.partitionBy("chain").orderBy("_key", "draw"))
+    best = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("y"), "draw"))
+    x = keyed.select("chain", "draw", "x", slot.alias("_slot"))
+    y = wide.select(F.col("chain").alias("_c"), "y", best.alias("_best"))
+    return x.join(y, (F.col("chain") == F.col("_c")) & (F.col("_slot") == F.col("_best"))).select("chain", "draw", "x", "y")
+
+
+def detection_floor(wide: DataFrame, blends: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 4.0), effect: float = -0.2) -> DataFrame:
+    """(blend, rho, effect, fired): dependence of known strength put into the real draws, and whether the conditional effect
+    sees it."""
+    out = None
+    for b in blends:
+        pairs = inject(wide, b)
+        ranked = pairs.select(average_rank(F.col("x")).alias("x"), average_rank(F.col("y")).alias("y")).agg(correlation("x", "y").alias("rho"))
+        row = ranked.crossJoin(conditional_effect(pairs).select("effect")).select(F.lit(float(b)).alias("blend"), "rho", "effect", (F.col("effect") <= effect).alias("fired"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def null_delta(wide: DataFrame, reps: int = 60, seed: int = 11) -> DataFrame:
+    """(low): the fifth percentile of Cliff's delta of y between the better half by x and the rest, x turned round within
+    each chain ``reps`` times."""
+    spark = wide.sparkSession
+    lengths = {r["chain"]: r["n"] for r in wide.groupBy("chain").agg(F.count("*").alias("n")).collect()}
+    rng = np.random.default_rng(seed)
+    turns = spark.createDataFrame([(f"r{rep:04d}", int(c), int(rng.integers(1, max(2, n))), int(n)) for rep in range(reps) for c, n in sorted(lengths.items())], "metric string, chain long, turn long, n long")
+    place = F.row_number().over(Window.partitionBy("chain").orderBy("draw")) - 1
+    base = wide.withColumn("i", place)
+    turned = base.join(F.broadcast(turns), "chain").select("metric", "chain", F.pmod(F.col("i") + F.col("turn"), F.col("n")).alias("i"), "x")
+    middle = wide.agg(F.median("x").alias("_mid"))
+    rows = turned.join(base.select("chain", "i", "y"), ["chain", "i"]).crossJoin(F.broadcast(middle)).select("metric", (F.col("x") >= F.col("_mid")).alias("kept"), F.col("y").alias("value"))
+    return cliffs_delta(rows).agg(F.percentile("delta", F.lit(0.05)).alias("low"))

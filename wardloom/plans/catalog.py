@@ -16,7 +16,7 @@ from ..operators import experiments as exp
 from ..operators import geometry as geo
 from ..operators import graph as gr
 from ..operators import partisan as par
-from ..operators import nulls, sampler
+from ..operators import nulls, reports, sampler, spatial
 from ..operators import rules as ru
 from ..streaming import draws as draws_stream
 from .mapping import DRAWS, PRELUDE, State, r
@@ -710,3 +710,70 @@ def derived_seeds(s: State) -> DataFrame:
     """A seed for each nation's chain."""
     nations = s.spark.read.parquet(f"{s.dir}/nation.parquet")
     return nations.select("n_nationkey", seeds.seed_column(1, "chain", F.col("n_nationkey")).alias("seed"))
+
+
+# --- outlines, reports --------------------------------------------------------------------------------------------
+
+@query("SELECT u, v, shared_len FROM edges WHERE shared_len > 0")
+def rook_adjacency(s: State) -> DataFrame:
+    """Neighbours found from the units' outlines."""
+    return spatial.rook_edges(s.unit_geom())
+
+
+@query(", xy AS (SELECT unit, unit % 50 AS x, unit // 50 AS y FROM units) SELECT a.unit AS u, b.unit AS v FROM xy a JOIN xy b ON a.unit < b.unit AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
+def queen_adjacency(s: State) -> DataFrame:
+    return spatial.queen_edges(s.unit_geom())
+
+
+@query(", pts AS (SELECT s_suppkey AS point, (s_suppkey * 37 % 61) + 0.5 AS x, (s_suppkey * 17 % 40) + 0.25 AS y FROM supplier) SELECT point, CASE WHEN x < 50 AND floor(y) * 50 + floor(x) < (SELECT n FROM n) THEN (floor(y) * 50 + floor(x))::BIGINT END AS unit FROM pts")
+def point_in_unit(s: State) -> DataFrame:
+    """The unit that holds each supplier's point."""
+    k = F.col("s_suppkey")
+    points = s.spark.read.parquet(f"{s.dir}/supplier.parquet").select(k.alias("point"), (k * 37 % 61 + F.lit(0.5)).alias("x"), (k * 17 % 40 + F.lit(0.25)).alias("y"))
+    return spatial.locate_points(points, s.unit_geom())
+
+
+@query(f"SELECT plan, district, c AS units, pop, {r('pop - i')} AS deviation, {r('(pop - i) / i')} AS share FROM (SELECT plan, district, count(*) AS c, sum(pop)::BIGINT AS pop FROM assign JOIN units USING (unit) GROUP BY ALL), (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units)")
+def district_summary(s: State) -> DataFrame:
+    return spatial.district_summary(s.assignments(), s.units(), 8)
+
+
+@query("SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE spread <= t) AS n FROM spread, (VALUES (50), (100), (200), (400), (800), (100000)) v(t) GROUP BY t")
+def spread_thresholds(s: State) -> DataFrame:
+    return spatial.threshold_counts(gr.population_spread(s.assignments(), s.units()), "spread", [50, 100, 200, 400, 800, 100000])
+
+
+@query(_WIDE + " , e AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM draws GROUP BY metric) SELECT metric, (CASE WHEN hi > lo THEN least(9, floor((value - lo) / (hi - lo) * 10)) ELSE 0 END)::INTEGER AS bin, count(*) AS n FROM draws JOIN e USING (metric) WHERE value IS NOT NULL GROUP BY ALL")
+def metric_histograms(s: State) -> DataFrame:
+    return reports.histogram(_draws(s))
+
+
+@query(_ARMS + ", x AS (SELECT *, arm_margin OR arm_sweep OR arm_median AS pre FROM arms), d AS (SELECT plan, 'partisan_metrics_disagree_in_sign' AS kind, concat_ws(',', CASE WHEN efficiency_gap <> 0 THEN 'efficiency_gap' END, CASE WHEN mean_median <> 0 THEN 'mean_median' END, CASE WHEN declination <> 0 THEN 'declination' END) AS metrics FROM x WHERE greatest(efficiency_gap, mean_median, declination) > 0 AND least(efficiency_gap, mean_median, declination) < 0 UNION ALL SELECT plan, 'partisan_metrics_not_trustworthy_here', concat_ws(',', CASE WHEN pre THEN 'mean_median' END, CASE WHEN declination IS NULL OR n_districts < 8 THEN 'declination' END, CASE WHEN pre THEN 'partisan_bias' END) FROM x WHERE pre OR declination IS NULL OR n_districts < 8) SELECT plan, kind, 0.0::DOUBLE AS magnitude, metrics FROM d")
+def plan_disagreements(s: State) -> DataFrame:
+    m = par.all_metrics(_dist(s))
+    return reports.disagreements(m, par.trusted_metrics(m)).withColumn("metrics", F.concat_ws(",", "metrics"))
+
+
+@query()
+def plan_reports(s: State) -> DataFrame:
+    """A JSON report for every tenth plan."""
+    m = tidy(par.all_metrics(_dist(s)).where("plan % 10 = 0"))
+    return reports.plan_report(m, par.caveats(m), ens.locate(_cases(s), _draws(s)))
+
+
+@query("SELECT party, magnitude, count(*) AS attempted, count(*) FILTER (WHERE reached) AS reached, GROUPING(party, magnitude)::BIGINT AS level FROM (SELECT CASE WHEN plan % 2 = 0 THEN 'D' ELSE 'R' END AS party, plan % 3 AS magnitude, CASE WHEN plan % 2 = 0 THEN dem_seats ELSE rep_seats END >= 4 AS reached FROM metrics) GROUP BY ROLLUP (party, magnitude)")
+def attempt_tally(s: State) -> DataFrame:
+    """Plans by party and magnitude, with subtotals."""
+    seats = par.seat_counts(_dist(s))
+    even = F.col("plan") % 2 == 0
+    return reports.attempts(seats.select(F.when(even, "D").otherwise("R").alias("party"), (F.col("plan") % 3).alias("magnitude"), (F.when(even, F.col("dem_seats")).otherwise(F.col("rep_seats")) >= 4).alias("reached")))
+
+
+@query()
+def detection_floor(s: State) -> DataFrame:
+    return exp.detection_floor(_xy(s))
+
+
+@query()
+def null_delta(s: State) -> DataFrame:
+    return exp.null_delta(_xy(s))
