@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,7 +18,7 @@ SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
 #: Words whose hashes one Python worker remembers before it starts afresh.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 150_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,10 +32,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return told or sc.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs a read."""
+def settle(df: DataFrame, sweep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs a read.
+
+    ``sweep`` lets Spark drop the shuffle files that led to ``df`` at once: its cleaner removes them when the driver
+    collects garbage, which might else be long after.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if sweep:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def crc_mod(col: str, mod: int) -> Column:
@@ -104,9 +116,26 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return got[np.append(True, got[1:] != got[:-1])] if len(got) else got
 
 
-def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    """A string column as UTF-8 bytes, without decoding."""
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def binary_column(batch: pa.RecordBatch, name: str, step: int = 256) -> Iterator[bytes | None]:
+    """A string column as UTF-8 bytes, without decoding, some rows at a time."""
+    column = batch.column(name).cast(pa.binary())
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition's batches; afterwards the worker, which goes on to other tasks, returns free memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, binary_column, hash_words, mix, windows
+from .common import MIX, binary_column, hash_words, mix, trimmed, windows
 from .ngram_join import without_ids
 
 #: Chance that an item at the threshold, in one run of words, has no MinHash value in common with its window.
@@ -156,7 +156,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = ItemIndex([(r["item_id"], r["text"].encode() if r["text"] is not None else None) for r in mine.collect()], k, share)
-        found.append(docs.mapInArrow(_matches(spark.sparkContext.broadcast(index)), "doc_id long, item_id long, n_item_shingles long, n_shared long"))
+        found.append(docs.mapInArrow(trimmed(_matches(spark.sparkContext.broadcast(index))), "doc_id long, item_id long, n_item_shingles long, n_shared long"))
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 

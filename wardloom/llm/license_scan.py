@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, hash_words, windows
+from .common import binary_column, hash_words, trimmed, windows
 from .decontaminate import plain_words
 
 # Notices of common licences, as published.
@@ -129,4 +129,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     An empty table gives no rows.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, least))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(scanner), ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_scan(scanner)), ROWS)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ensure_checkpoint_dir, hash_words, mix, words_of
+from .common import crc_mod, ensure_checkpoint_dir, hash_words, mix, trimmed, words_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6_000_000
@@ -257,10 +257,10 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
         df.write.bucketBy(parts, "block").option("path", f"{home}/{what}").option("compression", "zstd").saveAsTable(f"{name}_{what}")
         return spark.table(f"{name}_{what}")
 
-    blocks = kept(rows.mapInArrow(_gather, "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts")
+    blocks = kept(rows.mapInArrow(trimmed(_gather), "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts")
     size = blocks.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(1, round(size / 5 / RANGE_ENTRIES))  # about five bytes of text for each entry
-    counts = blocks.mapInArrow(_count_rows(ranges), "kind int, range long, block long, keys binary, counts binary")
+    counts = blocks.mapInArrow(trimmed(_count_rows(ranges)), "kind int, range long, block long, keys binary, counts binary")
     answers = counts.groupBy("kind", "range").applyInArrow(_sum_range, "kind int, range long, block long, totals binary, range_sum long, range_distinct long")
     answers = kept(answers, "answers")
     whole = answers.where(F.col("kind") == UNIGRAM).groupBy("range").agg(F.max("range_sum").alias("s"), F.max("range_distinct").alias("d")).agg(F.sum("s"), F.sum("d")).first()

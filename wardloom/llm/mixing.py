@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, positions, settle
+from .common import WORD, mix, positions, settle, trimmed
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Sources whose names and sums the driver holds at once.
@@ -176,5 +176,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         keyed = keyed.dropDuplicates(["doc_id", "_key"])
     met = keyed.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
     spread = met.select(*docs.columns, F.explode("uses").alias("spans"))
-    cut = spread.mapInArrow(_cut_texts(), spread.schema).drop("spans")
+    cut = spread.mapInArrow(trimmed(_cut_texts()), spread.schema).drop("spans")
     return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else cut

@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import binary_column, settle, shingle_set, signed
+from .common import binary_column, settle, shingle_set, signed, trimmed
 
 #: Chunk of shingles in which repeated ones are counted, and the repeats that make one worth reporting.
-COUNT_CHUNK, COUNT_LEAST = 4_000_000, 3
+COUNT_CHUNK, COUNT_LEAST = 2_000_000, 3
 #: Ids up to this number are broadcast to find the candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles (8 bytes each) and members of one block of a cell.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 4_000_000, 256
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 256
 SALTS = 64
+#: Postings that go out in one batch.
+POSTINGS = 200_000
 
 
 def _needed(n: np.ndarray | int, pct: int):
@@ -102,11 +104,16 @@ def rare_first(got: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tup
 def _posting_rows(k: int, pct: int, frequent):
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64()), ("n", pa.int64())])
 
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        t, s, k1s, ns = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.record_batch([pa.array(signed(t)), pa.array(s, pa.int32()), pa.array(k1s), pa.array(ns)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = frequent.value
         seen: set[int] = set()
         for b in batches:
             out: list[tuple] = []
+            held = 0
             for text in binary_column(b, "text"):
                 got = shingle_set(text, k)
                 n = len(got)
@@ -120,9 +127,12 @@ def _posting_rows(k: int, pct: int, frequent):
                 tokens, known = rare_first(got, often, counts)
                 p = min(n, n - _needed(n, pct) + _least(n))
                 out.append((tokens[:p], np.where(known[:p], 1 + (k1 % SALTS), 0), np.full(p, k1, np.int64), np.full(p, n, np.int64)))
+                held += p
+                if held >= POSTINGS:
+                    yield rows_of(out)
+                    out, held = [], 0
             if out:
-                t, s, k1s, ns = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch([pa.array(signed(t)), pa.array(s, pa.int32()), pa.array(k1s), pa.array(ns)], schema=schema)
+                yield rows_of(out)
 
     return run
 
@@ -132,12 +142,15 @@ def _array_rows(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, rep, k1, k2 in zip(binary_column(b, "text"), b.column("rep").to_pylist(), b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True):
-                got = shingle_set(text, k)
-                if _keys(got) == (k1, k2):
-                    rows.append((k1, rep, got.tobytes()))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((), (), ()), schema, strict=True)], schema=schema)
+            for at in range(0, b.num_rows, 256):  # long sets: few rows in a batch
+                part = b.slice(at, 256)
+                rows = []
+                for text, rep, k1, k2 in zip(binary_column(part, "text"), part.column("rep").to_pylist(), part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True):
+                    got = shingle_set(text, k)
+                    if _keys(got) == (k1, k2):
+                        rows.append((k1, rep, got.tobytes()))
+                if rows:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -224,28 +237,28 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = settle(docs.mapInArrow(_class_rows(k, "id"), "kind byte, id long, n long, k1 long, k2 long"))
+    seen = settle(docs.mapInArrow(trimmed(_class_rows(k, "id")), "kind byte, id long, n long, k1 long, k2 long"))
     rows = seen.where("kind = 0")
     classes = settle(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     often = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(max_frequent).toPandas()
     often = often.sort_values("id", key=lambda s: s.astype("int64").to_numpy().view(np.uint64))
     frequent = spark.sparkContext.broadcast((often["id"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)))
 
-    postings = docs.mapInArrow(_posting_rows(k, pct, frequent), "token long, salt int, k1 long, n long")
+    postings = docs.mapInArrow(trimmed(_posting_rows(k, pct, frequent)), "token long, salt int, k1 long, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one exchange serves the count and the filter; the null tests are those that the join would add to one side only
     postings = postings.where("token is not null and salt is not null").repartition(parts, "token", "salt")
     shared = postings.groupBy("token", "salt").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("n").alias("_n")).where("a <> b or salt > 0").where("_n > 0").select("token", "salt")
     # an inner join on distinct keys: a semi-join would be moved below the exchange, which would then run twice
-    shared = settle(postings.join(shared.hint("merge"), ["token", "salt"]).select("token", "k1", "n"))
+    shared = settle(postings.join(shared.hint("merge"), ["token", "salt"]).select("token", "k1", "n"), sweep=True)
     enough = shared.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(F.col("c") >= _least_col("m")).select("k1")
     # sets of linkable size fall in the same band or in two next to each other
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / pct)) + 1e-9)
-    shared = settle(shared.join(enough, "k1", "left_semi").select("token", "k1", "n", F.explode(F.array(band, band + 1)).alias("band")))
+    shared = settle(shared.join(enough, "k1", "left_semi").select("token", "k1", "n", F.explode(F.array(band, band + 1)).alias("band")), sweep=True)
     hubs = shared.groupBy("token", "band").agg(F.min("k1").alias("hub"), F.max("k1").alias("top")).where("hub <> top").select(F.col("token").alias("t"), (-F.col("band")).alias("b"), "hub")
     met = shared.join(hubs, (F.col("token") == F.col("t")) & (-F.col("band") == F.col("b")))
     met = met.groupBy("k1", "band").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.collect_set("hub").alias("hubs")).where(F.col("c") >= _least_col("m"))
-    cells = settle(met.select(F.explode("hubs").alias("hub"), "band", "k1"))
+    cells = settle(met.select(F.explode("hubs").alias("hub"), "band", "k1"), sweep=True)
 
     sizes = settle(cells.groupBy("hub", "band").agg(F.count("*").alias("members")).where("members > 1"))
     cells = settle(cells.join(sizes.select((-F.col("hub")).alias("h"), F.col("band").alias("b"), "members"), (-F.col("hub") == F.col("h")) & (F.col("band") == F.col("b"))).drop("h", "b"))
@@ -253,7 +266,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     near = wanted.withColumnRenamed("rep", "id")
     near = F.broadcast(near) if wanted.count() <= BROADCAST_IDS else near
     texts = docs.join(near, "id").select(F.col("id").alias("rep"), "k1", "k2", "text")
-    arrays = texts.mapInArrow(_array_rows(k), "k1 long, rep long, shingles binary")
+    arrays = texts.mapInArrow(trimmed(_array_rows(k)), "k1 long, rep long, shingles binary")
 
     width = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK_MEMBERS)), BLOCK_SHINGLES / F.pow(F.lit(100.0 / pct), F.col("band") + 1)))
     placed = cells.withColumn("blocks", F.ceil(F.col("members") / width).cast("int"))
@@ -261,7 +274,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     placed = placed.select("hub", "band", "block", "k1", F.explode(pairs).alias("p")).select("hub", "band", "block", "k1", "p.i", "p.j")
     found = placed.join(arrays, "k1").groupBy("hub", "band", "i", "j").applyInArrow(_search(pct), "u long, v long")
-    labels = connected_components(found)
+    labels = connected_components(settle(found, sweep=True))
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     named = settle(named)

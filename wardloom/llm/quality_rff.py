@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binary_column, settle
+from .common import binary_column, settle, trimmed
 from .textstats import N_QUALITY, quality_features
 from .training import MAX_LABELLED, finish, isotonic, labelled_sample
 
@@ -102,4 +102,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, mod, held, **options))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return finish(texts.mapInArrow(_score_rows(model), "doc_id long, score double"), mod, held, threshold)
+    return finish(texts.mapInArrow(trimmed(_score_rows(model)), "doc_id long, score double"), mod, held, threshold)

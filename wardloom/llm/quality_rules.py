@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, binary_column, hash_words, settle, windows
+from .common import MIX, binary_column, hash_words, settle, trimmed, windows
 from .textstats import base_counts
 from .training import MAX_LABELLED, labelled_sample
 
@@ -119,9 +119,9 @@ def _apply(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, slope, intercept = model.value
         for b in batches:
-            texts = binary_column(b, "text")
-            counts = list(zip(*map(base_counts, texts), strict=True)) or [()] * len(COUNTS)
-            raw = np.array([logit(features(t), w) for t in texts], float)
+            rows = [(*base_counts(t), logit(features(t), w)) for t in binary_column(b, "text")]
+            *counts, raw = list(zip(*rows, strict=True)) or [()] * (len(COUNTS) + 1)
+            raw = np.array(raw, float)
             score = 1 / (1 + np.exp(-np.clip(slope * raw + intercept, -30, 30)))
             yield pa.record_batch([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(score)], names=names)
 
@@ -137,6 +137,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **op
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    rows = texts.mapInArrow(_apply(model), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
+    rows = texts.mapInArrow(trimmed(_apply(model)), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")

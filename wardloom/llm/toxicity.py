@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_CACHED_WORDS, binary_column, settle
+from .common import MAX_CACHED_WORDS, binary_column, settle, trimmed
 from .textstats import byte_counts
 from .training import MAX_LABELLED, finish, labelled_sample
 
@@ -139,7 +139,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return frozenset(INSULTS)
-    counts = sample.select("y", "text").mapInArrow(_term_rows, "term string, y int").groupBy("term").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
+    counts = sample.select("y", "text").mapInArrow(trimmed(_term_rows), "term string, y int").groupBy("term").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
     ratio = ((F.col("c1") + 0.5) / (n1 + 1)) / ((F.col("c0") + 0.5) / (n0 + 1))
     found = counts.where((F.col("c1") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "term").limit(MAX_TERMS).select("term").collect()
     return frozenset(INSULTS) | {r["term"] for r in found}
@@ -178,7 +178,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     model = gbt.fit(table.where("part < 8"))
     raw = vector_to_array(F.col("rawPrediction"))[1]
     cal = settle(model.transform(table.where("part >= 8")).select(raw.alias("raw"), F.col("y").cast("double").alias("y")))
-    rows = docs.mapInArrow(_feature_rows(lexicon, ["doc_id"]), "doc_id long, x array<double>").withColumn("features", array_to_vector("x"))
+    rows = docs.mapInArrow(trimmed(_feature_rows(lexicon, ["doc_id"])), "doc_id long, x array<double>").withColumn("features", array_to_vector("x"))
     scored = model.transform(rows).select("doc_id", raw.alias("raw"))
     if cal.limit(1).count():
         rise = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score").fit(cal)
