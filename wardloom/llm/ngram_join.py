@@ -252,10 +252,11 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     # an inner join on distinct keys: a semi-join would be moved below the exchange, which would then run twice
     shared = settle(postings.join(shared.hint("merge"), ["token", "salt"]).select("token", "k1", "n"), sweep=True)
     enough = shared.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(F.col("c") >= _least_col("m")).select("k1")
-    # sets of linkable size fall in the same band or in two next to each other
+    # sets of linkable size fall in the same band or in two next to each other: each goes to its own band and the next one,
+    # and a list without sets of its own band has nothing that the band below doesn't have
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / pct)) + 1e-9)
-    shared = settle(shared.join(enough, "k1", "left_semi").select("token", "k1", "n", F.explode(F.array(band, band + 1)).alias("band")), sweep=True)
-    hubs = shared.groupBy("token", "band").agg(F.min("k1").alias("hub"), F.max("k1").alias("top")).where("hub <> top").select(F.col("token").alias("t"), (-F.col("band")).alias("b"), "hub")
+    shared = settle(shared.join(enough, "k1", "left_semi").select("token", "k1", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own")))).alias("at")).select("token", "k1", "n", "at.band", "at.own"), sweep=True)
+    hubs = shared.groupBy("token", "band").agg(F.min("k1").alias("hub"), F.max("k1").alias("top"), F.max("own").alias("own")).where("hub <> top and own = 1").select(F.col("token").alias("t"), (-F.col("band")).alias("b"), "hub")
     met = shared.join(hubs, (F.col("token") == F.col("t")) & (-F.col("band") == F.col("b")))
     met = met.groupBy("k1", "band").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.collect_set("hub").alias("hubs")).where(F.col("c") >= _least_col("m"))
     cells = settle(met.select(F.explode("hubs").alias("hub"), "band", "k1"), sweep=True)
