@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_CACHED_WORDS, binary_column, settle, trimmed
+from .common import binary_column, settle, trimmed
 from .textstats import byte_counts
 from .training import MAX_LABELLED, finish, labelled_sample
 
@@ -38,6 +38,9 @@ PARTITIONS = 8
 WORD_HIT, BEGIN_HIT, DISGUISED_HIT, YOU, CAPITALS, OBFUSCATED, STRESSED = 1, 2, 4, 8, 16, 32, 64
 N_FEATURES = 14
 _EDGE = re.compile(r"^\W+|\W+$")
+_TWICE = re.compile(r"(.)\1")
+#: Words whose marks one task remembers before it starts afresh.
+MAX_MARKED_WORDS = 500_000
 
 
 def bare(word: str) -> str:
@@ -58,19 +61,20 @@ class Marks(dict):
         self.lexicon, self.you = lexicon, frozenset(SECOND_PERSON)
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= MAX_CACHED_WORDS:
+        if len(self) >= MAX_MARKED_WORDS:
             self.clear()
         written = raw.decode("utf-8", "replace")
-        word = bare(written)
+        inner = _EDGE.sub("", written)
+        word = inner.lower()
         mark = 0
         if word in self.lexicon:
             mark |= WORD_HIT
         if any(word[:k] + "*" in self.lexicon for k in BEGINNINGS if len(word) > k):
             mark |= BEGIN_HIT
-        inner = _EDGE.sub("", written)
-        if len(inner) > 2 and any(c.isalpha() for c in inner) and not inner.replace("-", "").replace("'", "").isalpha():
+        plain_letters = inner.isalpha()
+        if len(inner) > 2 and not plain_letters and any(c.isalpha() for c in inner) and not inner.replace("-", "").replace("'", "").isalpha():
             mark |= OBFUSCATED
-        if len(written) > 2 and not mark & WORD_HIT:
+        if len(written) > 2 and not mark & WORD_HIT and (not plain_letters or written[0] != inner[0] or _TWICE.search(word)):
             for form in (written, inner):
                 plain = "".join(c for c in form.lower().translate(DISGUISES) if c.isalpha())
                 squeezed = re.sub(r"(.)\1+", r"\1", plain)
