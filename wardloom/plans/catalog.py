@@ -253,18 +253,38 @@ ideal AS (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units)
 """
 
 
-@query(_MOVES + f"SELECT m.plan, m.unit, m.source, m.target, {r('pow(a.pop - x.pop - i, 2) + pow(b.pop + x.pop - i, 2) - pow(a.pop - i, 2) - pow(b.pop - i, 2)')} AS delta FROM moves m JOIN units x USING (unit) JOIN dist a ON a.plan = m.plan AND a.district = source JOIN dist b ON b.plan = m.plan AND b.district = target, ideal")
+_ALL_MOVES = _MOVES.replace(" AND plan < 20", "")
+_DELTA = f"SELECT m.plan, m.unit, m.source, m.target, {r('pow(a.pop - x.pop - i, 2) + pow(b.pop + x.pop - i, 2) - pow(a.pop - i, 2) - pow(b.pop - i, 2)')} AS delta FROM moves m JOIN units x USING (unit) JOIN dist a ON a.plan = m.plan AND a.district = source JOIN dist b ON b.plan = m.plan AND b.district = target, ideal"
+
+
+def _moves(s: State, *plans: int) -> DataFrame:
+    return gr.move_candidates(s.assignments(*plans), s.edges(), s.units(), s.orders.count() / 8.0)
+
+
+@query(_MOVES + _DELTA)
 def move_candidates(s: State) -> DataFrame:
-    """Single-unit moves of the first 20 plans and what they do to the population balance."""
-    total = s.orders.count()
-    return gr.move_candidates(s.assignments(20), s.edges(), s.units(), total / 8.0)
+    """Single-unit moves of the first 20 plans, as in the SQL, and what they do to the population balance."""
+    return _moves(s, 20)
 
 
 @query(_MOVES + "SELECT DISTINCT a.plan, a.unit AS unit_a, b.unit AS unit_b FROM moves a JOIN moves b ON a.plan = b.plan AND a.source = b.target AND a.target = b.source AND a.unit < b.unit")
 def swap_candidates(s: State) -> DataFrame:
+    """Swaps of the first 20 plans, as in the SQL."""
     return gr.swap_candidates(gr.move_candidates(s.assignments(20), s.edges(), s.units(), 0.0))
 
 
+@query(_ALL_MOVES + _DELTA)
+def move_candidates_all(s: State) -> DataFrame:
+    """Single-unit moves of all plans and what they do to the population balance."""
+    return _moves(s)
+
+
+@query()
+def swap_candidates_all(s: State) -> DataFrame:
+    """Swaps of all plans; no SQL, as the pairs of a small table are already millions of rows."""
+    return gr.swap_candidates(gr.move_candidates(s.assignments(), s.edges(), s.units(), 0.0))
+
+
 @query("SELECT u, v, 'one-sided' AS problem FROM (SELECT u, v FROM edges WHERE u % 7 <> 0 UNION ALL SELECT v, u FROM edges) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT u, v FROM edges WHERE u % 7 <> 0 UNION ALL SELECT v, u FROM edges) b WHERE b.u = a.v AND b.v = a.u)")
 def adjacency_symmetry(s: State) -> DataFrame:
     """Problems of an adjacency from which every seventh unit's own arcs were taken."""
@@ -305,9 +325,16 @@ def plan_id_validation(s: State) -> DataFrame:
 reach(plan, unit, label) AS (SELECT plan, unit, unit FROM assign WHERE plan < 4 UNION SELECT r.plan, arcs.b, r.label FROM reach r JOIN arcs ON arcs.plan = r.plan AND arcs.a = r.unit WHERE r.label < arcs.b)
 SELECT a.plan, a.district, a.unit, min(label) AS component FROM assign a JOIN reach USING (plan, unit) GROUP BY ALL""")
 def connected_components(s: State) -> DataFrame:
+    """Connected parts of the first 4 plans, as in the SQL."""
     return gr.components(s.assignments(4), s.edges())
 
 
+@query()
+def connected_components_all(s: State) -> DataFrame:
+    """Connected parts of all plans; the recursive SQL is too slow for them."""
+    return gr.components(s.assignments(), s.edges())
+
+
 @query("SELECT plan, left(sha256(string_agg(unit::VARCHAR || ':' || district::VARCHAR, ';' ORDER BY unit)), 16) AS digest FROM assign GROUP BY plan")
 def plan_digest(s: State) -> DataFrame:
     return gr.plan_digest(s.assignments())
@@ -350,7 +377,7 @@ def compactness_summary(s: State) -> DataFrame:
 @query()
 def reock_and_hull(s: State) -> DataFrame:
     """Reock and convex-hull ratios of the districts of all plans."""
-    return geo.outline_measures(s.assignments(20), s.unit_geom(), s.edges())
+    return geo.outline_measures(s.assignments(), s.unit_geom(), s.edges())
 
 
 # --- ensembles ----------------------------------------------------------------------------------------------------
@@ -397,18 +424,42 @@ def kish_ess(s: State) -> DataFrame:
 _LOCATED = _SUMMARY + ", cases AS (SELECT plan AS case_id, metric, value FROM draws WHERE plan % 10 = 0), located AS (SELECT c.*, s.n, s.distinct_values, s.ess, s.mean, s.sd, s.least, s.most, s.mult_least, s.mult_most, CASE WHEN c.value IS NULL THEN 'value_undefined' WHEN coalesce(s.n, 0) = 0 THEN 'missing_from_ensemble' WHEN s.least = s.most THEN 'degenerate' WHEN s.n < 20 THEN 'insufficient_ensemble' ELSE 'located' END AS status, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value < c.value) AS below, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value = c.value) AS ties FROM cases c LEFT JOIN summary s USING (metric))"
 
 
-def _cases(s: State) -> DataFrame:
-    return _draws(s).where("plan % 10 = 0").select(F.col("plan").alias("case_id"), "metric", "value")
+_ALL_LOCATED = _LOCATED.replace(" WHERE plan % 10 = 0", "")
+
+
+def _cases(s: State, plans: str = "true") -> DataFrame:
+    return _draws(s).where(plans).select(F.col("plan").alias("case_id"), "metric", "value")
+
+
+_PLACES = f" SELECT case_id, metric, {r('value')} AS value, status, n, " + ", ".join(f"CASE WHEN status = 'located' THEN {r(x)} END AS {c}" for c, x in (("percentile", "(below + 0.5 * ties) / n::DOUBLE"), ("p_below", "below / n::DOUBLE"), ("p_at_or_below", "(below + ties) / n::DOUBLE"), ("two_sided", "least(1.0, 2.0 * least((below + ties) / n::DOUBLE, (n - below) / n::DOUBLE))"), ("z", "(value - mean) / sd"))) + " FROM located"
+_STATUS = " SELECT t.status, count(l.case_id) AS cases FROM (VALUES ('located'), ('value_undefined'), ('degenerate'), ('missing_from_ensemble'), ('insufficient_ensemble')) t(status) LEFT JOIN located l ON l.status = t.status GROUP BY t.status"
+
 
+def _places(s: State, plans: str = "true") -> DataFrame:
+    return ens.locate(_cases(s, plans), _draws(s)).select("case_id", "metric", "value", "status", "n", "percentile", "p_below", "p_at_or_below", "two_sided", "z")
 
-@query(_WIDE + _LOCATED + f" SELECT case_id, metric, {r('value')} AS value, status, n, " + ", ".join(f"CASE WHEN status = 'located' THEN {r(x)} END AS {c}" for c, x in (("percentile", "(below + 0.5 * ties) / n::DOUBLE"), ("p_below", "below / n::DOUBLE"), ("p_at_or_below", "(below + ties) / n::DOUBLE"), ("two_sided", "least(1.0, 2.0 * least((below + ties) / n::DOUBLE, (n - below) / n::DOUBLE))"), ("z", "(value - mean) / sd"))) + " FROM located")
+
+@query(_WIDE + _LOCATED + _PLACES)
 def locate_all(s: State) -> DataFrame:
-    """Where every tenth plan stands in the ensemble, for each metric."""
-    return ens.locate(_cases(s), _draws(s)).select("case_id", "metric", "value", "status", "n", "percentile", "p_below", "p_at_or_below", "two_sided", "z")
+    """Where every tenth plan, as in the SQL, stands in the ensemble, for each metric."""
+    return _places(s, "plan % 10 = 0")
+
+
+@query(_WIDE + _ALL_LOCATED + _PLACES)
+def locate_all_plans(s: State) -> DataFrame:
+    """Where each plan stands in the ensemble, for each metric."""
+    return _places(s)
 
 
-@query(_WIDE + _LOCATED + " SELECT t.status, count(l.case_id) AS cases FROM (VALUES ('located'), ('value_undefined'), ('degenerate'), ('missing_from_ensemble'), ('insufficient_ensemble')) t(status) LEFT JOIN located l ON l.status = t.status GROUP BY t.status")
+@query(_WIDE + _LOCATED + _STATUS)
 def locate_status(s: State) -> DataFrame:
+    """Statuses of every tenth plan's places, as in the SQL."""
+    return ens.by_status(ens.locate(_cases(s, "plan % 10 = 0"), _draws(s)))
+
+
+@query(_WIDE + _ALL_LOCATED + _STATUS)
+def locate_status_all(s: State) -> DataFrame:
+    """Statuses of all plans' places."""
     return ens.by_status(ens.locate(_cases(s), _draws(s)))
 
 
@@ -756,8 +807,8 @@ def plan_disagreements(s: State) -> DataFrame:
 
 @query()
 def plan_reports(s: State) -> DataFrame:
-    """A JSON report for every tenth plan."""
-    m = tidy(par.all_metrics(_dist(s)).where("plan % 10 = 0"))
+    """A JSON report for each plan."""
+    m = tidy(par.all_metrics(_dist(s)))
     return reports.plan_report(m, par.caveats(m), ens.locate(_cases(s), _draws(s)))
 
 
