@@ -80,3 +80,44 @@ def test_near_duplicates_of_repeated_ids(odd):
     rows = nj.near_duplicate_keep(odd).collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 3]
     assert sum(r["doc_id"] is None for r in rows) == 2
+
+
+def sets_of(rows, k):
+    out = {}
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        out[r[0]] = frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+    return out
+
+
+def linked(a, b, pct):
+    return bool(a and b) and 100 * len(a & b) >= pct * len(a | b)
+
+
+@pytest.mark.parametrize("members", [256, 3])
+def test_every_link_is_found(docs, corpus, spark, monkeypatch, members):
+    monkeypatch.setattr(nj, "BLOCK_MEMBERS", members)
+    words = [f"c{i}" for i in range(100)]  # a clique of eight near copies and a chain, whose components look the same
+    clique = [(5000 + i, " ".join(words[:90] + [f"x{i}"]), "en", "s", 0) for i in range(8)]
+    chain = [(6000 + i, " ".join(f"h{j}" for j in range(8 * i, 8 * i + 130)), "en", "s", 0) for i in range(6)]
+    copies = [(7000 + i, clique[0][1], "en", "s", 0) for i in range(3)]
+    every = corpus + clique + chain + copies
+    sets = sets_of(every, 4)
+    want = {d: sum(linked(a, b, 85) for e, b in sets.items() if e != d) for d, a in sets.items()}
+    frame = spark.createDataFrame(every, docs.schema)
+    got = nj.document_links(frame).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and len(got) == len(every)
+    assert want[5000] == 10 and want[6000] == 1 and want[6001] == 2
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(every, 4, 85)
+    pairs, held = nj.linked_classes(frame)
+    by = {r["k1"]: sets[r["doc_id"]] for r in held.collect() if r["n_shingles"]}
+    found = [tuple(r) for r in pairs.collect()]
+    names = sorted(by)
+    assert sorted(found) == [(a, b, len(by[a] & by[b])) for i, a in enumerate(names) for b in names[i + 1 :] if linked(by[a], by[b], 85)]
+
+
+def test_links_of_odd_rows(odd, nothing):
+    got = sorted((tuple(r) for r in nj.document_links(odd).collect()), key=str)
+    assert len(got) == 7 and sum(r == (1, 9, 1, 0) for r in got) == 2
+    assert (None, 9, None, None) in got and (3, 0, 3, 0) in got and (2, 4, 2, 0) in got
+    assert nj.document_links(nothing).count() == 0

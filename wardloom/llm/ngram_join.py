@@ -10,7 +10,7 @@ Method (T-occurrence search with DivideSkip):
    one task is cut into blocks, and each pair of blocks is searched, so nothing is dropped.
 3. In a cell, every class queries an inverted index of the members: the short lists are merged with a count, members
    that can still reach the overlap are probed by binary search in the long lists, and those that reach it are linked.
-   Members that are already connected need no second proof.
+   For components alone, members that are already connected need no second proof; for links, every pair is proved.
 4. Links are joined into components.
 
 The frequency order only decides speed: the most repeated shingles are counted in each chunk of the input and summed;
@@ -160,6 +160,15 @@ def divide_skip(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None
 
     With ``side`` (0 or 1 a set) only sets of different sides need linking. Pairs already connected are skipped.
     """
+    a, b, _, _ = proved_pairs(sets, pct, side, every=False)
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def proved_pairs(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None, every: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, |a ∩ b|, tree) among sorted ``sets`` as above, each pair once: all, or without ``every`` a forest of them.
+
+    ``tree`` marks links that connect what those before them left apart.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(m), size)
@@ -170,8 +179,11 @@ def divide_skip(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None
     ends = np.append(starts[1:], len(tokens))
     heads = tokens[starts]
     root = np.arange(m)
-    links: list[tuple[int, int]] = []
-    for q in np.argsort(size, kind="stable"):
+    rank = np.empty(m, np.int64)
+    turns = np.argsort(size, kind="stable")
+    rank[turns] = np.arange(m)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for q in turns:
         lists = np.searchsorted(heads, sets[q])
         length = ends[lists] - starts[lists]
         need = int(_needed(size[q], pct))
@@ -181,7 +193,7 @@ def divide_skip(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None
         short, rest = lists[by[: len(by) - long]], lists[by[len(by) - long :]]
         merged = np.concatenate([owner[starts[i] : ends[i]] for i in short]) if len(short) else np.empty(0, np.int64)
         seen = np.bincount(merged, minlength=m)
-        can = (seen >= max(1, need - long)) & (root != root[q]) & (100 * size >= pct * size[q]) & (100 * size[q] >= pct * size)
+        can = (seen >= max(1, need - long)) & ((rank > rank[q]) if every else (root != root[q])) & (100 * size >= pct * size[q]) & (100 * size[q] >= pct * size)
         if side is not None:
             can &= side != side[q]
         found = np.flatnonzero(can)
@@ -201,11 +213,19 @@ def divide_skip(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None
                     found, have, least = found[stay], have[stay], least[stay]
                 if not len(found):
                     break
-        for r in found[100 * have >= pct * (size[found] + size[q] - have)]:
+        linked = 100 * have >= pct * (size[found] + size[q] - have)
+        found, have = found[linked], have[linked]
+        tree = np.zeros(len(found), bool)
+        for i, r in enumerate(found):
             if root[r] != root[q]:
-                links.append((int(q), int(r)))
+                tree[i] = True
                 root[root == root[r]] = root[q]
-    return links
+        keep = tree | every
+        out.append((np.full(int(keep.sum()), q, np.int64), found[keep], have[keep], tree[keep]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    a, b, have, tree = (np.concatenate(x) for x in zip(*out, strict=True))
+    return a, b, have, tree
 
 
 def _search(pct: int):
@@ -222,6 +242,23 @@ def _search(pct: int):
     return run
 
 
+def _search_all(pct: int):
+    """Every proved pair of classes in a cell, by their names, and the least doc_ids of those pairs that connect."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        k1, first = np.unique(table.column("k1").to_numpy(), return_index=True)
+        rep, block = table.column("rep").to_numpy()[first], table.column("block").to_numpy()[first]
+        sets = [np.frombuffer(table.column("shingles")[int(i)].as_py(), np.uint64) for i in first]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b, overlap, tree = proved_pairs(sets, pct, (block == j).astype(np.int8) if i != j else None)
+        low, high = np.minimum(a, b), np.maximum(a, b)  # k1 is sorted
+        none = ~tree
+        return pa.table([pa.array(k1[low]), pa.array(k1[high]), pa.array(overlap, pa.int64()), pa.array(rep[low], mask=none), pa.array(rep[high], mask=none)], schema=schema)
+
+    return run
+
+
 def _least_col(size: str):
     return F.lit(1) + F.floor(F.col(size) / 40)
 
@@ -235,6 +272,39 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     own doc_id). Repeated rows come back as often as they came. A null doc_id takes no part in links and gets a null
     component_id. Columns other than the two named are not read, so clashing names do no harm; an empty table gives no rows.
     """
+    rows, classes, found = _found(docs, k, pct, id_col, text_col, max_frequent, _search, "u long, v long")
+    return _labelled(rows, classes, found).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_classes(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """All links: ``pairs(a, b, overlap)`` of classes of equal sets, each once with a < b, and ``members``.
+
+    ``members`` has a row for each row of ``docs``: doc_id, n_shingles, component_id and its class k1, k2; a and b are k1. Rows
+    of one class are linked with each other. Odd rows are as in ``link_documents``.
+    """
+    rows, classes, found = _found(docs, k, pct, id_col, text_col, max_frequent, _search_all, "a long, b long, overlap long, u long, v long")
+    found = settle(found, sweep=True)
+    return found.select("a", "b", "overlap").distinct(), _labelled(rows, classes, found.where("u is not null").select("u", "v"))
+
+
+def document_links(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = 200_000) -> DataFrame:
+    """The rows of ``link_documents`` with n_links: how many other documents each is linked with itself.
+
+    A document is a doc_id with its set of shingles, so repeated rows count once. Rows without shingles have no links;
+    n_links is null where doc_id is.
+    """
+    pairs, members = linked_classes(docs, k, pct, id_col, text_col, max_frequent)
+    size = members.where("n_shingles > 0 and doc_id is not null").groupBy("k1").agg(F.countDistinct("k2", "doc_id").alias("size"))
+    size = settle(size.where("size > 1").select(F.col("k1").alias("_class"), "size"))  # all others have one
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = ends.join(size, F.col("b") == F.col("_class"), "left").groupBy("a").agg(F.sum(F.coalesce("size", F.lit(1))).alias("beside")).withColumnRenamed("a", "_a")
+    out = members.join(size, F.col("k1") == F.col("_class"), "left").join(beside, F.col("k1") == F.col("_a"), "left")
+    links = F.when(F.col("n_shingles") > 0, F.coalesce("size", F.lit(1)) - 1 + F.coalesce("beside", F.lit(0))).otherwise(F.lit(0))
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), links).alias("n_links"))
+
+
+def _found(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, max_frequent: int, search, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, classes and what ``search`` finds in the cells."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = settle(docs.mapInArrow(trimmed(_class_rows(k, "id")), "kind byte, id long, n long, k1 long, k2 long"))
@@ -274,14 +344,18 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     placed = placed.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     placed = placed.select("hub", "band", "block", "k1", F.explode(pairs).alias("p")).select("hub", "band", "block", "k1", "p.i", "p.j")
-    found = placed.join(arrays, "k1").groupBy("hub", "band", "i", "j").applyInArrow(_search(pct), "u long, v long")
+    return rows, classes, placed.join(arrays, "k1").groupBy("hub", "band", "i", "j").applyInArrow(search(pct), schema)
+
+
+def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, k1, k2) of all rows, by the components of the links ``found(u, v)``."""
     labels = connected_components(settle(found, sweep=True))
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     named = settle(named)
     out = rows.join(named, ["k1", "k2"], "left")
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "k1", "k2")
 
 
 def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:

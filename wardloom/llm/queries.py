@@ -11,7 +11,7 @@ from .decontaminate import contained_items
 from .license_scan import scan_licenses
 from .lm_score import score_documents
 from .mixing import mix_report
-from .ngram_join import link_documents
+from .ngram_join import document_links
 from .quality_rff import score_quality
 from .quality_rules import apply_rules
 from .sharding import assign_shards
@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-copy groups by exact Jaccard of 4-word shingles, at 0.85 or more."""
-    return link_documents(table(spark, sf_dir, "documents"), k=4, pct=85)
+    """Near-copy groups and each document's number of links by exact Jaccard of 4-word shingles, at 0.85 or more."""
+    return document_links(table(spark, sf_dir, "documents"), k=4, pct=85)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
