@@ -7,7 +7,9 @@ import random
 
 import pytest
 
+from wardloom.operators import administrative as adm
 from wardloom.operators import geometry as geo
+from wardloom.operators import reports
 from wardloom.plans import catalog
 from wardloom.plans.mapping import PLANS, State
 
@@ -104,3 +106,25 @@ def test_places_and_reports_of_all_plans(spark, home):
     reports = {r["plan"]: json.loads(r["report"]) for r in catalog.QUERIES["plan_reports"](spark, home).collect()}
     assert set(reports) == set(range(PLANS))
     assert all(len(x["locations"]) == len(catalog.METRICS) for x in reports.values())
+
+
+def test_kinds_of_disagreement(spark):
+    m = spark.createDataFrame([(1, 0.1, 0.1, 0.1), (2, 0.1, -0.1, 0.0)], "plan long, efficiency_gap double, mean_median double, declination double")
+    trusted = spark.createDataFrame([(p, ["efficiency_gap", "mean_median", "declination", "partisan_bias"]) for p in (1, 2)], "plan long, trusted array<string>")
+    bare = spark.createDataFrame([(0, None), (1, None)], "unit long, parent long")
+    full = spark.createDataFrame([(0, 7), (1, 7)], "unit long, parent long")
+    shapes = spark.createDataFrame([(1, 0.3, 0.6, 0.5), (2, 0.3, 0.4, 0.4)], "plan long, polsby_popper double, reock double, convex_hull double")
+    got = {(r["plan"], r["kind"]): r["metrics"] for r in reports.disagreements(m, trusted, shapes, adm.degeneracy(full), {"city": bare, "county": full}).collect()}
+    assert got == {
+        (1, "compactness_measures_disagree"): ["polsby_popper", "reock", "convex_hull"],
+        (2, "partisan_metrics_disagree_in_sign"): ["efficiency_gap", "mean_median"],
+        **{(p, "metrics_constant_by_construction"): ["ballot_styles"] for p in (1, 2)},
+        **{(p, "subdivision_layer_is_empty_on_these_units"): ["city"] for p in (1, 2)},
+    }
+
+
+def test_disagreements_of_all_kinds(spark, home):
+    rows = catalog.QUERIES["plan_disagreements_all"](spark, home).collect()
+    shape = {r["plan"]: r["magnitude"] for r in rows if r["kind"] == "compactness_measures_disagree"}
+    assert shape and min(shape.values()) > reports.COMPACTNESS_SPREAD
+    assert {r["plan"] for r in rows if r["kind"] == "metrics_constant_by_construction"} == set(range(PLANS))

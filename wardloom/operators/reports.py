@@ -10,11 +10,12 @@ COMPARABLE = ("polsby_popper", "reock", "convex_hull")
 SIGNED = ("efficiency_gap", "mean_median", "declination")
 
 
-def disagreements(metrics: DataFrame, trusted: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+def disagreements(metrics: DataFrame, trusted: DataFrame, shapes: DataFrame | None = None, degenerate: DataFrame | None = None, layers: dict[str, DataFrame] | None = None) -> DataFrame:
     """(plan, kind, magnitude, metrics): where a plan's measures contradict each other, largest first.
 
     Kinds: compactness_measures_disagree (means of ``shapes`` span more than 0.15), partisan_metrics_disagree_in_sign,
-    partisan_metrics_not_trustworthy_here.
+    partisan_metrics_not_trustworthy_here; with ``degenerate(metric, reason)`` metrics_constant_by_construction for each plan, and
+    with ``layers`` (membership(unit, parent) by name) subdivision_layer_is_empty_on_these_units for each layer without parents.
     """
     signed = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in SIGNED])
     some = F.filter(signed, lambda s: s["v"].isNotNull() & (s["v"] != 0))
@@ -28,6 +29,12 @@ def disagreements(metrics: DataFrame, trusted: DataFrame, shapes: DataFrame | No
         have = [c for c in COMPARABLE if c in shapes.columns]
         span = F.greatest(*have) - F.least(*have)
         out = out.unionByName(shapes.where(span > COMPACTNESS_SPREAD).select("plan", F.lit("compactness_measures_disagree").alias("kind"), span.alias("magnitude"), F.array(*[F.lit(c) for c in have]).alias("metrics")))
+    if degenerate is not None:
+        constant = degenerate.agg(F.array_sort(F.collect_set("metric")).alias("metrics")).where(F.size("metrics") > 0)
+        out = out.unionByName(metrics.select("plan").crossJoin(F.broadcast(constant)).select("plan", F.lit("metrics_constant_by_construction").alias("kind"), F.lit(0.0).alias("magnitude"), "metrics"))
+    for name, membership in (layers or {}).items():
+        empty = membership.agg(F.count("parent").alias("_known")).where("_known = 0")
+        out = out.unionByName(metrics.select("plan").crossJoin(F.broadcast(empty)).select("plan", F.lit("subdivision_layer_is_empty_on_these_units").alias("kind"), F.lit(0.0).alias("magnitude"), F.array(F.lit(name)).alias("metrics")))
     return out
 
 

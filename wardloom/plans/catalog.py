@@ -801,10 +801,21 @@ def metric_histograms(s: State) -> DataFrame:
 
 @query(_ARMS + ", x AS (SELECT *, arm_margin OR arm_sweep OR arm_median AS pre FROM arms), d AS (SELECT plan, 'partisan_metrics_disagree_in_sign' AS kind, concat_ws(',', CASE WHEN efficiency_gap <> 0 THEN 'efficiency_gap' END, CASE WHEN mean_median <> 0 THEN 'mean_median' END, CASE WHEN declination <> 0 THEN 'declination' END) AS metrics FROM x WHERE greatest(efficiency_gap, mean_median, declination) > 0 AND least(efficiency_gap, mean_median, declination) < 0 UNION ALL SELECT plan, 'partisan_metrics_not_trustworthy_here', concat_ws(',', CASE WHEN pre THEN 'mean_median' END, CASE WHEN declination IS NULL OR n_districts < 8 THEN 'declination' END, CASE WHEN pre THEN 'partisan_bias' END) FROM x WHERE pre OR declination IS NULL OR n_districts < 8) SELECT plan, kind, 0.0::DOUBLE AS magnitude, metrics FROM d")
 def plan_disagreements(s: State) -> DataFrame:
+    """The two partisan kinds, as in the SQL; see plan_disagreements_all."""
     m = par.all_metrics(_dist(s))
     return reports.disagreements(m, par.trusted_metrics(m)).withColumn("metrics", F.concat_ws(",", "metrics"))
 
 
+@query()
+def plan_disagreements_all(s: State) -> DataFrame:
+    """Where the measures of a plan contradict each other or say nothing, in all five kinds."""
+    m = par.all_metrics(_dist(s))
+    ratios = _ratios(s).select("plan", "district", "polsby_popper").join(geo.outline_measures(s.assignments(), s.unit_geom(), s.edges()), ["plan", "district"])
+    shapes = ratios.groupBy("plan").agg(*[F.avg(c).alias(c) for c in reports.COMPARABLE])
+    constant = adm.degeneracy(s.membership()).where(~F.col("reason").startswith("some units"))  # a sum that can't be taken is no constant
+    return reports.disagreements(m, par.trusted_metrics(m), shapes, constant, {"county": s.membership()}).withColumn("metrics", F.concat_ws(",", "metrics"))
+
+
 @query()
 def plan_reports(s: State) -> DataFrame:
     """A JSON report for each plan."""
