@@ -137,3 +137,11 @@ def test_platt_slope_is_not_negative():
     assert quality_rules.platt(np.array([1.0, 2, 3, 4]), np.array([1.0, 1, 0, 0]))[0] == 0.0
     a, b = quality_rules.platt(np.array([-2.0, -1, 1, 2] * 20), np.array([0.0, 0, 1, 1] * 20))
     assert a > 0 and abs(b) < 0.5
+
+
+def test_words_disguised_at_their_end():
+    marks = toxicity.Marks(frozenset({"worthless", "basura"}))
+    for w in (b"worthles$", b"basur@", b"Basur@"):
+        assert marks[w] & toxicity.DISGUISED_HIT, w
+    for w in (b"basur,", b"worth$", b"worthless,"):
+        assert not marks[w] & toxicity.DISGUISED_HIT, w

@@ -74,7 +74,7 @@ class Marks(dict):
         plain_letters = inner.isalpha()
         if len(inner) > 2 and not plain_letters and any(c.isalpha() for c in inner) and not inner.replace("-", "").replace("'", "").isalpha():
             mark |= OBFUSCATED
-        if len(written) > 2 and not mark & WORD_HIT and (not plain_letters or written[0] != inner[0] or _TWICE.search(word)):
+        if len(written) > 2 and not mark & WORD_HIT and (not plain_letters or written[0] != inner[0] or written[-1] != inner[-1] or _TWICE.search(word)):
             for form in (written, inner):
                 plain = "".join(c for c in form.lower().translate(DISGUISES) if c.isalpha())
                 squeezed = re.sub(r"(.)\1+", r"\1", plain)
