@@ -46,17 +46,36 @@ def test_round_trip(spark, rows, budget, history):
     assert set(got) == set(whole(rows))
 
 
-def test_windows_keep_the_budget_and_the_system_turn(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA)
-    for r in cf.format_windows(df, 80, 2, 30).collect():
+@pytest.mark.parametrize(("budget", "history", "history_tokens"), [(80, 2, 30), (512, 2, 128), (150, 5, 140), (40, 1, 40)])
+def test_windows_keep_the_budget_and_the_system_turn(spark, rows, budget, history, history_tokens):
+    """No window is over the budget, unless the system turn and its one new turn already are; then no history is repeated."""
+    rng = random.Random(budget)
+    more = [(100 + c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), "word " * rng.choice([1, 20, 120, 145, 450, 500, 700])) for c in range(30) for t in range(12)]
+    every = rows + more
+    df = spark.createDataFrame(every, SCHEMA)
+    over = repeated = 0
+    for r in cf.format_windows(df, budget, history, history_tokens).collect():
         parts = [p for p in r["text"].split("</turn>\n") if p]
         assert r["text"].endswith("</turn>\n")
-        if whole(rows)[r["conv_id"]][0][0] == "system":
+        lead = whole(every)[r["conv_id"]][0][0] == "system"
+        if lead:
             assert parts[0].startswith("### system:\n")
-        if r["over_budget"]:
-            assert len(parts) - r["new_from"] == 1
+        assert r["over_budget"] == (r["tokens"] > budget)
+        if r["tokens"] > budget:
+            over += 1
+            assert len(parts) - r["new_from"] <= 1 and r["new_from"] == (1 if lead and len(parts) > 1 else 0)
+        assert r["new_from"] <= history + lead
+        repeated += r["new_from"] > lead
         assert all(0 <= s["from"] and s["from"] + s["length"] <= len(r["text"]) for s in r["loss"])
         assert len(parts) - r["new_from"] >= (1 if len(parts) > 1 else 0)
+    assert over and repeated
+
+
+def test_history_gives_way_to_a_turn_that_fits_alone(spark):
+    """124 tokens, then a turn of 454: together over 512, so the second stands alone."""
+    rows = [(1, 0, "user", "a " * 400), (1, 1, "user", "b " * 120), (1, 2, "assistant", "c " * 450)]
+    got = sorted(cf.format_windows(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r["window"])
+    assert [(r["tokens"], r["new_from"], r["over_budget"]) for r in got] == [(404, 0, False), (124, 0, False), (454, 0, False)]
 
 
 def test_odd_rows(spark):

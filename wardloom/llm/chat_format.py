@@ -6,8 +6,9 @@ reading the pairs back gives the text.
 
 Each conversation is cut into windows of at most ``budget`` tokens where turns allow it: prefix sums of the turns' token
 counts choose how many turns a window takes. Every window begins with the conversation's leading system turn and repeats
-up to ``history`` earlier turns within ``history_tokens``; loss spans cover each assistant text once, in the window that
-brings it first. A single turn over the budget gets a window of its own, whole.
+up to ``history`` earlier turns within ``history_tokens``, but only as many as leave room for the turn that opens the
+window; loss spans cover each assistant text once, in the window that brings it first. A single turn that is over the
+budget with the system turn gets a window of its own, whole, so no other window is over the budget.
 
 A conversation is one row of arrays: its length is bounded by what one chat can hold, and sha2 needs its text at once.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, COLON, CLOSE = "### ", ":\n", "</turn>\n"
-TOKEN = r"[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]"
+TOKEN = r"[\p{L}\p{M}]+|\p{N}{1,3}|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]"
 
 
 # What stands for a character that could form a mark. The backslash comes first and is read back last.
@@ -67,9 +68,9 @@ def windows_of(convs: DataFrame, budget: int, history: int, history_tokens: int)
     convs = convs.withColumns({"lead": lead, "head": F.get("sums", lead)})
 
     def back_of(i: Column) -> Column:
-        """The earliest turn within history and history_tokens before turn i."""
-        tries = F.filter(F.sequence(F.greatest(F.col("lead"), i - history), i), lambda j: F.get("sums", i) - F.get("sums", j) <= history_tokens)
-        return F.array_min(tries)
+        """The earliest turn within history and history_tokens before turn i with which turn i still fits; else i."""
+        room = lambda j: (F.get("sums", i) - F.get("sums", j) <= history_tokens) & (F.col("head") + F.get("sums", i + 1) - F.get("sums", j) <= budget)
+        return F.array_min(F.filter(F.sequence(F.greatest(F.col("lead"), i - history), i), lambda j: (j == i) | room(j)))
 
     # turn i opens a window when it doesn't fit the one begun last
     start = F.struct(F.col("lead").alias("first"), F.lit(0).cast("long").alias("base"), F.array("lead").alias("firsts"))
