@@ -49,11 +49,11 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [20_000, 4])
+@pytest.mark.parametrize("block", [20_000_000, 700])
 def test_equals_brute_force(spark, tables, block):
     docs, items = tables
     d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, ITEMS)
-    got = {(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in dc.contained_items(d, i, block_items=block).collect()}
+    got = {(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in dc.contained_items(d, i, block_bytes=block).collect()}
     assert got == brute(docs, items)
 
 
@@ -71,4 +71,6 @@ def test_odd_rows(spark, odd, nothing):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (None, 1), (2, None)}
     assert dc.contained_items(nothing, i).count() == 0
     assert dc.contained_items(odd, spark.createDataFrame([], ITEMS)).count() == 0
-    assert dc.decontaminate(odd, i).columns == odd.columns
+    clean = dc.decontaminate(odd.withColumn("gone_id", odd.doc_id), i)
+    assert clean.columns == [*odd.columns, "gone_id"]
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == [(2, None), (3, ""), (None, None)]

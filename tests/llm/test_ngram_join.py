@@ -31,34 +31,70 @@ def test_components_equal_brute_force(docs, corpus, k, pct):
 
 def test_small_blocks_and_no_frequency_order_give_the_same(docs, corpus, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_MEMBERS", 3)
-    monkeypatch.setattr(nj, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(nj, "BROADCAST_KEYS", 0)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.link_documents(docs, 4, 85, max_frequent=1).collect()}
     assert got == brute(corpus, 4, 85)
 
 
-def test_divide_skip_connects_what_is_linked():
-    rng = np.random.default_rng(1)
-    for pct in (50, 80, 95):
-        base = [np.unique(rng.integers(0, 60, rng.integers(5, 50)).astype(np.uint64)) for _ in range(25)]
-        sets = base + [np.unique(np.append(b[: max(1, len(b) - 2)], rng.integers(0, 60, 2).astype(np.uint64))) for b in base]
-        label = list(range(len(sets)))
-
-        def join(label, a, b):
-            old, new = label[a], label[b]
-            return [new if x == old else x for x in label]
-
-        for a in range(len(sets)):
-            for b in range(a):
-                i = len(np.intersect1d(sets[a], sets[b]))
-                if 100 * i >= pct * (len(sets[a]) + len(sets[b]) - i):
-                    label = join(label, a, b)
-        got = list(range(len(sets)))
-        for a, b in nj.divide_skip(sets, pct):
-            i = len(np.intersect1d(sets[a], sets[b]))
-            assert 100 * i >= pct * (len(sets[a]) + len(sets[b]) - i)
-            got = join(got, a, b)
-        same = lambda x: [[i for i, y in enumerate(x) if y == z] for z in sorted(set(x), key=x.index)]
-        assert same(got) == same(label)
+def jaccard_links(sets, pct):
+    both = lambda a, b: len(np.intersect1d(a, b))
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * both(a, b) >= pct * (len(a) + len(b) - both(a, b))}
+
+
+def parts_of(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        label = [label[b] if x == label[a] else x for x in label]
+    return [[i for i, y in enumerate(label) if y == z] for z in sorted(set(label), key=label.index)]
+
+
+@pytest.mark.parametrize("heap_list", [0, 2, 1000])
+@pytest.mark.parametrize("pct", [50, 80, 95])
+def test_divide_skip_finds_every_link(monkeypatch, pct, heap_list):
+    """Whether short lists are heap-merged or counted, all links are found, and the tree connects the same sets."""
+    monkeypatch.setattr(nj, "HEAP_LIST", heap_list)
+    rng = np.random.default_rng(pct)
+    base = [np.unique(rng.integers(0, 60, rng.integers(5, 50)).astype(np.uint64)) for _ in range(25)]
+    sets = base + [np.unique(np.append(b[: max(1, len(b) - 2)], rng.integers(0, 60, 2).astype(np.uint64))) for b in base]
+    want = jaccard_links(sets, pct)
+    weight = rng.integers(1, 5, len(sets))
+    links, tree, _ = nj.divide_skip(sets, pct, weight)
+    assert links.tolist() == [sum(weight[b] if a == i else weight[a] for a, b in want if i in (a, b)) for i in range(len(sets))]
+    assert {tuple(sorted(t)) for t in tree} <= want and parts_of(len(sets), tree) == parts_of(len(sets), want)
+    _, tree, _ = nj.divide_skip(sets, pct, every=False)
+    assert parts_of(len(sets), tree) == parts_of(len(sets), want)
+    side = np.arange(len(sets)) % 2
+    links, _, _ = nj.divide_skip(sets, pct, apart=lambda q, o: side[o] == side[q])
+    assert links.tolist() == [sum(i in p and side[p[0]] != side[p[1]] for p in want) for i in range(len(sets))]
+
+
+def test_a_large_group_of_near_copies_is_not_searched_pair_by_pair(spark, monkeypatch):
+    """5,000 different near copies: those near their hub are linked as a ball, and the cells see few rows beside them."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words + [f"x{i}"])) for i in range(5000)] + [(9000 + i, " ".join(words[: 380 - 2 * i] + [f"y{i}"])) for i in range(6)]
+    seen = []
+    search = nj._search
+
+    def counted(pct, every):
+        run = search(pct, every)
+        total = spark.sparkContext.accumulator(0)
+        seen.append(total)
+
+        def wrapped(table):
+            total.add(table.num_rows)
+            return run(table)
+
+        return wrapped
+
+    monkeypatch.setattr(nj, "_search", counted)
+    got = {r["doc_id"]: r for r in nj.document_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()}
+    assert all(got[i]["component_id"] == 0 for i in list(range(5000)) + [9000])
+    for i in range(6):  # 398 - 2 i - 22 shingles shared with each of the 5,000
+        n = 378 - 2 * i
+        linked = 100 * (n - 1) >= 85 * (398 + n - (n - 1))
+        assert got[9000 + i]["n_links"] == linked * 5000 + sum(100 * (min(n, 378 - 2 * j) - 1) >= 85 * (max(n, 378 - 2 * j) + 1) for j in range(6) if j != i)
+    assert got[17]["n_links"] == 4999 + sum(got[9000 + i]["n_links"] >= 5000 for i in range(6))
+    assert seen[0].value < 40_000  # 20 blocks of 250 would put 100,000 rows into pairs of blocks
 
 
 def test_odd_rows(odd, nothing):
@@ -76,10 +112,20 @@ def test_near_duplicates_keep_one_of_each_group(docs, corpus):
     assert nj.near_duplicate_keep(docs).columns == docs.columns
 
 
-def test_near_duplicates_of_repeated_ids(odd):
-    rows = nj.near_duplicate_keep(odd).collect()
-    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 3]
-    assert sum(r["doc_id"] is None for r in rows) == 2
+def test_near_duplicates_of_odd_rows(odd, nothing):
+    """Copies go also without doc_id; of repeated rows one stays; rows without words and other texts of an id stay."""
+    out = nj.near_duplicate_keep(odd)
+    assert out.columns == odd.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, "a b c d e f g h i j k l"), (None, None), (2, None), (2, "quite another text of several words here"), (3, "")], key=str)
+    assert nj.near_duplicate_keep(nothing).count() == 0
+
+
+def test_near_copies_that_share_an_id_or_have_none(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, base), (7, base + " end"), (None, base + " fin"), (8, "other words stand here alone for once"), (None, "only without id " * 9), (None, "only without id " * 9)]
+    out = nj.near_duplicate_keep(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id own", "text as `h`", "doc_id", "text", "1 gone_id"))
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(kept) == 3 and sorted(d for d, _ in kept if d) == [7, 8] and [t for d, t in kept if d is None] == ["only without id " * 9]
 
 
 def sets_of(rows, k):
@@ -109,11 +155,6 @@ def test_every_link_is_found(docs, corpus, spark, monkeypatch, members):
     assert {r["doc_id"]: r["n_links"] for r in got} == want and len(got) == len(every)
     assert want[5000] == 10 and want[6000] == 1 and want[6001] == 2
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(every, 4, 85)
-    pairs, held = nj.linked_classes(frame)
-    by = {r["k1"]: sets[r["doc_id"]] for r in held.collect() if r["n_shingles"]}
-    found = [tuple(r) for r in pairs.collect()]
-    names = sorted(by)
-    assert sorted(found) == [(a, b, len(by[a] & by[b])) for i, a in enumerate(names) for b in names[i + 1 :] if linked(by[a], by[b], 85)]
 
 
 def test_links_of_odd_rows(odd, nothing):

@@ -24,26 +24,53 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a temporary one where none is set."""
+    """The shared folder for checkpoints: the cluster's own, or on a local master without one a temporary folder.
+
+    On a cluster a folder of one machine would be lost to the others, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not told and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return told or sc.getCheckpointDir()
 
 
-def settle(df: DataFrame, sweep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs a read.
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs a read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def numbered(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed c0, c1, ..., which can't clash with ours, and the new names of those wanted.
 
-    ``sweep`` lets Spark drop the shuffle files that led to ``df`` at once: its cleaner removes them when the driver
-    collects garbage, which might else be long after.
+    ``toDF(*docs.columns)`` turns the names back.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if sweep:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    at = {c.lower(): f"c{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [at[w.lower()] for w in wanted]
+
+
+#: Keys up to this number (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def text_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart: 64 bits of the text, null for null."""
+    return F.when(text.isNotNull(), F.xxhash64(text.cast("string")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are not in ``gone(doc_id, h)``; h is their ``text_hash``.
+
+    Null ids and texts are compared like others. All columns of ``docs`` are kept, whatever their names.
+    """
+    gone = settle(gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
+    rows, (doc, text) = numbered(docs, "doc_id", "text")
+    same = F.col(doc).cast("long").eqNullSafe(F.col("gone_id")) & text_hash(F.col(text)).eqNullSafe(F.col("gone_h"))
+    small = gone.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(gone) if small else gone, same, "left_anti").toDF(*docs.columns)
 
 
 def crc_mod(col: str, mod: int) -> Column:
@@ -54,19 +81,26 @@ def crc_mod(col: str, mod: int) -> Column:
 def positions(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, per_cell: int = 1024) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows that precede this one in its group.
 
-    Rows of a group are dealt into about ``rows / per_cell`` cells by a hash of ``order``; the cells' totals
-    give each cell its start, and a window inside the cell does the rest. A group that holds most of the rows is
-    therefore spread over many tasks. The order inside a group is (hash cell, ``order``); ties take any order.
+    Rows of a group are dealt into about ``rows / per_cell`` cells by a hash of ``order``, and cells into spans of
+    ``per_cell`` cells. The totals of spans give each span its start, those of its cells give each cell its own, and a window
+    inside the cell does the rest. A group that holds most of the rows is therefore spread over many tasks, and no window
+    sees more than ``per_cell`` rows in the mean, save the one over spans, which has a row for about a million rows.
+    The order inside a group is (hash cell, ``order``); ties take any order.
     """
     cells = max(1, -(-df.count() // per_cell))
     df = df.withColumns({"_cell": F.pmod(F.xxhash64(*order), F.lit(cells)), "_value": value.cast("long")})
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*group, "_cell").agg(F.sum("_value").alias("_sum"))
-    starts = starts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_cell").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = lambda col, w: F.coalesce(F.sum(col).over(w), F.lit(0))
+    totals = df.groupBy(*group, "_cell").agg(F.sum("_value").alias("_sum")).withColumn("_span", F.floor(F.col("_cell") / per_cell))
+    spans = totals.groupBy(*group, "_span").agg(F.sum("_sum").alias("_all"))
+    spans = spans.select(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(group)], F.col("_span").alias("_in"), sofar("_all", before(*group).orderBy("_span")).alias("_first"))
+    starts = totals.withColumn("_own", sofar("_sum", before(*group, "_span").orderBy("_cell")))
+    starts = starts.join(spans, [F.col("_span") == F.col("_in"), *[F.col(g).eqNullSafe(F.col(f"_s{i}")) for i, g in enumerate(group)]])
+    starts = starts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_cell").alias("_at"), (F.col("_first") + F.col("_own")).alias("_start"))
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    inner = Window.partitionBy(*group, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(starts, [F.col("_cell") == F.col("_at"), *same])
-    return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum("_value").over(inner), F.lit(0))).drop("_cell", "_value", "_at", "_start", *[f"_g{i}" for i in range(len(group))])
+    inner = before(*group, "_cell").orderBy(*order)
+    return joined.withColumn(out, F.col("_start") + sofar("_value", inner)).drop("_cell", "_value", "_at", "_start", *[f"_g{i}" for i in range(len(group))])
 
 
 class WordHashes(dict):

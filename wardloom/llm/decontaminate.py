@@ -7,7 +7,8 @@ known lower bound. That bound decides how many MinHash values are compared; one
 candidate. Every candidate is verified on the whole document: the share of the item's distinct shingles that the document
 has must reach the threshold.
 
-Items are broadcast in blocks of ``block_items``, so a larger benchmark costs more passes, not more memory.
+Items are broadcast in blocks of at most about ``block_bytes`` of text, so a larger benchmark costs more passes, not more
+memory; only a single item's text is not divided.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, binary_column, hash_words, mix, trimmed, windows
-from .ngram_join import without_ids
+from .common import MIX, binary_column, hash_words, mix, text_hash, trimmed, windows, without_rows
 
 #: Chance that an item at the threshold, in one run of words, has no MinHash value in common with its window.
 MISS = 1e-5
@@ -100,7 +100,7 @@ CHUNK = 100_000
 
 
 def _matches(index):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item_shingles", pa.int64()), ("n_shared", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("item_id", pa.int64()), ("n_item_shingles", pa.int64()), ("n_shared", pa.int64())])
 
     def search(held: list[tuple], idx: ItemIndex) -> list[tuple]:
         rows = []
@@ -119,17 +119,17 @@ def _matches(index):
                 at[at == len(own[d])] = 0
                 shared = int((own[d][at] == item).sum())
                 if shared >= idx.share * len(item) - 1e-9:
-                    rows.append((parts[d][0], idx.ids[i], len(item), shared))
+                    rows.append((*parts[d][0], idx.ids[i], len(item), shared))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = index.value
         for b in batches:
             held, size, rows = [], 0, []
-            for doc, text in zip(b.column("doc_id").to_pylist(), binary_column(b, "text"), strict=True):
-                h = hash_words(plain_words(text))
-                held.append((doc, h))
-                size += len(h)
+            for doc, h, text in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), binary_column(b, "text"), strict=True):
+                words = hash_words(plain_words(text))
+                held.append(((doc, h), words))
+                size += len(words)
                 if size >= CHUNK:
                     rows += search(held, idx)
                     held, size = [], 0
@@ -140,26 +140,36 @@ def _matches(index):
     return run
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8, block_items: int = 20_000) -> DataFrame:
+#: Bytes of item text whose index is broadcast at once, as a rule.
+BLOCK_BYTES = 8_000_000
+
+
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) for each document row and item that it contains.
 
     Words: A-Z in lower case, runs of characters other than ASCII space, control and punctuation. Shingles: ``k`` words;
     an item with fewer words is one shingle of all of them, sought among the document's runs of that length. Null, empty
-    and wordless items or texts give no rows; repeated document rows or items give a row each. Other columns are not read.
-    Ties don't arise: every item at or over ``share`` counts.
+    and wordless items or texts give no rows; repeated document rows or items give a row each. Very long texts are searched
+    whole. Other columns are not read. Ties don't arise: every item at or over ``share`` counts.
     """
+    return _contained(docs, items, k, share, block_bytes).drop("h").withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+
+
+def _contained(docs: DataFrame, items: DataFrame, k: int, share: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of :func:`contained_items`, with the hash of the document's text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", text_hash(F.col("text")))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes))
     found = []
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = ItemIndex([(r["item_id"], r["text"].encode() if r["text"] is not None else None) for r in mine.collect()], k, share)
-        found.append(docs.mapInArrow(trimmed(_matches(spark.sparkContext.broadcast(index))), "doc_id long, item_id long, n_item_shingles long, n_shared long"))
-    return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+        index = ItemIndex([(r["item_id"], r["text"].encode() if r["text"] is not None else None) for r in mine.toLocalIterator()], k, share)
+        found.append(docs.mapInArrow(trimmed(_matches(spark.sparkContext.broadcast(index))), "doc_id long, h long, item_id long, n_item_shingles long, n_shared long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that contain no item. Rows without doc_id stay."""
-    return without_ids(docs, contained_items(docs, items, k, share).select("doc_id"))
+    """The rows of ``docs`` that contain no item, with all their columns. Each row is judged by its own text, also without
+    doc_id or where several rows share one."""
+    return without_rows(docs, _contained(docs, items, k, share).select("doc_id", "h"))

@@ -4,43 +4,51 @@ Method (T-occurrence search with DivideSkip):
 
 1. Each text becomes its sorted set of shingle hashes. Documents with equal sets form one class; only classes go on.
 2. Shingles are ordered from rare to frequent. Two sets that reach the threshold share at least ``l`` shingles among the
-   rarest ``n - ceil(t n) + l`` of each (``l`` is 1, plus one for each 40 shingles). A class with fewer than ``l`` rare
-   shingles in common with classes of linkable size has no partner. The short inverted lists of the others bring partners
-   together in *cells*: all classes that share a rare shingle with the same smallest class. A cell that is too large for
-   one task is cut into blocks, and each pair of blocks is searched, so nothing is dropped.
-3. In a cell, every class queries an inverted index of the members: the short lists are merged with a count, members
-   that can still reach the overlap are probed by binary search in the long lists, and those that reach it are linked.
-   For components alone, members that are already connected need no second proof; for links, every pair is proved.
-4. Links are joined into components.
+   rarest ``n - ceil(t n) + l`` of each (``l`` is 1, plus one for each 40 shingles). These inverted lists bring partners of
+   linkable size together in *cells*: all classes that share a rare shingle with the same class, its hub. A class with fewer
+   than ``l`` rare shingles in common with others has no partner.
+3. In a cell, every class asks an inverted index of the members: of its lists the ``T - 1`` longest are set aside (T is the
+   least overlap), the short rest is heap-merged, and the members met there are probed by binary search in the long lists,
+   given up as soon as the overlap is out of reach. A pair that meets in several cells belongs to the one with the least
+   name, so each pair is searched once and counted once.
+4. A cell that is too large for one task (a group of near copies) first measures each member against its hub. Members
+   within half the distance allowed form a *ball*: by the triangle inequality all of them are linked, so their links are
+   counted as the ball's size without search (for components alone, members linked with the hub need no more proof, and
+   the ball has the whole distance). What lies outside is searched, in pairs of blocks, against itself and the ball.
+5. Links are joined into components.
 
 The frequency order only decides speed: the most repeated shingles are counted in each chunk of the input and summed;
-the ``max_frequent`` highest counts are broadcast (16 bytes each), and all other shingles count as rare.
+the ``max_frequent`` highest counts are broadcast (24 bytes each), and all other shingles count as rare. A listed shingle
+brings its hub along from that count, so its postings are spread over all tasks instead of meeting in one.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import binary_column, settle, shingle_set, signed, trimmed
+from .common import BROADCAST_KEYS, binary_column, numbered, settle, shingle_set, signed, text_hash, trimmed
 
 #: Chunk of shingles in which repeated ones are counted, and the repeats that make one worth reporting.
 COUNT_CHUNK, COUNT_LEAST = 2_000_000, 3
-#: Ids up to this number are broadcast to find the candidates' texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Shingles (8 bytes each) and members of one block of a cell.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 256
+#: Lists up to this length are heap-merged; longer ones that must be merged are counted, which gives the same.
+HEAP_LIST = 64
+#: Long lists that are probed before members out of reach are given up.
+PROBES = 32
 SALTS = 64
 #: Postings that go out in one batch.
 POSTINGS = 200_000
 
-
 def _needed(n: np.ndarray | int, pct: int):
     """ceil(pct n / 100): the least overlap that any partner of a set of size n must have with it."""
     return (pct * n + 99) // 100
@@ -57,18 +65,21 @@ def _keys(got: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _class_rows(k: int, id_col: str):
-    """For each document kind 0: id, size and name of its set; kind 1: shingles repeated in a chunk, with counts."""
-    schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+def _class_rows(k: int):
+    """For each document kind 0: id, hash of its text, size and name of its set; kind 1: shingles repeated in a chunk, with their counts and the
+    least class that has them."""
+    schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
-    def repeated(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        every, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    def repeated(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held.sort(key=lambda x: x[0])  # the first set that has a shingle is then that of the least class
+        owner = np.repeat(np.array([k1 for k1, _ in held], np.int64), [len(got) for _, got in held])
+        every, first, count = np.unique(np.concatenate([got for _, got in held]) if held else np.empty(0, np.uint64), return_index=True, return_counts=True)
         often = count >= COUNT_LEAST
         zero = np.zeros(int(often.sum()), np.int64)
-        yield pa.record_batch([pa.array(zero + 1, pa.int8()), pa.array(signed(every[often])), pa.array(count[often]), pa.array(zero), pa.array(zero)], schema=schema)
+        yield pa.record_batch([pa.array(zero + 1, pa.int8()), pa.array(signed(every[often])), pa.array(zero), pa.array(count[often]), pa.array(owner[first[often]]), pa.array(zero)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray]] = []
         size, seen = 0, set()
         for b in batches:
             rows = []
@@ -79,37 +90,38 @@ def _class_rows(k: int, id_col: str):
                 if len(got) and name not in seen:  # copies of a text don't make its shingles frequent
                     if len(seen) < 200_000:
                         seen.add(name)
-                    held.append(got)
+                    held.append((name[0], got))
                     size += len(got)
                 if size >= COUNT_CHUNK:
                     yield from repeated(held)
                     held, size = [], 0
             n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array([0] * len(n), pa.int8()), b.column(id_col), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array([0] * len(n), pa.int8()), b.column("id"), b.column("h"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], schema=schema)
         yield from repeated(held)
 
     return run
 
 
 def rare_first(got: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's shingles from rare to frequent, and which of them are in the frequent list."""
+    """A set's shingles from rare to frequent, and their numbers in the frequent list (-1: not in it)."""
+    if not len(frequent):
+        return got, np.full(len(got), -1)
     at = np.searchsorted(frequent, got)
     at[at == len(frequent)] = 0
-    known = frequent[at] == got if len(frequent) else np.zeros(len(got), bool)
-    weight = np.where(known, counts[at] if len(frequent) else 0, 0)
-    order = np.lexsort((got, weight))
-    return got[order], known[order]
+    known = frequent[at] == got
+    order = np.lexsort((got, np.where(known, counts[at], 0)))
+    return got[order], np.where(known, at, -1)[order]
 
 
 def _posting_rows(k: int, pct: int, frequent):
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64()), ("n", pa.int64())])
+    """(token, salt, k1, n, c): a rare shingle with salt 0, or the hub of ``c`` frequent ones with a salt above 0."""
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64()), ("n", pa.int32()), ("c", pa.int32())])
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
-        t, s, k1s, ns = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.record_batch([pa.array(signed(t)), pa.array(s, pa.int32()), pa.array(k1s), pa.array(ns)], schema=schema)
+        return pa.record_batch([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = frequent.value
+        often, counts, hubs = frequent.value
         seen: set[int] = set()
         for b in batches:
             out: list[tuple] = []
@@ -124,10 +136,13 @@ def _posting_rows(k: int, pct: int, frequent):
                     continue
                 if len(seen) < 200_000:
                     seen.add(k1)
-                tokens, known = rare_first(got, often, counts)
+                tokens, number = rare_first(got, often, counts)
                 p = min(n, n - _needed(n, pct) + _least(n))
-                out.append((tokens[:p], np.where(known[:p], 1 + (k1 % SALTS), 0), np.full(p, k1, np.int64), np.full(p, n, np.int64)))
-                held += p
+                rare = signed(tokens[:p])[number[:p] < 0]
+                hub, c = np.unique(hubs[number[:p][number[:p] >= 0]], return_counts=True)
+                q = len(rare) + len(hub)
+                out.append((np.append(rare, hub), np.repeat([0, 1 + k1 % SALTS], [len(rare), len(hub)]), np.full(q, k1, np.int64), np.full(q, n), np.append(np.ones(len(rare), np.int64), c)))
+                held += q
                 if held >= POSTINGS:
                     yield rows_of(out)
                     out, held = [], 0
@@ -155,111 +170,144 @@ def _array_rows(k: int):
     return run
 
 
-def divide_skip(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links among sorted ``sets`` with 100 |a ∩ b| >= pct |a ∪ b|, enough of them to connect all that are linked.
-
-    With ``side`` (0 or 1 a set) only sets of different sides need linking. Pairs already connected are skipped.
-    """
-    a, b, _, _ = proved_pairs(sets, pct, side, every=False)
-    return list(zip(a.tolist(), b.tolist(), strict=True))
-
-
-def proved_pairs(sets: list[np.ndarray], pct: int, side: np.ndarray | None = None, every: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b, |a ∩ b|, tree) among sorted ``sets`` as above, each pair once: all, or without ``every`` a forest of them.
-
-    ``tree`` marks links that connect what those before them left apart.
+class Index:
+    """The inverted lists of some sets, whose members are numbered by rising size."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.m = len(sets)
+        tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        heads, self.number = np.unique(tokens, return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        #: (list, member) as one number, in order: list i is where i * m .. stand
+        self.keys = np.sort(self.number * self.m + np.repeat(np.arange(self.m), self.size))
+        self.searches = 0
+
+    def met(self, q: int, need: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members between q and ``top`` in the short lists of q, how often they stand there, and the long lists."""
+        lists = self.number[self.at[q] : self.at[q + 1]]
+        begin, end = np.searchsorted(self.keys, lists * self.m + q) + 1, np.searchsorted(self.keys, lists * self.m + top)
+        alive = end > begin
+        lists, begin, length = lists[alive], begin[alive], (end - begin)[alive]
+        nothing = np.empty(0, np.int64)
+        if len(lists) < need:
+            return nothing, nothing, nothing
+        self.searches += 1
+        by = np.argsort(length, kind="stable")
+        short = by[: len(by) - (need - 1)]
+        parts = [self.keys[begin[i] : begin[i] + length[i]] - lists[i] * self.m for i in short]
+        merged = [(r, sum(1 for _ in g)) for r, g in groupby(heapq.merge(*[p.tolist() for p in parts if len(p) <= HEAP_LIST]))]
+        found, have = (np.array(x, np.int64) for x in zip(*merged, strict=True)) if merged else (nothing, nothing)
+        if counted := [p for p in parts if len(p) > HEAP_LIST]:
+            total = np.bincount(np.concatenate(counted), minlength=self.m)
+            total[found] += have
+            found = np.flatnonzero(total)
+            have = total[found]
+        return found, have, lists[by[len(by) - (need - 1) :]]
+
+    def probe(self, found: np.ndarray, have: np.ndarray, long: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members that still reach ``least`` when the long lists are probed, and their overlaps."""
+        for a in range(0, len(long), PROBES):
+            if not len(found):
+                break
+            wanted = long[a : a + PROBES, None] * self.m + found
+            at = np.searchsorted(self.keys, wanted.ravel()).reshape(wanted.shape)
+            at[at == len(self.keys)] = 0
+            have = have + (self.keys[at] == wanted).sum(0)
+            stay = have + (len(long) - a - len(wanted)) >= least
+            found, have, least = found[stay], have[stay], least[stay]
+        return found, have
+
+
+def divide_skip(sets: list[np.ndarray], pct: int, weight: np.ndarray | None = None, apart=None, every: bool = True) -> tuple[np.ndarray, list[tuple[int, int]], int]:
+    """(links, tree, searches) among sorted ``sets`` with 100 |a n b| >= pct |a u b|.
+
+    ``links`` has for each set the weights of those it is linked with, ``tree`` enough links to connect what is linked.
+    ``apart(q, others)`` tells which others q need not be compared with. Without ``every`` pairs already connected are
+    passed over, so ``links`` counts no more than the tree.
     """
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), size)
-    tokens = np.concatenate(sets) if m else np.empty(0, np.uint64)
-    order = np.argsort(tokens, kind="stable")
-    owner, tokens = owner[order], tokens[order]  # each list holds its members in rising order
-    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(tokens))
-    heads = tokens[starts]
-    root = np.arange(m)
-    rank = np.empty(m, np.int64)
-    turns = np.argsort(size, kind="stable")
-    rank[turns] = np.arange(m)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for q in turns:
-        lists = np.searchsorted(heads, sets[q])
-        length = ends[lists] - starts[lists]
-        need = int(_needed(size[q], pct))
-        by = np.argsort(length, kind="stable")
-        # the long lists are left for probing: as many as the overlap allows to miss, save those that are short anyway
-        long = min(need - 1, int((length > 8).sum()))
-        short, rest = lists[by[: len(by) - long]], lists[by[len(by) - long :]]
-        merged = np.concatenate([owner[starts[i] : ends[i]] for i in short]) if len(short) else np.empty(0, np.int64)
-        seen = np.bincount(merged, minlength=m)
-        can = (seen >= max(1, need - long)) & ((rank > rank[q]) if every else (root != root[q])) & (100 * size >= pct * size[q]) & (100 * size[q] >= pct * size)
-        if side is not None:
-            can &= side != side[q]
-        found = np.flatnonzero(can)
+    turns = np.argsort([len(s) for s in sets], kind="stable")
+    index = Index([sets[i] for i in turns])
+    weight = np.ones(m, np.int64) if weight is None else weight
+    root, links, tree = np.arange(m), np.zeros(m, np.int64), []
+    size = index.size
+    tops = np.searchsorted(size, size * 100 // pct, "right")
+    for q in range(m):
+        found, have, long = index.met(q, int(_needed(size[q], pct)), int(tops[q]))
+        if not every and len(found):
+            new = root[found] != root[q]
+            found, have = found[new], have[new]
+        if apart is not None and len(found):
+            new = ~apart(turns[q], turns[found])
+            found, have = found[new], have[new]
         if not len(found):
             continue
         total = size[found] + size[q]
-        least = (pct * total + pct + 99) // (100 + pct)  # ceil of pct (a + b) / (100 + pct)
-        have = seen[found]
-        for left, i in zip(range(len(rest) - 1, -1, -1), rest, strict=True):  # binary probes, giving up on those out of reach
-            members = owner[starts[i] : ends[i]]
-            at = np.searchsorted(members, found)
-            at[at == len(members)] = 0
-            have = have + (members[at] == found)
-            if left % 16 == 0:
-                stay = have + left >= least
-                if not stay.all():
-                    found, have, least = found[stay], have[stay], least[stay]
-                if not len(found):
-                    break
-        linked = 100 * have >= pct * (size[found] + size[q] - have)
-        found, have = found[linked], have[linked]
-        tree = np.zeros(len(found), bool)
-        for i, r in enumerate(found):
+        found, have = index.probe(found, have, long, (pct * total + pct + 99) // (100 + pct))  # ceil of pct (a + b) / (100 + pct)
+        linked = found[100 * have >= pct * (size[found] + size[q] - have)]
+        links[turns[q]] += weight[turns[linked]].sum()
+        links[turns[linked]] += weight[turns[q]]
+        for r in linked:
             if root[r] != root[q]:
-                tree[i] = True
+                tree.append((int(turns[q]), int(turns[r])))
                 root[root == root[r]] = root[q]
-        keep = tree | every
-        out.append((np.full(int(keep.sum()), q, np.int64), found[keep], have[keep], tree[keep]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    a, b, have, tree = (np.concatenate(x) for x in zip(*out, strict=True))
-    return a, b, have, tree
+    return links, tree, index.searches
 
 
-def _search(pct: int):
+def _search(pct: int, every: bool):
+    """Links of one cell, or of a pair of its blocks: (k1, links) sums and (u, v) pairs that connect."""
+    schema = pa.schema([("k1", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        block = table.column("block").to_numpy()
-        first = np.unique(rep, return_index=True)[1]
-        sets = [np.frombuffer(table.column("shingles")[int(i)].as_py(), np.uint64) for i in first]
-        apart = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        links = divide_skip(sets, pct, (block[first] == table.column("j")[0].as_py()).astype(np.int8) if apart else None)
-        ids = rep[first]
-        return pa.table({"u": pa.array([int(ids[a]) for a, _ in links], pa.int64()), "v": pa.array([int(ids[b]) for _, b in links], pa.int64())})
+        k1, first = np.unique(table.column("k1").to_numpy(), return_index=True)
+        take = lambda c: [table.column(c)[int(i)].as_py() for i in first]
+        sets = [np.frombuffer(x, np.uint64) for x in take("shingles")]
+        cell, two = table.column("cell")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        before = [frozenset(c for c in cells if c < cell) for cells in take("cells")]
+        block, ball = np.array(take("block")), np.array([b if b is not None else 0 for b in take("ball")], np.int64)
+        in_ball = np.array([b is not None for b in take("ball")])
+
+        def apart(q: int, others: np.ndarray) -> np.ndarray:
+            out = in_ball[others] & in_ball[q] & (ball[others] == ball[q])
+            if two:
+                out |= block[others] == block[q]
+            if before[q]:
+                out |= np.fromiter((not before[q].isdisjoint(before[o]) for o in others), bool, len(others))
+            return out
+
+        links, tree, _ = divide_skip(sets, pct, np.array(take("weight"), np.int64), apart, every)
+        rep = take("rep")
+        some = np.flatnonzero(links) if every else np.empty(0, np.int64)
+        none = [None] * len(tree)
+        return pa.table([
+            pa.array([*k1[some].tolist(), *none], pa.int64()), pa.array([*links[some].tolist(), *none], pa.int64()),
+            pa.array([None] * len(some) + [rep[a] for a, _ in tree], pa.int64()), pa.array([None] * len(some) + [rep[b] for _, b in tree], pa.int64()),
+        ], schema=schema)
 
     return run
 
 
-def _search_all(pct: int):
-    """Every proved pair of classes in a cell, by their names, and the least doc_ids of those pairs that connect."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+def _near_hub(pct: int, every: bool):
+    """(k1, hub, rep, hub_rep) of members within the ball around their hub: half the distance allowed where every link is
+    counted, else all of it."""
+    schema = pa.schema([("k1", pa.int64()), ("hub", pa.int64()), ("rep", pa.int64()), ("hub_rep", pa.int64())])
+    part = 2 if every else 1
 
-    def run(table: pa.Table) -> pa.Table:
-        k1, first = np.unique(table.column("k1").to_numpy(), return_index=True)
-        rep, block = table.column("rep").to_numpy()[first], table.column("block").to_numpy()[first]
-        sets = [np.frombuffer(table.column("shingles")[int(i)].as_py(), np.uint64) for i in first]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        a, b, overlap, tree = proved_pairs(sets, pct, (block == j).astype(np.int8) if i != j else None)
-        low, high = np.minimum(a, b), np.maximum(a, b)  # k1 is sorted
-        none = ~tree
-        return pa.table([pa.array(k1[low]), pa.array(k1[high]), pa.array(overlap, pa.int64()), pa.array(rep[low], mask=none), pa.array(rep[high], mask=none)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column("shingles"), b.column("middle"), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                near.append(100 * part * (union - both) <= (100 - pct) * union)
+            yield pa.record_batch([b.column(f.name) for f in schema], schema=schema).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
-def _least_col(size: str):
+def _least_col(size: str) -> Column:
     return F.lit(1) + F.floor(F.col(size) / 40)
 
 
@@ -267,24 +315,13 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     """One row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     Words are runs of bytes other than space and \\t-\\r, with A-Z in lower case; a text with fewer than ``k`` words has
-    its whole sequence as its one shingle. Two documents link when ``100 |a ∩ b| >= pct |a ∪ b|``; component_id is the
-    smallest doc_id reachable. Null, empty and blank texts have no shingles and link with nothing (component_id is their
-    own doc_id). Repeated rows come back as often as they came. A null doc_id takes no part in links and gets a null
-    component_id. Columns other than the two named are not read, so clashing names do no harm; an empty table gives no rows.
+    its whole sequence as its one shingle. Two documents link when ``100 |a n b| >= pct |a u b|``, equality included;
+    component_id is the smallest doc_id reachable. Null, empty and blank texts have no shingles and link with nothing
+    (component_id is their own doc_id). Repeated rows come back as often as they came. Very long texts are compared whole.
+    A null doc_id takes no part in links and gets a null component_id. Columns other than the two named are not read, so
+    clashing names do no harm; an empty table gives no rows.
     """
-    rows, classes, found = _found(docs, k, pct, id_col, text_col, max_frequent, _search, "u long, v long")
-    return _labelled(rows, classes, found).select("doc_id", "n_shingles", "component_id")
-
-
-def linked_classes(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """All links: ``pairs(a, b, overlap)`` of classes of equal sets, each once with a < b, and ``members``.
-
-    ``members`` has a row for each row of ``docs``: doc_id, n_shingles, component_id and its class k1, k2; a and b are k1. Rows
-    of one class are linked with each other. Odd rows are as in ``link_documents``.
-    """
-    rows, classes, found = _found(docs, k, pct, id_col, text_col, max_frequent, _search_all, "a long, b long, overlap long, u long, v long")
-    found = settle(found, sweep=True)
-    return found.select("a", "b", "overlap").distinct(), _labelled(rows, classes, found.where("u is not null").select("u", "v"))
+    return _join(docs, k, pct, id_col, text_col, max_frequent, every=False).select("doc_id", "n_shingles", "component_id")
 
 
 def document_links(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = 200_000) -> DataFrame:
@@ -293,84 +330,126 @@ def document_links(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     A document is a doc_id with its set of shingles, so repeated rows count once. Rows without shingles have no links;
     n_links is null where doc_id is.
     """
-    pairs, members = linked_classes(docs, k, pct, id_col, text_col, max_frequent)
-    size = members.where("n_shingles > 0 and doc_id is not null").groupBy("k1").agg(F.countDistinct("k2", "doc_id").alias("size"))
-    size = settle(size.where("size > 1").select(F.col("k1").alias("_class"), "size"))  # all others have one
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside = ends.join(size, F.col("b") == F.col("_class"), "left").groupBy("a").agg(F.sum(F.coalesce("size", F.lit(1))).alias("beside")).withColumnRenamed("a", "_a")
-    out = members.join(size, F.col("k1") == F.col("_class"), "left").join(beside, F.col("k1") == F.col("_a"), "left")
-    links = F.when(F.col("n_shingles") > 0, F.coalesce("size", F.lit(1)) - 1 + F.coalesce("beside", F.lit(0))).otherwise(F.lit(0))
-    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), links).alias("n_links"))
-
-
-def _found(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, max_frequent: int, search, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows, classes and what ``search`` finds in the cells."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = settle(docs.mapInArrow(trimmed(_class_rows(k, "id")), "kind byte, id long, n long, k1 long, k2 long"))
-    rows = seen.where("kind = 0")
-    classes = settle(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-    often = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(max_frequent).toPandas()
-    often = often.sort_values("id", key=lambda s: s.astype("int64").to_numpy().view(np.uint64))
-    frequent = spark.sparkContext.broadcast((often["id"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)))
-
-    postings = docs.mapInArrow(trimmed(_posting_rows(k, pct, frequent)), "token long, salt int, k1 long, n long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange serves the count and the filter; the null tests are those that the join would add to one side only
-    postings = postings.where("token is not null and salt is not null").repartition(parts, "token", "salt")
-    shared = postings.groupBy("token", "salt").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("n").alias("_n")).where("a <> b or salt > 0").where("_n > 0").select("token", "salt")
-    # an inner join on distinct keys: a semi-join would be moved below the exchange, which would then run twice
-    shared = settle(postings.join(shared.hint("merge"), ["token", "salt"]).select("token", "k1", "n"), sweep=True)
-    enough = shared.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(F.col("c") >= _least_col("m")).select("k1")
+    return _join(docs, k, pct, id_col, text_col, max_frequent, every=True).drop("h")
+
+
+def _cells(docs: DataFrame, k: int, pct: int, frequent) -> DataFrame:
+    """(cell, hub, band, k1, members): which classes meet where; cells of one member are left out."""
+    postings = docs.mapInArrow(trimmed(_posting_rows(k, pct, frequent)), "token long, salt int, k1 long, n int, c int")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = Window.partitionBy("token", "salt")
+    shared = postings.repartition(parts, "token", "salt").select("*", F.min("k1").over(lists).alias("a"), F.max("k1").over(lists).alias("b")).where("a <> b or salt > 0")
     # sets of linkable size fall in the same band or in two next to each other: each goes to its own band and the next one,
     # and a list without sets of its own band has nothing that the band below doesn't have
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / pct)) + 1e-9)
-    shared = settle(shared.join(enough, "k1", "left_semi").select("token", "k1", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own")))).alias("at")).select("token", "k1", "n", "at.band", "at.own"), sweep=True)
-    hubs = shared.groupBy("token", "band").agg(F.min("k1").alias("hub"), F.max("k1").alias("top"), F.max("own").alias("own")).where("hub <> top and own = 1").select(F.col("token").alias("t"), (-F.col("band")).alias("b"), "hub")
-    met = shared.join(hubs, (F.col("token") == F.col("t")) & (-F.col("band") == F.col("b")))
-    met = met.groupBy("k1", "band").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.collect_set("hub").alias("hubs")).where(F.col("c") >= _least_col("m"))
-    cells = settle(met.select(F.explode("hubs").alias("hub"), "band", "k1"), sweep=True)
-
-    sizes = settle(cells.groupBy("hub", "band").agg(F.count("*").alias("members")).where("members > 1"))
-    cells = settle(cells.join(sizes.select((-F.col("hub")).alias("h"), F.col("band").alias("b"), "members"), (-F.col("hub") == F.col("h")) & (F.col("band") == F.col("b"))).drop("h", "b"))
-    wanted = settle(cells.select("k1").distinct().join(classes, "k1"))
-    near = wanted.withColumnRenamed("rep", "id")
-    near = F.broadcast(near) if wanted.count() <= BROADCAST_IDS else near
-    texts = docs.join(near, "id").select(F.col("id").alias("rep"), "k1", "k2", "text")
-    arrays = texts.mapInArrow(trimmed(_array_rows(k)), "k1 long, rep long, shingles binary")
+    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
+    banded = shared.select("token", "salt", "k1", "n", "c", both.alias("at")).select("token", "salt", "k1", "n", "c", "at.band", "at.own")
+    group = Window.partitionBy("token", "salt", "band")
+    banded = banded.select("*", F.min("k1").over(group).alias("a"), F.max("k1").over(group).alias("b"), F.max("own").over(group).alias("any"))
+    met = banded.where("salt > 0 or (a <> b and any = 1)").select("k1", "band", "n", "c", F.when(F.col("salt") > 0, F.col("token")).otherwise(F.col("a")).alias("hub"))
+    met = met.groupBy("k1", "band").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.collect_set("hub").alias("hubs")).where(F.col("c") >= _least_col("n"))
+    met = settle(met.select(F.explode("hubs").alias("hub"), "band", "k1"))
+    # the keys of the join are negated, so that it has exchanges of its own, which Spark may split for a hot cell
+    sizes = met.groupBy("hub", "band").agg(F.count("*").alias("members")).where("members > 1").select((-F.col("hub")).alias("_h"), (-F.col("band")).alias("_b"), "members")
+    met = met.join(sizes, (-F.col("hub") == F.col("_h")) & (-F.col("band") == F.col("_b")))
+    return settle(met.select(F.xxhash64("hub", "band").alias("cell"), "hub", "band", "k1", "members"))
+
+
+def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(k1, rep, shingles) of the classes ``wanted(k1, k2, rep)``, read from the text of one of their documents."""
+    wanted = wanted.select("k1", "k2", F.col("rep").alias("id"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = docs.join(wanted, "id").select(F.col("id").alias("rep"), "k1", "k2", "text")
+    return texts.mapInArrow(trimmed(_array_rows(k)), "k1 long, rep long, shingles binary")
+
+
+def _balls(docs: DataFrame, big: DataFrame, classes: DataFrame, k: int, pct: int, every: bool) -> DataFrame:
+    """(k1, hub, rep, hub_rep): members of large cells that lie in the ball around their hub."""
+    members = big.select("hub", "k1").distinct()
+    wanted = settle(members.select("k1").distinct().join(classes, "k1"))
+    arrays = settle(_arrays(docs, wanted, k))
+    hubs = members.select("hub").distinct().join(arrays, F.col("hub") == F.col("k1")).select("hub", F.col("rep").alias("hub_rep"), F.col("shingles").alias("middle"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = members.join(arrays, "k1").withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(hubs, ["hub", "salt"])
+    return settle(rows.select("k1", "hub", "rep", "hub_rep", "shingles", "middle").mapInArrow(trimmed(_near_hub(pct, every)), "k1 long, hub long, rep long, hub_rep long").distinct())
+
+
+def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, max_frequent: int, every: bool) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, h) of all rows, h the hash of the text; without ``every`` n_links means nothing."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    hashed = docs.withColumn("h", text_hash(F.col("text")))
+    seen = settle(hashed.mapInArrow(trimmed(_class_rows(k)), "kind byte, id long, h long, n long, k1 long, k2 long"))
+    rows = seen.where("kind = 0").drop("kind")
+    # copies meet by (class, id) first, so that a class of very many spreads out
+    classes = rows.where("n > 0 and id is not null").groupBy("k1", "k2", "id").agg(F.first("n").alias("n"))
+    classes = settle(classes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    often = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c"), F.min("k1").alias("hub")).orderBy(F.desc("c"), "id").limit(max_frequent).toPandas()
+    often = often.sort_values("id", key=lambda s: s.astype("int64").to_numpy().view(np.uint64))
+    frequent = spark.sparkContext.broadcast((often["id"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), often["hub"].to_numpy(np.int64)))
 
+    cells = _cells(docs, k, pct, frequent)
+    wanted = settle(cells.groupBy("k1").agg(F.collect_list("cell").alias("cells")).join(classes, "k1"))
     width = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK_MEMBERS)), BLOCK_SHINGLES / F.pow(F.lit(100.0 / pct), F.col("band") + 1)))
-    placed = cells.withColumn("blocks", F.ceil(F.col("members") / width).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    placed = placed.select("hub", "band", "block", "k1", F.explode(pairs).alias("p")).select("hub", "band", "block", "k1", "p.i", "p.j")
-    return rows, classes, placed.join(arrays, "k1").groupBy("hub", "band", "i", "j").applyInArrow(search(pct), schema)
-
-
-def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, k1, k2) of all rows, by the components of the links ``found(u, v)``."""
-    labels = connected_components(settle(found, sweep=True))
-
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    named = settle(named)
+    small, big = cells.where(F.col("members") <= width), cells.where(F.col("members") > width)
+    near = _balls(docs, big, classes, k, pct, every) if big.limit(1).count() else spark.createDataFrame([], "k1 long, hub long, rep long, hub_rep long")
+    balls = settle(near.groupBy("k1").agg(F.min("hub").alias("ball")))
+    big = big.join(balls, "k1", "left").withColumn("inside", F.col("ball").eqNullSafe(F.col("hub")))
+    counts = big.groupBy("cell", "band").agg(F.ceil(F.count_if(~F.col("inside")) / F.first(width)).alias("rest"), F.ceil(F.count_if(F.col("inside")) / F.first(width)).alias("balls"))
+    big = big.join(counts.select((-F.col("cell")).alias("_c"), "rest", "balls"), -F.col("cell") == F.col("_c"))
+    spot = F.xxhash64("k1")
+    big = big.withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(spot, F.col("balls"))).otherwise(F.pmod(spot, F.greatest(F.lit(1), F.col("rest")))))
+    # a block of the ball meets only blocks of the rest
+    last = F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("balls")) - 1
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))), lambda o: o <= last)
+    big = big.select("cell", "k1", "block", F.explode(F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("p")).select("cell", "k1", "block", "p.i", "p.j")
+    zero = F.lit(0).cast("long")
+    placed = small.select("cell", "k1", zero.alias("block"), zero.alias("i"), zero.alias("j")).unionByName(big)
+    placed = placed.join(wanted.select("k1", "cells", "weight"), "k1").join(balls, "k1", "left").join(_arrays(docs, wanted, k), "k1")
+    found = settle(placed.groupBy("cell", "i", "j").applyInArrow(_search(pct, every), "k1 long, links long, u long, v long"))
+
+    edges = found.where("u is not null").select("u", "v").unionByName(near.where("k1 <> hub").select(F.col("rep").alias("u"), F.col("hub_rep").alias("v")))
+    labels = connected_components(edges)
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", "weight", F.coalesce("component", "rep").alias("component_id"))
+    searched = found.where("k1 is not null").groupBy("k1").agg(F.sum("links").alias("links"))
+    # all members of a ball are linked with each other
+    inside = balls.join(wanted.select("k1", "weight"), "k1")
+    whole = inside.groupBy(F.col("ball").alias("_ball")).agg(F.sum("weight").alias("_all"))
+    inside = inside.join(whole, F.col("ball") == F.col("_ball")).select("k1", (F.col("_all") - F.col("weight")).alias("mates"))
+    named = settle(named.join(searched, "k1", "left").join(inside, "k1", "left").select("k1", "k2", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0)) + F.coalesce("mates", F.lit(0))).alias("n_links")))
     out = rows.join(named, ["k1", "k2"], "left")
-    own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "k1", "k2")
+    there, full = F.col("id").isNotNull(), F.col("n") > 0
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(there, F.when(full, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"),
+        F.when(there, F.when(full, F.col("n_links")).otherwise(F.lit(0))).alias("n_links"), "h",
+    )
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone(doc_id)``; a small list is broadcast, a longer one shuffled."""
-    gone = settle(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+#: Rows without a doc_id are given one above this.
+OWN_IDS = 1 << 62
 
 
 def near_duplicate_keep(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group of near copies is kept: the smallest doc_id.
+    """The rows of ``docs`` that stay when one of each group of near copies is kept: that of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Of rows of a group that share this doc_id one stays (of the text with the least hash). Rows without doc_id come after
+    all others. Rows without shingles (null, empty, blank texts) are no copies and all stay.
     """
-    groups = settle(link_documents(docs, k, pct).where("doc_id is not null"))
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    return without_ids(docs, groups.where("component_id <> doc_id"))
+    rows, (doc, text) = numbered(docs, "doc_id", "text")
+    h = text_hash(F.col(text))
+    own = F.coalesce(F.col(doc).cast("long"), F.lit(OWN_IDS) + h.bitwiseAND(OWN_IDS - 1))
+    keyed = rows.select(own.alias("own"), F.col(text).cast("string").alias("text"))
+    groups = settle(_join(keyed, k, pct, "own", "text", 200_000, every=False).where("n_shingles > 0").select("doc_id", "h", "component_id"))
+    # groups in which the smallest doc_id has several rows: few, and mostly none
+    several = settle(groups.where("doc_id = component_id").groupBy("component_id").agg(F.count("*").alias("c"), F.min("h").alias("first")).where("c > 1"))
+    others = groups.where("doc_id = component_id").join(several, "component_id").where("h <> first")
+    gone = settle(groups.where("doc_id <> component_id").select("doc_id", "h").unionByName(others.select("doc_id", "h")).distinct())
+    kept = rows.withColumns({"own": own, "h": h})
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    kept = kept.join(gone, (F.col("own") == F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    if several.limit(1).count():
+        again = several.select(F.col("component_id").alias("twice_id"), F.col("first").alias("twice_h"))
+        twice = (F.col("own") == F.col("twice_id")) & (F.col("h") == F.col("twice_h"))
+        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["own", "h"]))
+    return kept.select(*rows.columns).toDF(*docs.columns)

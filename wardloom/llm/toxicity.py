@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, settle, trimmed
+from .common import binary_column, settle, text_hash, trimmed, without_rows
 from .textstats import byte_counts
 from .training import MAX_LABELLED, finish, labelled_sample
 
@@ -159,41 +159,47 @@ def _feature_rows(lexicon, keep: list[str]):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int = 3, held: int = 1, max_labelled: int = MAX_LABELLED, trees: int = 20, depth: int = 3, seed: int = 3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int = 3, held: int = 1, **options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score (chance of toxic 1), predicted (score >= threshold).
 
     Labels of documents whose crc32(doc_id) modulo ``mod`` is ``held`` are never used; at most ``max_labelled`` others are.
     Without labelled rows of both kinds the score is the rate of label 1 (0.5 without any). Null, empty and blank texts have
-    zero features and are scored as such. Repeated rows are scored alike. Only doc_id and text are read of ``docs``. An
-    empty table gives no rows.
+    zero features and are scored as such. Repeated rows are scored alike, and equal features give equal scores; a score
+    at the threshold counts as toxic. Very long texts are read whole. Only doc_id and text are read of ``docs``. An empty
+    table gives no rows. Options are those of :func:`_scored`.
     """
+    return finish(_scored(docs, labels, mod, held, **options), mod, held, threshold)
+
+
+def _scored(docs: DataFrame, labels: DataFrame, mod: int, held: int, max_labelled: int = MAX_LABELLED, trees: int = 20, depth: int = 3, seed: int = 3) -> DataFrame:
+    """doc_id, h (the hash of the text) and score of each row."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = docs.withColumn("h", text_hash(F.col("text")))
     sample = settle(labelled_sample(docs, labels, "toxic", mod, held, max_labelled).repartition(PARTITIONS))
     rates = sample.groupBy().agg(F.avg("y").alias("rate"), F.countDistinct("y").alias("kinds")).first()
     if rates["kinds"] < 2:
-        return finish(docs.select("doc_id", F.lit(0.5 if rates["rate"] is None else float(rates["rate"])).alias("score")), mod, held, threshold)
+        return hashed.select("doc_id", "h", F.lit(0.5 if rates["rate"] is None else float(rates["rate"])).alias("score"))
     lexicon = sc.broadcast(learn_lexicon(sample.where("part < 4")))
     table = settle(sample.where("part >= 4").mapInArrow(_feature_rows(lexicon, ["y", "part"]), "y int, part int, x array<double>"))
     table = table.withColumn("features", array_to_vector("x"))
     if table.where("part < 8").select("y").distinct().count() < 2:
-        return finish(docs.select("doc_id", F.lit(float(rates["rate"])).alias("score")), mod, held, threshold)
+        return hashed.select("doc_id", "h", F.lit(float(rates["rate"])).alias("score"))
     gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=64, seed=seed, cacheNodeIds=False)
     model = gbt.fit(table.where("part < 8"))
     raw = vector_to_array(F.col("rawPrediction"))[1]
     cal = settle(model.transform(table.where("part >= 8")).select(raw.alias("raw"), F.col("y").cast("double").alias("y")))
-    rows = docs.mapInArrow(trimmed(_feature_rows(lexicon, ["doc_id"])), "doc_id long, x array<double>").withColumn("features", array_to_vector("x"))
-    scored = model.transform(rows).select("doc_id", raw.alias("raw"))
+    rows = hashed.mapInArrow(trimmed(_feature_rows(lexicon, ["doc_id", "h"])), "doc_id long, h long, x array<double>").withColumn("features", array_to_vector("x"))
+    scored = model.transform(rows).select("doc_id", "h", raw.alias("raw"))
     if cal.limit(1).count():
         rise = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score").fit(cal)
         scored = rise.transform(scored)
     else:
         scored = scored.withColumn("score", 1 / (1 + F.exp(-2 * F.col("raw"))))
-    return finish(scored.select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score")), mod, held, threshold)
-
+    return scored.select("doc_id", "h", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject. Rows without doc_id stay."""
-    from .ngram_join import without_ids
 
-    return without_ids(docs, score_toxicity(docs, labels, threshold).where("predicted = 1").select("doc_id"))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int = 3, held: int = 1, **options) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns. Each row is judged by its own text, also
+    without doc_id or where several rows share one."""
+    return without_rows(docs, _scored(docs, labels, mod, held, **options).where(F.col("score") >= threshold).select("doc_id", "h"))
