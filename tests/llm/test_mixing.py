@@ -59,8 +59,37 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert held == {i: n for i, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("sizes", [[40] * 6, [1, 2, 3, 5, 8, 13], [7, 200, 55, 120, 33, 90], [30_000, 10, 150, 4_000]])
+def test_small_sources_come_near_their_targets(spark, sizes):
+    """Sources of 1 to some hundred words, below one block of 128, take their target within 2 % or half a word."""
+    rows = [(s * 1000 + d, " ".join(f"w{j}" for j in range(d, n, 10)), f"s{s}") for s, n in enumerate(sizes) for d in range(min(10, n))]
+    got = mx.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    goals = mx.targets(sizes, [mx.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+    for s, (n, goal) in enumerate(zip(sizes, goals, strict=True)):
+        mine = [r for r in got if r["doc_id"] // 1000 == s]
+        assert sum(r["size"] for r in mine) == n and all(r["taken"] <= 2 * r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - goal) <= max(0.5, 0.02 * goal)
+
+
+def test_columns_whose_names_are_ours(spark):
+    rows = [(i, f"a{i} b c d e f", "s", 5, 6, 7, 8, 9) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, uses int, spans int, _id int, _h int, _key int")
+    out = mx.mix_documents(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {(5, 6, 7, 8, 9)}
+
+
+def test_a_very_long_text(spark):
+    """Five megabytes in one text are laid out and cut whole."""
+    long = " ".join(f"w{i % 997}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, "x y z", "a"), (3, None, "a"), (4, "", None)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mx.mix_report(docs).collect()}
+    assert got[1]["size"] == 1_000_000 and abs(got[1]["taken"] - 1_500_004) < 300 and got[3]["taken"] == got[4]["taken"] == 0
+    assert sum(len(r["text"].split()) for r in mx.mix_documents(docs).collect()) == got[1]["taken"] + got[2]["taken"]
+
+
 def test_odd_rows(odd, nothing):
-    assert mx.mix_report(odd).count() == 7
+    got = sorted(((r["doc_id"], r["size"], r["source_size"]) for r in mx.mix_report(odd).collect()), key=str)
+    assert got == sorted([(1, 12, 24), (1, 12, 24), (None, 12, 12), (None, 0, 24), (2, 0, 7), (2, 7, 7), (3, 0, 12)], key=str)
     assert mx.mix_documents(odd).columns == odd.columns
     assert mx.mix_report(nothing).count() == 0
     assert mx.mix_documents(nothing).count() == 0

@@ -1,13 +1,15 @@
 """Mixing sources to target weights, in fixed-length token blocks.
 
-Each source's documents are laid end to end and cut into blocks of ``block_words`` words (the last may be short). Output
-shards draw multinomial counts of blocks from the sources until each source has its share. A source's slots are mapped
+Each source's documents are laid end to end and cut into blocks of ``block_words`` words (the last may be short); a source
+under ``LEAST_BLOCKS`` such blocks is cut into blocks of a shorter length of its own, so that whole blocks come near its
+target. Output shards draw multinomial counts of blocks from the sources until each source has its share. A source's slots are mapped
 through a pseudorandom permutation of its block numbers (a new one for each pass over the source), and the blocks are
 joined to the slots by number. The join key is (source, block number), so a source that holds most rows is spread out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, positions, settle, trimmed
+from .common import WORD, mix, numbered, positions, settle, trimmed
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Blocks that a source is cut into at least, where it has as many words.
+LEAST_BLOCKS = 256
 #: Sources whose names and sums the driver holds at once.
 MAX_SOURCES = 200_000
 
@@ -70,11 +74,12 @@ def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slot_rows(offsets: np.ndarray, blocks: np.ndarray, ends: np.ndarray, seed: int):
-    """Global slot number -> source, block number, output shard, pass."""
+def _slot_rows(plan, seed: int):
+    """Global slot number -> source, block number, output shard, pass; ``plan`` is the broadcast (offsets, blocks, ends)."""
     schema = pa.schema([("source_no", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64()), ("pass", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets, blocks, ends = plan.value
         for b in batches:
             at = b.column(0).to_numpy()
             src = np.searchsorted(offsets, at, "right") - 1
@@ -106,18 +111,21 @@ class Mix:
         sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [int(r["size"]) for r in sums]
         goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-        blocks = [-(-s // block_words) for s in sizes]
+        lengths = [min(block_words, max(1, s // LEAST_BLOCKS)) for s in sizes]
+        blocks = [-(-s // n) for s, n in zip(sizes, lengths, strict=True)]
         slots = [min(round(g / s * b), int(most * b)) if s else 0 for g, s, b in zip(goals, sizes, blocks, strict=True)]
-        names = spark.createDataFrame([(r["source"], i, sizes[i], float(goals[i])) for i, r in enumerate(sums)], "name string, source_no int, source_size long, target double")
+        names = spark.createDataFrame([(r["source"], i, sizes[i], float(goals[i]), lengths[i]) for i, r in enumerate(sums)], "name string, source_no int, source_size long, target double, length int")
         rows = slim.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
         self.rows = settle(positions(rows, ["source_no"], ["doc_id", "h", "size"], F.col("size"), "start"))
         ends = np.cumsum(draw_counts(slots, shards, seed), axis=0) if slots else np.zeros((shards, 0), np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.array(slots, np.int64))])[:-1] if slots else np.zeros(0, np.int64)
-        drawn = spark.range(sum(slots)).mapInArrow(_slot_rows(offsets, np.maximum(1, np.array(blocks, np.int64)), ends, seed), "source_no int, block long, shard int, slot long, pass int")
-        first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-        parts = self.rows.where("size > 0").select("doc_id", "h", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-        begin = F.greatest(F.col("start"), F.col("block") * block_words)
-        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
+        held = spark.sparkContext.broadcast((offsets, np.maximum(1, np.array(blocks, np.int64)), ends))
+        drawn = spark.range(sum(slots)).mapInArrow(_slot_rows(held, seed), "source_no int, block long, shard int, slot long, pass int")
+        length = F.col("length")
+        first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)
+        parts = self.rows.where("size > 0").select("doc_id", "h", "source_no", "start", "size", "length", F.explode(F.sequence(first, last)).alias("block"))
+        begin = F.greatest(F.col("start"), F.col("block") * length)
+        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length)
         parts = parts.select("doc_id", "h", "source_no", "start", "block", (begin - F.col("start")).alias("word"), (end - begin).alias("words"))
         self.pieces = parts.join(drawn, ["source_no", "block"])
 
@@ -135,15 +143,14 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
-def _cut_texts():
-    import re
-
-    word = re.compile(WORD)
+def _cut_texts(names: list[str], text_name: str):
+    """Texts cut to their ``spans``; the other columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_name).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for s in sorted((s["word"], s["words"]) for s in spans):
                     if merged and merged[-1][1] == s[0]:
@@ -155,8 +162,7 @@ def _cut_texts():
                     out.append(text)
                 else:
                     out.append("\n".join(text[places[a][0] : places[z - 1][1]] for a, z in merged))
-            cols = [pa.array(out, pa.string()) if f.name == "text" else b.column(i) for i, f in enumerate(b.schema)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_name else b.column(n) for n in names], names=names)
 
     return run
 
@@ -165,16 +171,21 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each document and pass that the mix takes words of.
 
     The text is what that pass takes: the whole text, or the runs of words taken, joined by line feeds. ``n_chars``, where
-    present, is counted anew. Other columns are kept.
+    present, is counted anew. Other columns are kept, whatever their names. Repeated rows count as often as they stand
+    there; of rows with the same doc_id and text but other columns, one lends these to all.
     """
     plan = Mix(docs, **options)
     turn = plan.pieces.groupBy("doc_id", "h", "source_no", "start", "pass").agg(F.collect_list(F.struct("word", "words")).alias("spans"))
     # every copy of a row has its own place; the text is fetched once for all of them
     per = turn.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("uses")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "uses")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    rows, (doc, text) = numbered(docs, "doc_id", "text")
+    keyed = rows.withColumns({"_doc": F.col(doc).cast("long"), "_key": F.xxhash64(F.col(text).cast("string"))})
     if plan.rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "_key"])
-    met = keyed.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
-    spread = met.select(*docs.columns, F.explode("uses").alias("spans"))
-    cut = spread.mapInArrow(trimmed(_cut_texts()), spread.schema).drop("spans")
-    return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else cut
+        keyed = keyed.dropDuplicates(["_doc", "_key"])
+    met = keyed.join(per, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
+    spread = met.select(*rows.columns, F.explode("uses").alias("spans"))
+    cut = spread.mapInArrow(trimmed(_cut_texts(rows.columns, text)), rows.schema)
+    if "n_chars" in docs.columns:
+        _, (chars,) = numbered(docs, "n_chars")
+        cut = cut.withColumn(chars, F.length(text).cast(rows.schema[chars].dataType))
+    return cut.toDF(*docs.columns)
