@@ -77,6 +77,55 @@ def test_expectation_maximisation_finds_the_mixture():
     assert w.shape == (lm.BUCKETS, 3) and np.allclose(w.sum(1), 1) and w[3, 0] > 0.3 and w[3, 2] < 0.1
 
 
+def test_learned_weights_equal_a_plain_expectation_maximisation(spark, corpus):
+    """Deleted interpolation written out token by token, without bins, over the same held-out parts."""
+    rows = [(r[0], r[1]) for r in corpus]
+    seen = {}
+    learn, lm_learn = lm.learn_weights, lm.learn_weights
+    try:
+        lm.learn_weights = lambda cells, p0, **k: seen.setdefault("w", learn(cells, p0, **k))
+        lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).count()
+    finally:
+        lm.learn_weights = lm_learn
+    tokens, one, two = counts(corpus)
+    total, p0 = sum(one.values()), 1 / (len(one) + 1)
+    events = []
+    for f in range(lm.FOLDS):
+        part = [tokens[i] for n, (i, _) in enumerate(rows) if n % lm.FOLDS == f and not held(i)]
+        own1, own2 = Counter(t for x in part for t in x), Counter(p for x in part for p in zip([None, *x[:-1]], x, strict=True))
+        left = total - sum(own1.values())
+        for (a, b), n in own2.items():
+            c = one[a] - own1[a]
+            events.append((min(lm.BUCKETS - 1, math.ceil(math.log2(c + 1))), n, (two[a, b] - n) / max(1, c), (one[b] - own1[b]) / left, p0))
+
+    def em(rows, start, lean):
+        w = list(start)
+        for _ in range(60):
+            got = [2.0 * x for x in lean] if lean else [0.0] * 3
+            for _, n, *p in rows:
+                mass = [x * y for x, y in zip(w, p, strict=True)]
+                for k in range(3):
+                    got[k] += n * mass[k] / sum(mass)
+            w = [x / sum(got) for x in got]
+        return w
+
+    overall = em(events, [1 / 3] * 3, None)
+    for b in sorted({e[0] for e in events} - {0}):
+        assert seen["w"][b] == pytest.approx(em([e for e in events if e[0] == b], overall, overall), abs=0.02), b
+    assert seen["w"][0][0] == 0 and seen["w"].sum(1) == pytest.approx(np.ones(lm.BUCKETS))
+
+
+def test_bucket_of_unseen_contexts_has_no_bigram_weight():
+    cells = pd.DataFrame({"cell": [0, 3 * lm.BINS * lm.BINS], "n": [5.0, 9.0], "p2": [0.0, 3.0], "p1": [0.5, 0.2]})
+    w = lm.learn_weights(cells, 0.01)
+    assert w[0, 0] == 0 and np.allclose(w.sum(1), 1) and lm.learn_weights(cells.iloc[:0], 0.1)[0].tolist() == [0, 0.5, 0.5]
+
+
+def test_tables_are_dropped(spark, docs):
+    lm.score_documents(docs).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_blocks")]
+
+
 def test_packing_round_trip():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     assert (lm.unpack(lm.pack(keys)) == keys).all()
@@ -84,5 +133,14 @@ def test_packing_round_trip():
 
 
 def test_odd_rows(odd, nothing):
-    assert lm.score_documents(odd).count() == 7
+    """Null, empty and repeated rows have the end token, or their words, like any other."""
+    got = sorted(((r["doc_id"], r["n_tokens"], r["held_out"]) for r in lm.score_documents(odd).collect()), key=str)
+    assert got == sorted([(1, 13, held(1)), (1, 13, held(1)), (None, 13, held(None)), (None, 1, held(None)), (2, 1, held(2)), (2, 8, held(2)), (3, 1, held(3))], key=str)
     assert lm.score_documents(nothing).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """Five megabytes in one text: scored whole, as a block of its own."""
+    long = " ".join(f"w{i % 997}" for i in range(1_000_000))
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame([(1, long), (2, "w1 w2"), (5, long)], "doc_id long, text string")).collect()}
+    assert got[1]["n_tokens"] == 1_000_001 and got[2]["n_tokens"] == 3 and got[1]["score"] == pytest.approx(got[5]["score"])

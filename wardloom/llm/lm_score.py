@@ -4,10 +4,16 @@
 number of binary digits). The mixture weights of each bucket are learned by expectation-maximisation on held-out counts:
 every part (one of ``FOLDS``) of a block of documents is held out in turn, its own counts taken off those of the corpus.
 
+A context never seen has no bigram estimate; there the two others share the whole weight.
+
 Work flow. Documents are gathered in blocks and written once, bucketed by block, so that later passes need no shuffle of
 text. Each block sends its distinct n-grams with their counts, packed by hash range; each range sums them over the blocks
 and answers every block with the totals in the block's own order. A pass over blocks and answers gathers the events'
 histogram for the mixture weights, another scores the documents. All counts cover the whole training corpus.
+
+A block sends a row for each range in which it has n-grams. Ranges take ``RANGE_ENTRIES`` entries, from ``MAX_RANGES`` ranges
+on up to four times as many, so the rows grow in proportion to the input up to ``4 * MAX_RANGES * RANGE_ENTRIES`` entries
+(about 0.6 TB of text); beyond that they get shorter, but are never more than the entries themselves.
 """
 
 from __future__ import annotations
@@ -23,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ensure_checkpoint_dir, hash_words, mix, trimmed, words_of
+from .common import crc_mod, hash_words, mix, settle, trimmed, words_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6_000_000
 #: Parts of a block that are held out in turn.
 FOLDS = 4
-#: Entries that one hash range gets in the mean.
-RANGE_ENTRIES = 400_000
+#: Entries that one hash range gets in the mean, and the number of ranges from which it gets more.
+RANGE_ENTRIES, MAX_RANGES = 2_000_000, 16_384
 #: Context buckets, and steps of half an octave in which estimates are binned for the mixture weights.
 BUCKETS, BINS = 40, 64
 END = np.uint64(0x5DEECE66D1234567)
@@ -114,7 +120,8 @@ def _count_rows(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for at in range(b.num_rows):  # a block at a time
+                row = b.slice(at, 1).to_pylist()[0]
                 block = _block_of(row)
                 rows = []
                 for kind, keys, own in ((UNIGRAM, block.words, block.own_words), (BIGRAM, block.pairs, block.own_pairs)):
@@ -192,11 +199,12 @@ def _events(total: int, distinct: int):
 def learn_weights(cells: pd.DataFrame, p0: float, rounds: int = 60, prior: float = 2.0) -> np.ndarray:
     """Mixture weights (bucket x 3: bigram, unigram, uniform) by expectation-maximisation over held-out events.
 
-    Buckets with few events lean on the weights of all events together (``prior`` events' worth); a bucket of contexts
-    never seen has no bigram estimate.
+    Buckets with few events lean on the weights of all events together (``prior`` events' worth). In bucket 0, of contexts
+    never seen, the bigram estimate is always 0: it gets no weight, and the others add up to 1.
     """
     out = np.tile(np.array([1 / 3] * 3), (BUCKETS, 1))
     if not len(cells):
+        out[0] = 0.0, 0.5, 0.5
         return out
     n = cells["n"].to_numpy()
     p = np.column_stack([cells["p2"] / n, cells["p1"] / n, np.full(len(cells), p0)])
@@ -215,6 +223,8 @@ def learn_weights(cells: pd.DataFrame, p0: float, rounds: int = 60, prior: float
     for b in range(BUCKETS):
         mine = bucket == b
         out[b] = em(p[mine], n[mine], overall, overall) if mine.any() else overall
+    out[0, 0] = 0.0
+    out[0] /= out[0].sum()
     return out
 
 
@@ -244,29 +254,34 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     Words are runs of bytes other than space and \\t-\\r with A-Z in lower case; one end token follows, and stands as the
     context of the first word. Training documents are those whose crc32(doc_id) modulo ``mod`` is not ``held``. base_score
     and score are log10 probabilities under the smoothed unigram model of the contract and the interpolated model. Null,
-    empty and blank texts have the end token only. Repeated rows are counted and scored one by one. Only doc_id and text
-    are read. An empty table gives no rows; without training documents every estimate is the uniform one.
+    empty and blank texts have the end token only. Repeated rows are counted and scored one by one; equal texts get equal
+    scores. A very long text is a block of its own, whole. Only doc_id and text are read. An empty table gives no rows;
+    without training documents every estimate is the uniform one. The two tables of blocks and answers are managed tables
+    of the warehouse and are dropped when the scores are written.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), (crc_mod("doc_id", mod) == held).alias("held"), F.col("text").cast("string").alias("text"))
     name = f"lm_blocks_{uuid.uuid4().hex}"
-    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def kept(df: DataFrame, what: str) -> DataFrame:
-        df.write.bucketBy(parts, "block").option("path", f"{home}/{what}").option("compression", "zstd").saveAsTable(f"{name}_{what}")
+        df.write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(f"{name}_{what}")
         return spark.table(f"{name}_{what}")
 
-    blocks = kept(rows.mapInArrow(trimmed(_gather), "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts")
-    size = blocks.agg(F.sum("bytes")).first()[0] or 0
-    ranges = max(1, round(size / 5 / RANGE_ENTRIES))  # about five bytes of text for each entry
-    counts = blocks.mapInArrow(trimmed(_count_rows(ranges)), "kind int, range long, block long, keys binary, counts binary")
-    answers = counts.groupBy("kind", "range").applyInArrow(_sum_range, "kind int, range long, block long, totals binary, range_sum long, range_distinct long")
-    answers = kept(answers, "answers")
-    whole = answers.where(F.col("kind") == UNIGRAM).groupBy("range").agg(F.max("range_sum").alias("s"), F.max("range_distinct").alias("d")).agg(F.sum("s"), F.sum("d")).first()
-    total, distinct = int(whole[0] or 0), int(whole[1] or 0)
-    both = lambda f, schema: blocks.groupBy("block").cogroup(answers.select("kind", "range", "block", "totals").groupBy("block")).applyInPandas(f, schema)
-    cells = both(_events(total, distinct), EVENTS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
-    weights = learn_weights(cells.orderBy("cell").toPandas(), 1.0 / (distinct + 1))  # at most BUCKETS x BINS x BINS cells
-    return both(_scores(total, distinct, weights), SCORES)
-
+    try:
+        blocks = kept(rows.mapInArrow(trimmed(_gather), "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts")
+        size = blocks.agg(F.sum("bytes")).first()[0] or 0
+        entries = size / 5  # about five bytes of text for each entry
+        ranges = max(1, round(entries / min(4 * RANGE_ENTRIES, max(RANGE_ENTRIES, entries / MAX_RANGES))))
+        counts = blocks.mapInArrow(trimmed(_count_rows(ranges)), "kind int, range long, block long, keys binary, counts binary")
+        answers = counts.groupBy("kind", "range").applyInArrow(_sum_range, "kind int, range long, block long, totals binary, range_sum long, range_distinct long")
+        answers = kept(answers, "answers")
+        whole = answers.where(F.col("kind") == UNIGRAM).groupBy("range").agg(F.max("range_sum").alias("s"), F.max("range_distinct").alias("d")).agg(F.sum("s"), F.sum("d")).first()
+        total, distinct = int(whole[0] or 0), int(whole[1] or 0)
+        both = lambda f, schema: blocks.groupBy("block").cogroup(answers.select("kind", "range", "block", "totals").groupBy("block")).applyInPandas(f, schema)
+        cells = both(_events(total, distinct), EVENTS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
+        weights = learn_weights(cells.orderBy("cell").toPandas(), 1.0 / (distinct + 1))  # at most BUCKETS x BINS x BINS cells
+        return settle(both(_scores(total, distinct, weights), SCORES))
+    finally:
+        for what in ("texts", "answers"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{what}")
