@@ -143,11 +143,11 @@ def shard_number(h: Column, cuts: list[int]) -> Column:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, size in bytes (UTF-8 text plus ``ROW_BYTES``; null: ``ROW_BYTES``), text_crc32 (null for null) and the hash of the text."""
-    text = F.col("text").cast("string")
+    """doc_id, size in bytes (UTF-8 text plus ``ROW_BYTES``), text_crc32 and the hash of the text; a null text counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
+        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
@@ -156,9 +156,9 @@ def describe(docs: DataFrame) -> DataFrame:
 def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null).
 
-    Equal texts (null is one of them) share a shard; the largest shard is as small as the order allows. Slots run from 0
-    without gaps in each shard, in an order that only the row decides; identical rows may swap. Other columns are not read.
-    An empty table gives no rows.
+    Equal texts share a shard, and so do null and empty ones, whose text_crc32 is that of no bytes, 0; the largest shard is
+    as small as the order allows. Slots run from 0 without gaps in each shard, in an order that only the row decides;
+    identical rows may swap. A very long text is one atom, whole. Other columns are not read. An empty table gives no rows.
     """
     rows = settle(describe(docs))
     cuts, _ = find_cuts(rows, shards)
@@ -171,5 +171,5 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> list[int]:
     """Write ``docs`` as Parquet under ``path/shard=N`` and return the cuts; a column named shard is replaced."""
     cuts, _ = find_cuts(settle(describe(docs)), shards)
-    docs.withColumn("shard", shard_number(F.xxhash64(F.col("text").cast("string")), cuts)).write.partitionBy("shard").parquet(path)
+    docs.withColumn("shard", shard_number(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), cuts)).write.partitionBy("shard").parquet(path)
     return cuts
