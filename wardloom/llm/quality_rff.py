@@ -97,7 +97,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     """One row for each row of ``docs``: doc_id, held_out, score (chance of quality 1), predicted (score >= threshold).
 
     Null, empty and blank texts have all statistics 0 and are scored as such. Labels of documents whose crc32(doc_id)
-    modulo ``mod`` is ``held`` are never used. Repeated rows are scored alike; ties in the score stay ties. Only doc_id
+    modulo ``mod`` is ``held`` are never used. Repeated rows are scored alike; ties in the score stay ties; very
+    long texts are read whole. Only doc_id
     and text are read of ``docs``. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, mod, held, **options))

@@ -1,7 +1,8 @@
 """Quality rules: exact counts and a hashed n-gram logistic regression.
 
-Words, word pairs and runs of four bytes are hashed to ``BUCKETS`` weights each. The model is trained by AdaGrad in each
-partition of a bounded labelled sample; the partitions' weights are averaged between rounds. A logistic calibration on
+Words, word pairs and runs of four bytes are hashed to ``BUCKETS`` weights each. The model is trained by AdaGrad in each of
+``GROUPS`` parts of a bounded labelled sample, in the order of doc_ids; the parts' weights are averaged between rounds, so
+that reruns agree. A logistic calibration on
 labelled rows that the training did not see turns its score into a probability, which is held against a fixed threshold.
 """
 
@@ -20,7 +21,7 @@ from .training import MAX_LABELLED, labelled_sample
 
 BUCKETS = 1 << 17
 FAMILIES = 3
-PARTITIONS = 4
+GROUPS = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -44,9 +45,13 @@ def logit(parts: list[np.ndarray], w: np.ndarray) -> float:
 
 
 def _train(start, epochs: int, rate: float, l2: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of one part of the sample, and its number of rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("g")[0].as_py()
+        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
         rows = []
-        for b in batches:
+        for b in table.to_batches():
             for y, text in zip(b.column("y").to_pylist(), binary_column(b, "text"), strict=True):
                 ids, weight = [], []
                 for p in features(text):
@@ -67,8 +72,7 @@ def _train(start, epochs: int, rate: float, l2: float):
                 w[ids] -= rate * g / np.sqrt(squares[ids])
                 squares[-1] += miss * miss
                 w[-1] -= rate * miss / np.sqrt(squares[-1])
-        if rows:
-            yield pa.record_batch([pa.array([len(rows)], pa.int64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
+        return pa.table({"g": pa.array([part], pa.int32()), "n": pa.array([len(rows)], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
     return run
 
@@ -101,15 +105,16 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 2, epochs: int = 3, rate: float = 2.0, l2: float = 1e-5) -> tuple[np.ndarray, float, float]:
     """(weights, slope, intercept). Without labelled rows of both kinds everything passes."""
     sc = docs.sparkSession.sparkContext
-    table = settle(labelled_sample(docs, labels, "quality", 1, -1, max_labelled).repartition(PARTITIONS).select("y", "part", "text"))
+    table = settle(labelled_sample(docs, labels, "quality", 1, -1, max_labelled).select("y", "part", "doc_id", F.xxhash64("text").alias("h"), "text"))
     w = np.zeros(FAMILIES * BUCKETS + 1, np.float32)
     if table.select("y").distinct().count() < 2:
         return w, 0.0, 30.0
+    train = table.where("part < 8").select((F.col("part") % GROUPS).alias("g"), "y", "doc_id", "h", "text")
     for _ in range(rounds):
-        got = table.where("part < 8").select("y", "text").mapInArrow(_train(sc.broadcast(w), epochs, rate, l2), "n long, w binary").collect()  # a row for each of few partitions
+        got = sorted(train.groupBy("g").applyInArrow(_train(sc.broadcast(w), epochs, rate, l2), "g int, n long, w binary").collect())  # a row for each of few parts
         if got:
             w = sum(np.frombuffer(r["w"], np.float32) * (r["n"] / sum(r["n"] for r in got)) for r in got).astype(np.float32)
-    cal = table.where("part >= 8").select("y", "text").mapInArrow(_raw_rows(sc.broadcast(w)), "y int, raw double").toPandas()
+    cal = table.where("part >= 8").select("y", "text").mapInArrow(_raw_rows(sc.broadcast(w)), "y int, raw double").toPandas().sort_values(["raw", "y"])
     return w, *platt(cal["raw"].to_numpy(float), cal["y"].to_numpy(float))
 
 
@@ -133,7 +138,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **op
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed and
     the model's probability of quality 1 is at least ``threshold``. Null, empty and blank texts have no words and fail.
-    Repeated rows are judged alike. Only doc_id and text are read of ``docs``. An empty table gives no rows.
+    Repeated rows are judged alike, a score at the threshold is kept, very long texts are read whole. Only doc_id and text are read of ``docs``. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
