@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_format import format_digest
 from .decontaminate import contained_items
@@ -59,6 +60,42 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digest(rows.unionByName(extra))
 
 
+#: The windows by a walk over each conversation's turns, and the digests straight from the table. Lengths of a turn as written: 4
+#: for "### ", 2 for ":\n", 8 for "</turn>\n".
+OP6_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\0'), '#', '\1'), '<', '\2') AS safe,
+    length(role) + len(regexp_extract_all(role, '[\\#<:\n]')) + 14 AS frame,
+    len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}{1,3}|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]')) + 4 AS tokens FROM raw
+), placed AS (
+  SELECT *, frame + length(safe) AS chars, row_number() OVER w - 1 AS i, sum(tokens) OVER w AS upto FROM escaped
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, safe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), convs AS (
+  SELECT conv_id, count(*) AS n, (max(role) FILTER (WHERE i = 0) = 'system')::INT AS lead, CASE WHEN max(role) FILTER (WHERE i = 0) = 'system' THEN max(tokens) FILTER (WHERE i = 0) ELSE 0 END AS head,
+    CASE WHEN max(role) FILTER (WHERE i = 0) = 'system' THEN max(chars) FILTER (WHERE i = 0) ELSE 0 END AS lead_chars FROM placed GROUP BY conv_id
+), t AS (
+  SELECT p.conv_id, i, lead, head, upto, upto - tokens AS before, chars, lag(upto - tokens, 1) OVER w AS before1, lag(upto - tokens, 2) OVER w AS before2, lag(chars, 1) OVER w AS chars1, lag(chars, 2) OVER w AS chars2
+  FROM placed p JOIN convs USING (conv_id) WINDOW w AS (PARTITION BY p.conv_id ORDER BY i)
+), b AS (
+  SELECT *, CASE WHEN i - 2 >= lead AND before - before2 <= 128 AND head + upto - before2 <= 512 THEN 2 WHEN i - 1 >= lead AND before - before1 <= 128 AND head + upto - before1 <= 512 THEN 1 ELSE 0 END AS back FROM t
+), walk(conv_id, i, base, opens) AS (
+  SELECT conv_id, i, before, FALSE FROM b WHERE i = lead
+  UNION ALL
+  SELECT b.conv_id, b.i, CASE WHEN head + upto - base <= 512 THEN base WHEN back = 2 THEN before2 WHEN back = 1 THEN before1 ELSE before END, head + upto - base > 512
+  FROM walk JOIN b ON b.conv_id = walk.conv_id AND b.i = walk.i + 1
+), windows AS (
+  SELECT conv_id, count(*) FILTER (WHERE opens) AS more, sum(CASE WHEN opens AND back >= 1 THEN chars1 ELSE 0 END + CASE WHEN opens AND back = 2 THEN chars2 ELSE 0 END) AS again FROM walk JOIN b USING (conv_id, i) GROUP BY conv_id
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + coalesce(any_value(more * lead_chars + again), 0))::BIGINT AS formatted_chars, (1 + coalesce(any_value(more), 0))::BIGINT AS n_windows
+FROM placed JOIN convs USING (conv_id) LEFT JOIN windows USING (conv_id) GROUP BY conv_id
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts of all documents, and which of them the rules and the n-gram model keep."""
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -80,8 +117,9 @@ WITH plain AS (
 ), words AS (
   SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM plain
 ), shingles AS (
-  SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS s
-  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+  SELECT DISTINCT kind, id, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT kind, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS k)
+    WHERE len(w) >= k AND (k = 5 OR kind = 'i' AND len(w) = k OR kind = 'd' AND k IN (SELECT len(w) FROM words WHERE kind = 'i')))
 ), items AS (
   SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i'
 )
@@ -96,6 +134,96 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+# --- the parts of operators 2, 3, 5, 8, 9 and 10 that SQL can express, as the operators themselves return them --------------
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: crc32 of an id's decimal text, by the table of its polynomial.
+_CRC = """WITH steps AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, x)) AS t
+), folds AS (
+  SELECT doc_id, xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, b: xor(t[xor(c % 256, b) + 1], c // 256), 4294967295)) AS crc FROM documents, steps
+)"""
+
+
+def lm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2's folds, counts and unigram scores."""
+    got = op2_lm_scoring(spark, sf_dir)
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 3) + 0.0).alias("base_score"))
+
+
+LM_SQL = _CRC + f""", tokens AS (
+  SELECT doc_id, crc % 7 = 2 AS held_out, unnest(list_append({_WORDS.format(f"coalesce({_LOWER}, '')")}, '')) AS t FROM documents JOIN folds USING (doc_id)
+), counts AS (SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t), whole AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 1.0::DOUBLE) / (n + v + 1))), 3) + 0.0 AS base_score
+FROM tokens LEFT JOIN counts USING (t), whole GROUP BY ALL
+"""
+
+
+def shard_row_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3's sizes and law, and how many shards each document's text stands in."""
+    got = op3_minimax_sharding(spark, sf_dir)
+    spread = got.groupBy(F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(F.countDistinct("shard").alias("shards"))
+    return got.join(spread, F.col("text_crc32").eqNullSafe(F.col("_crc")) & (F.col("size") == F.col("_size"))).select("doc_id", "size", "law", "shards")
+
+
+SHARD_SQL = "SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, 'bytes' AS law, 1::BIGINT AS shards FROM documents"
+
+
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5's documents and folds."""
+    return op5_quality_classifier(spark, sf_dir).select("doc_id", "held_out")
+
+
+def toxicity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10's documents and folds."""
+    return op10_toxicity(spark, sf_dir).select("doc_id", "held_out")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8's counts and base rules."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+flat AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d),
+runs AS (SELECT doc_id, i, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o AS run FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY run IS NOT NULL),
+twice AS (SELECT doc_id, i FROM runs JOIN (SELECT doc_id, run FROM runs GROUP BY ALL HAVING count(*) > 1) USING (doc_id, run)),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) t(j) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9's sizes and targets, and whether each source's taken words come within 2 % (or a word) of its target."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source")
+    got = op9_source_mixing(spark, sf_dir).join(sized, "doc_id")
+    sums = got.groupBy(F.col("source").alias("_s")).agg(F.sum("taken").alias("_all"))
+    near = F.abs(F.col("_all") - F.col("target")) <= F.greatest(F.lit(1.0), 0.02 * F.col("target"))
+    out = got.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("_s")))
+    return out.select("doc_id", "size", "source_size", (F.round("target", 6) + 0.0).alias("target"), near.alias("near"), (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+levels AS (
+  SELECT 2.0::DOUBLE * size / w AS r, (1.5::DOUBLE * sum(size) OVER () - coalesce(sum(2 * size) OVER (ORDER BY 2.0::DOUBLE * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY 2.0::DOUBLE * size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sums WHERE size > 0
+),
+goals AS (SELECT source, size AS source_size, least(2.0::DOUBLE * size, w * (SELECT arg_min(level, r) FROM levels WHERE level <= r)) AS target FROM sums)
+SELECT doc_id, size, source_size, round(target, 6) + 0.0 AS target, TRUE AS near, TRUE AS within FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -107,8 +235,21 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
+    "lm_base_counts": lm_base_counts,
+    "shard_row_sizes": shard_row_sizes,
+    "quality_folds": quality_folds,
+    "rule_counts": rule_counts,
+    "mix_targets": mix_targets,
+    "toxicity_folds": toxicity_folds,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "lm_base_counts": LM_SQL,
+    "shard_row_sizes": SHARD_SQL,
+    "quality_folds": _CRC + " SELECT doc_id, crc % 5 = 0 AS held_out FROM folds",
+    "rule_counts": RULES_SQL,
+    "mix_targets": MIX_SQL,
+    "toxicity_folds": _CRC + " SELECT doc_id, crc % 3 = 1 AS held_out FROM folds",
 }
