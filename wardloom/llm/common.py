@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +45,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_database(spark: SparkSession) -> str:
+    """The name of a new database in the shared folder; its tables go, with their data, when they or it are dropped."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{ensure_checkpoint_dir(spark).rstrip('/')}/{name}'")
+    return name
+
+
 def numbered(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     """``docs`` with its columns renamed c0, c1, ..., which can't clash with ours, and the new names of those wanted.
 

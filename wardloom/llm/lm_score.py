@@ -18,7 +18,6 @@ on up to four times as many, so the rows grow in proportion to the input up to `
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_words, mix, settle, trimmed, words_of
+from .common import crc_mod, hash_words, mix, scratch_database, settle, trimmed, words_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 6_000_000
@@ -256,17 +255,17 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     and score are log10 probabilities under the smoothed unigram model of the contract and the interpolated model. Null,
     empty and blank texts have the end token only. Repeated rows are counted and scored one by one; equal texts get equal
     scores. A very long text is a block of its own, whole. Only doc_id and text are read. An empty table gives no rows;
-    without training documents every estimate is the uniform one. The two tables of blocks and answers are managed tables
-    of the warehouse and are dropped when the scores are written.
+    without training documents every estimate is the uniform one. The two tables of blocks and answers lie in a
+    database of their own in the shared folder, which is dropped when the scores are written.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), (crc_mod("doc_id", mod) == held).alias("held"), F.col("text").cast("string").alias("text"))
-    name = f"lm_blocks_{uuid.uuid4().hex}"
+    home = scratch_database(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def kept(df: DataFrame, what: str) -> DataFrame:
-        df.write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(f"{name}_{what}")
-        return spark.table(f"{name}_{what}")
+        df.write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(f"{home}.{what}")
+        return spark.table(f"{home}.{what}")
 
     try:
         blocks = kept(rows.mapInArrow(trimmed(_gather), "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts")
@@ -283,5 +282,4 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
         weights = learn_weights(cells.orderBy("cell").toPandas(), 1.0 / (distinct + 1))  # at most BUCKETS x BINS x BINS cells
         return settle(both(_scores(total, distinct, weights), SCORES))
     finally:
-        for what in ("texts", "answers"):
-            spark.sql(f"DROP TABLE IF EXISTS {name}_{what}")
+        spark.sql(f"DROP DATABASE {home} CASCADE")

@@ -153,17 +153,17 @@ def _posting_rows(k: int, pct: int, frequent):
 
 
 def _array_rows(k: int):
-    schema = pa.schema([("k1", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("k1", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):  # long sets: few rows in a batch
                 part = b.slice(at, 256)
                 rows = []
-                for text, rep, k1, k2 in zip(binary_column(part, "text"), part.column("rep").to_pylist(), part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True):
+                for text, k1, k2 in zip(binary_column(part, "text"), part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True):
                     got = shingle_set(text, k)
                     if _keys(got) == (k1, k2):
-                        rows.append((k1, rep, got.tobytes()))
+                        rows.append((k1, got.tobytes()))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -256,7 +256,7 @@ def divide_skip(sets: list[np.ndarray], pct: int, weight: np.ndarray | None = No
 
 
 def _search(pct: int, every: bool):
-    """Links of one cell, or of a pair of its blocks: (k1, links) sums and (u, v) pairs that connect."""
+    """Links of one cell, or of a pair of its blocks: (k1, links) sums and (u, v) pairs of classes that connect."""
     schema = pa.schema([("k1", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -277,21 +277,20 @@ def _search(pct: int, every: bool):
             return out
 
         links, tree, _ = divide_skip(sets, pct, np.array(take("weight"), np.int64), apart, every)
-        rep = take("rep")
         some = np.flatnonzero(links) if every else np.empty(0, np.int64)
         none = [None] * len(tree)
         return pa.table([
             pa.array([*k1[some].tolist(), *none], pa.int64()), pa.array([*links[some].tolist(), *none], pa.int64()),
-            pa.array([None] * len(some) + [rep[a] for a, _ in tree], pa.int64()), pa.array([None] * len(some) + [rep[b] for _, b in tree], pa.int64()),
+            pa.array([None] * len(some) + [int(k1[a]) for a, _ in tree], pa.int64()), pa.array([None] * len(some) + [int(k1[b]) for _, b in tree], pa.int64()),
         ], schema=schema)
 
     return run
 
 
 def _near_hub(pct: int, every: bool):
-    """(k1, hub, rep, hub_rep) of members within the ball around their hub: half the distance allowed where every link is
+    """(k1, hub) of members within the ball around their hub: half the distance allowed where every link is
     counted, else all of it."""
-    schema = pa.schema([("k1", pa.int64()), ("hub", pa.int64()), ("rep", pa.int64()), ("hub_rep", pa.int64())])
+    schema = pa.schema([("k1", pa.int64()), ("hub", pa.int64())])
     part = 2 if every else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +329,7 @@ def document_links(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     A document is a doc_id with its set of shingles, so repeated rows count once. Rows without shingles have no links;
     n_links is null where doc_id is.
     """
-    return _join(docs, k, pct, id_col, text_col, max_frequent, every=True).drop("h")
+    return _join(docs, k, pct, id_col, text_col, max_frequent, every=True).drop("h", "group")
 
 
 def _cells(docs: DataFrame, k: int, pct: int, frequent) -> DataFrame:
@@ -356,25 +355,26 @@ def _cells(docs: DataFrame, k: int, pct: int, frequent) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(k1, rep, shingles) of the classes ``wanted(k1, k2, rep)``, read from the text of one of their documents."""
+    """(k1, shingles) of the classes ``wanted(k1, k2, rep)``, read from the text of one of their documents."""
     wanted = wanted.select("k1", "k2", F.col("rep").alias("id"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    texts = docs.join(wanted, "id").select(F.col("id").alias("rep"), "k1", "k2", "text")
-    return texts.mapInArrow(trimmed(_array_rows(k)), "k1 long, rep long, shingles binary")
+    texts = docs.join(wanted, "id").select("k1", "k2", "text")
+    return texts.mapInArrow(trimmed(_array_rows(k)), "k1 long, shingles binary")
 
 
 def _balls(docs: DataFrame, big: DataFrame, classes: DataFrame, k: int, pct: int, every: bool) -> DataFrame:
-    """(k1, hub, rep, hub_rep): members of large cells that lie in the ball around their hub."""
+    """(k1, hub): members of large cells that lie in the ball around their hub."""
     members = big.select("hub", "k1").distinct()
     wanted = settle(members.select("k1").distinct().join(classes, "k1"))
     arrays = settle(_arrays(docs, wanted, k))
-    hubs = members.select("hub").distinct().join(arrays, F.col("hub") == F.col("k1")).select("hub", F.col("rep").alias("hub_rep"), F.col("shingles").alias("middle"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hubs = members.select("hub").distinct().join(arrays, F.col("hub") == F.col("k1")).select("hub", F.col("shingles").alias("middle"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = members.join(arrays, "k1").withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(hubs, ["hub", "salt"])
-    return settle(rows.select("k1", "hub", "rep", "hub_rep", "shingles", "middle").mapInArrow(trimmed(_near_hub(pct, every)), "k1 long, hub long, rep long, hub_rep long").distinct())
+    return settle(rows.select("k1", "hub", "shingles", "middle").mapInArrow(trimmed(_near_hub(pct, every)), "k1 long, hub long").distinct())
 
 
 def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, max_frequent: int, every: bool) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, h) of all rows, h the hash of the text; without ``every`` n_links means nothing."""
+    """(doc_id, n_shingles, component_id, n_links, h, group) of all rows: h is the hash of the text, group names the
+    component by one of its classes, so that it holds texts apart that share a doc_id; without ``every`` n_links means nothing."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     hashed = docs.withColumn("h", text_hash(F.col("text")))
@@ -391,7 +391,7 @@ def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, max_fre
     wanted = settle(cells.groupBy("k1").agg(F.collect_list("cell").alias("cells")).join(classes, "k1"))
     width = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK_MEMBERS)), BLOCK_SHINGLES / F.pow(F.lit(100.0 / pct), F.col("band") + 1)))
     small, big = cells.where(F.col("members") <= width), cells.where(F.col("members") > width)
-    near = _balls(docs, big, classes, k, pct, every) if big.limit(1).count() else spark.createDataFrame([], "k1 long, hub long, rep long, hub_rep long")
+    near = _balls(docs, big, classes, k, pct, every) if big.limit(1).count() else spark.createDataFrame([], "k1 long, hub long")
     balls = settle(near.groupBy("k1").agg(F.min("hub").alias("ball")))
     big = big.join(balls, "k1", "left").withColumn("inside", F.col("ball").eqNullSafe(F.col("hub")))
     counts = big.groupBy("cell", "band").agg(F.ceil(F.count_if(~F.col("inside")) / F.first(width)).alias("rest"), F.ceil(F.count_if(F.col("inside")) / F.first(width)).alias("balls"))
@@ -407,21 +407,23 @@ def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, max_fre
     placed = placed.join(wanted.select("k1", "cells", "weight"), "k1").join(balls, "k1", "left").join(_arrays(docs, wanted, k), "k1")
     found = settle(placed.groupBy("cell", "i", "j").applyInArrow(_search(pct, every), "k1 long, links long, u long, v long"))
 
-    edges = found.where("u is not null").select("u", "v").unionByName(near.where("k1 <> hub").select(F.col("rep").alias("u"), F.col("hub_rep").alias("v")))
-    labels = connected_components(edges)
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", "weight", F.coalesce("component", "rep").alias("component_id"))
+    edges = found.where("u is not null").select("u", "v").unionByName(near.where("k1 <> hub").select(F.col("k1").alias("u"), F.col("hub").alias("v")))
+    labels = settle(connected_components(edges).select(F.col("node").alias("k1"), F.col("component").alias("group")))
+    least = labels.join(classes.select("k1", "rep"), "k1").groupBy(F.col("group").alias("_group")).agg(F.min("rep").alias("least"))
+    labels = labels.join(least, F.col("group") == F.col("_group")).select("k1", "group", "least")
+    named = classes.join(labels, "k1", "left").select("k1", "k2", "weight", F.coalesce("group", "k1").alias("group"), F.coalesce("least", "rep").alias("component_id"))
     searched = found.where("k1 is not null").groupBy("k1").agg(F.sum("links").alias("links"))
     # all members of a ball are linked with each other
     inside = balls.join(wanted.select("k1", "weight"), "k1")
     whole = inside.groupBy(F.col("ball").alias("_ball")).agg(F.sum("weight").alias("_all"))
     inside = inside.join(whole, F.col("ball") == F.col("_ball")).select("k1", (F.col("_all") - F.col("weight")).alias("mates"))
-    named = settle(named.join(searched, "k1", "left").join(inside, "k1", "left").select("k1", "k2", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0)) + F.coalesce("mates", F.lit(0))).alias("n_links")))
+    named = settle(named.join(searched, "k1", "left").join(inside, "k1", "left").select("k1", "k2", "group", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0)) + F.coalesce("mates", F.lit(0))).alias("n_links")))
     out = rows.join(named, ["k1", "k2"], "left")
     there, full = F.col("id").isNotNull(), F.col("n") > 0
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(there, F.when(full, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"),
-        F.when(there, F.when(full, F.col("n_links")).otherwise(F.lit(0))).alias("n_links"), "h",
+        F.when(there, F.when(full, F.col("n_links")).otherwise(F.lit(0))).alias("n_links"), "h", "group",
     )
 
 
@@ -432,24 +434,26 @@ OWN_IDS = 1 << 62
 def near_duplicate_keep(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of near copies is kept: that of the smallest doc_id.
 
-    Of rows of a group that share this doc_id one stays (of the text with the least hash). Rows without doc_id come after
+    Of rows of a group that share this doc_id one stays (of the text with the least hash); other texts of the doc_id, which
+    are in no group with it, are not touched. Rows without doc_id come after
     all others. Rows without shingles (null, empty, blank texts) are no copies and all stay.
     """
     rows, (doc, text) = numbered(docs, "doc_id", "text")
     h = text_hash(F.col(text))
     own = F.coalesce(F.col(doc).cast("long"), F.lit(OWN_IDS) + h.bitwiseAND(OWN_IDS - 1))
     keyed = rows.select(own.alias("own"), F.col(text).cast("string").alias("text"))
-    groups = settle(_join(keyed, k, pct, "own", "text", 200_000, every=False).where("n_shingles > 0").select("doc_id", "h", "component_id"))
+    groups = settle(_join(keyed, k, pct, "own", "text", 200_000, every=False).where("n_shingles > 0").select("doc_id", "h", "group", "component_id"))
     # groups in which the smallest doc_id has several rows: few, and mostly none
-    several = settle(groups.where("doc_id = component_id").groupBy("component_id").agg(F.count("*").alias("c"), F.min("h").alias("first")).where("c > 1"))
-    others = groups.where("doc_id = component_id").join(several, "component_id").where("h <> first")
+    first = groups.where("doc_id = component_id")
+    several = settle(first.groupBy("group").agg(F.count("*").alias("c"), F.first("doc_id").alias("only"), F.min("h").alias("first")).where("c > 1"))
+    others = first.join(several, "group").where("h <> first")
     gone = settle(groups.where("doc_id <> component_id").select("doc_id", "h").unionByName(others.select("doc_id", "h")).distinct())
     kept = rows.withColumns({"own": own, "h": h})
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
     kept = kept.join(gone, (F.col("own") == F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
     if several.limit(1).count():
-        again = several.select(F.col("component_id").alias("twice_id"), F.col("first").alias("twice_h"))
+        again = several.select(F.col("only").alias("twice_id"), F.col("first").alias("twice_h"))
         twice = (F.col("own") == F.col("twice_id")) & (F.col("h") == F.col("twice_h"))
         kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["own", "h"]))
     return kept.select(*rows.columns).toDF(*docs.columns)
