@@ -171,3 +171,83 @@ def test_seeds(spark):
     assert got == dict(enumerate(seeds.stream(1, "chain", 5)))
     with pytest.raises(TypeError):
         seeds.derive(True, "x", 0)
+
+
+def test_kendall_counts_every_pair(spark):
+    rng = np.random.default_rng(4)
+    for n, spread in ((0, 5), (1, 5), (2, 5), (300, 12), (300, 10_000)):
+        a, b = rng.integers(0, spread, n), rng.integers(0, spread, n)
+        s = int(sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(n) for j in range(i)))
+        assert exp.concordance(a, b) == s
+        rows = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "item long, a long, b long")
+        assert exp.kendall_tau(rows.repartition(3)).first()["tau"] == pytest.approx(s / (n * (n - 1) / 2) if n > 1 else 1.0)
+
+
+def test_orders_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from wardloom.operators import ordering
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(0, 40)), float(rng.normal())) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k long, v double").repartition(5)
+    got = {r["id"]: r["n"] for r in ordering.numbered(df, "n", F.desc("k"), F.col("id")).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[0]))] and sorted(got.values()) == list(range(1, 501))
+    top = {r["id"]: r["m"] for r in ordering.running(df, "m", F.col("v"), F.max, [F.col("k"), F.col("id")], inclusive=False).collect()}
+    so_far = None
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert top[i] == so_far
+        so_far = v if so_far is None else max(so_far, v)
+    assert ordering.numbered(df.where("id < 0"), "n", F.col("k")).count() == 0
+
+
+def test_effective_size_follows_the_definition(spark):
+    """Correlated chains: the sums of pairs of correlations, computed lag by lag, cut at the first that is not positive."""
+    rng = np.random.default_rng(9)
+    chains = []
+    for _ in range(4):
+        x = [rng.normal()]
+        for _ in range(119):
+            x.append(0.6 * x[-1] + rng.normal())
+        chains.append(np.array(x))
+    rows = [("m", c, d, float(v)) for c, x in enumerate(chains) for d, v in enumerate(x)] + [("flat", c, d, float(c)) for c in range(4) for d in range(10)] + [("same", c, d, 2.0) for c in range(4) for d in range(10)]
+    got = {r["metric"]: r["ess"] for r in conv.ess(spark.createDataFrame(rows, "metric string, chain long, draw long, value double")).collect()}
+    halves = [h for x in chains for h in (x[:60], x[60:])]
+    order = np.argsort(np.argsort(np.concatenate(halves))) + 1
+    z = np.array([NormalDist().inv_cdf((r - 0.375) / (480 - 0.25)) for r in order]).reshape(8, 60)
+    cov = [np.mean([sum((h[i] - h.mean()) * (h[i + t] - h.mean()) for i in range(60 - t)) / 60 for h in z]) for t in range(60)]
+    within = cov[0] * 60 / 59
+    total = 59 / 60 * within + z.mean(1).var(ddof=1)
+    rho = [1.0] + [1 - (within - c) / total for c in cov[1:]]
+    tau, least = -1.0, math.inf
+    for k in range(30):
+        pair = rho[2 * k] + rho[2 * k + 1]
+        if k and pair <= 0:
+            break
+        least = min(least, pair)
+        tau += 2 * least
+    assert got["m"] == pytest.approx(480 / max(tau, 1 / math.log10(480)))
+    assert got["flat"] == 0 and math.isnan(got["same"])
+
+
+def test_degeneracy_of_all_measures(spark):
+    from wardloom.operators import administrative as adm
+
+    frame = lambda rows: spark.createDataFrame(rows, "unit long, parent long")
+    say = lambda rows, *a: {r["metric"]: (r["constant"], r["computable"], r["value"]) for r in adm.degeneracy_report(frame(rows), *a).collect()}
+    county = say([(u, u // 4) for u in range(40)], 1, 4)
+    assert county["county_splits"] == (False, True, None) and county["ballot_styles"] == (True, True, 4) and county["ballot_styles_by_subdivision"] == (False, True, None) and county["n_subdivisions"] == (True, True, 10)
+    single = say([(u, u) for u in range(9)], 2)
+    assert single["county_splits"] == (True, True, 0) and single["split_pieces"] == (True, True, 9) and single["ballot_styles"] == (False, True, None) and single["n_layers"] == (True, True, 2)
+    bare = say([(0, None), (1, None)], 1, 2)
+    assert bare["split_pieces"] == (True, True, 0) and bare["ballot_styles_by_subdivision"] == (True, False, 0) and bare["n_units_in_no_subdivision"] == (True, True, 2)
+    partly = say([(0, None), (1, 5), (2, 5)], 1, 2)
+    assert partly["ballot_styles_by_subdivision"] == (False, False, None) and partly["excess_pieces"] == (False, True, None)
+    reasons = {r["metric"]: r["reason"] for r in adm.degeneracy_report(frame([(0, None), (1, 5), (2, 5)]), 2).collect()}
+    assert reasons["county_splits"] is None and reasons["ballot_styles"] is None and reasons["ballot_styles_by_subdivision"] and reasons["n_units"]
+    plans = spark.createDataFrame([(1, u, 1 + u // 20) for u in range(40)], "plan long, unit long, district int")
+    voters = spark.createDataFrame([(u, 50) for u in range(40)], "unit long, voters long")
+    r = adm.admin_report(plans, frame([(u, u // 4) for u in range(40)]), voters).first()
+    assert (r["county_splits"], r["split_pieces"], r["excess_pieces"], r["ballot_styles"], r["ballot_styles_by_subdivision"], r["ballot_styles_per_10k"], r["n_units"], r["n_districts"]) == (0, 10, 0, 2, 10, 10.0, 40, 2)
+    with pytest.raises(ValueError):
+        adm.admin_report(plans, frame([(u, 1) for u in range(40)]), voters.selectExpr("unit", "0L as voters"))

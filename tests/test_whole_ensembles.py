@@ -48,7 +48,7 @@ def test_moves_of_all_plans(spark, home, plans):
         held = {k: sum(pop[u] for u in d if d[u] == k) for k in range(1, 9)}
         for u, a, b in moves_of(d, edges):
             want[p, u, a, b] = (held[a] - pop[u] - ideal) ** 2 + (held[b] + pop[u] - ideal) ** 2 - (held[a] - ideal) ** 2 - (held[b] - ideal) ** 2
-    got = {(r["plan"], r["unit"], r["source"], r["target"]): r["delta"] for r in catalog.QUERIES["move_candidates_all"](spark, home).collect()}
+    got = {(r["plan"], r["unit"], r["source"], r["target"]): r["delta"] for r in catalog.QUERIES["move_candidates"](spark, home).collect()}
     assert got == pytest.approx(want)
 
 
@@ -58,7 +58,7 @@ def test_swaps_of_all_plans(spark, home, plans):
     for p, d in where.items():
         moves = moves_of(d, edges)
         want |= {(p, u, v) for u, a, b in moves for v, x, y in moves if u < v and (a, b) == (y, x)}
-    rows = [tuple(r) for r in catalog.QUERIES["swap_candidates_all"](spark, home).collect()]
+    rows = [tuple(r) for r in catalog.QUERIES["swap_candidates"](spark, home).collect()]
     assert set(rows) == want and len(rows) == len(want)
 
 
@@ -75,7 +75,7 @@ def test_components_of_all_plans(spark, home, plans):
                     label[u] = label[v] = min(label[u], label[v])
                     moved = True
         want |= {(p, u): (d[u], label[u]) for u in d}
-    got = {(r["plan"], r["unit"]): (r["district"], r["component"]) for r in catalog.QUERIES["connected_components_all"](spark, home).collect()}
+    got = {(r["plan"], r["unit"]): (r["district"], r["component"]) for r in catalog.QUERIES["connected_components"](spark, home).collect()}
     assert got == want
 
 
@@ -93,7 +93,7 @@ def test_outlines_of_all_plans(spark, home, plans):
 
 
 def test_places_and_reports_of_all_plans(spark, home):
-    places = catalog.QUERIES["locate_all_plans"](spark, home).collect()
+    places = catalog.QUERIES["locate_all"](spark, home).collect()
     assert {(r["case_id"], r["metric"]) for r in places} == {(p, m) for p in range(PLANS) for m in catalog.METRICS} and len(places) == PLANS * len(catalog.METRICS)
     draws = {(r["plan"], r["metric"]): r["value"] for r in catalog._draws(State(spark, home)).collect()}
     for r in places:
@@ -101,7 +101,7 @@ def test_places_and_reports_of_all_plans(spark, home):
             every = [v for (_, m), v in draws.items() if m == r["metric"] and v is not None]
             v = draws[r["case_id"], r["metric"]]
             assert r["percentile"] == pytest.approx((sum(x < v for x in every) + 0.5 * sum(x == v for x in every)) / len(every))
-    by = {r["status"]: r["cases"] for r in catalog.QUERIES["locate_status_all"](spark, home).collect()}
+    by = {r["status"]: r["cases"] for r in catalog.QUERIES["locate_status"](spark, home).collect()}
     assert sum(by.values()) == PLANS * len(catalog.METRICS)
     reports = {r["plan"]: json.loads(r["report"]) for r in catalog.QUERIES["plan_reports"](spark, home).collect()}
     assert set(reports) == set(range(PLANS))

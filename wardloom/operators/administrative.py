@@ -61,3 +61,61 @@ def degeneracy(membership: DataFrame, layers: int = 1) -> DataFrame:
         ("ballot_styles_by_parent", F.when(F.col("bare") > 0, "some units have no parent")),
     ]
     return facts.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), r.alias("reason")) for m, r in rules])).alias("r")).select("r.metric", "r.reason").where("reason is not null")
+
+
+# The administrative measures in the order of reports.
+REPORTED = ("county_splits", "split_pieces", "excess_pieces", "ballot_styles", "ballot_styles_by_subdivision", "ballot_styles_per_10k", "n_units", "n_units_in_no_subdivision", "n_subdivisions", "n_districts", "n_layers")
+
+
+def degeneracy_report(membership: DataFrame, layers: int = 1, districts: int | None = None) -> DataFrame:
+    """(metric, constant, computable, value, reason) for each measure of :data:`REPORTED`.
+
+    ``constant``: no plan over these units can move it, and ``value`` is what it then is, where that is known. ``reason`` is null
+    exactly where a measure is computable and free to vary. ``districts``: how many a plan has, where all have as many.
+    """
+    sizes = membership.groupBy("parent").agg(F.count("*").alias("n"))
+    here = F.col("parent").isNotNull()
+    facts = sizes.agg(
+        F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias("most"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("covered"),
+        F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("bare"), F.count("parent").alias("parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("units"),
+    )
+    whole = F.col("most") <= 1
+    split = F.when(F.col("parents") == 0, "no unit belongs to a subdivision").when(whole, "each subdivision is one unit")
+    partial = F.when(F.col("bare") > 0, "some units have no subdivision")
+    single = F.lit("one layer: styles equal districts" if layers == 1 else None)
+    given = F.lit("a property of the input")
+    yes, no, one, nothing = F.lit(True), F.lit(False), F.lit(layers == 1), F.lit(None).cast("long")
+    count = lambda x: F.lit(x).cast("long")
+    rules = {
+        "county_splits": (whole, yes, F.when(whole, count(0)), split),
+        "split_pieces": (whole, yes, F.when(whole, F.col("covered")), split),
+        "excess_pieces": (whole, yes, F.when(whole, count(0)), split),
+        "ballot_styles": (one, yes, count(districts) if layers == 1 else nothing, single),
+        "ballot_styles_by_subdivision": (whole, F.col("bare") == 0, F.when(whole, F.col("covered")), F.nullif(F.concat_ws("; ", split, partial), F.lit(""))),
+        "ballot_styles_per_10k": (one, yes, nothing, single),
+        "n_units": (yes, yes, F.col("units"), given),
+        "n_units_in_no_subdivision": (yes, yes, F.col("bare"), given),
+        "n_subdivisions": (yes, yes, F.col("parents"), given),
+        "n_districts": (no, yes, nothing, F.lit(None)),
+        "n_layers": (yes, yes, count(layers), given),
+    }
+    rows = [F.struct(F.lit(m).alias("metric"), c.alias("constant"), k.alias("computable"), v.cast("long").alias("value"), r.cast("string").alias("reason")) for m, (c, k, v, r) in rules.items()]
+    return facts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def admin_report(assignments: DataFrame, membership: DataFrame, voters: DataFrame | None = None) -> DataFrame:
+    """A row a plan with all measures of :data:`REPORTED` over one layer. Styles by subdivision are null where a unit has no
+    subdivision; the rate is null without ``voters(unit, voters)``, and a zero electorate is refused."""
+    styles = ballot_styles([assignments])
+    by = ballot_styles([assignments], membership).withColumnRenamed("ballot_styles", "ballot_styles_by_subdivision")
+    sizes = assignments.groupBy("plan").agg(F.countDistinct("unit").alias("n_units"), F.countDistinct("district").alias("n_districts"))
+    facts = membership.agg(F.count_if(F.col("parent").isNull()).alias("n_units_in_no_subdivision"), F.countDistinct("parent").alias("n_subdivisions"))
+    if voters is None:
+        rate = styles.select("plan", F.lit(None).cast("double").alias("ballot_styles_per_10k"))
+    else:
+        if not voters.agg(F.sum("voters")).first()[0]:
+            raise ValueError("no voters: a rate for each 10,000 is not defined")
+        rate = ballot_styles_per_10k(styles, voters).withColumnRenamed("per_10k", "ballot_styles_per_10k")
+    out = sizes.join(split_metrics(assignments, membership), "plan", "left").join(styles, "plan").join(by, "plan").join(rate, "plan").join(F.broadcast(facts), F.lit(True))
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("county_splits", "split_pieces", "excess_pieces")}
+    return out.withColumns(none).withColumn("n_layers", F.lit(1)).select("plan", *REPORTED)

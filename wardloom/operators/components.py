@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder (a temporary one where none is set) and read from there."""
+    """Written to the session's shared checkpoint folder and read from there.
+
+    Where none is set, a local master gets a temporary folder; on a cluster, whose machines would not share it, that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not told and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

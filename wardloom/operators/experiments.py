@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, correlation, ratio
+from .ordering import numbered, ranged, running
 
 
 def spearman_matrix(draws: DataFrame, metrics: list[str], direction: dict[str, int] | None = None) -> DataFrame:
@@ -36,8 +37,7 @@ def disagreements(matrix: DataFrame, threshold: float = 0.9) -> DataFrame:
 def pareto_frontier(pairs: DataFrame) -> DataFrame:
     """(x, y): points that no other point beats in both coordinates; larger is better. Points of equal x are reduced first."""
     best = pairs.where("x is not null and y is not null").groupBy("x").agg(F.max("y").alias("y"))
-    before = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("top", F.max("y").over(before)).where("top is null or y > top").select("x", "y")
+    return running(best, "top", F.col("y"), F.max, [F.desc("x")], inclusive=False).where("top is null or y > top").select("x", "y")
 
 
 def cliffs_delta(rows: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def sensitivity_sweep(wide: DataFrame, target: str, others: list[str], levels: t
     """(level, metric, kept, delta, shift): the best plans by ``target`` are kept, more strictly from level to level; Cliff's
     delta and the shift of the median of the other measures, kept against all. Ties at the cut are kept."""
     n = wide.where(F.col(target).isNotNull()).count()
-    rows = wide.where(F.col(target).isNotNull()).withColumn("place", F.row_number().over(Window.orderBy(F.desc(target), "plan")))
+    rows = numbered(wide.where(F.col(target).isNotNull()), "place", F.desc(target), F.col("plan"))
     cuts = rows.select(target, "place", F.explode(F.array(*[F.struct(F.lit(q).alias("level"), F.lit(max(1, n - int(q * n))).alias("keep")) for q in levels])).alias("c"))
     cuts = cuts.where("place = c.keep").select(F.col("c.level").alias("level"), F.col(target).alias("cut"))
     long = wide.where(F.col(target).isNotNull()).select("plan", F.col(target).alias("_t"), *others).unpivot(["plan", "_t"], others, "metric", "value")
@@ -63,21 +63,55 @@ def sensitivity_sweep(wide: DataFrame, target: str, others: list[str], levels: t
     return out.select(F.substring_index("metric", "@", -1).cast("double").alias("level"), F.substring_index("metric", "@", 1).alias("metric"), "kept", "delta", "shift")
 
 
+def concordance(a: np.ndarray, b: np.ndarray) -> int:
+    """Concordant less discordant pairs. Pairs are met at the highest binary digit in which the ranks of ``a`` differ: there
+    one side is sorted by ``b`` and the other looks its places up."""
+    ra, rb = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+    width, total = int(rb.max(initial=0)) + 1, 0
+    for bit in range(int(ra.max(initial=0)).bit_length()):
+        group, upper = ra >> (bit + 1), (ra >> bit) & 1 == 1
+        low = np.sort(group[~upper] * width + rb[~upper])
+        start, at = group[upper] * width, group[upper] * width + rb[upper]
+        place = lambda x, side="left": np.searchsorted(low, x, side)  # noqa: B023, E731
+        total += int((place(at) - place(start)).sum() - (place(start + width) - place(at, "right")).sum())
+    return total
+
+
 def kendall_tau(orders: DataFrame) -> DataFrame:
-    """(tau) of ``orders(item, a, b)``: concordant less discordant pairs over all pairs; 1 with fewer than two items."""
-    o = orders.select("item", "a", "b")
-    p = o.select(F.col("item").alias("i2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = o.join(p, F.col("item") < F.col("i2"))
-    s = F.signum((F.col("a") - F.col("a2")).cast("double")) * F.signum((F.col("b") - F.col("b2")).cast("double"))
-    return pairs.agg(F.coalesce(ratio(F.sum(s), F.count("*")), F.lit(1.0)).alias("tau"))
+    """(tau) of ``orders(item, a, b)``: concordant less discordant pairs over all pairs; 1 with fewer than two items.
+
+    Items are dealt into ranges of a and of b. Pairs in different ranges of both follow from the counts of the cells (range
+    of a, range of b); pairs that share a range of a, or of b, are counted inside that range, less those that share both.
+    """
+    spark = orders.sparkSession
+    dealt = ranged(orders.select("a", "b"), F.col("a")).withColumnRenamed("_part", "pa")
+    dealt = ranged(dealt, F.col("b")).withColumnRenamed("_part", "pb")
+
+    def local(name: str, *keys: str) -> DataFrame:
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"kind": [name], "s": [concordance(pdf["a"].to_numpy(), pdf["b"].to_numpy())]})
+
+        return dealt.groupBy(*keys).applyInPandas(count, "kind string, s long")
+
+    shared = local("one", "pa").unionByName(local("one", "pb")).unionByName(local("both", "pa", "pb"))
+    inside = shared.agg(F.coalesce(F.sum(F.when(F.col("kind") == "one", F.col("s")).otherwise(-F.col("s"))), F.lit(0)).alias("s")).first()["s"]
+    cells = {(r["pa"], r["pb"]): r["n"] for r in dealt.groupBy("pa", "pb").agg(F.count("*").alias("n")).collect()}  # ranges squared at most
+    grid = np.zeros((1 + max((k[0] for k in cells), default=0), 1 + max((k[1] for k in cells), default=0)), np.int64)
+    for k, c in cells.items():
+        grid[k] = c
+    below = np.zeros((grid.shape[0] + 1, grid.shape[1] + 1), np.int64)
+    below[1:, 1:] = grid.cumsum(0).cumsum(1)
+    before = below[:-1, -1:] - below[:-1, 1:]  # items of earlier ranges of a in later ranges of b
+    across = int((grid * (below[:-1, :-1] - before)).sum())
+    n = int(grid.sum())
+    return spark.createDataFrame([((inside + across) / (n * (n - 1) / 2) if n > 1 else 1.0,)], "tau double")
 
 
 def adjust_multiplicity(tests: DataFrame) -> DataFrame:
     """Adds q, Benjamini and Hochberg's adjusted ``p``."""
     n = tests.count()
-    ranked = tests.withColumn("_rank", F.row_number().over(Window.orderBy("p")))
-    onward = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col("p") * n / F.col("_rank")).over(onward))).drop("_rank")
+    ranked = numbered(tests, "_rank", F.col("p"))
+    return running(ranked, "q", F.col("p") * n / F.col("_rank"), F.min, [F.desc("_rank")]).withColumn("q", F.least(F.lit(1.0), "q")).drop("_rank")
 
 
 def robust_sd(values: DataFrame, column: str) -> DataFrame:
@@ -91,13 +125,32 @@ def conditional_effect(wide: DataFrame) -> DataFrame:
     """(effect, kept): median y in the top decile of x (ties at the cut stay) less the median of y, over y's robust deviation."""
     n = wide.count()
     top = max(1, round(0.1 * n))
-    cut = wide.select(F.col("x").alias("_x"), F.row_number().over(Window.orderBy(F.desc("x"))).alias("_i")).where(F.col("_i") == top).select(F.col("_x").alias("cut"))
+    cut = numbered(wide.select(F.col("x").alias("cut")), "_i", F.desc("cut")).where(F.col("_i") == top).select("cut")
     scale = robust_sd(wide, "y")
     rows = wide.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(scale))
     kept = F.col("x") >= F.col("cut")
     return rows.agg(F.when(F.first("sd") > 0, (F.median(F.when(kept, F.col("y"))) - F.median("y")) / F.first("sd")).alias("effect"), F.count_if(kept).alias("kept"))
 
 
+def attainable_effect(wide: DataFrame) -> DataFrame:
+    """(effect): the lowest conditional effect that any order of x could give: the median of the lowest tenth of y less the
+    median of y, over y's robust deviation. A test whose bar lies below it can't fire."""
+    top = max(1, round(0.1 * wide.count()))
+    low = numbered(wide.select("y"), "_i", F.col("y"))
+    scale = robust_sd(wide, "y")
+    out = low.agg(F.median(F.when(F.col("_i") <= top, F.col("y"))).alias("worst"), F.median("y").alias("middle")).join(F.broadcast(scale), F.lit(True))
+    return out.select(F.when(F.col("sd") > 0, (F.col("worst") - F.col("middle")) / F.col("sd")).alias("effect"))
+
+
+def check_symmetry(pairs: DataFrame, symmetric: tuple[str, ...]) -> DataFrame:
+    """(test, checked, mismatches) of ``pairs(a, b, test, verdict)``: how often a test that should not care for the order of a
+    pair decides otherwise when it is turned round. Pairs that stand in one order only are not checked."""
+    mine = pairs.where(F.col("test").isin(*symmetric))
+    other = mine.select(F.col("a").alias("_b"), F.col("b").alias("_a"), F.col("test").alias("_t"), F.col("verdict").alias("_v"))
+    both = mine.where("a < b").join(other, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("test") == F.col("_t")))
+    return both.groupBy("test").agg(F.count("*").alias("checked"), F.count_if(~F.col("verdict").eqNullSafe(F.col("_v"))).alias("mismatches"))
+
+
 def achievability(wide: DataFrame) -> DataFrame:
     """(joint, expected, ratio): how often both are in their top third, and what independence would give."""
     cuts = wide.agg(F.percentile("x", F.lit(2 / 3)).alias("cx"), F.percentile("y", F.lit(2 / 3)).alias("cy"))
@@ -107,7 +160,7 @@ def achievability(wide: DataFrame) -> DataFrame:
     return out.withColumn("ratio", ratio(F.col("joint"), F.col("expected")))
 
 
-def bootstrap_correlation(wide: DataFrame, reps: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_correlation(wide: DataFrame, reps: int = 1000, seed: int = 7) -> DataFrame:
     """(rho, low, high): Spearman's rho with a 95 % interval from whole chains drawn with replacement.
 
     ``wide(chain, draw, x, y)``: each replicate's picks are rows (rep, chain, times); the ranks of a replicate are its own.
@@ -126,7 +179,7 @@ def bootstrap_correlation(wide: DataFrame, reps: int = 200, seed: int = 7) -> Da
     return own.crossJoin(rhos.agg(F.get(at, F.floor(0.025 * n).cast("int")).alias("low"), F.get(at, F.least(F.floor(0.975 * n).cast("int"), n - 1)).alias("high")))
 
 
-def permutation_p(wide: DataFrame, reps: int = 200, seed: int = 7) -> DataFrame:
+def permutation_p(wide: DataFrame, reps: int = 1000, seed: int = 7) -> DataFrame:
     """(effect, p): the conditional effect against those of x turned round within each chain, p = (worse + 1) / (reps + 1).
 
     Replicates are groups of rows (rep); a chain's turn is a re-indexing of its draws.
@@ -186,16 +239,29 @@ def inject(wide: DataFrame, blend: float, seed: int = 7) -> DataFrame:
     return x.join(y, (F.col("chain") == F.col("_c")) & (F.col("_slot") == F.col("_best"))).select("chain", "draw", "x", "y")
 
 
-def detection_floor(wide: DataFrame, blends: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 4.0), effect: float = -0.2) -> DataFrame:
+#: How much noise the injected dependence is mixed with, from none to where no test should see it.
+BLENDS = (0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+
+
+def detection_floor(wide: DataFrame, blends: tuple[float, ...] = BLENDS, effect: float = -0.2) -> DataFrame:
     """(blend, rho, effect, fired): dependence of known strength put into the real draws, and whether the conditional effect
-    sees it."""
-    out = None
-    for b in blends:
-        pairs = inject(wide, b)
-        ranked = pairs.select(average_rank(F.col("x")).alias("x"), average_rank(F.col("y")).alias("y")).agg(correlation("x", "y").alias("rho"))
-        row = ranked.crossJoin(conditional_effect(pairs).select("effect")).select(F.lit(float(b)).alias("blend"), "rho", "effect", (F.col("effect") <= effect).alias("fired"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    sees it. All blends are one keyed job."""
+    spark = wide.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(float(b),) for b in blends], "blend double"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("chain"))
+    rank = F.row_number().over(Window.partitionBy("chain").orderBy("x", "draw")) - 1
+    noise = F.pmod(F.xxhash64("chain", "draw", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    keyed = wide.select("chain", "draw", "x", rank.alias("_rank"), size.alias("_size"), noise.alias("_noise")).join(keys, F.lit(True))
+    slot = F.row_number().over(Window.partitionBy("blend", "chain").orderBy(F.col("_rank") + F.col("blend") * F.col("_size") * F.col("_noise"), "draw"))
+    best = wide.select(F.col("chain").alias("_c"), "y", F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("y"), "draw")).alias("_best"))
+    pairs = keyed.withColumn("_slot", slot).join(best, (F.col("chain") == F.col("_c")) & (F.col("_slot") == F.col("_best"))).select("blend", "x", "y")
+    rho = pairs.select("blend", average_rank(F.col("x"), "blend").alias("x"), average_rank(F.col("y"), "blend").alias("y")).groupBy("blend").agg(correlation("x", "y").alias("rho"))
+    top = max(1, round(0.1 * wide.count()))
+    cut = numbered(wide.select(F.col("x").alias("cut")), "_i", F.desc("cut")).where(F.col("_i") == top).select("cut")  # x keeps its values in every blend
+    scale = robust_sd(wide, "y")  # and so does y
+    rows = pairs.join(F.broadcast(cut), F.lit(True)).join(F.broadcast(scale), F.lit(True))
+    effects = rows.groupBy("blend").agg(F.when(F.first("sd") > 0, (F.median(F.when(F.col("x") >= F.col("cut"), F.col("y"))) - F.median("y")) / F.first("sd")).alias("effect"))
+    return rho.join(effects, "blend").select("blend", "rho", "effect", (F.col("effect") <= effect).alias("fired"))
 
 
 def null_delta(wide: DataFrame, reps: int = 60, seed: int = 11) -> DataFrame:

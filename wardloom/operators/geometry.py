@@ -11,18 +11,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _ends
+from .graph import contacts
 
 MEASURES = ("polsby_popper", "schwartzberg", "reock", "convex_hull")
 
 
-def area_perimeter(assignments: DataFrame, unit_geom: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan, district, area, perimeter)."""
+def area_perimeter(assignments: DataFrame, unit_geom: DataFrame, edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """(plan, district, area, perimeter); ``met`` are the ``contacts`` of the edges, if at hand."""
     sums = assignments.join(unit_geom.select("unit", "area", "perimeter"), "unit").groupBy("plan", "district").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("outer"))
-    inner = _ends(assignments, edges).where("du = dv").groupBy("plan", F.col("du").alias("district")).agg(F.sum("shared_len").alias("inner"))
+    met = contacts(assignments, edges) if met is None else met
+    inner = met.where("du = dv").select("plan", F.col("du").alias("district"), F.col("shared_len").alias("inner"))
     return sums.join(inner, ["plan", "district"], "left").select("plan", "district", "area", (F.col("outer") - 2 * F.coalesce("inner", F.lit(0.0))).alias("perimeter"))
 
 
@@ -95,10 +97,27 @@ def bounding_circle(points: np.ndarray) -> float:
     return circle[1]
 
 
-def outline_measures(assignments: DataFrame, unit_geom: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan, district, reock, convex_hull): area over that of the smallest circle, and of the hull, around the outline."""
-    corners = assignments.join(unit_geom.select("unit", F.explode("ring").alias("p")), "unit").groupBy("plan", "district").agg(F.collect_set("p").alias("points"))
-    rows = corners.join(area_perimeter(assignments, unit_geom, edges).select("plan", "district", "area"), ["plan", "district"])
+#: Groups of units in which a district's corners are reduced to their hull first.
+HULL_GROUPS = 32
+
+
+def _group_hull(table: pa.Table) -> pa.Table:
+    """The hull of one group's corners."""
+    points = hull(np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()]))
+    n = len(points)
+    return pa.table({"plan": pa.array([table.column("plan")[0].as_py()] * n, pa.int64()), "district": pa.array([table.column("district")[0].as_py()] * n, pa.int32()), "x": pa.array(points[:, 0]), "y": pa.array(points[:, 1])})
+
+
+def outline_measures(assignments: DataFrame, unit_geom: DataFrame, edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """(plan, district, reock, convex_hull): area over that of the smallest circle, and of the hull, around the outline.
+
+    Corners are reduced to the hulls of groups of units, and only those meet in the district, so no task holds all corners.
+    """
+    group = F.pmod(F.xxhash64("unit"), F.lit(HULL_GROUPS)).alias("g")
+    corners = assignments.join(unit_geom.select("unit", F.explode("ring").alias("p")), "unit").select(F.col("plan").cast("long").alias("plan"), F.col("district").cast("int").alias("district"), group, F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    outer = corners.distinct().groupBy("plan", "district", "g").applyInArrow(_group_hull, "plan long, district int, x double, y double")
+    outer = outer.groupBy("plan", "district").agg(F.collect_set(F.struct("x", "y")).alias("points"))
+    rows = outer.join(area_perimeter(assignments, unit_geom, edges, met).select("plan", "district", "area"), ["plan", "district"])
 
     def measure(batches):
         for b in batches:

@@ -30,9 +30,23 @@ def _ends(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(edges, "u").join(b, (F.col("plan") == F.col("_plan")) & (F.col("v") == F.col("_v"))).drop("_plan", "_v")
 
 
-def cut_edges(assignments: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan, cut_edges): edges between units of different districts."""
-    return _ends(assignments, edges).groupBy("plan").agg(F.count_if(F.col("du") != F.col("dv")).alias("cut_edges"))
+def contacts(assignments: DataFrame, edges: DataFrame) -> DataFrame:
+    """(plan, du, dv, edges, shared_len): how many edges run from district to district, and their length together.
+
+    What cut edges and perimeters need of the edges, in a row for each pair of districts.
+    """
+    return _ends(assignments, edges).groupBy("plan", "du", "dv").agg(F.count("*").alias("edges"), F.sum("shared_len").alias("shared_len"))
+
+
+def cut_edges(assignments: DataFrame, edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """(plan, cut_edges): edges between units of different districts; ``met`` are their ``contacts``, if at hand."""
+    met = contacts(assignments, edges) if met is None else met
+    return met.groupBy("plan").agg(F.sum(F.when(F.col("du") != F.col("dv"), F.col("edges")).otherwise(0)).alias("cut_edges"))
+
+
+def shortest_borders(edges: DataFrame, n: int = 8) -> DataFrame:
+    """(u, v, shared_len): the ``n`` shortest shared borders of some length, where water or slivers may join units."""
+    return edges.where("shared_len > 0").orderBy("shared_len", "u", "v").limit(n).select("u", "v", "shared_len")
 
 
 def boundary_units(assignments: DataFrame, edges: DataFrame) -> DataFrame:

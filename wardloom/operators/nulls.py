@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def hash_order(key: str, salt: str):
     """A reproducible random order: sha256 of the key and a salt."""
@@ -29,8 +31,9 @@ def interleave(scored: DataFrame, middle: float, n: int) -> DataFrame:
     rows = scored.withColumn("side", side)
     sizes = rows.groupBy("side").agg(F.count("*").alias("_size"))
     turn = F.row_number().over(Window.partitionBy("side").orderBy("rank", "plan"))
-    order = Window.orderBy((F.col("side") == "level").cast("int"), "_turn", F.desc("_size"), "side")
-    return rows.join(F.broadcast(sizes), "side").withColumn("_turn", turn).select("plan", "side", F.row_number().over(order).alias("place")).where(F.col("place") <= n)
+    turned = rows.join(F.broadcast(sizes), "side").withColumn("_turn", turn).withColumn("_last", (F.col("side") == "level").cast("int"))
+    placed = numbered(turned.select("plan", "side", "_last", "_turn", "_size"), "place", F.col("_last"), F.col("_turn"), F.desc("_size"), F.col("side"))
+    return placed.where(F.col("place") <= n).select("plan", "side", F.col("place").cast("int").alias("place"))
 
 
 def except_blocked(plans: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from ..sources.tables import refuse
 
 PREDOMINANCE_BAND, MINORITY_DISTRICT_SHARE, DECLINATION_MIN_DISTRICTS = 0.05, 0.25, 8
 SWINGS = [i / 100 for i in range(30, 71)]
@@ -19,11 +20,25 @@ METRICS = ("efficiency_gap", "mean_median", "declination", "partisan_bias")
 TRUSTED_WHERE_ONE_PARTY_PREDOMINATES = ("efficiency_gap", "declination")
 
 
-def district_votes(assignments: DataFrame, votes: DataFrame) -> DataFrame:
-    """(plan, district, dem, rep): votes summed over the district's units."""
+def district_votes(assignments: DataFrame, votes: DataFrame, strict: bool = False) -> DataFrame:
+    """(plan, district, dem, rep): votes summed over the district's units.
+
+    ``strict`` first refuses plans and votes whose units differ, each plan having to cover all units; else units that one side
+    lacks are left out.
+    """
+    if strict:
+        require_same_units(assignments, votes)
     return assignments.join(votes.select("unit", "dem", "rep"), "unit").groupBy("plan", "district").agg(F.sum("dem").alias("dem"), F.sum("rep").alias("rep"))
 
 
+def require_same_units(assignments: DataFrame, values: DataFrame) -> None:
+    """Each plan must hold exactly the units of ``values``, each once."""
+    n = values.select("unit").distinct().count()
+    mine = assignments.join(values.select(F.col("unit").alias("_unit")).distinct(), F.col("unit") == F.col("_unit"), "left")
+    whole = mine.groupBy("plan").agg(F.count("*").alias("rows"), F.countDistinct("unit").alias("units"), F.count_if(F.col("_unit").isNull()).alias("unknown"))
+    refuse(whole.where((F.col("unknown") > 0) | (F.col("units") != n) | (F.col("rows") != F.col("units"))), "plan", "plans whose units are not those of the table")
+
+
 def share() -> Column:
     return ratio(F.col("dem"), F.col("dem") + F.col("rep"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeds
@@ -16,8 +16,9 @@ from ..operators import experiments as exp
 from ..operators import geometry as geo
 from ..operators import graph as gr
 from ..operators import partisan as par
-from ..operators import nulls, reports, sampler, spatial
+from ..operators import cases, nulls, reports, spatial
 from ..operators import rules as ru
+from ..sources import census
 from ..streaming import draws as draws_stream
 from .mapping import DRAWS, PRELUDE, State, r
 
@@ -231,6 +232,27 @@ def admin_degeneracy(s: State) -> DataFrame:
     return adm.degeneracy(s.membership())
 
 
+_REPORT = f""", by_plan AS (SELECT plan, count(*) AS n_units, count(DISTINCT district) AS n_districts, count(DISTINCT (district, parent)) AS by_parent FROM assign JOIN units USING (unit) GROUP BY plan)
+SELECT plan, county_splits, split_pieces, excess_pieces, n_districts AS ballot_styles, by_parent AS ballot_styles_by_subdivision, {r('10000 * n_districts / (SELECT sum(pop) FROM units)::DOUBLE')} AS ballot_styles_per_10k, n_units, 0::BIGINT AS n_units_in_no_subdivision, (SELECT count(DISTINCT parent) FROM units) AS n_subdivisions, n_districts, 1 AS n_layers FROM by_plan JOIN splits USING (plan)"""
+
+
+@query(_REPORT)
+def admin_report(s: State) -> DataFrame:
+    """All administrative measures of each plan."""
+    return adm.admin_report(s.assignments(), s.membership(), s.units().select("unit", F.col("pop").alias("voters")))
+
+
+@query(""", f AS (SELECT max(c) <= 1 AS whole, sum(c)::BIGINT AS covered, count(*) AS parents FROM (SELECT count(*) AS c FROM units GROUP BY parent))
+SELECT metric, constant, TRUE AS computable, value::BIGINT AS value, reason FROM f, LATERAL (VALUES
+  ('county_splits', whole, CASE WHEN whole THEN 0 END, CASE WHEN whole THEN 'each subdivision is one unit' END), ('split_pieces', whole, CASE WHEN whole THEN covered END, CASE WHEN whole THEN 'each subdivision is one unit' END),
+  ('excess_pieces', whole, CASE WHEN whole THEN 0 END, CASE WHEN whole THEN 'each subdivision is one unit' END), ('ballot_styles', TRUE, 8, 'one layer: styles equal districts'),
+  ('ballot_styles_by_subdivision', whole, CASE WHEN whole THEN covered END, CASE WHEN whole THEN 'each subdivision is one unit' END), ('ballot_styles_per_10k', TRUE, NULL, 'one layer: styles equal districts'),
+  ('n_units', TRUE, covered, 'a property of the input'), ('n_units_in_no_subdivision', TRUE, 0, 'a property of the input'), ('n_subdivisions', TRUE, parents, 'a property of the input'), ('n_districts', FALSE, NULL, NULL), ('n_layers', TRUE, 1, 'a property of the input')) t(metric, constant, value, reason)""")
+def degeneracy_report(s: State) -> DataFrame:
+    """Which administrative measures no plan can move, and why."""
+    return adm.degeneracy_report(s.membership(), 1, 8)
+
+
 # --- graph, legality ----------------------------------------------------------------------------------------------
 
 @query("SELECT plan, cut_edges FROM cuts")
@@ -248,39 +270,26 @@ def degree_stats(s: State) -> DataFrame:
     return gr.degrees(s.edges())
 
 
-_MOVES = """, moves AS (SELECT DISTINCT plan, unit, source, target FROM (SELECT plan, u AS unit, du AS source, dv AS target FROM ends WHERE du <> dv AND plan < 20 UNION ALL SELECT plan, v, dv, du FROM ends WHERE du <> dv AND plan < 20)),
-ideal AS (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units)
-"""
+@query("SELECT u, v, shared_len FROM edges WHERE shared_len > 0 ORDER BY shared_len, u, v LIMIT 8")
+def shortest_borders(s: State) -> DataFrame:
+    """The eight shortest shared borders."""
+    return gr.shortest_borders(s.edges())
 
 
-_ALL_MOVES = _MOVES.replace(" AND plan < 20", "")
+_MOVES = """, moves AS (SELECT DISTINCT plan, unit, source, target FROM (SELECT plan, u AS unit, du AS source, dv AS target FROM ends WHERE du <> dv UNION ALL SELECT plan, v, dv, du FROM ends WHERE du <> dv)),
+ideal AS (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units)
+"""
 _DELTA = f"SELECT m.plan, m.unit, m.source, m.target, {r('pow(a.pop - x.pop - i, 2) + pow(b.pop + x.pop - i, 2) - pow(a.pop - i, 2) - pow(b.pop - i, 2)')} AS delta FROM moves m JOIN units x USING (unit) JOIN dist a ON a.plan = m.plan AND a.district = source JOIN dist b ON b.plan = m.plan AND b.district = target, ideal"
 
 
-def _moves(s: State, *plans: int) -> DataFrame:
-    return gr.move_candidates(s.assignments(*plans), s.edges(), s.units(), s.orders.count() / 8.0)
-
-
 @query(_MOVES + _DELTA)
 def move_candidates(s: State) -> DataFrame:
-    """Single-unit moves of the first 20 plans, as in the SQL, and what they do to the population balance."""
-    return _moves(s, 20)
-
-
-@query(_MOVES + "SELECT DISTINCT a.plan, a.unit AS unit_a, b.unit AS unit_b FROM moves a JOIN moves b ON a.plan = b.plan AND a.source = b.target AND a.target = b.source AND a.unit < b.unit")
-def swap_candidates(s: State) -> DataFrame:
-    """Swaps of the first 20 plans, as in the SQL."""
-    return gr.swap_candidates(gr.move_candidates(s.assignments(20), s.edges(), s.units(), 0.0))
-
-
-@query(_ALL_MOVES + _DELTA)
-def move_candidates_all(s: State) -> DataFrame:
     """Single-unit moves of all plans and what they do to the population balance."""
-    return _moves(s)
+    return gr.move_candidates(s.assignments(), s.edges(), s.units(), s.orders.count() / 8.0)
 
 
 @query()
-def swap_candidates_all(s: State) -> DataFrame:
+def swap_candidates(s: State) -> DataFrame:
     """Swaps of all plans; no SQL, as the pairs of a small table are already millions of rows."""
     return gr.swap_candidates(gr.move_candidates(s.assignments(), s.edges(), s.units(), 0.0))
 
@@ -321,17 +330,9 @@ def plan_id_validation(s: State) -> DataFrame:
     return a.groupBy("plan").agg((F.size(F.array_except(F.sequence(F.lit(1), F.lit(8)), F.collect_set("district"))) == 0).alias("valid"))
 
 
-@query("!WITH RECURSIVE " + PRELUDE.removeprefix("WITH ") + """, arcs AS (SELECT plan, u AS a, v AS b FROM ends WHERE du = dv AND plan < 4 UNION ALL SELECT plan, v, u FROM ends WHERE du = dv AND plan < 4),
-reach(plan, unit, label) AS (SELECT plan, unit, unit FROM assign WHERE plan < 4 UNION SELECT r.plan, arcs.b, r.label FROM reach r JOIN arcs ON arcs.plan = r.plan AND arcs.a = r.unit WHERE r.label < arcs.b)
-SELECT a.plan, a.district, a.unit, min(label) AS component FROM assign a JOIN reach USING (plan, unit) GROUP BY ALL""")
-def connected_components(s: State) -> DataFrame:
-    """Connected parts of the first 4 plans, as in the SQL."""
-    return gr.components(s.assignments(4), s.edges())
-
-
 @query()
-def connected_components_all(s: State) -> DataFrame:
-    """Connected parts of all plans; the recursive SQL is too slow for them."""
+def connected_components(s: State) -> DataFrame:
+    """Connected parts of the districts of all plans; the recursive SQL is too slow for them."""
     return gr.components(s.assignments(), s.edges())
 
 
@@ -387,14 +388,30 @@ BETTER = {"polsby_popper_mean": 1, "cut_edges": -1, "county_splits": -1, "spread
 
 
 def _wide(s: State) -> DataFrame:
-    out = par.all_metrics(_dist(s)).select("plan", "dem_seats", "efficiency_gap", "mean_median", "declination", "partisan_bias", "competitive")
-    for other in (gr.cut_edges(s.assignments(), s.edges()), geo.compactness_summary(_ratios(s)).select("plan", "polsby_popper_mean"), adm.split_metrics(s.assignments(), s.membership()).select("plan", "county_splits"), gr.population_spread(s.assignments(), s.units()).select("plan", "spread")):
+    """One row a plan over all families. The units' sums by (plan, district, parent) and the contacts of districts are each
+    computed once for all of them."""
+    whole = s.assignments().join(s.units(), "unit").groupBy("plan", "district", "parent").agg(*[F.sum(c).alias(c) for c in ("pop", "dem", "rep")], F.count("*").alias("units"))
+    whole = s.once("cells", lambda: whole)
+    met = s.once("contacts", lambda: gr.contacts(s.assignments(), s.edges()))
+    votes = whole.groupBy("plan", "district").agg(F.sum("dem").alias("dem"), F.sum("rep").alias("rep"))
+    shape = whole.groupBy("plan", "district").agg(F.sum("units").cast("double").alias("area"), F.sum("pop").alias("pop"))  # each unit has area 1 and outline 4
+    inner = met.where("du = dv").select("plan", F.col("du").alias("district"), F.col("shared_len").alias("inner"))
+    parts = shape.join(inner, ["plan", "district"], "left").select("plan", "district", "area", (4 * F.col("area") - 2 * F.coalesce("inner", F.lit(0.0))).alias("perimeter"))
+    pops = shape.groupBy("plan").agg((F.max("pop") - F.min("pop")).alias("spread"))
+    splits = whole.groupBy("plan", "parent").agg(F.countDistinct("district").alias("d")).groupBy("plan").agg(F.count_if(F.col("d") > 1).alias("county_splits"))
+    out = par.all_metrics(votes).select("plan", "dem_seats", "efficiency_gap", "mean_median", "declination", "partisan_bias", "competitive")
+    for other in (gr.cut_edges(s.assignments(), s.edges(), met), geo.compactness_summary(geo.shape_ratios(parts)).select("plan", "polsby_popper_mean"), splits, pops):
         out = out.join(other, "plan")
     return tidy(out)
 
 
+def _shared(s: State) -> DataFrame:
+    """The same, written once for all that a query makes of it."""
+    return s.once("wide", lambda: _wide(s))
+
+
 def _draws(s: State) -> DataFrame:
-    return ens.long_draws(_wide(s), METRICS)
+    return ens.long_draws(_shared(s), METRICS)
 
 
 _WIDE = (
@@ -421,45 +438,26 @@ def kish_ess(s: State) -> DataFrame:
     return ens.kish_ess(gr.canonical_key(s.assignments(repeat=2)), "key")
 
 
-_LOCATED = _SUMMARY + ", cases AS (SELECT plan AS case_id, metric, value FROM draws WHERE plan % 10 = 0), located AS (SELECT c.*, s.n, s.distinct_values, s.ess, s.mean, s.sd, s.least, s.most, s.mult_least, s.mult_most, CASE WHEN c.value IS NULL THEN 'value_undefined' WHEN coalesce(s.n, 0) = 0 THEN 'missing_from_ensemble' WHEN s.least = s.most THEN 'degenerate' WHEN s.n < 20 THEN 'insufficient_ensemble' ELSE 'located' END AS status, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value < c.value) AS below, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value = c.value) AS ties FROM cases c LEFT JOIN summary s USING (metric))"
-
+_LOCATED = _SUMMARY + ", cases AS (SELECT plan AS case_id, metric, value FROM draws), located AS (SELECT c.*, s.n, s.distinct_values, s.ess, s.mean, s.sd, s.least, s.most, s.mult_least, s.mult_most, CASE WHEN c.value IS NULL THEN 'value_undefined' WHEN coalesce(s.n, 0) = 0 THEN 'missing_from_ensemble' WHEN s.least = s.most THEN 'degenerate' WHEN s.n < 20 THEN 'insufficient_ensemble' ELSE 'located' END AS status, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value < c.value) AS below, (SELECT coalesce(sum(m), 0) FROM counts k WHERE k.metric = c.metric AND k.value = c.value) AS ties FROM cases c LEFT JOIN summary s USING (metric))"
 
-_ALL_LOCATED = _LOCATED.replace(" WHERE plan % 10 = 0", "")
 
-
-def _cases(s: State, plans: str = "true") -> DataFrame:
-    return _draws(s).where(plans).select(F.col("plan").alias("case_id"), "metric", "value")
+def _cases(s: State) -> DataFrame:
+    return _draws(s).select(F.col("plan").alias("case_id"), "metric", "value")
 
 
 _PLACES = f" SELECT case_id, metric, {r('value')} AS value, status, n, " + ", ".join(f"CASE WHEN status = 'located' THEN {r(x)} END AS {c}" for c, x in (("percentile", "(below + 0.5 * ties) / n::DOUBLE"), ("p_below", "below / n::DOUBLE"), ("p_at_or_below", "(below + ties) / n::DOUBLE"), ("two_sided", "least(1.0, 2.0 * least((below + ties) / n::DOUBLE, (n - below) / n::DOUBLE))"), ("z", "(value - mean) / sd"))) + " FROM located"
 _STATUS = " SELECT t.status, count(l.case_id) AS cases FROM (VALUES ('located'), ('value_undefined'), ('degenerate'), ('missing_from_ensemble'), ('insufficient_ensemble')) t(status) LEFT JOIN located l ON l.status = t.status GROUP BY t.status"
 
 
-def _places(s: State, plans: str = "true") -> DataFrame:
-    return ens.locate(_cases(s, plans), _draws(s)).select("case_id", "metric", "value", "status", "n", "percentile", "p_below", "p_at_or_below", "two_sided", "z")
-
-
 @query(_WIDE + _LOCATED + _PLACES)
 def locate_all(s: State) -> DataFrame:
-    """Where every tenth plan, as in the SQL, stands in the ensemble, for each metric."""
-    return _places(s, "plan % 10 = 0")
-
-
-@query(_WIDE + _ALL_LOCATED + _PLACES)
-def locate_all_plans(s: State) -> DataFrame:
     """Where each plan stands in the ensemble, for each metric."""
-    return _places(s)
+    return ens.locate(_cases(s), _draws(s)).select("case_id", "metric", "value", "status", "n", "percentile", "p_below", "p_at_or_below", "two_sided", "z")
 
 
 @query(_WIDE + _LOCATED + _STATUS)
 def locate_status(s: State) -> DataFrame:
-    """Statuses of every tenth plan's places, as in the SQL."""
-    return ens.by_status(ens.locate(_cases(s, "plan % 10 = 0"), _draws(s)))
-
-
-@query(_WIDE + _ALL_LOCATED + _STATUS)
-def locate_status_all(s: State) -> DataFrame:
-    """Statuses of all plans' places."""
+    """How many places of plans have which status."""
     return ens.by_status(ens.locate(_cases(s), _draws(s)))
 
 
@@ -505,7 +503,7 @@ _RULE_METRICS = "('efficiency_gap', 'mean_median', 'partisan_bias', 'cut_edges')
 
 
 def _locations(s: State) -> DataFrame:
-    wide = _wide(s)
+    wide = _shared(s)
     middle = wide.agg(F.floor(F.median("dem_seats")).cast("long").alias("mid"))
     kinds = wide.select(F.col("plan").alias("case_id"), "dem_seats").crossJoin(F.broadcast(middle)).select("case_id", F.when(F.col("dem_seats") != F.col("mid"), "planted").otherwise("null").alias("kind"), (F.col("dem_seats") - F.col("mid")).alias("shift"))
     d = ens.long_draws(wide, METRICS)
@@ -601,7 +599,7 @@ _XY = ", xy AS (SELECT plan, polsby_popper_mean AS x, -abs(efficiency_gap) AS y
 
 
 def _xy(s: State) -> DataFrame:
-    return _wide(s).select("plan", F.floor(F.col("plan") / DRAWS).alias("chain"), (F.col("plan") % DRAWS).alias("draw"), F.col("polsby_popper_mean").alias("x"), (-F.abs("efficiency_gap")).alias("y"))
+    return _shared(s).select("plan", F.floor(F.col("plan") / DRAWS).alias("chain"), (F.col("plan") % DRAWS).alias("draw"), F.col("polsby_popper_mean").alias("x"), (-F.abs("efficiency_gap")).alias("y"))
 
 
 @query(_WIDE + _XY + " SELECT DISTINCT x, y FROM xy a WHERE NOT EXISTS (SELECT 1 FROM xy b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))")
@@ -622,7 +620,7 @@ lon AS (SELECT w.plan, polsby_popper_mean >= cut AS kept, level, metric, value F
 dl AS (SELECT a.level, a.metric, sum(sign(a.value - b.value)) / count(*) AS delta FROM lon a JOIN lon b ON a.level = b.level AND a.metric = b.metric AND a.kept AND NOT b.kept GROUP BY ALL)
 SELECT l.level, l.metric, count(*) FILTER (WHERE kept) AS kept, {r('coalesce(any_value(dl.delta), 0.0)')} AS delta, {r('median(value) FILTER (WHERE kept) - median(value)')} AS shift FROM lon l LEFT JOIN dl ON dl.level = l.level AND dl.metric = l.metric GROUP BY l.level, l.metric""")
 def sensitivity_sweep(s: State) -> DataFrame:
-    return exp.sensitivity_sweep(_wide(s), "polsby_popper_mean", ["cut_edges", "county_splits"])
+    return exp.sensitivity_sweep(_shared(s), "polsby_popper_mean", ["cut_edges", "county_splits"])
 
 
 @query(f"SELECT {r('sum(sign(a.x - b.x) * sign(a.y - b.y)) / count(*)::DOUBLE')} AS tau FROM (SELECT parent, sum(dem)::BIGINT AS x, sum(rep)::BIGINT AS y FROM units GROUP BY 1) a JOIN (SELECT parent, sum(dem)::BIGINT AS x, sum(rep)::BIGINT AS y FROM units GROUP BY 1) b ON a.parent < b.parent")
@@ -650,6 +648,22 @@ def achievability(s: State) -> DataFrame:
     return exp.achievability(_xy(s))
 
 
+@query(_WIDE + _XY + f", m AS (SELECT median(y) AS med FROM xy), sc AS (SELECT CASE WHEN median(abs(y - med)) > 0 THEN 1.4826 * median(abs(y - med)) ELSE stddev_pop(y) END AS sd FROM xy, m), low AS (SELECT median(y) AS worst FROM (SELECT y FROM xy ORDER BY y LIMIT 20)) SELECT {r('(worst - med) / sd')} AS effect FROM low, m, sc")
+def attainable_effect(s: State) -> DataFrame:
+    """The lowest effect that any order of the other measure could give."""
+    return exp.attainable_effect(_xy(s))
+
+
+@query(_WIDE + _RANKED + " SELECT 'sign' AS test, count(*) AS checked, 0::BIGINT AS mismatches FROM matrix")
+def symmetry_check(s: State) -> DataFrame:
+    """Whether the sign of the rank correlation stands when a pair is turned round."""
+    m = exp.spearman_matrix(_draws(s), METRICS)
+    back = exp.spearman_matrix(_draws(s).withColumn("metric", F.reverse("metric")), [x[::-1] for x in METRICS]).select(F.reverse("a").alias("a"), F.reverse("b").alias("b"), "rho")
+    verdict = F.when(F.col("rho").isNotNull(), F.signum(F.round("rho", 9))).cast("string").alias("verdict")
+    turned = back.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit("sign").alias("test"), verdict)
+    return exp.check_symmetry(m.select("a", "b", F.lit("sign").alias("test"), verdict).unionByName(turned), ("sign",))
+
+
 @query()
 def bootstrap_ci(s: State) -> DataFrame:
     """Spearman's rho of compactness and a small efficiency gap, with whole chains drawn anew."""
@@ -691,11 +705,13 @@ def ess(s: State) -> DataFrame:
 
 @query()
 def convergence_trace(s: State) -> DataFrame:
-    return conv.trace(_chains(s), [8, 16, 25])
+    """R-hat at twelve growing prefixes of the chains."""
+    return conv.trace(_chains(s), sorted({max(4, DRAWS * i // 12) for i in range(1, 13)}))
 
 
 @query()
 def rectangles(s: State) -> DataFrame:
+    """Chain lengths that enough chains reach; the chains of the given tables have 25 draws, so 20 are asked instead of 500."""
     return conv.rectangles(_chains(s), least_chains=4, least_draws=20)
 
 
@@ -704,32 +720,86 @@ def gelman_rubin(s: State) -> DataFrame:
     return conv.psrf(_chains(s))
 
 
-# --- sampler, search, nulls, streaming ----------------------------------------------------------------------------
+# --- cases, nulls, streaming ----------------------------------------------------------------------------
 
-def _neutral(s: State) -> DataFrame:
-    return s.units().select("unit", "pop", "dem", "rep")
+@query(", maps AS (SELECT plan, dem_seats AS seats, string_agg(district::VARCHAR, ',' ORDER BY unit) AS map FROM metrics JOIN assign USING (plan) WHERE dem_seats = (SELECT max(dem_seats) FROM metrics) GROUP BY ALL) SELECT plan, seats FROM maps ORDER BY map DESC, plan LIMIT 1")
+def most_seats_plan(s: State) -> DataFrame:
+    """The plan with the most seats of one party."""
+    return cases.most_seats_plan(s.assignments(), par.seat_counts(_dist(s)))
 
 
-@query()
-def recom_chain(s: State) -> DataFrame:
-    """Four recombination chains of ten draws over all units: each draw's cut edges and population spread."""
-    draws = sampler.recom_chains(s.units().select("unit", "pop"), s.edges(), 4, 0.1, 10, 4)
-    plans = draws.select((F.col("chain") * 1000 + F.col("draw")).alias("plan"), "unit", "district")
-    return gr.cut_edges(plans, s.edges()).join(gr.population_spread(plans, s.units()), "plan")
+_ANCHORS = ("polsby_popper_mean", "cut_edges", "county_splits", "spread", "declination")
 
 
-@query()
-def growth_partition(s: State) -> DataFrame:
-    """Plans grown at random over all units: population and units of each district."""
-    g = sampler.random_growth(s.units().select("unit", "pop"), s.edges(), 8, 4)
-    return g.join(s.units().select("unit", "pop"), "unit").groupBy("restart", "district").agg(F.count("*").alias("units"), F.sum("pop").alias("pop"))
+@query(_WIDE + " SELECT plan FROM draws WHERE metric IN ('polsby_popper_mean', 'cut_edges', 'county_splits', 'spread', 'declination') GROUP BY plan HAVING count(value) = 5")
+def anchor_pool(s: State) -> DataFrame:
+    """Plans that have all five measures of an anchor."""
+    return cases.anchor_pool(_draws(s), _ANCHORS)
 
 
-@query()
-def seat_search(s: State) -> DataFrame:
-    """The most seats that four restarts find for each party."""
-    most = [sampler.achievable_seats(sampler.seat_search(_neutral(s), s.edges(), 8, 0.2, 4, 15, p)).withColumn("party", F.lit(p)) for p in ("dem", "rep")]
-    return most[0].unionByName(most[1])
+@query(_WIDE + " SELECT plan, row_number() OVER (ORDER BY sha256('5|' || plan::VARCHAR))::INTEGER AS place FROM (SELECT plan FROM draws WHERE metric IN ('polsby_popper_mean', 'cut_edges', 'county_splits', 'spread', 'declination') GROUP BY plan HAVING count(value) = 5) QUALIFY place <= 6")
+def anchors_drawn(s: State) -> DataFrame:
+    """Six anchors drawn from the pool."""
+    return cases.draw_anchors(cases.anchor_pool(_draws(s), _ANCHORS), 5, 6)
+
+
+@query(_RULES + f", g AS (SELECT CASE WHEN shift > 0 THEN 'above' WHEN shift < 0 THEN 'below' ELSE 'level' END AS stratum, count(*) AS n, count(flagged) AS resolved, count(*) - count(flagged) AS unresolved, count(*) FILTER (WHERE flagged) AS flagged FROM flags GROUP BY 1) SELECT *, CASE WHEN resolved > 0 THEN {r('flagged / resolved::DOUBLE')} END AS fpr, {_wilson_sql('flagged', 'resolved', 'low')} AS low, {_wilson_sql('flagged', 'resolved', 'high')} AS high FROM g")
+def stratum_rates(s: State) -> DataFrame:
+    """How often the rule fires among plans above, below and at the middle."""
+    flags = ru.flag(_locations(s), RULE)
+    strata = flags.select("case_id", F.when(F.col("shift") > 0, "above").when(F.col("shift") < 0, "below").otherwise("level").alias("stratum"))
+    return cases.stratum_rates(flags.select("case_id", "flagged"), strata)
+
+
+@query(_RULES + ", a AS (SELECT avg(CASE WHEN a.outlierness > b.outlierness THEN 1.0 WHEN a.outlierness = b.outlierness THEN 0.5 ELSE 0.0 END) AS auc FROM flags a JOIN flags b ON a.kind = 'planted' AND b.kind = 'null' WHERE a.outlierness IS NOT NULL AND b.outlierness IS NOT NULL), j AS (SELECT tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE AS youden FROM conf) SELECT auc > 0.5 AS ranking, youden > 0 AS operating_point, (auc > 0.5) AND (youden > 0) AS verdict FROM a, j")
+def beats_baselines(s: State) -> DataFrame:
+    """Whether the rule does better than constant answers."""
+    flags = ru.flag(_locations(s), RULE)
+    return cases.beats_baselines(ru.auc(flags), ru.confusion(flags))
+
+
+@query(_WIDE + f" SELECT metric, plan // {DRAWS} AS chain, count(*) AS draws FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') AND plan % {DRAWS} < 20 GROUP BY ALL")
+def chains_rectangle(s: State) -> DataFrame:
+    """The first 20 draws of every chain that has them."""
+    rows = _chains(s)
+    done = rows.select("chain").distinct().withColumn("completed", F.col("chain") % 2 == 0)
+    return cases.chains_of(rows, done, 20).groupBy("metric", "chain").agg(F.count("*").alias("draws"))
+
+
+@query(_WIDE + f" SELECT metric, plan // {DRAWS} AS chain, count(*) AS draws FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') AND plan // {DRAWS} % 2 = 0 GROUP BY ALL")
+def chains_completed(s: State) -> DataFrame:
+    """The draws of completed chains (every second one)."""
+    rows = _chains(s)
+    done = rows.select("chain").distinct().withColumn("completed", F.col("chain") % 2 == 0)
+    return cases.chains_of(rows, done).groupBy("metric", "chain").agg(F.count("*").alias("draws"))
+
+
+@query("SELECT min(dem_seats) AS least, median(dem_seats)::DOUBLE AS middle, max(dem_seats) AS most, count(*) AS plans FROM metrics")
+def seat_range(s: State) -> DataFrame:
+    """Range and middle of one party's seats over the ensemble."""
+    return par.seat_counts(_dist(s)).agg(F.min("dem_seats").alias("least"), F.median("dem_seats").alias("middle"), F.max("dem_seats").alias("most"), F.count("*").alias("plans"))
+
+
+@query("SELECT unit::VARCHAR AS unit, 'County ' || unit AS name, pop FROM units")
+def census_units(s: State) -> DataFrame:
+    """Units and people read from lines of census records, as made of the given tables."""
+    field = lambda at, n: F.array_join(F.array(*[at.get(i, F.lit("x")) for i in range(n)]), "|")
+    u = F.col("unit").cast("string")
+    geography = s.units().select(field({census.GEO_LEVEL: F.lit("050"), census.GEO_RECORD: F.concat(F.lit("r"), u), census.GEO_ID: u, census.GEO_NAME: F.concat(F.lit("County "), u)}, 90).alias("text"))
+    counts = s.units().select(field({census.COUNT_RECORD: F.concat(F.lit("r"), u), census.COUNT_POP: F.col("pop").cast("string")}, 8).alias("text"))
+    return census.census_units(geography, counts)
+
+
+@query(", p AS (SELECT u, v FROM edges WHERE u % 5 <> 0), q AS (SELECT u, v FROM edges WHERE v % 7 <> 0) SELECT coalesce(p.u, q.u)::VARCHAR AS u, coalesce(p.v, q.v)::VARCHAR AS v, CASE WHEN q.u IS NULL THEN 'ours' ELSE 'theirs' END AS only FROM p FULL JOIN q ON p.u = q.u AND p.v = q.v WHERE p.u IS NULL OR q.u IS NULL")
+def adjacency_differences(s: State) -> DataFrame:
+    """Neighbours that one of two lists lacks, the second read from lines whose header stands on the first of each unit only."""
+    pair = lambda e: e.select(F.least(F.col("u").cast("string"), F.col("v").cast("string")).alias("u"), F.greatest(F.col("u").cast("string"), F.col("v").cast("string")).alias("v"))
+    theirs = s.edges().where("v % 7 <> 0")
+    first = Window.partitionBy("u").orderBy("v")
+    lines = theirs.withColumn("i", F.row_number().over(first)).select((F.col("u") * 100 + F.col("i")).alias("line"), F.concat_ws("\t", F.when(F.col("i") == 1, "name").otherwise(""), F.when(F.col("i") == 1, F.format_string('"%s"', F.col("u").cast("string"))).otherwise(""), F.lit("other"), F.col("v").cast("string")).alias("text"))
+    found = census.pair_differences(pair(s.edges().where("u % 5 <> 0")), census.adjacency_pairs(lines))
+    at = lambda c, f: f(F.col("u").cast("long"), F.col("v").cast("long")).cast("string").alias(c)
+    return found.select(at("u", F.least), at("v", F.greatest), "only")
 
 
 @query("SELECT plan, row_number() OVER (ORDER BY sha256(plan::VARCHAR || '|random'))::INTEGER AS place FROM metrics QUALIFY place <= 20")
@@ -799,23 +869,27 @@ def metric_histograms(s: State) -> DataFrame:
     return reports.histogram(_draws(s))
 
 
-@query(_ARMS + ", x AS (SELECT *, arm_margin OR arm_sweep OR arm_median AS pre FROM arms), d AS (SELECT plan, 'partisan_metrics_disagree_in_sign' AS kind, concat_ws(',', CASE WHEN efficiency_gap <> 0 THEN 'efficiency_gap' END, CASE WHEN mean_median <> 0 THEN 'mean_median' END, CASE WHEN declination <> 0 THEN 'declination' END) AS metrics FROM x WHERE greatest(efficiency_gap, mean_median, declination) > 0 AND least(efficiency_gap, mean_median, declination) < 0 UNION ALL SELECT plan, 'partisan_metrics_not_trustworthy_here', concat_ws(',', CASE WHEN pre THEN 'mean_median' END, CASE WHEN declination IS NULL OR n_districts < 8 THEN 'declination' END, CASE WHEN pre THEN 'partisan_bias' END) FROM x WHERE pre OR declination IS NULL OR n_districts < 8) SELECT plan, kind, 0.0::DOUBLE AS magnitude, metrics FROM d")
+@query(_ARMS + """, x AS (SELECT *, arm_margin OR arm_sweep OR arm_median AS pre FROM arms), d AS (SELECT plan, 'partisan_metrics_disagree_in_sign' AS kind, concat_ws(',', CASE WHEN efficiency_gap <> 0 THEN 'efficiency_gap' END, CASE WHEN mean_median <> 0 THEN 'mean_median' END, CASE WHEN declination <> 0 THEN 'declination' END) AS metrics FROM x WHERE greatest(efficiency_gap, mean_median, declination) > 0 AND least(efficiency_gap, mean_median, declination) < 0 UNION ALL SELECT plan, 'partisan_metrics_not_trustworthy_here', concat_ws(',', CASE WHEN pre THEN 'mean_median' END, CASE WHEN declination IS NULL OR n_districts < 8 THEN 'declination' END, CASE WHEN pre THEN 'partisan_bias' END) FROM x WHERE pre OR declination IS NULL OR n_districts < 8 UNION ALL SELECT plan, 'metrics_constant_by_construction', concat_ws(',', 'ballot_styles', CASE WHEN (SELECT max(c) FROM (SELECT count(*) AS c FROM units GROUP BY parent)) <= 1 THEN 'county_splits,split_pieces' END) FROM metrics) SELECT plan, kind, 0.0::DOUBLE AS magnitude, metrics FROM d""")
 def plan_disagreements(s: State) -> DataFrame:
-    """The two partisan kinds, as in the SQL; see plan_disagreements_all."""
-    m = par.all_metrics(_dist(s))
-    return reports.disagreements(m, par.trusted_metrics(m)).withColumn("metrics", F.concat_ws(",", "metrics"))
+    """Where a plan's measures contradict each other or say nothing: the kinds that need no outlines."""
+    return _disagreements(s, None)
 
 
-@query()
-def plan_disagreements_all(s: State) -> DataFrame:
-    """Where the measures of a plan contradict each other or say nothing, in all five kinds."""
+def _disagreements(s: State, shapes: DataFrame | None) -> DataFrame:
     m = par.all_metrics(_dist(s))
-    ratios = _ratios(s).select("plan", "district", "polsby_popper").join(geo.outline_measures(s.assignments(), s.unit_geom(), s.edges()), ["plan", "district"])
-    shapes = ratios.groupBy("plan").agg(*[F.avg(c).alias(c) for c in reports.COMPARABLE])
     constant = adm.degeneracy(s.membership()).where(~F.col("reason").startswith("some units"))  # a sum that can't be taken is no constant
     return reports.disagreements(m, par.trusted_metrics(m), shapes, constant, {"county": s.membership()}).withColumn("metrics", F.concat_ws(",", "metrics"))
 
 
+@query()
+def plan_disagreements_all(s: State) -> DataFrame:
+    """All five kinds, with that between the measures of compactness."""
+    met = s.once("contacts", lambda: gr.contacts(s.assignments(), s.edges()))
+    ratios = geo.shape_ratios(geo.area_perimeter(s.assignments(), s.unit_geom(), s.edges(), met)).select("plan", "district", "polsby_popper")
+    shapes = ratios.join(geo.outline_measures(s.assignments(), s.unit_geom(), s.edges(), met), ["plan", "district"])
+    return _disagreements(s, shapes.groupBy("plan").agg(*[F.avg(c).alias(c) for c in reports.COMPARABLE]))
+
+
 @query()
 def plan_reports(s: State) -> DataFrame:
     """A JSON report for each plan."""

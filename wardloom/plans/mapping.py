@@ -6,9 +6,13 @@ Customers are units, their orders people and votes, their nations counties. Plan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import settle
+
 PLANS, K, SHIFT, DRAWS, WIDTH = 200, 8, 7, 25, 50
 
 
@@ -23,6 +27,13 @@ class State:
         self.spark, self.dir = spark, sf_dir
         self.customer = table(spark, sf_dir, "customer")
         self.n = self.customer.count()  # from the footers
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that several operators of one query read: computed and written once."""
+        if name not in self._kept:
+            self._kept[name] = settle(make())
+        return self._kept[name]
 
     @property
     def orders(self) -> DataFrame:

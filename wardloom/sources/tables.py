@@ -63,15 +63,22 @@ def load_plan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """Arcs (u, v) from one JSON object of unit to neighbours."""
+    """Arcs (u, v) from one JSON object of unit to neighbours (see ``load_inputs`` for checks)."""
     text = spark.read.text(path, wholetext=True)
     lists = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("u", "vs"))
     return lists.select("u", F.explode("vs").alias("v"))
 
 
 def load_elections(spark: SparkSession, path: str) -> DataFrame:
-    """Long votes (unit, contest, party, column, votes) from a wide CSV; refuses ragged rows and negative counts."""
+    """Long votes (unit, contest, party, column, votes) from a wide CSV.
+
+    Refuses ragged rows, missing or negative counts, and blank or repeated units.
+    """
     raw = spark.read.csv(path, header=True)
+    if "GEOID" not in raw.columns:
+        raise InvalidTable("votes need the column GEOID")
+    refuse(raw.where("GEOID is null or trim(GEOID) = ''").withColumn("_at", F.lit("blank")), "_at", "rows of votes without a unit")
+    refuse(raw.groupBy("GEOID").count().where("count > 1"), "GEOID", "units with several rows of votes")
     columns = [c for c in raw.columns if re.match(VOTE_COLUMN, c)]
     if not columns:
         raise InvalidTable("no vote columns")
@@ -140,3 +147,34 @@ def verify(recomputed: DataFrame, published: DataFrame, keys: list[str]) -> Data
         near = F.abs(a - b) <= F.greatest(1e-9 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-12))
         apart = apart | ~F.coalesce(near, a.isNull() & b.isNull())
     return both.where(F.col("_here").isNull() | F.col("_there").isNull() | apart).drop("_here", "_there")
+
+
+def require_same(a: DataFrame, b: DataFrame, column: str, what: str) -> None:
+    """The two frames must hold the same values of ``column``."""
+    x, y = a.select(column).distinct(), b.select(column).distinct()
+    refuse(x.join(y, column, "left_anti").unionByName(y.join(x, column, "left_anti")), column, what)
+
+
+def load_inputs(spark: SparkSession, units: str, adjacency: str, elections: str | None = None, plan: str | None = None, contest: str | None = None) -> dict[str, DataFrame]:
+    """All tables of a state by name (units, adjacency, votes, plan), each read by its loader and held against the others.
+
+    Refused: an adjacency that is not symmetric, has loops or other units than the table; votes or a plan of other units.
+    """
+    out = {"units": load_units(spark, units), "adjacency": load_adjacency(spark, adjacency)}
+    arcs = out["adjacency"]
+    back = arcs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    refuse(arcs.where("u = v"), "u", "units that are their own neighbours")
+    refuse(arcs.join(back, ["u", "v"], "left_anti").select(F.concat_ws("-", "u", "v").alias("arc")), "arc", "neighbours on one side only")
+    ends = arcs.select(F.col("u").alias("unit")).unionByName(arcs.select(F.col("v").alias("unit"))).distinct()
+    refuse(ends.join(out["units"], "unit", "left_anti"), "unit", "neighbours that are no units")
+    if elections is not None:
+        votes = load_elections(spark, elections)
+        named = sorted(r["contest"] for r in contests(votes).collect())
+        if contest is None and len(named) != 1:
+            raise InvalidTable(f"say which contest: {', '.join(named)}")
+        out["votes"] = two_party(votes, contest or named[0])
+        require_same(out["units"], out["votes"], "unit", "units and votes differ at units")
+    if plan is not None:
+        out["plan"] = load_plan(spark, plan)
+        require_same(out["units"], out["plan"], "unit", "units and plan differ at units")
+    return out
