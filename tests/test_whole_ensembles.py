@@ -9,6 +9,7 @@ import pytest
 
 from wardloom.operators import administrative as adm
 from wardloom.operators import geometry as geo
+from wardloom.operators import graph as gr
 from wardloom.operators import reports
 from wardloom.plans import catalog
 from wardloom.plans.mapping import PLANS, State
@@ -58,8 +59,12 @@ def test_swaps_of_all_plans(spark, home, plans):
     for p, d in where.items():
         moves = moves_of(d, edges)
         want |= {(p, u, v) for u, a, b in moves for v, x, y in moves if u < v and (a, b) == (y, x)}
-    rows = [tuple(r) for r in catalog.QUERIES["swap_candidates"](spark, home).collect()]
-    assert set(rows) == want and len(rows) == len(want)
+    sets = catalog.QUERIES["swap_candidates"](spark, home).collect()
+    units = lambda text: [int(u) for u in text.split(",")]
+    rows = [(r["plan"], min(x, y), max(x, y)) for r in sets for x in units(r["units_a"]) for y in units(r["units_b"])]
+    assert set(rows) == want and len(rows) == len(want) == sum(r["swaps"] for r in sets)
+    s = State(spark, home)
+    assert {tuple(r) for r in gr.swap_candidates(gr.move_candidates(s.assignments(), s.edges(), s.units(), 0.0)).collect()} == want
 
 
 def test_components_of_all_plans(spark, home, plans):

@@ -71,11 +71,18 @@ def move_candidates(assignments: DataFrame, edges: DataFrame, units: DataFrame,
     return out.select("plan", "unit", "source", "target", (square(s - p) + square(t + p) - square(s) - square(t)).alias("delta"))
 
 
+def swap_sets(moves: DataFrame) -> DataFrame:
+    """(plan, a, b, units_a, units_b, swaps) for districts a < b: units of a that may move to b, those of b that may move to a,
+    and how many swaps they make. Any of the first with any of the second is a swap, so pairs need not be written out."""
+    up = F.col("source") < F.col("target")
+    sets = moves.groupBy("plan", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.array_sort(F.collect_set(F.when(up, F.col("unit")))).alias("units_a"), F.array_sort(F.collect_set(F.when(~up, F.col("unit")))).alias("units_b"))
+    return sets.withColumn("swaps", F.size("units_a").cast("long") * F.size("units_b")).where("swaps > 0")
+
+
 def swap_candidates(moves: DataFrame) -> DataFrame:
-    """(plan, unit_a, unit_b): pairs of single moves that exchange two units between two districts."""
-    a = moves.select("plan", F.col("unit").alias("unit_a"), F.col("source").alias("x"), F.col("target").alias("y"))
-    b = moves.select("plan", F.col("unit").alias("unit_b"), F.col("source").alias("y"), F.col("target").alias("x"))
-    return a.join(b, ["plan", "x", "y"]).where("unit_a < unit_b").select("plan", "unit_a", "unit_b").distinct()
+    """(plan, unit_a, unit_b): pairs of single moves that exchange two units between two districts, written out."""
+    pairs = swap_sets(moves).select("plan", F.explode("units_a").alias("x"), "units_b").select("plan", "x", F.explode("units_b").alias("y"))
+    return pairs.select("plan", F.least("x", "y").alias("unit_a"), F.greatest("x", "y").alias("unit_b"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -288,10 +288,12 @@ def move_candidates(s: State) -> DataFrame:
     return gr.move_candidates(s.assignments(), s.edges(), s.units(), s.orders.count() / 8.0)
 
 
-@query()
+@query(_MOVES + """SELECT plan, least(source, target) AS a, greatest(source, target) AS b, string_agg(unit::VARCHAR, ',' ORDER BY unit) FILTER (WHERE source < target) AS units_a,
+string_agg(unit::VARCHAR, ',' ORDER BY unit) FILTER (WHERE source > target) AS units_b, count(*) FILTER (WHERE source < target) * count(*) FILTER (WHERE source > target) AS swaps FROM moves GROUP BY ALL HAVING swaps > 0""")
 def swap_candidates(s: State) -> DataFrame:
-    """Swaps of all plans; no SQL, as the pairs of a small table are already millions of rows."""
-    return gr.swap_candidates(gr.move_candidates(s.assignments(), s.edges(), s.units(), 0.0))
+    """Swaps of all plans, as the two sets of units that each pair of districts may exchange."""
+    sets = gr.swap_sets(gr.move_candidates(s.assignments(), s.edges(), s.units(), 0.0))
+    return sets.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("units_a", "units_b")})
 
 
 @query("SELECT u, v, 'one-sided' AS problem FROM (SELECT u, v FROM edges WHERE u % 7 <> 0 UNION ALL SELECT v, u FROM edges) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT u, v FROM edges WHERE u % 7 <> 0 UNION ALL SELECT v, u FROM edges) b WHERE b.u = a.v AND b.v = a.u)")
