@@ -128,3 +128,18 @@ def min_detectable_shift(curve: DataFrame, target: float = 0.95) -> DataFrame:
 def gates(confused: DataFrame, tpr_gate: float = 0.95, fpr_gate: float = 0.05) -> DataFrame:
     """Adds tpr_pass and fpr_pass, which read the worst bounds."""
     return confused.select("tpr_worst", "fpr_worst", (F.col("tpr_worst") >= tpr_gate).alias("tpr_pass"), (F.col("fpr_worst") <= fpr_gate).alias("fpr_pass"))
+
+
+def alternatives(locations: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """(rule, tp, fp, tn, fn, unresolved, youden): every rule, by name, scored on the same cases."""
+    out = None
+    for name, rule in rules.items():
+        c = confusion(flag(locations, rule))
+        one = c.select(F.lit(name).alias("rule"), "tp", "fp", "tn", "fn", (F.col("unresolved_planted") + F.col("unresolved_null")).alias("unresolved"), "youden")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rate_at(curve: DataFrame, magnitude: int) -> DataFrame:
+    """(tpr) of ``curve(magnitude, tpr)`` at one magnitude; no row where the curve lacks it."""
+    return curve.where(F.col("magnitude") == magnitude).select("tpr")

@@ -67,3 +67,26 @@ def threshold_counts(values: DataFrame, column: str, thresholds: list[float]) ->
     """(threshold, n): rows at or below each threshold."""
     at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     return values.select(column, at.alias("threshold")).groupBy("threshold").agg(F.count_if(F.col(column) <= F.col("threshold")).alias("n"))
+
+
+def overlay_boxes(units: DataFrame, zones: DataFrame, tile: float) -> DataFrame:
+    """(unit, zone, share): which part of each unit's area a zone covers, for ``units(unit, x0, y0, x1, y1)`` and
+    ``zones(zone, x0, y0, x1, y1)``. Boxes meet in square tiles; a pair is measured in the tile of its overlap's lower corner
+    alone, so it counts once however many tiles both touch."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile))
+
+    def tiled(boxes: DataFrame, key: str) -> DataFrame:
+        named = boxes.select(key, *[F.col(c).alias(f"{key}_{c}") for c in ("x0", "y0", "x1", "y1")])
+        return named.withColumn("tx", F.explode(span(f"{key}_x0", f"{key}_x1"))).withColumn("ty", F.explode(span(f"{key}_y0", f"{key}_y1")))
+
+    low = {c: F.greatest(f"unit_{c}0", f"zone_{c}0") for c in "xy"}
+    wide = {c: F.least(f"unit_{c}1", f"zone_{c}1") - low[c] for c in "xy"}
+    met = tiled(units, "unit").join(tiled(zones, "zone"), ["tx", "ty"]).where((F.floor(low["x"] / tile) == F.col("tx")) & (F.floor(low["y"] / tile) == F.col("ty")) & (wide["x"] > 0) & (wide["y"] > 0))
+    return met.select("unit", "zone", (wide["x"] * wide["y"] / ((F.col("unit_x1") - F.col("unit_x0")) * (F.col("unit_y1") - F.col("unit_y0")))).alias("share"))
+
+
+def main_zone(units: DataFrame, shares: DataFrame, least: float = 0.0) -> DataFrame:
+    """(unit, zone, share): the zone that covers most of each unit, of equal ones the smallest; null where that part is below
+    ``least`` or no zone covers any. All units stay."""
+    best = shares.groupBy("unit").agg(F.max_by(F.struct("zone", "share"), F.struct("share", -F.col("zone"))).alias("_b")).select("unit", F.col("_b.zone").alias("zone"), F.col("_b.share").alias("share"))
+    return units.select("unit").join(best.where(F.col("share") >= least), "unit", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import seeds
 from ..functions.expr import rounded
 from ..operators import administrative as adm
+from ..operators import analysis as ana
 from ..operators import convergence as conv
 from ..operators import ensemble as ens
 from ..operators import experiments as exp
@@ -717,7 +718,7 @@ def rectangles(s: State) -> DataFrame:
     return conv.rectangles(_chains(s), least_chains=4, least_draws=20)
 
 
-@query(_WIDE + f", cp AS (SELECT metric, plan // {DRAWS} AS chain, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') GROUP BY ALL) SELECT metric, {r('sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(v) + var_samp(mean)) / avg(v))')} AS psrf FROM cp GROUP BY metric")
+@query(_WIDE + f", cp AS (SELECT metric, plan // {DRAWS} AS chain, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM draws WHERE metric IN ('efficiency_gap', 'cut_edges', 'polsby_popper_mean') GROUP BY ALL) SELECT metric, {r('sqrt(((any_value(n) - 1) / any_value(n)::DOUBLE * avg(v) + var_samp(mean)) / nullif(avg(v), 0))')} AS psrf FROM cp GROUP BY metric")
 def gelman_rubin(s: State) -> DataFrame:
     return conv.psrf(_chains(s))
 
@@ -915,3 +916,119 @@ def detection_floor(s: State) -> DataFrame:
 @query()
 def null_delta(s: State) -> DataFrame:
     return exp.null_delta(_xy(s))
+
+
+# --- pairs of criteria, exact tests, cases and overlays -----------------------------------------------------------
+
+@query(_WIDE + f""", vary AS (SELECT metric FROM draws GROUP BY 1 HAVING min(value) < max(value)), known AS (SELECT * FROM draws JOIN vary USING (metric) WHERE value IS NOT NULL),
+pair AS (SELECT a.metric AS a, b.metric AS b, a.value AS x, b.value AS y FROM known a JOIN known b ON a.plan = b.plan AND a.metric <> b.metric),
+placed AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY x DESC) AS i, count(*) OVER (PARTITION BY a, b) AS m,
+  rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM pair),
+st AS (SELECT a, b, count(*) AS n, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS rho, max(x) FILTER (WHERE i = greatest(1, round(m / 10.0))) AS cut, median(y) AS mid, stddev_pop(y) AS sd, quantile_cont(x, 2 / 3.0) AS cx, quantile_cont(y, 2 / 3.0) AS cy FROM placed GROUP BY ALL),
+eff AS (SELECT a, b, any_value(n) AS n, any_value(rho) AS rho, any_value(mid) AS mid, any_value(sd) AS sd, median(abs(y - mid)) AS mad, median(y) FILTER (WHERE x >= cut) AS top, avg((x >= cx AND y >= cy)::INT) AS joint, avg((x >= cx)::INT) * avg((y >= cy)::INT) AS expected FROM placed JOIN st USING (a, b) GROUP BY a, b)
+SELECT a, b, n, {r('rho')} AS rho, CASE WHEN (CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END) > 0 THEN {r('(top - mid) / (CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END)')} END AS effect, {r('joint')} AS joint, {r('expected')} AS expected FROM eff""")
+def pair_effects(s: State) -> DataFrame:
+    """Every ordered pair of measures that vary."""
+    return ana.pair_effects(_draws(s), METRICS)
+
+
+@query(_WIDE + f""", rk AS (SELECT metric, plan // {DRAWS} AS chain, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rank FROM draws WHERE value IS NOT NULL),
+sums AS (SELECT metric, chain, sum(rank)::DOUBLE AS s, count(*) AS n FROM rk GROUP BY ALL), masks AS (SELECT m.range AS mask FROM range(256) m WHERE bit_count(m.range) = 4),
+dl AS (SELECT metric, mask, coalesce(2 * (sum(s) - sum(n) * (sum(n) + 1) / 2) / nullif(sum(n) * (any_value(t.total) - sum(n)), 0) - 1, 0.0) AS d FROM sums JOIN masks ON (mask >> chain) & 1 = 1 JOIN (SELECT metric, sum(n) AS total FROM sums GROUP BY 1) t USING (metric) GROUP BY ALL)
+SELECT metric, {r('max(d) FILTER (WHERE mask = 15)')} AS delta, count(*) AS labelings, {r('avg((abs(d) >= own - 1e-9)::INT)')} AS p FROM dl JOIN (SELECT metric, abs(d) AS own FROM dl WHERE mask = 15) o USING (metric) GROUP BY metric""")
+def chain_label_test(s: State) -> DataFrame:
+    """The first four chains against the other four, over all 70 ways to label four of eight."""
+    rows = _draws(s).select("metric", F.floor(F.col("plan") / DRAWS).alias("chain"), "value")
+    return ana.chain_label_test(rows, [0, 1, 2, 3])
+
+
+@query("!SELECT metric, worst, level, worst < -0.2 AS binds, row_number() OVER (ORDER BY worst, metric) AS place FROM (SELECT metric, min(delta) AS worst, arg_min(level, (delta, level)) AS level FROM (" + ORACLE_SQL["sensitivity_sweep"] + ") GROUP BY metric)")
+def criteria_ranking(s: State) -> DataFrame:
+    """Measures by what the strictest choice of compact plans costs them."""
+    sweep = tidy(exp.sensitivity_sweep(_shared(s), "polsby_popper_mean", ["cut_edges", "county_splits"]))
+    return ana.rank_criteria(sweep, floor=-0.2)
+
+
+@query(_WIDE + f", c AS (SELECT quantile_cont(spread, 0.25) AS a, quantile_cont(spread, 0.6) AS b, quantile_cont(spread, 0.9) AS c FROM wide) SELECT plan, spread, (spread > a)::INT + (spread > b)::INT + (spread > c)::INT AS bucket FROM wide, c")
+def spread_buckets(s: State) -> DataFrame:
+    """Plans by how uneven their districts are, in four classes of given shares."""
+    return ana.quantised(_shared(s).select("plan", "spread"), "spread", (0.25, 0.6, 0.9))
+
+
+def _cases(s: State) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "planted").when(F.col("o_orderstatus") == "O", "null").otherwise("other")
+    return s.orders.select(F.col("o_custkey").alias("case_id"), kind.alias("kind"), (F.col("o_orderkey") % 2).alias("shift"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3 == 1).alias("in_gate_sample"))
+
+
+_CASES = "!WITH cs AS (SELECT o_custkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'planted' WHEN 'O' THEN 'null' ELSE 'other' END AS kind, o_orderkey % 2 AS shift, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 = 1 END AS in_gate_sample FROM orders) "
+
+
+@query(_CASES + ", per AS (SELECT case_id, count(*) AS n, bool_or(kind = 'other') AS odd, bool_or(kind = 'planted' AND shift = 0) AS still, bool_or(kind = 'null' AND shift <> 0) AS moved FROM cs GROUP BY 1) SELECT case_id, 'repeated id' AS problem FROM per WHERE n > 1 UNION ALL SELECT case_id, 'unknown kind' FROM per WHERE odd UNION ALL SELECT case_id, 'planted without shift' FROM per WHERE still UNION ALL SELECT case_id, 'null with shift' FROM per WHERE moved")
+def scenario_problems(s: State) -> DataFrame:
+    """Orders as labelled cases: which of the rules of a case they break."""
+    return ana.scenario_problems(_cases(s))
+
+
+@query(_CASES + "SELECT kind, count(*) AS n FROM cs WHERE kind <> 'null' OR coalesce(in_gate_sample, true) GROUP BY 1")
+def gate_sample(s: State) -> DataFrame:
+    """How many cases of each kind decide the gates."""
+    return ana.gate_sample(_cases(s)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(_WIDE + _SUMMARY + ", said AS (SELECT metric, concat_ws(', ', CASE WHEN n < 200 THEN 'few draws' END, CASE WHEN distinct_values < 10 THEN 'few distinct values' END, CASE WHEN coalesce(ess, 0) < 20 THEN 'small effective size' END) AS reasons FROM summary) SELECT metric, reasons, reasons = '' AS qualified FROM said")
+def qualified_metrics(s: State) -> DataFrame:
+    """Which measures the ensemble says enough about, and why not the others."""
+    return ana.qualified(ens.summarize(_draws(s)), 200, 10, 20.0)
+
+
+@query(_RULES + ", verdicts AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, kind, {t} AS flagged FROM flags" for n, t in (("any", "flagged"), ("two", "CASE WHEN eligible > 0 THEN fired >= 2 END"), ("all", "CASE WHEN eligible > 0 THEN fired = eligible END"))) + f"), cf AS (SELECT rule, count(*) FILTER (WHERE kind = 'planted' AND flagged) AS tp, count(*) FILTER (WHERE kind = 'null' AND flagged) AS fp, count(*) FILTER (WHERE kind = 'null' AND NOT flagged) AS tn, count(*) FILTER (WHERE kind = 'planted' AND NOT flagged) AS fn, count(*) FILTER (WHERE flagged IS NULL AND kind IN ('planted', 'null')) AS unresolved FROM verdicts GROUP BY rule) SELECT *, {r('tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE')} AS youden FROM cf")
+def alternative_rules(s: State) -> DataFrame:
+    """Any, two of, or all metrics: three rules on the same cases."""
+    located = s.once("locations", lambda: _locations(s))
+    return ru.alternatives(located, {"any": RULE, "two": ru.Rule(**{**RULE.__dict__, "combination": "k_of_n", "k": 2}), "all": ru.Rule(**{**RULE.__dict__, "combination": "all"})})
+
+
+@query("SELECT plan, district, count(*) AS units, string_agg(unit::VARCHAR, ',' ORDER BY unit) AS members FROM assign GROUP BY ALL")
+def district_members(s: State) -> DataFrame:
+    """The units of each district in order."""
+    rows = s.assignments().groupBy("plan", "district").agg(F.count("*").alias("units"), F.array_sort(F.collect_list("unit")).alias("m"))
+    return rows.select("plan", "district", "units", F.array_join("m", ",").alias("members"))
+
+
+def _boxes(s: State) -> tuple[DataFrame, DataFrame]:
+    """Unit squares, and zones 2.4 wide with a gap of 0.3 between columns of zones."""
+    x, y = F.col("unit") % 50, F.floor(F.col("unit") / 50)
+    units = s.membership().select("unit").select("unit", *[c.cast("double").alias(n) for c, n in ((x, "x0"), (y, "y0"), (x + 1, "x1"), (y + 1, "y1"))])
+    cell = units.select(F.floor(F.col("x0") / 2.7).alias("i"), F.floor(F.col("y0") / 2.4).alias("j")).distinct()
+    return units, cell.select((F.col("j") * 100 + F.col("i")).alias("zone"), (F.col("i") * 2.7).alias("x0"), (F.col("j") * 2.4).alias("y0"), (F.col("i") * 2.7 + 2.4).alias("x1"), (F.col("j") * 2.4 + 2.4).alias("y1"))
+
+
+_BOXES = """!WITH ub AS (SELECT c_custkey AS unit, (c_custkey % 50)::DOUBLE AS x0, (c_custkey // 50)::DOUBLE AS y0, (c_custkey % 50 + 1)::DOUBLE AS x1, (c_custkey // 50 + 1)::DOUBLE AS y1 FROM customer),
+cell AS (SELECT DISTINCT floor(x0 / 2.7::DOUBLE)::BIGINT AS i, floor(y0 / 2.4::DOUBLE)::BIGINT AS j FROM ub),
+zb AS (SELECT j * 100 + i AS zone, i * 2.7::DOUBLE AS x0, j * 2.4::DOUBLE AS y0, i * 2.7::DOUBLE + 2.4::DOUBLE AS x1, j * 2.4::DOUBLE + 2.4::DOUBLE AS y1 FROM cell),
+part AS (SELECT unit, zone, (least(u.x1, z.x1) - greatest(u.x0, z.x0)) * (least(u.y1, z.y1) - greatest(u.y0, z.y0)) AS share FROM ub u JOIN zb z ON u.x0 < z.x1 AND z.x0 < u.x1 AND u.y0 < z.y1 AND z.y0 < u.y1)
+"""
+
+
+@query(_BOXES + f"SELECT unit, zone, {r('share')} AS share FROM part WHERE round(share, 9) > 0")
+def zone_overlay(s: State) -> DataFrame:
+    """Which part of each unit lies in which zone."""
+    return _overlay(s).where("round(share, 9) > 0")
+
+
+def _overlay(s: State) -> DataFrame:
+    units, zones = _boxes(s)
+    return spatial.overlay_boxes(units, zones, tile=5.0)
+
+
+@query(_BOXES + f", best AS (SELECT unit, zone, share, row_number() OVER (PARTITION BY unit ORDER BY round(share, 9) DESC, zone) AS i FROM part) SELECT ub.unit, zone, {r('share')} AS share FROM ub LEFT JOIN best ON best.unit = ub.unit AND i = 1 AND round(share, 9) >= 0.5")
+def main_zones(s: State) -> DataFrame:
+    """The zone of each unit, where one covers at least half of it."""
+    shares = _overlay(s).withColumn("share", F.round("share", 9))
+    return spatial.main_zone(s.membership(), shares, least=0.5)
+
+
+@query(f"SELECT plan, {r('median(share) - avg(share)')} AS median_less_mean FROM sh GROUP BY plan")
+def median_less_mean(s: State) -> DataFrame:
+    """The mean-median difference with its sign turned, from shares."""
+    return par.district_shares(_dist(s)).groupBy("plan").agg((F.median("share") - F.avg("share")).alias("median_less_mean"))

@@ -178,3 +178,8 @@ def load_inputs(spark: SparkSession, units: str, adjacency: str, elections: str
         out["plan"] = load_plan(spark, plan)
         require_same(out["units"], out["plan"], "unit", "units and plan differ at units")
     return out
+
+
+def read_checkpoint(spark: SparkSession, path: str, chain: int, seed: int) -> DataFrame:
+    """The draws of one chain that ``write_draws`` left, if they carry this ``seed``; none where another run wrote them."""
+    return spark.read.parquet(path).where((F.col("chain") == chain) & (F.col("seed") == seed))
