@@ -955,7 +955,7 @@ def spread_buckets(s: State) -> DataFrame:
     return ana.quantised(_shared(s).select("plan", "spread"), "spread", (0.25, 0.6, 0.9))
 
 
-def _cases(s: State) -> DataFrame:
+def _bench_cases(s: State) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", "planted").when(F.col("o_orderstatus") == "O", "null").otherwise("other")
     return s.orders.select(F.col("o_custkey").alias("case_id"), kind.alias("kind"), (F.col("o_orderkey") % 2).alias("shift"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3 == 1).alias("in_gate_sample"))
 
@@ -966,13 +966,13 @@ _CASES = "!WITH cs AS (SELECT o_custkey AS case_id, CASE o_orderstatus WHEN 'F'
 @query(_CASES + ", per AS (SELECT case_id, count(*) AS n, bool_or(kind = 'other') AS odd, bool_or(kind = 'planted' AND shift = 0) AS still, bool_or(kind = 'null' AND shift <> 0) AS moved FROM cs GROUP BY 1) SELECT case_id, 'repeated id' AS problem FROM per WHERE n > 1 UNION ALL SELECT case_id, 'unknown kind' FROM per WHERE odd UNION ALL SELECT case_id, 'planted without shift' FROM per WHERE still UNION ALL SELECT case_id, 'null with shift' FROM per WHERE moved")
 def scenario_problems(s: State) -> DataFrame:
     """Orders as labelled cases: which of the rules of a case they break."""
-    return ana.scenario_problems(_cases(s))
+    return ana.scenario_problems(_bench_cases(s))
 
 
 @query(_CASES + "SELECT kind, count(*) AS n FROM cs WHERE kind <> 'null' OR coalesce(in_gate_sample, true) GROUP BY 1")
 def gate_sample(s: State) -> DataFrame:
     """How many cases of each kind decide the gates."""
-    return ana.gate_sample(_cases(s)).groupBy("kind").agg(F.count("*").alias("n"))
+    return ana.gate_sample(_bench_cases(s)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(_WIDE + _SUMMARY + ", said AS (SELECT metric, concat_ws(', ', CASE WHEN n < 200 THEN 'few draws' END, CASE WHEN distinct_values < 10 THEN 'few distinct values' END, CASE WHEN coalesce(ess, 0) < 20 THEN 'small effective size' END) AS reasons FROM summary) SELECT metric, reasons, reasons = '' AS qualified FROM said")
