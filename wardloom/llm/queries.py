@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_digest
 from .decontaminate import contained_items
+from .hard_negatives import mine_hard_negatives
 from .license_scan import scan_licenses
 from .lm_score import score_documents
 from .mixing import mix_report
@@ -17,6 +18,8 @@ from .quality_rff import score_quality
 from .quality_rules import apply_rules
 from .sharding import assign_shards
 from .toxicity import score_toxicity
+from .vector_codes import encode_vectors
+from .vp_search import nearest_neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,6 +137,76 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh move on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+_FINITE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+), pairs AS (
+  SELECT a.rid AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid AS b, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN pairs n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: eight parts, sixteen entries each, six rounds."""
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and of means, one pair of common table expressions for each."""
+    apart = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [f"""WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding::DOUBLE[]) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}
+), parts AS (
+  SELECT rid, p, v[p * w + 1 : (p + 1) * w] AS v FROM (SELECT rid, v, len(v) // {parts} AS w, unnest(range({parts})) AS p FROM kept)
+), book0 AS (SELECT p, rid - 1 AS e, v AS c FROM parts WHERE rid <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"near{i} AS (SELECT rid, p, min((apart, e)) AS best FROM (SELECT rid, p, e, {apart} AS apart FROM parts JOIN book{i} USING (p)) GROUP BY rid, p)")
+        if i < rounds:
+            steps.append(f"""sums{i} AS (
+  SELECT p, e, k, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT p, best[2] AS e, unnest(v) AS x, unnest(range(len(v))) AS k FROM near{i} JOIN parts USING (rid, p)) GROUP BY ALL
+), book{i + 1} AS (
+  SELECT p, e, coalesce(m, c) AS c FROM book{i} LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS m FROM sums{i} GROUP BY ALL) USING (p, e)
+)""")
+    steps.append(f"""codes AS (
+  SELECT vec_id, label, code, error FROM kept JOIN (SELECT rid, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{rounds} GROUP BY rid) USING (rid)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM codes""")
+    return ", ".join(steps)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest neighbours by cosine of every fiftieth vector, by vantage-point trees."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def neighbour_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13's rows, with scores rounded as SQL adds products up in another order."""
+    return op13_nearest_neighbours(spark, sf_dir).withColumn("score", F.round("score", 9) + 0.0)
+
+
+NEIGHBOUR_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT a.vec_id AS query_id, (row_number() OVER w)::INTEGER AS rank, b.vec_id, round(list_cosine_similarity(a.x, b.x), 9) + 0.0 AS score
+FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 50 = 0
+WINDOW w AS (PARTITION BY a.rid ORDER BY list_cosine_similarity(a.x, b.x) DESC, b.vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5
+"""
+
+
 # --- the parts of operators 2, 3, 5, 8, 9 and 10 that SQL can express, as the operators themselves return them --------------
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -235,6 +308,10 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
+    "neighbour_ranks": neighbour_ranks,
     "lm_base_counts": lm_base_counts,
     "shard_row_sizes": shard_row_sizes,
     "quality_folds": quality_folds,
@@ -246,6 +323,9 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_vector_codes": _codes_sql(),
+    "neighbour_ranks": NEIGHBOUR_SQL,
     "lm_base_counts": LM_SQL,
     "shard_row_sizes": SHARD_SQL,
     "quality_folds": _CRC + " SELECT doc_id, crc % 5 = 0 AS held_out FROM folds",
