@@ -23,11 +23,31 @@ def asymmetric_arcs(arcs: DataFrame, units: DataFrame) -> DataFrame:
     return dangling.unionByName(loops).unionByName(onesided)
 
 
+#: Plans whose districts of a unit stand in one array.
+PLAN_BLOCK = 256
+
+
+def by_unit(assignments: DataFrame) -> DataFrame:
+    """(unit, block, rows): each unit's districts in a block of plans, as an array of struct (plan, district) in order of plans."""
+    block = F.floor(F.col("plan") / PLAN_BLOCK).alias("block")
+    return assignments.groupBy("unit", block).agg(F.array_sort(F.collect_list(F.struct("plan", "district"))).alias("rows"))
+
+
 def _ends(assignments: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each plan's edges with the districts of both ends."""
-    a = assignments.select("plan", F.col("unit").alias("u"), F.col("district").alias("du"))
-    b = assignments.select(F.col("plan").alias("_plan"), F.col("unit").alias("_v"), F.col("district").alias("dv"))
-    return a.join(edges, "u").join(b, (F.col("plan") == F.col("_plan")) & (F.col("v") == F.col("_v"))).drop("_plan", "_v")
+    """Each plan's edges with the districts of both ends.
+
+    Units come with an array over plans, so an edge is joined once for a block of plans and not once for each plan. Arrays of the
+    same plans are read side by side; others, where plans leave units out, plan by plan.
+    """
+    held = by_unit(assignments)
+    a = held.select(F.col("unit").alias("u"), "block", F.col("rows").alias("a"))
+    b = held.select(F.col("unit").alias("_v"), F.col("block").alias("_block"), F.col("rows").alias("b"))
+    pair = lambda x, y: F.struct(x["plan"].alias("plan"), x["district"].alias("du"), y["district"].alias("dv"))
+    beside = F.zip_with("a", "b", pair)
+    found = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: y["plan"] == x["plan"]), lambda y: pair(x, y))))
+    rows = F.when(F.col("a")["plan"] == F.col("b")["plan"], beside).otherwise(found)
+    met = edges.join(a, "u").join(b, (F.col("v") == F.col("_v")) & (F.col("block") == F.col("_block")))
+    return met.select("u", *[c for c in edges.columns if c != "u"], F.explode(rows).alias("_r")).select(F.col("_r.plan").alias("plan"), "u", F.col("_r.du").alias("du"), *[c for c in edges.columns if c != "u"], F.col("_r.dv").alias("dv"))
 
 
 def contacts(assignments: DataFrame, edges: DataFrame) -> DataFrame:

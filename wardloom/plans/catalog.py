@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeds
-from ..functions.expr import rounded
 from ..operators import administrative as adm
 from ..operators import analysis as ana
 from ..operators import convergence as conv
@@ -21,31 +18,10 @@ from ..operators import cases, nulls, reports, spatial
 from ..operators import rules as ru
 from ..sources import census
 from ..streaming import draws as draws_stream
-from .mapping import DRAWS, PRELUDE, State, r
-
-Query = Callable[[SparkSession, str], DataFrame]
+from .mapping import DRAWS, State, r
+from .registry import ORACLE_SQL, QUERIES, query, tidy
 
 FLAGSHIP = "partisan_all"
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded to nine digits, as in the SQL."""
-    return df.select(*[rounded(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def query(sql: str | None = None):
-    """Register a function of a State under its name, with the SQL that follows the prelude."""
-
-    def add(f: Callable[[State], DataFrame]) -> Callable[[State], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(State(spark, sf_dir)))
-        QUERIES[f.__name__].__doc__ = f.__doc__
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = PRELUDE + sql if not sql.lstrip().startswith("!") else sql.lstrip()[1:]
-        return f
-
-    return add
 
 
 def _dist(s: State) -> DataFrame:
