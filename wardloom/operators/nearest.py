@@ -97,6 +97,7 @@ def nearest_units(points: DataFrame, unit_geom: DataFrame, cell: float) -> DataF
     boxes = outlines.select("*", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1")))).alias("cx")).select("*", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))).alias("cy"))
     gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
     met = cells.join(boxes, ["cx", "cy"]).where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("bound") * (1 + 1e-12))
+    met = met.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point")  # few bytes, much work: not to be put together again
     met = met.select("point", F.struct(ring_distance(F.col("ring"), F.col("x"), F.col("y")).alias("distance"), "unit").alias("hit"))
     found = met.groupBy("point").agg(F.min("hit").alias("hit")).select("point", F.col("hit.unit").alias("unit"), F.col("hit.distance").alias("distance"))
     return points.select("point").join(found, "point", "left")

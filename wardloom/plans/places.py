@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import nearest, polygons
-from .mapping import State
+from ..sources import names
+from .mapping import State, table
 from .registry import query
 
 # --- records brought to units ---------------------------------------------------------------------------------------
@@ -97,3 +98,30 @@ def dissolved_districts(s: State) -> DataFrame:
     """Rings, holes and area of the outline of every district of every plan."""
     rings = polygons.dissolve(s.assignments(), s.unit_geom())
     return rings.groupBy("plan", "district").agg(F.count("*").alias("rings"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("area").alias("area"))
+
+
+# --- names ----------------------------------------------------------------------------------------------------------
+
+def _spelled(s: State) -> tuple[DataFrame, DataFrame]:
+    """Nations as units, their numbers written in letters, and orders as records that spell their nation in three ways."""
+    nation = table(s.spark, s.dir, "nation").select("n_nationkey", F.translate("n_name", "0123456789", "ABCDEFGHIJ").alias("n_name"))
+    rows = s.orders.join(s.customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("o_orderstatus") == "F", F.concat(F.initcap("n_name"), F.lit(" County"))).when(F.col("o_orderstatus") == "O", F.lower(F.regexp_replace("n_name", "(.)(.)", "$1\\'$2"))).otherwise(F.concat(F.lit(" "), F.col("n_name")))
+    return nation.select(F.col("n_nationkey").alias("unit"), F.col("n_name").alias("name")), rows.select(name.alias("name"), F.lit(1).alias("records"), (F.col("o_orderstatus") == "F").cast("int").alias("dem"), (F.col("o_orderstatus") == "O").cast("int").alias("rep"))
+
+
+_SPELLED = """!WITH rec AS (SELECT n_nationkey AS unit, translate(n_name, '0123456789', 'ABCDEFGHIJ') AS n_name, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
+@query(_SPELLED + "SELECT unit, count(*) AS records, count(*) FILTER (WHERE o_orderstatus = 'F') AS dem, count(*) FILTER (WHERE o_orderstatus = 'O') AS rep FROM rec GROUP BY unit")
+def county_sums_by_name(s: State) -> DataFrame:
+    """Sums of records on the units whose names they spell in several ways; as many as there are orders."""
+    units, records = _spelled(s)
+    return names.summed_by_name(units, records, ["records", "dem", "rep"], {"records": s.orders.count()})
+
+
+@query(_SPELLED + "SELECT regexp_replace(upper(n_name), '[^A-Z]', '', 'g') AS key, count(DISTINCT o_orderstatus) AS spellings FROM rec GROUP BY 1 HAVING spellings > 1")
+def name_collisions(s: State) -> DataFrame:
+    """Keys that several spellings come down to."""
+    return names.name_collisions(_spelled(s)[1].select("name")).select("key", "spellings")
