@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +26,28 @@ def ring_distance(ring: Column, x: Column, y: Column) -> Column:
     return F.when(_inside(ring, x, y), F.lit(0.0)).otherwise(F.array_min(F.transform(F.sequence(F.lit(0), n - 1), side)))
 
 
-def _levels(outlines: DataFrame, cell: float, top: int) -> list[DataFrame]:
-    """For each level (l, cx, cy, anchored): cells of width cell * 2^level that an outline's box touches, and whether a corner of an
-    outline lies there."""
-    at = lambda v: F.floor(v / cell).cast("long")
-    corners = outlines.select(F.explode("ring").alias("p")).select(at(F.col("p.x")).alias("cx"), at(F.col("p.y")).alias("cy"), F.lit(True).alias("anchored"))
-    boxes = outlines.select(F.explode(F.sequence(at(F.col("x0")), at(F.col("x1")))).alias("cx"), F.sequence(at(F.col("y0")), at(F.col("y1"))).alias("cys")).select("cx", F.explode("cys").alias("cy"), F.lit(False).alias("anchored"))
-    levels = [settle(corners.unionByName(boxes).groupBy("cx", "cy").agg(F.bool_or("anchored").alias("anchored")))]
-    for _ in range(top):
-        up = levels[-1].groupBy(F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy")).agg(F.bool_or("anchored").alias("anchored"))
-        levels.append(settle(up))
-    return levels
+#: Levels that a search goes down at a time: a cell has 4^STRIDE below it.
+STRIDE = 2
+
+
+def _pyramid(boxes: DataFrame, outlines: DataFrame, cell: float, top: int) -> DataFrame:
+    """(level, cx, cy, anchored): the cells of width cell * 2^level that an outline's box touches, for every STRIDE-th level, and
+    whether a corner of an outline lies there."""
+    corners = outlines.select(F.explode("ring").alias("p")).select(_cell("p.x", cell).alias("cx"), _cell("p.y", cell).alias("cy"), F.lit(True).alias("anchored"))
+    bottom = corners.unionByName(boxes.select("cx", "cy", F.lit(False).alias("anchored"))).groupBy("cx", "cy").agg(F.bool_or("anchored").alias("anchored"))
+    up = bottom.select("*", F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(STRIDE))).alias("level"))
+    shifted = [F.expr(f"shiftright({c}, level)").alias(c) for c in ("cx", "cy")]
+    return settle(up.select("level", *shifted, "anchored").groupBy("level", "cx", "cy").agg(F.bool_or("anchored").alias("anchored")))
+
+
+def _cell(at: str, width: float | Column) -> Column:
+    return F.floor(F.col(at) / width).cast("long")
+
+
+def _around(rows: DataFrame, width: Column) -> DataFrame:
+    """``rows(x, y, ...)`` for each of the nine cells (cx, cy) at and around their point."""
+    near = lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col(c) / width).cast("long") + d)
+    return rows.select("*", F.explode(near("x")).alias("cx")).select("*", F.explode(near("y")).alias("cy"))
 
 
 def _still_near(met: DataFrame, width: float) -> DataFrame:
@@ -52,54 +62,52 @@ def _still_near(met: DataFrame, width: float) -> DataFrame:
 def nearest_units(points: DataFrame, unit_geom: DataFrame, cell: float) -> DataFrame:
     """(point, unit, distance) for ``points(point, x, y)``: the nearest of ``unit_geom(unit, ring)``, of equal ones the smallest.
 
-    A pyramid of grids holds the cells that outlines touch, each level twice as wide as the one below. A point looks around itself
-    in wider and wider rings of cells, until one holds a corner of an outline; nothing beyond two levels up can be nearer.
-    From there it goes down again, and at each level keeps only the cells that are not farther than the far side of some cell
-    with a corner. At the bottom few outlines are left to be measured, however far away they are.
+    Points that an outline of their own grid cell holds are done. The others look around in a pyramid of grids, each level
+    2^STRIDE times as wide as the one below, for the first at which a cell around them holds a corner of an outline; one level
+    up, nothing beyond the nine cells can be nearer. From there they go down again, and at each level keep only the cells that
+    are not farther than the far side of some cell with a corner. At the bottom few outlines are left to be measured, however
+    far away they are.
 
     ``cell`` is about the width of an outline. Numbers of points must be unique. Points without finite coordinates, and all
     points where there is no outline, get null.
     """
     edge = lambda c, f: f(F.transform("ring", lambda p: p[c]))
     outlines = unit_geom.where(F.size("ring") > 0).select("unit", "ring", *[edge(c, f).alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.array_min), (1, F.array_max))])
+    boxes = outlines.select("*", F.explode(F.sequence(_cell("x0", cell), _cell("x1", cell))).alias("cx")).select("*", F.explode(F.sequence(_cell("y0", cell), _cell("y1", cell))).alias("cy"))
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
-    left = settle(points.select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite))
-    nothing = points.select("point", F.lit(None).cast(unit_geom.schema["unit"].dataType).alias("unit"), F.lit(None).cast("double").alias("distance"))
-    ends = [f(c) for c in "xy" for f in (F.min, F.max)]
-    span = left.agg(*ends, F.count("*")).first()
+    asked = points.select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite)
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def measured(met: DataFrame) -> DataFrame:
+        met = met.repartition(parts, "point")  # few bytes, much work: not to be put together again
+        hit = F.struct(ring_distance(F.col("ring"), F.col("x"), F.col("y")).alias("distance"), F.col("unit"))
+        return met.select("point", hit.alias("hit")).groupBy("point").agg(F.min("hit").alias("hit")).select("point", F.col("hit.unit").alias("unit"), F.col("hit.distance").alias("distance"))
+
+    at_home = asked.withColumns({"cx": _cell("x", cell), "cy": _cell("y", cell)}).join(boxes, ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    held = settle(measured(at_home).where("distance = 0"))
+    left = settle(asked.join(held, "point", "left_anti"))
+    span = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     wide = outlines.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
-    if not span[4] or wide[0] is None:
-        return nothing
-    extent = max(max(wide[1], span[1]) - min(wide[0], span[0]), max(wide[3], span[3]) - min(wide[2], span[2]), cell)
-    top = math.ceil(math.log2(extent / cell)) + 1  # here all lies in the nine cells around any point
-    levels = _levels(outlines, cell, top)
-
-    def around(rows: DataFrame, level: int) -> DataFrame:
-        near = lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col(c) / (cell * 2**level)).cast("long") + d)
-        return rows.select("*", F.explode(near("x")).alias("cx")).select("*", F.explode(near("y")).alias("cy")).join(levels[level], ["cx", "cy"])
-
-    starts: dict[int, list[DataFrame]] = {}
-    for level in range(top + 1):
-        seen = settle(around(left, level).where("anchored").select("point").distinct())
-        starts.setdefault(min(level + 2, top), []).append(left.join(seen, "point", "left_semi"))
-        left = settle(left.join(seen, "point", "left_anti"))
-        if not left.count():
-            break
-    cells = None
-    for level in range(max(starts), -1, -1):
-        met = [around(rows, level).withColumn("bound", F.lit(float("inf"))) for rows in starts.get(level, [])]
-        if cells is not None:
-            below = levels[level].select(F.shiftright("cx", 1).alias("_x"), F.shiftright("cy", 1).alias("_y"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "anchored")
-            met.append(cells.join(below, (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y"))).select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "point", "x", "y", "anchored", "bound"))
-        if met:
-            cells = _still_near(reduce(lambda a, b: a.unionByName(b), met), cell * 2**level)
-    at = lambda v: F.floor(v / cell).cast("long")
-    boxes = outlines.select("*", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1")))).alias("cx")).select("*", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))).alias("cy"))
-    gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
-    met = cells.join(boxes, ["cx", "cy"]).where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("bound") * (1 + 1e-12))
-    met = met.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point")  # few bytes, much work: not to be put together again
-    met = met.select("point", F.struct(ring_distance(F.col("ring"), F.col("x"), F.col("y")).alias("distance"), "unit").alias("hit"))
-    found = met.groupBy("point").agg(F.min("hit").alias("hit")).select("point", F.col("hit.unit").alias("unit"), F.col("hit.distance").alias("distance"))
+    found = held
+    if span[0] is not None and wide[0] is not None:
+        extent = max(max(wide[1], span[1]) - min(wide[0], span[0]), max(wide[3], span[3]) - min(wide[2], span[2]), cell)
+        top = STRIDE * (math.ceil(math.log2(extent / cell) / STRIDE) + 1)  # here all lies in the nine cells around any point
+        pyramid = _pyramid(boxes, outlines, cell, top)
+        level = F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(STRIDE))).alias("level")
+        wider = _around(left.select("*", level), F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))
+        begun = wider.join(pyramid.where("anchored"), ["level", "cx", "cy"]).groupBy("point", "x", "y").agg(F.least(F.min("level") + STRIDE, F.lit(top)).alias("start"))
+        begun = settle(begun)
+        cells = None
+        for now in range(begun.agg(F.max("start")).first()[0], -1, -STRIDE):
+            width, here = cell * 2**now, pyramid.where(F.col("level") == now).drop("level")
+            met = _around(begun.where(F.col("start") == now).drop("start"), F.lit(width)).join(here, ["cx", "cy"]).withColumn("bound", F.lit(float("inf")))
+            if cells is not None:
+                below = here.select(F.shiftright("cx", STRIDE).alias("_x"), F.shiftright("cy", STRIDE).alias("_y"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "anchored")
+                met = met.unionByName(cells.join(below, (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y"))).select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "point", "x", "y", "anchored", "bound"))
+            cells = _still_near(met, width)
+        gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+        close = cells.join(boxes, ["cx", "cy"]).where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("bound") * (1 + 1e-12))
+        found = held.unionByName(measured(close))
     return points.select("point").join(found, "point", "left")
 
 
