@@ -1,10 +1,10 @@
 """Mixing sources to target weights, in fixed-length token blocks.
 
-Each source's documents are laid end to end and cut into blocks of ``block_words`` words (the last may be short); a source
-under ``LEAST_BLOCKS`` such blocks is cut into blocks of a shorter length of its own, so that whole blocks come near its
-target. Output shards draw multinomial counts of blocks from the sources until each source has its share. A source's slots are mapped
-through a pseudorandom permutation of its block numbers (a new one for each pass over the source), and the blocks are
-joined to the slots by number. The join key is (source, block number), so a source that holds most rows is spread out.
+Each source's documents are laid end to end and cut into blocks of ``block_words`` words (the last may be short). Output shards
+draw multinomial counts of blocks from the sources until each source has its share. A source's slots are mapped through a
+pseudorandom permutation of its block numbers (a new one for each pass over the source), and the blocks are joined to the
+slots by number. The last slot of a source takes only as many words of its block as its target still lacks. The join key is
+(source, block number), so a source that holds most rows is spread out.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import WORD, mix, numbered, positions, settle, trimmed
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Blocks that a source is cut into at least, where it has as many words.
-LEAST_BLOCKS = 256
 #: Sources whose names and sums the driver holds at once.
 MAX_SOURCES = 200_000
 
@@ -59,40 +57,82 @@ def draw_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Pseudorandom permutation of 0..n-1, elementwise: a four-round Feistel network that walks until it is below n."""
-    half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64))).astype(np.uint64) + np.uint64(1)) // np.uint64(2)).astype(np.uint64)
+def _half(n: np.ndarray) -> np.ndarray:
+    """Bits of half a number of the permuted range, which holds 0..n-1."""
+    return np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64))).astype(np.uint64) + np.uint64(1)) // np.uint64(2)).astype(np.uint64)
+
+
+def permute(j: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Pseudorandom permutation of 0..n-1, elementwise: a four-round Feistel network that walks until it is below n. ``back`` gives
+    the inverse: the rounds turned round, walking the other way."""
+    half = _half(n)
     mask = (np.uint64(1) << half) - np.uint64(1)
     out, todo = j.astype(np.uint64), np.ones(len(j), bool)
     while todo.any():
         x, h, m, k = out[todo], half[todo], mask[todo], key[todo]
         left, right = x >> h, x & m
+        stir = lambda y, r: (mix(mix(y ^ (k + np.uint64(r))) ^ k) >> np.uint64(20)) & m  # noqa: B023, E731
         for r in range(4):
-            left, right = right, left ^ (mix(mix(right ^ (k + np.uint64(r))) ^ k) >> np.uint64(20)) & m
+            left, right = (right ^ stir(left, 3 - r), left) if back else (right, left ^ stir(right, r))
         out[todo] = (left << h) | right
         todo = out >= n.astype(np.uint64)
     return out.astype(np.int64)
 
 
-def _slot_rows(plan, seed: int):
-    """Global slot number -> source, block number, output shard, pass; ``plan`` is the broadcast (offsets, blocks, ends)."""
-    schema = pa.schema([("source_no", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64()), ("pass", pa.int32())])
+def pass_keys(sources: np.ndarray, turns: np.ndarray, seed: int) -> np.ndarray:
+    """Key of the permutation of each pass over each source."""
+    return mix(mix(np.full(len(sources), seed, np.uint64) ^ sources.astype(np.uint64)) ^ turns.astype(np.uint64))
+
+
+def slots_for(goal: int, size: int, length: int, source: int, seed: int) -> tuple[int, int]:
+    """Slots that a source fills, and how many words the last one takes at most, so that it takes ``goal`` words in all.
+
+    Whole passes take all words. Of the pass that is broken off, each slot takes a full block, save the one that gets the short
+    block at the end of the source.
+    """
+    if not size or not goal:
+        return 0, 0
+    blocks, (turns, rest) = -(-size // length), divmod(goal, size)
+    if not rest:
+        return turns * blocks, length
+    tail = size - (blocks - 1) * length
+    short = _at(blocks - 1, blocks, source, turns, seed)
+    if rest <= short * length:
+        used, taken = 0, 0
+    else:
+        used, taken = short + 1, short * length + tail
+        if rest <= taken:
+            return turns * blocks + used, rest - short * length
+    more = -(-(rest - taken) // length)
+    return turns * blocks + used + more, rest - taken - (more - 1) * length
+
+
+def _at(block: int, blocks: int, source: int, turn: int, seed: int) -> int:
+    """Which slot of a pass gets a block."""
+    one = lambda x: np.array([x], np.int64)
+    return int(permute(one(block), one(blocks), pass_keys(one(source), one(turn), seed), back=True)[0])
+
+
+def _slot_rows(plan, length: int, seed: int):
+    """Global slot number -> source, block number, output shard, pass, words at most; ``plan`` is the broadcast (offsets, blocks,
+    ends, words of a source's last slot)."""
+    schema = pa.schema([("source_no", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64()), ("pass", pa.int32()), ("most", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, blocks, ends = plan.value
+        offsets, blocks, ends, last = plan.value
         for b in batches:
             at = b.column(0).to_numpy()
             src = np.searchsorted(offsets, at, "right") - 1
             slot = at - offsets[src]
             n = blocks[src]
             turn = slot // n
-            key = mix(mix(np.full(len(at), seed, np.uint64) ^ src.astype(np.uint64)) ^ turn.astype(np.uint64))
-            number = permute(slot % n, n, key)
+            number = permute(slot % n, n, pass_keys(src, turn, seed))
+            most = np.where(slot == ends[-1, src] - 1, last[src], length)
             shard = np.zeros(len(at), np.int64)
             for s in np.unique(src):
                 mine = src == s
                 shard[mine] = np.searchsorted(ends[:, s], slot[mine], "right")
-            yield pa.record_batch([pa.array(src, pa.int32()), pa.array(number), pa.array(shard, pa.int32()), pa.array(slot), pa.array(turn, pa.int32())], schema=schema)
+            yield pa.record_batch([pa.array(src, pa.int32()), pa.array(number), pa.array(shard, pa.int32()), pa.array(slot), pa.array(turn, pa.int32()), pa.array(most)], schema=schema)
 
     return run
 
@@ -111,31 +151,32 @@ class Mix:
         sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [int(r["size"]) for r in sums]
         goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-        lengths = [min(block_words, max(1, s // LEAST_BLOCKS)) for s in sizes]
-        blocks = [-(-s // n) for s, n in zip(sizes, lengths, strict=True)]
-        slots = [min(round(g / s * b), int(most * b)) if s else 0 for g, s, b in zip(goals, sizes, blocks, strict=True)]
-        names = spark.createDataFrame([(r["source"], i, sizes[i], float(goals[i]), lengths[i]) for i, r in enumerate(sums)], "name string, source_no int, source_size long, target double, length int")
+        blocks = [-(-s // block_words) for s in sizes]
+        filled = [slots_for(min(round(g), int(most * s)), s, block_words, i, seed) for i, (g, s) in enumerate(zip(goals, sizes, strict=True))]
+        slots = [n for n, _ in filled]
+        names = spark.createDataFrame([(r["source"], i, sizes[i], float(goals[i])) for i, r in enumerate(sums)], "name string, source_no int, source_size long, target double")
         rows = slim.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
         self.rows = settle(positions(rows, ["source_no"], ["doc_id", "h", "size"], F.col("size"), "start"))
         ends = np.cumsum(draw_counts(slots, shards, seed), axis=0) if slots else np.zeros((shards, 0), np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.array(slots, np.int64))])[:-1] if slots else np.zeros(0, np.int64)
-        held = spark.sparkContext.broadcast((offsets, np.maximum(1, np.array(blocks, np.int64)), ends))
-        drawn = spark.range(sum(slots)).mapInArrow(_slot_rows(held, seed), "source_no int, block long, shard int, slot long, pass int")
-        length = F.col("length")
+        held = spark.sparkContext.broadcast((offsets, np.maximum(1, np.array(blocks, np.int64)), ends, np.array([n for _, n in filled], np.int64)))
+        drawn = spark.range(sum(slots)).mapInArrow(_slot_rows(held, block_words, seed), "source_no int, block long, shard int, slot long, pass int, most long")
+        length = F.lit(block_words)
         first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)
-        parts = self.rows.where("size > 0").select("doc_id", "h", "source_no", "start", "size", "length", F.explode(F.sequence(first, last)).alias("block"))
+        parts = self.rows.where("size > 0").select("doc_id", "h", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        met = parts.join(drawn, ["source_no", "block"])
         begin = F.greatest(F.col("start"), F.col("block") * length)
-        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length)
-        parts = parts.select("doc_id", "h", "source_no", "start", "block", (begin - F.col("start")).alias("word"), (end - begin).alias("words"))
-        self.pieces = parts.join(drawn, ["source_no", "block"])
+        end = F.least(F.col("start") + F.col("size"), F.col("block") * length + F.col("most"))
+        self.pieces = met.select("source_no", "block", "doc_id", "h", "start", (begin - F.col("start")).alias("word"), (end - begin).alias("words"), "shard", "slot", "pass").where("words > 0")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size (words), source_size, target (its source's), taken.
 
     A null text has no words; a null source is a source of its own, named last. Rows without words take nothing. Repeated
-    rows are laid out one by one. An empty table gives no rows. Options are those of :class:`Mix`; the same input and
-    seed give the same mix.
+    rows are laid out one by one; equal ones (ties) in any order, which gives the same rows. A very long text lies in as many
+    blocks as it fills. An empty table gives no rows. Options are those of :class:`Mix`; the same input and seed give the
+    same mix. The words taken of a source are its target, rounded.
     """
     plan = Mix(docs, **options)
     taken = plan.pieces.groupBy("source_no", "start").agg(F.sum("words").alias("words")).select(F.col("source_no").alias("s"), F.col("start").alias("at"), "words")
