@@ -276,3 +276,15 @@ def test_very_long_texts(labelled, spark):
     assert {r["doc_id"]: r["n_words"] for r in quality_rules.apply_rules(docs.unionByName(long), labels).where("doc_id > 50000").collect()} == {50_001: 880_000, 50_002: 1_000_000}
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs.unionByName(long), labels).where("doc_id > 50000").collect()}[50_002] == 1
     assert quality_rff.score_quality(docs.unionByName(long), labels).where("doc_id > 50000").count() == 2
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    """An id on very many rows, equal or not, gives no more rows than the bound; repeated ones are one."""
+    copies = spark.range(60_000).selectExpr("7L AS doc_id", "'the same text' AS text")
+    many = spark.range(3_000).selectExpr("8L AS doc_id", "concat('text ', id) AS text")
+    docs = copies.unionByName(many).unionByName(spark.createDataFrame([(9, None), (9, None), (None, "x"), (10, "unlabelled")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (9, 1), (None, 1), (11, 1)], "doc_id long, quality int")
+    got = training.labelled_sample(docs, labels, "quality", 1, -1).collect()
+    assert len(got) == 3002 and {r["doc_id"]: r["y"] for r in got} == {7: 1, 8: 0, 9: 1}
+    some = training.labelled_sample(docs, labels, "quality", 1, -1, max_rows=500).collect()
+    assert len(some) == 500 and {(r["doc_id"], r["text"]) for r in some} <= {(r["doc_id"], r["text"]) for r in got}

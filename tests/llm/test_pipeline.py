@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from wardloom.llm import queries
 
@@ -89,4 +91,24 @@ def test_empty_tables(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "benchmark", "mixing", "sharding"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
+
+
+def test_nothing_is_left_behind(spark, tmp_path, monkeypatch):
+    home = str(tmp_path)
+    spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(30)), "s") for i in range(20)], "doc_id long, text string, source string").write.parquet(f"{home}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
+    before = {r[0] for r in spark.sql("SHOW DATABASES").collect()}
+    keep = [(n, f) if n not in ("toxicity", "near_copies") else (n, lambda spark, docs, sf_dir: docs) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", keep)
+    out = corpus_pipeline.run(spark, home)
+    assert out.count() >= 20 and {r[0] for r in spark.sql("SHOW DATABASES").collect()} == before
+
+    def broken(spark, docs, sf_dir):
+        raise ValueError("stop")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*keep[:2], ("benchmark", broken), *keep[3:]])
+    with pytest.raises(ValueError, match="stop"):
+        corpus_pipeline.run(spark, home)
+    assert {r[0] for r in spark.sql("SHOW DATABASES").collect()} == before

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, settle
 
-#: Labelled rows that a model is fitted on, at most; chosen by a hash of their ids.
+#: Labelled rows that a model is fitted on, at most; chosen by a hash of their ids, then of ids and texts.
 MAX_LABELLED = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, max_rows: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, y, part, text) of labelled documents whose crc32(doc_id) modulo ``mod`` is not ``held``.
+    """(doc_id, y, part, text) of labelled documents whose crc32(doc_id) modulo ``mod`` is not ``held``; ``max_rows`` rows at most.
 
-    Rows without doc_id or label are left out; of several labels of a document the largest counts. ``part`` is 0 to 9.
+    Rows without doc_id or label are left out; of several labels of a document the largest counts. Rows that repeat an id and
+    its text are one row, however many they are; an id with several texts has a row for each. ``part`` is 0 to 9.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(crc_mod("doc_id", mod) != held)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    take = settle(known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(take), F.col("doc_id") == F.col("_id")).select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("part"), "text")
+    ids = settle(known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    pairs = docs.select("doc_id", "h").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "h").agg(F.max("y").alias("y"))
+    take = settle(pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_rows).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "y"))
+    rows = docs.join(F.broadcast(take), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+    once = rows.groupBy("doc_id", "h").agg(F.max("y").alias("y"), F.first("text").alias("text"))
+    return once.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("part"), "text")
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
