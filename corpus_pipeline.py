@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.llm.common import scratch_database
+from wardloom.llm.common import scratch_database, settle
 from wardloom.llm.decontaminate import decontaminate
 from wardloom.llm.mixing import mix_documents
 from wardloom.llm.ngram_join import near_duplicate_keep
@@ -55,17 +55,20 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again; a stage's rows go when those
-    of the next are written.
+    of the next are written. The result lies in the checkpoint folder, and nothing else is left behind, also if a stage fails.
 
     Rows with a null text, or an empty one, pass the first three stages and are nothing to mix. Rows without doc_id are judged
-    by their text. Of rows that repeat each other one stays. An empty table gives no rows. Columns of any name are kept up to
-    the mix.
+    by their text. Of rows that repeat each other, or tie otherwise, one stays. An empty table gives no rows. Very long texts are
+    read whole by every stage. Columns of any name are kept up to the mix.
     """
     home = scratch_database(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.format("parquet").saveAsTable(f"{home}.{name}")
-        docs = spark.table(f"{home}.{name}")
-        if k:
-            spark.sql(f"DROP TABLE {home}.{STAGES[k - 1][0]}")
-    return docs
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.format("parquet").saveAsTable(f"{home}.{name}")
+            docs = spark.table(f"{home}.{name}")
+            if k:
+                spark.sql(f"DROP TABLE {home}.{STAGES[k - 1][0]}")
+        return settle(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        spark.sql(f"DROP DATABASE {home} CASCADE")
