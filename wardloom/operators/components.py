@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder and read from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
     Where none is set, a local master gets a temporary folder; on a cluster, whose machines would not share it, that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc, told = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not told and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return told or sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Written to the session's shared checkpoint folder and read from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared one, which goes with all that lies in it."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{checkpoint_folder(spark).rstrip('/')}/{name}'")
+    try:
+        spark.sql(f"CREATE TABLE {name}.files (value string) USING text")
+        yield spark.sql(f"DESCRIBE DATABASE {name}").where("info_name = 'Location'").first()["info_value"] + "/files/kept"
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def _star(arcs: DataFrame) -> DataFrame:
     """Arcs (u, v) with the smallest v of each u beside them.
 

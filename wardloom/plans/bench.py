@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cases, forest
+from ..operators import cases, forest, ranking
 from ..operators import graph as gr
 from ..operators import partisan as par
-from .catalog import _ANCHORS, _DELTA, _MOVES, _WIDE, _draws
+from ..operators.components import scratch_folder, settle
+from ..sources import rounds
+from .catalog import _ANCHORS, _DELTA, _MOVES, _WIDE, _draws, _shared
 from .mapping import State, r
 from .registry import query, tidy
 
@@ -109,3 +111,65 @@ def anchor_starts(s: State) -> DataFrame:
     """Six anchors, and for each up to eight plans to start from that resemble it in all five measures."""
     anchors = cases.draw_anchors(cases.anchor_pool(_draws(s), _ANCHORS), 5, 6)
     return cases.matched_starts(_draws(s), _keys(s), anchors, _ANCHORS, limit=8)
+
+
+# --- what criteria cost each other ----------------------------------------------------------------------------------
+
+CRITERIA = ("compactness", "few_cuts", "county_integrity", "equality", "low_gap", "symmetry", "competition")
+_GOOD = {"compactness": "polsby_popper_mean", "few_cuts": "-cut_edges", "county_integrity": "-county_splits", "equality": "-spread", "low_gap": "-abs(efficiency_gap)", "symmetry": "-abs(mean_median)", "competition": "competitive"}
+_RUN = 100  # plans of a run; two runs stand for two tolerances
+
+_CRITERIA = _WIDE + f""", good AS (SELECT plan // {_RUN} AS run, plan // 25 AS chain, plan % 25 AS i, criterion, good FROM (""" + " UNION ALL ".join(f"SELECT plan, {i} AS k, '{c}' AS criterion, ({x})::DOUBLE AS good FROM wide" for i, (c, x) in enumerate(_GOOD.items())) + f""")),
+vary AS (SELECT run, criterion FROM good GROUP BY ALL HAVING min(good) < max(good)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY run, criterion ORDER BY good) + (count(*) OVER (PARTITION BY run, criterion, good) - 1) / 2.0::DOUBLE AS rk, row_number() OVER (PARTITION BY run, criterion ORDER BY good DESC) AS place FROM good),
+lv AS (SELECT * FROM (VALUES {', '.join(f'({q}::DOUBLE, {max(1, round((1 - q) * _RUN))})' for q in (0.0, 0.25, 0.5, 0.75, 0.9))}) t(level, spot)),
+cut AS (SELECT run, criterion AS target, level, good AS cut FROM ranked JOIN lv ON place = spot JOIN vary USING (run, criterion)),
+kept AS (SELECT g.run, g.chain, g.i, target, level, good >= cut AS kept FROM good g JOIN cut ON cut.run = g.run AND target = criterion),
+us AS (SELECT k.run, target, level, r.criterion AS other, count(*) FILTER (WHERE kept) AS kept, count(*) AS n, sum(rk) FILTER (WHERE kept) AS s FROM kept k JOIN ranked r ON r.run = k.run AND r.chain = k.chain AND r.i = k.i AND r.criterion <> target JOIN vary v ON v.run = r.run AND v.criterion = r.criterion GROUP BY ALL),
+deltas AS (SELECT run, target, level, other, kept, n - kept AS excluded, level > 0 AND least(kept, n - kept) < 0.01 * n AS refused, CASE WHEN level = 0 THEN 0.0 WHEN least(kept, n - kept) >= 0.01 * n THEN (2 * s - kept * (kept + 1)) / (kept * (n - kept))::DOUBLE - 1 END AS delta FROM us)
+"""
+
+
+def _criteria(s: State):
+    good = [F.expr(x).cast("double").alias(c) for c, x in _GOOD.items()]
+    return ranking.Criteria(_shared(s).select(F.floor(F.col("plan") / _RUN).alias("run"), F.floor(F.col("plan") / 25).alias("chain"), (F.col("plan") % 25).alias("draw"), *good), CRITERIA)
+
+
+@query(_CRITERIA + f"SELECT run, target, level, other, kept, excluded, refused, {r('delta')} AS delta FROM deltas")
+def criteria_deltas(s: State) -> DataFrame:
+    """What adopting each of seven criteria costs each other one, at five levels, in two runs."""
+    return _criteria(s).deltas()
+
+
+_REPS = 40
+
+
+@query(_CRITERIA + f""", strict AS (SELECT run, target, max(level) AS level FROM deltas WHERE NOT refused GROUP BY ALL),
+shift AS (SELECT run, chain, t.range AS rep, ('0x' || left(sha256('11|' || t.range || '|' || run || '|' || chain), 8))::BIGINT % 25 AS turn FROM (SELECT DISTINCT run, chain FROM good), range({_REPS}) t),
+turned AS (SELECT k.run, rep, target, kept, k.chain, (k.i + turn) % 25 AS j FROM kept k JOIN strict USING (run, target, level) JOIN shift h ON h.run = k.run AND h.chain = k.chain),
+chance AS (SELECT t.run, t.target, rep, r.criterion AS other, (2 * sum(rk) FILTER (WHERE kept) - count(*) FILTER (WHERE kept) * (count(*) FILTER (WHERE kept) + 1)) / nullif(count(*) FILTER (WHERE kept) * count(*) FILTER (WHERE NOT kept), 0)::DOUBLE - 1 AS d FROM turned t JOIN ranked r ON r.run = t.run AND r.chain = t.chain AND r.i = t.j AND r.criterion <> t.target GROUP BY ALL),
+worsts AS (SELECT run, target, rep, least(0.0, min(d)) AS w FROM chance GROUP BY ALL HAVING min(d) IS NOT NULL),
+floors AS (SELECT run, target, list_sort(list(w))[greatest(0, floor(0.05 * count(*))::INT - 1) + 1] AS floor FROM worsts GROUP BY ALL),
+named AS (SELECT *, list_position({list(CRITERIA)}, other) AS k FROM deltas),
+by_level AS (SELECT run, target, level, any_value(refused) AS refused, min(delta) AS worst, CASE WHEN level > 0 THEN arg_min(other, (delta, k)) END AS other FROM named GROUP BY run, target, level),
+best AS (SELECT run, target, min(worst) AS worst, arg_min(level, (worst, level)) AS level, arg_min(struct_pack(o := other), (worst, level)).o AS displaces, max(worst) FILTER (WHERE level = 0.5) AS real, (count(*) FILTER (WHERE refused))::INT AS levels_refused FROM by_level GROUP BY ALL)
+SELECT a.run, row_number() OVER (PARTITION BY a.run ORDER BY b.worst NULLS LAST, list_position({list(CRITERIA)}, a.criterion))::INT * CASE WHEN b.target IS NULL THEN NULL ELSE 1 END AS place, a.criterion, {r('worst')} AS worst, level, displaces, {r('floor')} AS floor, CASE WHEN b.target IS NOT NULL THEN coalesce(worst < floor, FALSE) END AS clears, CASE WHEN b.target IS NOT NULL THEN worst <= -0.147 AND coalesce(worst < floor, FALSE) END AS binds, CASE WHEN b.target IS NOT NULL THEN coalesce(real <= -0.147, FALSE) END AS binds_at_realistic, levels_refused
+FROM (SELECT DISTINCT run, criterion FROM good) a LEFT JOIN best b ON b.run = a.run AND b.target = a.criterion LEFT JOIN floors f ON f.run = a.run AND f.target = a.criterion""")
+def criteria_with_floor(s: State) -> DataFrame:
+    """Seven criteria of two runs by their worst delta, and whether it lies below what chance gives."""
+    return _criteria(s).ranking(reps=_REPS)
+
+
+# --- rounds over time -----------------------------------------------------------------------------------------------
+
+@query("""!WITH o AS (SELECT year(o_orderdate) AS round, o_orderstatus, o_totalprice FROM orders)
+SELECT round, count(*) AS cases, round(avg(o_totalprice), 4) + 0.0 AS mean, CASE WHEN round > 1993 THEN round(avg((o_orderstatus = 'F')::INT), 6) + 0.0 END AS fpr, CASE WHEN round > 1995 THEN count(*) FILTER (WHERE o_orderstatus = 'O') END AS open, NULL::DOUBLE AS never FROM o GROUP BY round""")
+def round_history(s: State) -> DataFrame:
+    """Reports of one round a year, whose fields grow from year to year, written and read again."""
+    year = F.year("o_orderdate")
+    by = s.orders.groupBy(year.alias("year")).agg(F.count("*").alias("cases"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("fpr"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    report = F.to_json(F.struct("cases", F.struct(F.col("mean")).alias("price"), F.when(F.col("year") > 1993, F.struct("fpr")).alias("gates"), F.when(F.col("year") > 1995, F.col("open")).alias("open")))
+    with scratch_folder(s.spark) as home:
+        by.select(report.alias("report"), F.concat(F.lit("round-"), F.col("year")).alias("at")).repartition("at").write.partitionBy("at").text(home)
+        got = rounds.round_history(rounds.read_rounds(s.spark, f"{home}/*/*.txt"), ["cases", "price.mean", "gates.fpr", "open", "never"])
+        return settle(got)
