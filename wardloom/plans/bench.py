@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cases, forest, ranking
+from ..operators import cases, forest, ranking, verdicts
+from ..operators import experiments as exp
 from ..operators import graph as gr
 from ..operators import partisan as par
 from ..operators.components import scratch_folder, settle
@@ -173,3 +174,52 @@ def round_history(s: State) -> DataFrame:
         by.select(report.alias("report"), F.concat(F.lit("round-"), F.col("year")).alias("at")).repartition("at").write.partitionBy("at").text(home)
         got = rounds.round_history(rounds.read_rounds(s.spark, f"{home}/*/*.txt"), ["cases", "price.mean", "gates.fpr", "open", "never"])
         return settle(got)
+
+
+# --- verdicts on pairs ----------------------------------------------------------------------------------------------
+
+_TRIALS = 400
+
+_VERDICTS = _WIDE + """, good AS (SELECT plan // 25 AS chain, plan % 25 AS i, criterion, good FROM (""" + " UNION ALL ".join(f"SELECT plan, '{c}' AS criterion, ({x})::DOUBLE AS good FROM wide" for c, x in _GOOD.items()) + f""")),
+mids AS (SELECT criterion, min(good) < max(good) AS varies, median(good) AS middle, stddev_pop(good) AS pop_sd, quantile_cont(good, 1 - 1 / 3::DOUBLE) AS tercile FROM good GROUP BY criterion),
+facts AS (SELECT m.*, CASE WHEN mad > 0 THEN 1.4826 * mad ELSE pop_sd END AS sd, boundary, worst FROM mids m JOIN (SELECT g.criterion, median(abs(good - middle)) AS mad FROM good g JOIN mids USING (criterion) GROUP BY 1) USING (criterion) JOIN (SELECT criterion, min(good) FILTER (WHERE down <= 20) AS boundary, median(good) FILTER (WHERE up <= 20) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY criterion ORDER BY good DESC) AS down, row_number() OVER (PARTITION BY criterion ORDER BY good) AS up FROM good) GROUP BY 1) USING (criterion)),
+times AS (SELECT rep, k, count(*) AS t FROM (SELECT r.range AS rep, ('0x' || left(sha256('7|' || r.range || '|' || j.range), 8))::BIGINT % 8 AS k FROM range({_TRIALS}) r, range(8) j) GROUP BY ALL UNION ALL SELECT -1, range, 1 FROM range(8)),
+again AS (SELECT rep, criterion, chain, i, t, sum(t) OVER (PARTITION BY rep, criterion ORDER BY good) - (sum(t) OVER (PARTITION BY rep, criterion, good) - 1) / 2.0::DOUBLE AS rk FROM good JOIN times ON chain = k),
+moments AS (SELECT x.rep, x.criterion AS a, y.criterion AS b, sum(x.t) * sum(x.t * x.rk * y.rk) - sum(x.t * x.rk) * sum(x.t * y.rk) AS xy, sum(x.t) * sum(x.t * x.rk * x.rk) - sum(x.t * x.rk) * sum(x.t * x.rk) AS xx, sum(x.t) * sum(x.t * y.rk * y.rk) - sum(x.t * y.rk) * sum(x.t * y.rk) AS yy FROM again x JOIN again y ON y.rep = x.rep AND y.chain = x.chain AND y.i = x.i AND y.criterion <> x.criterion GROUP BY ALL),
+rhos AS (SELECT rep, a, b, CASE WHEN xx > 0 AND yy > 0 THEN xy / sqrt(xx) / sqrt(yy) END AS rho FROM moments),
+cor AS (SELECT a, b, max(rho) FILTER (WHERE rep < 0) AS rho, list_sort(list(rho) FILTER (WHERE rep >= 0 AND rho IS NOT NULL)) AS s FROM rhos GROUP BY a, b),
+shifts AS (SELECT c.range AS chain, r.range AS rep, CASE WHEN r.range < 0 THEN 0 ELSE ('0x' || left(sha256('7|turn|' || r.range || '|' || c.range), 8))::BIGINT % 25 END AS turn FROM range(8) c, range(-1, {_TRIALS}) r),
+moved AS (SELECT rep, g.criterion AS a, g.chain, ((i - turn) % 25 + 25) % 25 AS i FROM good g JOIN facts f ON f.criterion = g.criterion AND good >= boundary JOIN shifts s ON s.chain = g.chain),
+tops AS (SELECT rep, a, y.criterion AS b, median(y.good) AS top FROM moved m JOIN good y ON y.chain = m.chain AND y.i = m.i AND y.criterion <> a GROUP BY ALL),
+cond AS (SELECT a, b, any_value(own) AS own, (count(*) FILTER (WHERE top <= own) + 1) / (count(*) + 1)::DOUBLE AS p FROM tops JOIN (SELECT a, b, top AS own FROM tops WHERE rep < 0) USING (a, b) WHERE rep >= 0 GROUP BY a, b),
+thirds AS (SELECT chain, i, g.criterion, good >= tercile AS best FROM good g JOIN facts USING (criterion)),
+joint AS (SELECT x.criterion AS a, y.criterion AS b, count(*) FILTER (WHERE x.best AND y.best) / count(*)::DOUBLE AS joint, (count(*) FILTER (WHERE x.best) / count(*)::DOUBLE) * (count(*) FILTER (WHERE y.best) / count(*)::DOUBLE) AS expected FROM thirds x JOIN thirds y ON y.chain = x.chain AND y.i = x.i AND y.criterion <> x.criterion GROUP BY ALL),
+whole AS (SELECT a, b, rho, s[floor(0.025 * len(s))::INT + 1] AS low, s[least(len(s) - 1, floor(0.975 * len(s))::INT) + 1] AS high, len(s) AS reps, CASE WHEN fb.sd <> 0 THEN (own - fb.middle) / fb.sd END AS effect, p, CASE WHEN fb.sd <> 0 THEN (fb.worst - fb.middle) / fb.sd END AS attainable, joint, expected, fa.varies AND fb.varies AS vary, fb.sd FROM cor JOIN cond USING (a, b) JOIN joint USING (a, b) JOIN facts fa ON fa.criterion = a JOIN facts fb ON fb.criterion = b),
+said AS (SELECT *, CASE WHEN NOT vary OR coalesce(reps, 0) < {_TRIALS // 2} THEN 'degenerate' WHEN high < -0.1 THEN 'tradeoff' ELSE 'none' END AS correlation, CASE WHEN NOT vary OR sd = 0 OR coalesce(attainable > -0.2, TRUE) THEN 'degenerate' WHEN effect <= -0.2 AND p < 0.05 THEN 'tradeoff' ELSE 'none' END AS conditional, CASE WHEN NOT vary THEN 'degenerate' WHEN expected > 0 AND joint < 0.5 * expected THEN 'tradeoff' ELSE 'none' END AS achievability FROM whole),
+voted AS (SELECT *, (correlation = 'tradeoff')::INT + (conditional = 'tradeoff')::INT + (achievability = 'tradeoff')::INT AS votes, (correlation <> 'degenerate')::INT + (conditional <> 'degenerate')::INT + (achievability <> 'degenerate')::INT AS deciding FROM said),
+judged AS (SELECT *, CASE WHEN deciding = 0 THEN 'degenerate' WHEN votes = 0 THEN 'none' WHEN votes = 3 AND deciding = 3 THEN 'strong' ELSE 'weak' END AS verdict FROM voted)
+"""
+
+
+def _judged(s: State) -> DataFrame:
+    good = [F.expr(x).cast("double").alias(c) for c, x in _GOOD.items()]
+    rows = _shared(s).select(F.floor(F.col("plan") / 25).alias("chain"), (F.col("plan") % 25).alias("draw"), *good)
+    return s.once("judged", lambda: verdicts.Pairs(rows, CRITERIA, reps=_TRIALS).evaluate())
+
+
+@query(_VERDICTS + "SELECT a, b, " + ", ".join(f"{r(c)} AS {c}" for c in ("rho", "low", "high", "effect", "p", "attainable", "joint", "expected")) + ", correlation, conditional, achievability, votes, deciding, verdict FROM judged")
+def pair_verdicts(s: State) -> DataFrame:
+    """Three tests of every ordered pair of seven criteria, with replicates, and their verdict."""
+    return _judged(s)
+
+
+@query(_VERDICTS + ", t AS (UNPIVOT (SELECT a, b, correlation, achievability FROM judged) ON correlation, achievability INTO NAME test VALUE verdict) SELECT x.test, count(*) AS checked, count(*) FILTER (WHERE x.verdict <> y.verdict) AS mismatches FROM t x JOIN t y ON x.a = y.b AND x.b = y.a AND x.test = y.test WHERE x.a < x.b GROUP BY x.test")
+def symmetry_of_verdicts(s: State) -> DataFrame:
+    """How often a test that should not care for direction decides otherwise when a pair is turned round."""
+    return exp.check_symmetry(verdicts.by_test(_judged(s)), verdicts.SYMMETRIC)
+
+
+@query(_VERDICTS + "SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(list_sort(list(DISTINCT verdict)), ',') AS verdicts FROM judged GROUP BY ALL")
+def pair_relationships(s: State) -> DataFrame:
+    """Verdicts by unordered pair."""
+    return exp.relationships(_judged(s)).withColumn("verdicts", F.array_join("verdicts", ","))
