@@ -28,6 +28,31 @@ def pieces_by_subdivision(assignments: DataFrame, membership: DataFrame) -> Data
     return assignments.join(known, "unit").select("plan", "parent", "district").distinct()
 
 
+def select_layer(layers: dict[str, DataFrame], layer: str | None = None) -> tuple[str, DataFrame]:
+    """The one layer that a measure of splits is about, with its name: the only one, or the one asked for.
+
+    Several layers without a choice are refused rather than guessed at; a name that no layer has is refused as well.
+    """
+    if layer is None and len(layers) == 1:
+        return next(iter(layers.items()))
+    if layer is None:
+        raise ValueError(f"say which of the layers is meant: {', '.join(sorted(layers))}")
+    if layer not in layers:
+        raise KeyError(f"no layer is named {layer!r}; there are: {', '.join(sorted(layers))}")
+    return layer, layers[layer]
+
+
+def same_units(layers: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``layers`` of (plan, unit, district), if all have the same units; else the first few that one has and another lacks are named."""
+    (name, first), *rest = layers.items()
+    for other, layer in rest:
+        mine, theirs = (df.select("unit").distinct() for df in (first, layer))
+        apart = mine.join(theirs, "unit", "left_anti").unionByName(theirs.join(mine, "unit", "left_anti")).orderBy("unit").limit(8).collect()
+        if apart:
+            raise ValueError(f"layers {name} and {other} differ at units {', '.join(str(r['unit']) for r in apart)}")
+    return layers
+
+
 def ballot_styles(layers: list[DataFrame], membership: DataFrame | None = None) -> DataFrame:
     """(plan, ballot_styles): distinct combinations of districts over the layers, and of parents if given.
 

@@ -116,6 +116,15 @@ def null_cases(pool: DataFrame, sizes: dict[str, int], seed: int, balance: bool
     return out
 
 
+def as_scenarios(cases: DataFrame, planted: DataFrame | None = None) -> DataFrame:
+    """(case_id, kind, shift, in_gate_sample) of null cases, and of ``planted(case_id, shift)``: what a detector's bench scores. A null
+    case has no intended shift, wherever its plan ended up; planted ones always decide the gates."""
+    out = cases.select("case_id", F.lit("null").alias("kind"), F.lit(0).cast("long").alias("shift"), "in_gate_sample")
+    if planted is None:
+        return out
+    return out.unionByName(planted.select("case_id", F.lit("planted").alias("kind"), F.col("shift").cast("long").alias("shift"), F.lit(True).alias("in_gate_sample")))
+
+
 def matched_starts(draws: DataFrame, keys: DataFrame, anchors: DataFrame, measures: tuple[str, ...], limit: int, width: float = 0.5) -> DataFrame:
     """(anchor, place, plan): for each anchor up to ``limit`` plans to start from, itself at place 0.
 

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, ratio, wilson
+from ..functions.expr import ratio, wilson
+from .ordering import numbered
 
 
 @dataclass(frozen=True)
@@ -105,10 +106,21 @@ def detection_curve(decisions: DataFrame) -> DataFrame:
 
 
 def auc(decisions: DataFrame) -> DataFrame:
-    """(auc, n_planted, n_null): chance that a planted case stands out more than a null one, ties half."""
-    known = decisions.where("outlierness is not null").withColumn("rank", average_rank(F.col("outlierness")))
-    n1, n0 = F.count_if(F.col("kind") == "planted"), F.count_if(F.col("kind") == "null")
-    return known.agg(ratio(F.sum(F.when(F.col("kind") == "planted", F.col("rank"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"), n1.alias("n_planted"), n0.alias("n_null"))
+    """(auc, n_planted, n_null): chance that a planted case stands out more than a null one, ties half.
+
+    Cases are ordered in ranges; equal ones share the mean of their places.
+    """
+    known = numbered(decisions.where("outlierness is not null and kind in ('planted', 'null')").select("kind", "outlierness"), "_place", F.col("outlierness"))
+    planted, null = F.count_if(F.col("kind") == "planted"), F.count_if(F.col("kind") == "null")
+    tied = known.groupBy("outlierness").agg(F.avg("_place").alias("rank"), planted.alias("p"), null.alias("z"))
+    n1, n0 = F.sum("p"), F.sum("z")
+    return tied.agg(ratio(F.sum(F.col("rank") * F.col("p")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"), F.coalesce(n1, F.lit(0)).alias("n_planted"), F.coalesce(n0, F.lit(0)).alias("n_null"))
+
+
+def auc_with_decision(area: DataFrame, confused: DataFrame) -> DataFrame:
+    """``auc`` with decision_auc, the area under the curve through the rule's one operating point: (1 + tpr - fpr) / 2. It is a half
+    for detectors that always or never flag, whatever their statistic could do; null where a rate is."""
+    return area.join(F.broadcast(confused.select("youden")), F.lit(True)).select("auc", ((1 + F.col("youden")) / 2).alias("decision_auc"), "n_planted", "n_null")
 
 
 def baselines(decisions: DataFrame) -> DataFrame:
@@ -130,6 +142,13 @@ def gates(confused: DataFrame, tpr_gate: float = 0.95, fpr_gate: float = 0.05) -
     return confused.select("tpr_worst", "fpr_worst", (F.col("tpr_worst") >= tpr_gate).alias("tpr_pass"), (F.col("fpr_worst") <= fpr_gate).alias("fpr_pass"))
 
 
+def gates_with_shift(confused: DataFrame, shift: DataFrame, most: int = 1, **bars: float) -> DataFrame:
+    """``gates`` with shift and shift_pass: whether shifts of ``most`` seats or fewer are found, from ``min_detectable_shift``; a shift that
+    is never found fails."""
+    out = gates(confused, **bars).join(F.broadcast(shift.select("shift")), F.lit(True))
+    return out.withColumn("shift_pass", F.coalesce(F.col("shift") <= most, F.lit(False)))
+
+
 def alternatives(locations: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     """(rule, tp, fp, tn, fn, unresolved, youden): every rule, by name, scored on the same cases."""
     out = None

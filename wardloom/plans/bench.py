@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cases, forest, ranking, verdicts
+from ..operators import convergence as conv
 from ..operators import experiments as exp
 from ..operators import graph as gr
 from ..operators import partisan as par
+from ..operators import rules as ru
 from ..operators.components import scratch_folder, settle
 from ..sources import rounds
-from .catalog import _ANCHORS, _DELTA, _MOVES, _WIDE, _draws, _shared
+from .catalog import _ANCHORS, _DELTA, _MOVES, _RULES, _WIDE, RULE, _chains, _draws, _locations, _shared
 from .mapping import State, r
 from .registry import query, tidy
 
@@ -88,6 +90,10 @@ def _keys(s: State) -> DataFrame:
 @query(_NULLS)
 def null_cases(s: State) -> DataFrame:
     """Null cases of three strata, no plan twice, legal ones only."""
+    return _null_cases(s)
+
+
+def _null_cases(s: State) -> DataFrame:
     votes = s.once("votes", lambda: par.district_votes(s.assignments(), s.votes()))
     seats = par.seat_counts(votes).select("plan", F.col("dem_seats").alias("seats"))
     legal = _legality(s).select("plan", (F.col("coverage") & F.col("ids") & F.col("non_empty") & F.col("contiguous") & F.col("balanced")).alias("legal"))
@@ -161,6 +167,39 @@ def criteria_with_floor(s: State) -> DataFrame:
     return _criteria(s).ranking(reps=_REPS)
 
 
+_SCENARIOS = _NULLS.replace("SELECT printf", "SELECT * FROM (SELECT printf", 1) + ")"
+
+
+@query(_SCENARIOS.replace("SELECT * FROM (", "SELECT case_id, 'null' AS kind, 0::BIGINT AS shift, in_gate_sample FROM (", 1))
+def null_scenarios(s: State) -> DataFrame:
+    """The null cases as scenarios of a detector's bench."""
+    return cases.as_scenarios(_null_cases(s))
+
+
+# --- rules and convergence ------------------------------------------------------------------------------------------
+
+def _flags(s: State) -> DataFrame:
+    return s.once("flags", lambda: ru.flag(_locations(s), RULE))
+
+
+@query(_RULES + f"SELECT {r('(SELECT avg(CASE WHEN a.outlierness > b.outlierness THEN 1.0 WHEN a.outlierness = b.outlierness THEN 0.5 ELSE 0.0 END) FROM flags a JOIN flags b ON a.kind = $$planted$$ AND b.kind = $$null$$)')} AS auc, {r('(1 + tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE) / 2')} AS decision_auc, (SELECT count(*) FROM flags WHERE kind = 'planted' AND outlierness IS NOT NULL) AS n_planted, (SELECT count(*) FROM flags WHERE kind = 'null' AND outlierness IS NOT NULL) AS n_null FROM conf")
+def auc_with_decision(s: State) -> DataFrame:
+    """The area under the curve of the statistic, and of the rule's one operating point."""
+    return ru.auc_with_decision(ru.auc(_flags(s)), ru.confusion(_flags(s)))
+
+
+@query(_RULES + f", found AS (SELECT min(magnitude) FILTER (WHERE ok) AS shift FROM (SELECT a.magnitude, bool_and(b.flagged / b.n::DOUBLE >= 0.5) AS ok FROM curve a JOIN curve b ON b.magnitude >= a.magnitude GROUP BY 1)) SELECT {r('tp / nullif(tp + fn + up, 0)::DOUBLE')} AS tpr_worst, {r('(fp + un) / nullif(fp + tn + un, 0)::DOUBLE')} AS fpr_worst, tp / nullif(tp + fn + up, 0)::DOUBLE >= 0.95 AS tpr_pass, (fp + un) / nullif(fp + tn + un, 0)::DOUBLE <= 0.05 AS fpr_pass, shift, coalesce(shift <= 1, FALSE) AS shift_pass FROM conf, found")
+def gates_with_shift(s: State) -> DataFrame:
+    """All three gates of the rule."""
+    return ru.gates_with_shift(ru.confusion(_flags(s)), ru.min_detectable_shift(ru.detection_curve(_flags(s)), 0.5))
+
+
+@query()
+def convergence_block(s: State) -> DataFrame:
+    """R-hat and effective size of each measure together; ranked statistics have no SQL."""
+    return conv.diagnostics(_chains(s))
+
+
 # --- rounds over time -----------------------------------------------------------------------------------------------
 
 @query("""!WITH o AS (SELECT year(o_orderdate) AS round, o_orderstatus, o_totalprice FROM orders)
@@ -178,7 +217,7 @@ def round_history(s: State) -> DataFrame:
 
 # --- verdicts on pairs ----------------------------------------------------------------------------------------------
 
-_TRIALS = 400
+_TRIALS = 1000
 
 _VERDICTS = _WIDE + """, good AS (SELECT plan // 25 AS chain, plan % 25 AS i, criterion, good FROM (""" + " UNION ALL ".join(f"SELECT plan, '{c}' AS criterion, ({x})::DOUBLE AS good FROM wide" for c, x in _GOOD.items()) + f""")),
 mids AS (SELECT criterion, min(good) < max(good) AS varies, median(good) AS middle, stddev_pop(good) AS pop_sd, quantile_cont(good, 1 - 1 / 3::DOUBLE) AS tercile FROM good GROUP BY criterion),
