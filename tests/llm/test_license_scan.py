@@ -85,3 +85,43 @@ def test_every_template_finds_itself():
     for name, text in ls.TEMPLATES.items():
         dice, _, _, found = max(scanner.matches(ls.bigrams(f"some words before {text} and some after".encode())))
         assert dice == pytest.approx(1.0) and found == name
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.9])
+def test_matches_are_those_of_a_plain_choice(least):
+    """All windows are listed and taken in order of what they share, none touching another."""
+    rng = random.Random(8)
+    templates = {"a": "a b c d e f g", "b": "c d e q r s", "long": "a b c d x y z c d e f g a b q r", "two": "x y"}
+    scanner = ls.Scanner(templates, least)
+    for _ in range(60):
+        w = [x for _ in range(rng.randint(0, 6)) for x in rng.choice([*templates.values(), "n o", "a c e"]).split()]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w) + 1) : 0] = [rng.choice("abcdexyzqn")]
+        text = " ".join(w)
+        grams = list(zip(w, w[1:], strict=False))
+        windows = []
+        for d, a, n, name in brute(text, templates, least):
+            q = set(zip(templates[name].split(), templates[name].split()[1:], strict=False))
+            t = next(x for x in scanner.templates if x.name == name)
+            if grams[a] in q and grams[a + n - 1] in q and t.low <= n <= t.high:
+                windows.append((-len(set(grams[a : a + n]) & q), -d, -n, a, name))
+        want = []
+        for _, d, n, a, name in sorted(windows):
+            if all(a - n < b or b + m < a for _, b, m, _ in want):
+                want.append((-d, a, -n, name))
+        assert scanner.matches(ls.bigrams(text.encode())) == sorted(want, key=lambda m: m[1])
+
+
+def test_long_templates_cost_little():
+    """A template of 5,600 words, whole and changed in places, inside a longer text."""
+    import time
+
+    rng = random.Random(1)
+    body = [f"w{rng.randrange(900)}" for _ in range(5600)]
+    scanner = ls.Scanner({"long": " ".join(body)}, 0.8)
+    changed = [x if i % 40 else "other" for i, x in enumerate(body)]
+    for words, least in ((body, 1.0), (changed, 0.9)):
+        grams = ls.bigrams(" ".join(["before"] * 300 + words + ["after"] * 300).encode())
+        began = time.perf_counter()
+        found = scanner.matches(grams)
+        assert time.perf_counter() - began < 2 and len(found) == 1 and found[0][0] >= least and found[0][3] == "long"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,19 @@ class Scanner:
         self.every = np.unique(np.concatenate([t.grams for t in self.templates])) if self.templates else np.empty(0, np.uint64)
 
     def matches(self, grams: np.ndarray) -> list[tuple[float, int, int, str]]:
-        """(coefficient, first bigram, length, template) of the best windows, none overlapping another."""
+        """(coefficient, first bigram, length, template) of the best windows, none overlapping another.
+
+        What shares most goes first, so that a short notice inside a long one doesn't win; a queue holds the best window of each
+        place where one may begin. A place whose window has since been cut off looks for its next best before that.
+        """
         if not len(grams) or not len(self.every):
             return []
         at = np.searchsorted(self.every, grams)
         at[at == len(self.every)] = 0
         hits = np.flatnonzero(self.every[at] == grams)
-        found: list[tuple[int, float, int, int, str]] = []
+        if not len(hits):
+            return []
+        earlier, queue = None, []
         for t in self.templates:
             if len(hits) < t.need or len(grams) < t.low:
                 continue
@@ -88,32 +95,59 @@ class Scanner:
             if len(p) < t.need:
                 continue
             # a run of `need` hits that spans more than the largest window can't match
-            begins = np.flatnonzero(p[t.need - 1 :] - p[: len(p) - t.need + 1] < t.high) if t.need > 0 else np.arange(len(p))
-            for i in begins:
-                seen: set[int] = set()
-                kinds: set[int] = set()
-                start, j = int(p[i]), int(i)
-                for k in range(start, min(len(grams), start + t.high)):
-                    g = int(grams[k])
-                    kinds.add(g)
-                    if j < len(p) and p[j] == k:
-                        seen.add(g)
-                        j += 1
-                        if k - start + 1 >= t.low or len(kinds) >= t.low:
-                            dice = 2 * len(seen) / (len(kinds) + len(t.grams))
-                            if dice >= self.least - 1e-12:
-                                found.append((len(seen), dice, start, k - start + 1, t.name))
-        # what shares most goes first, so that a short notice inside a long one doesn't win
-        found.sort(key=lambda m: (-m[0], -m[1], -m[3], m[2], m[4]))
+            begins = p[np.flatnonzero(p[t.need - 1 :] - p[: len(p) - t.need + 1] < t.high)] if t.need > 0 else p
+            if len(begins) and earlier is None:
+                earlier = _earlier(grams)
+            mine = np.zeros(len(grams), bool)
+            mine[p] = True
+            for start in begins.tolist():
+                if window := self._best(t, mine, earlier, start, len(grams) + 1):
+                    queue.append((*window, t, mine))
+        heapify(queue)
         taken: list[tuple[int, int]] = []  # in order, none touching another, so only the neighbours of a window matter
         best = []
-        for _, dice, start, length, name in found:
+        while queue:
+            shared, dice, length, start, name, t, mine = heappop(queue)
             i = bisect_left(taken, (start, start))
-            if (i == 0 or taken[i - 1][1] < start) and (i == len(taken) or start + length < taken[i][0]):
-                taken.insert(i, (start, start + length))
-                best.append((dice, start, length, name))
+            if (i and taken[i - 1][1] >= start) or (i < len(taken) and taken[i][0] == start):
+                continue
+            limit = taken[i][0] if i < len(taken) else len(grams) + 1
+            if start - length < limit:
+                taken.insert(i, (start, start - length))
+                best.append((-dice, start, -length, name))
+            elif window := self._best(t, mine, earlier, start, limit):
+                heappush(queue, (*window, t, mine))
         return sorted(best, key=lambda m: m[1])
 
+    def _best(self, t: Template, mine: np.ndarray, earlier: np.ndarray, start: int, limit: int) -> tuple[int, float, int, int, str] | None:
+        """(-shared, -coefficient, -length, start, name) of the best window of a template that begins at ``start``, ends at one of its
+        bigrams and leaves a bigram free before ``limit``; None if no window matches. A bigram is new to a window if its
+        last occurrence lies before it, so running counts tell what every end would give."""
+        end = min(len(mine), start + t.high, limit - 1)
+        if end - start < t.low:
+            return None
+        new, own = earlier[start:end] < start, mine[start:end]
+        shared = np.cumsum(new & own)
+        ends = np.flatnonzero(own[t.low - 1 :]) + t.low - 1
+        dice = 2 * shared[ends] / (np.cumsum(new)[ends] + len(t.grams))
+        fits = dice >= self.least - 1e-12
+        if not fits.any():
+            return None
+        ends, dice = ends[fits], dice[fits]
+        most = shared[ends] == shared[ends[-1]]  # counts rise from end to end
+        ends, dice = ends[most], dice[most]
+        last = np.flatnonzero(dice == dice.max())[-1]
+        return -int(shared[ends[last]]), -float(dice[last]), -int(ends[last] + 1), start, t.name
+
+
+def _earlier(grams: np.ndarray) -> np.ndarray:
+    """Where each bigram stood last, or -1."""
+    order = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -1)
+    same = grams[order[1:]] == grams[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
 
 ROWS = "doc_id long, license string, first_word long, n_words long, dice double"
 
