@@ -130,7 +130,7 @@ def turns_of(formatted: DataFrame) -> DataFrame:
 
 def format_digest(rows: DataFrame, budget: int = 512, history: int = 2, history_tokens: int = 128) -> DataFrame:
     """Per conversation, read back from its windows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, n_windows. Repeated turns count once."""
+    formatted_chars, n_windows. Repeated turns count once. A very long text is one turn and fills a window by itself, whole."""
     back = turns_of(format_windows(rows, budget, history, history_tokens))
     # the first window brings the leading system turn, later ones only repeat it
     fresh = F.when(F.col("window") == 0, F.col("turns")).otherwise(F.slice("turns", F.col("new_from") + 1, F.greatest(F.lit(0), F.size("turns") - F.col("new_from"))))

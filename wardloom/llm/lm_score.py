@@ -254,7 +254,7 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     context of the first word. Training documents are those whose crc32(doc_id) modulo ``mod`` is not ``held``. base_score
     and score are log10 probabilities under the smoothed unigram model of the contract and the interpolated model. Null,
     empty and blank texts have the end token only. Repeated rows are counted and scored one by one; equal texts get equal
-    scores. A very long text is a block of its own, whole. Only doc_id and text are read. An empty table gives no rows;
+    scores. A very long text stands whole in the block that it falls to, which ends with it. Only doc_id and text are read. An empty table gives no rows;
     without training documents every estimate is the uniform one. The two tables of blocks and answers lie in a
     database of their own in the shared folder, which is dropped when the scores are written.
     """

@@ -327,7 +327,8 @@ def document_links(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     """The rows of ``link_documents`` with n_links: how many other documents each is linked with itself.
 
     A document is a doc_id with its set of shingles, so repeated rows count once. Rows without shingles have no links;
-    n_links is null where doc_id is.
+    n_links is null where doc_id is. Very long texts are compared by all their shingles. Ties can't occur: every pair that links
+    is counted.
     """
     return _join(docs, k, pct, id_col, text_col, max_frequent, every=True).drop("h", "group")
 
