@@ -212,3 +212,32 @@ def test_queries_equal_their_sql(spark, name):
     assert cols == sorted(want.columns)
     key = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
     assert [x.replace("np.", "") for x in key(got)] == [x.replace("np.", "") for x in key(want)]
+
+
+def test_cases_are_written_with_a_manifest(spark, tmp_path):
+    from wardloom.operators import contexts
+    from wardloom.sources import tables
+
+    rows = [(p, f"{u:03d}", u * (p + 1) % 3 + 1) for p in range(3) for u in range(6)]
+    plans = spark.createDataFrame(rows, "plan long, unit string, district int")
+    manifest = tables.write_cases(plans, str(tmp_path / "cases"))
+    assert {r["plan"]: (r["units"], r["digest"]) for r in manifest.collect()} == {r["plan"]: (6, r["digest"]) for r in gr.plan_digest(plans).collect()}
+    assert sorted(map(tuple, tables.read_cases(spark, str(tmp_path / "cases")).collect())) == sorted(rows)
+    tables.write_plans(plans.withColumn("district", F.when(F.col("plan") == 1, 1).otherwise(F.col("district"))), str(tmp_path / "cases" / "plans"))
+    with pytest.raises(InvalidTable, match="manifest.*1"):
+        tables.read_cases(spark, str(tmp_path / "cases"))
+    units = spark.createDataFrame([("19001", 5), ("19003", 6)], "unit string, pop long")
+    votes = spark.createDataFrame([("19001", 1, 2), ("19003", 3, 4)], "unit string, dem long, rep long")
+    got = contexts.analysis_context(units, units, {"a": votes})
+    assert {r["parent"] for r in got["counties"].collect()} == {"19001", "19003"} and got["votes_a"] is votes
+    with pytest.raises(ValueError, match="contest a .* 19003"):
+        contexts.analysis_context(units, units, {"a": votes.limit(1)})
+
+
+def test_contexts_meet_locations(spark):
+    from wardloom.operators import contexts
+
+    context = spark.createDataFrame([(1, "a", False, "why"), (1, "b", True, None)], "plan long, metric string, usable boolean, reason string")
+    places = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "case_id long, metric string")
+    got = {(r["case_id"], r["metric"]): (r["trusted"], r["reason"]) for r in contexts.usable_locations(places, context).collect()}
+    assert got == {(1, "a"): (False, "why"), (1, "b"): (True, None), (2, "a"): (True, None)}

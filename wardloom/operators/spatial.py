@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .forest import spanning_forest
+
 
 def segments(unit_geom: DataFrame, digits: int = 6) -> DataFrame:
     """(unit, ax, ay, bx, by, length): sides of ``unit_geom(unit, ring)``, each written from its smaller end."""
@@ -55,6 +57,26 @@ def locate_points(points: DataFrame, unit_geom: DataFrame, cell: float = 1.0) ->
     return points.select("point").join(hits, "point", "left")
 
 
+def pieces_by_contact(assignments: DataFrame, rook: DataFrame, queen: DataFrame) -> DataFrame:
+    """(plan, district, rook, queen): connected parts of each district over shared sides, and over shared corners as well.
+
+    ``rook(u, v)`` and ``queen(u, v)`` are the edges of either kind; a district with fewer parts by corners hangs together at points.
+    """
+
+    def pieces(edges: DataFrame, name: str) -> DataFrame:
+        rows = spanning_forest(assignments, edges.select("u", "v"))
+        return rows.groupBy("plan", "district").agg(F.count_if(F.col("parent").isNull()).alias(name))
+
+    return pieces(rook, "rook").join(pieces(queen, "queen"), ["plan", "district"])
+
+
+def water_share(units: DataFrame, areas: DataFrame) -> DataFrame:
+    """(unit, land, water, share) of ``areas(unit, land, water)``: which part of a unit is water; null without any area, and for units
+    that the table lacks."""
+    met = units.select("unit").join(areas.select("unit", "land", "water"), "unit", "left")
+    return met.select("unit", "land", "water", F.try_divide(F.col("water").cast("double"), F.col("land") + F.col("water")).alias("share"))
+
+
 def district_summary(assignments: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """(plan, district, units, pop, deviation, share): against the ideal population of k districts."""
     total = units.agg(F.sum("pop").alias("_total"))

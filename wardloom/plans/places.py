@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import nearest, polygons
+from ..operators import contexts, nearest, polygons, spatial
+from ..operators import partisan as par
 from ..sources import names
 from .mapping import State, table
+from .catalog import _ARMS
 from .registry import query
 
 # --- records brought to units ---------------------------------------------------------------------------------------
@@ -100,6 +102,41 @@ def dissolved_districts(s: State) -> DataFrame:
     return rings.groupBy("plan", "district").agg(F.count("*").alias("rings"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("area").alias("area"))
 
 
+@query(_RUNS + "SELECT plan, district, sum(CASE WHEN b // 50 = a // 50 + 1 AND b - 50 < a THEN 2 ELSE 1 END)::BIGINT AS rook, sum(CASE WHEN b // 50 = a // 50 + 1 AND b - 50 < a - 1 THEN 2 ELSE 1 END)::BIGINT AS queen FROM runs GROUP BY ALL")
+def pieces_by_contact(s: State) -> DataFrame:
+    """Parts of the districts of all plans by shared sides, and by shared corners."""
+    geom = s.once("geom", s.unit_geom)
+    return spatial.pieces_by_contact(s.assignments(), spatial.rook_edges(geom), spatial.queen_edges(geom))
+
+
+@query("SELECT unit, dem AS land, rep AS water, CASE WHEN dem + rep > 0 THEN round(rep / (dem + rep)::DOUBLE, 9) + 0.0 END AS share FROM units")
+def water_share(s: State) -> DataFrame:
+    """Two counts of a unit's orders as its areas of land and water."""
+    return spatial.water_share(s.membership(), s.votes().select("unit", F.col("dem").alias("land"), F.col("rep").alias("water")))
+
+
+# --- contexts -------------------------------------------------------------------------------------------------------
+
+_USABLE = {"efficiency_gap": "TRUE", "mean_median": "NOT (arm_margin OR arm_sweep OR arm_median)", "declination": "declination IS NOT NULL AND n_districts >= 8", "partisan_bias": "NOT (arm_margin OR arm_sweep OR arm_median)"}
+
+
+@query(_ARMS.rstrip() + """, f AS (SELECT max(c) <= 1 AS whole FROM (SELECT count(*) AS c FROM units GROUP BY parent)),
+spoken AS (""" + " UNION ALL ".join(f"SELECT plan, '{m}' AS metric, {x} AS usable, 'not to be trusted on these votes' AS why FROM arms" for m, x in _USABLE.items()) + """ UNION ALL SELECT plan, metric, fine, why FROM arms, f, LATERAL (VALUES
+('county_splits', NOT whole, 'each subdivision is one unit'), ('split_pieces', NOT whole, 'each subdivision is one unit'), ('excess_pieces', NOT whole, 'each subdivision is one unit'), ('ballot_styles', FALSE, 'one layer: styles equal districts'),
+('ballot_styles_by_subdivision', NOT whole, 'each subdivision is one unit'), ('ballot_styles_per_10k', FALSE, 'one layer: styles equal districts'), ('n_units', FALSE, 'a property of the input'), ('n_units_in_no_subdivision', FALSE, 'a property of the input'),
+('n_subdivisions', FALSE, 'a property of the input'), ('n_districts', TRUE, ''), ('n_layers', FALSE, 'a property of the input')) t(metric, fine, why))
+SELECT plan, metric, usable, CASE WHEN NOT usable THEN why END AS reason FROM spoken""")
+def plan_contexts(s: State) -> DataFrame:
+    """Which measures mean little for which plan, and why."""
+    return contexts.context_for(par.all_metrics(par.district_votes(s.assignments(), s.votes())), s.membership(), 1, 8)
+
+
+@query("SELECT plan, district, dem, rep FROM dist")
+def district_votes_held(s: State) -> DataFrame:
+    """Votes by district where plans and votes are first held against each other, unit by unit."""
+    return par.district_votes(s.assignments(), s.votes(), strict=True)
+
+
 # --- names ----------------------------------------------------------------------------------------------------------
 
 def _spelled(s: State) -> tuple[DataFrame, DataFrame]:

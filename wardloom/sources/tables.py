@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import subdivision_id
+from ..operators.graph import plan_digest
 
 UNITS = "GEOID string, NAME string, pop bigint"
 PLAN = "GEOID string, district string"
@@ -121,6 +122,26 @@ def write_plans(assignments: DataFrame, path: str) -> None:
     assignments.select("plan", F.col("unit").alias("GEOID"), "district").repartition("plan").sortWithinPartitions("plan", "GEOID").write.partitionBy("plan").csv(path, header=True, mode="overwrite")
 
 
+def write_cases(assignments: DataFrame, path: str) -> DataFrame:
+    """Plans as CSV under ``path``/plans, a folder for each, and their manifest (plan, units, digest) as JSON lines beside them, which is
+    also returned. The digest is that of ``graph.plan_digest``: it depends on the plan alone, not on how files were cut."""
+    write_plans(assignments, f"{path}/plans")
+    sizes = assignments.groupBy("plan").agg(F.count("*").alias("units"))
+    manifest = sizes.join(plan_digest(assignments), "plan")
+    manifest.coalesce(1).write.json(f"{path}/manifest", mode="overwrite")
+    return assignments.sparkSession.read.schema("plan long, units long, digest string").json(f"{path}/manifest")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(plan, unit, district) of ``write_cases``; plans that are not what the manifest says are refused."""
+    rows = spark.read.schema("GEOID string, district int, plan long").csv(f"{path}/plans", header=True).select("plan", F.col("GEOID").alias("unit"), "district")
+    manifest = spark.read.schema("plan long, units long, digest string").json(f"{path}/manifest")
+    found = rows.groupBy("plan").agg(F.count("*").alias("_units")).join(plan_digest(rows).withColumnRenamed("digest", "_digest"), "plan")
+    both = manifest.join(found, "plan", "full_outer").where("NOT (units <=> _units AND digest <=> _digest)")
+    refuse(both, "plan", "plans that are not what the manifest says")
+    return rows
+
+
 def write_draws(draws: DataFrame, path: str) -> None:
     """Parquet by chain."""
     draws.repartition("chain").write.partitionBy("chain").parquet(path, mode="overwrite")
