@@ -21,12 +21,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(crc_mod("doc_id", mod) != held)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("y"))
     ids = settle(known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    pairs = docs.select("doc_id", "h").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "h").agg(F.max("y").alias("y"))
-    take = settle(pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_rows).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "y"))
-    rows = docs.join(F.broadcast(take), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
-    once = rows.groupBy("doc_id", "h").agg(F.max("y").alias("y"), F.first("text").alias("text"))
-    return once.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("part"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mine = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).withColumn("h", F.xxhash64("text"))
+    pairs = mine.groupBy("doc_id", "h").agg(F.max("y").alias("y"), F.count("*").alias("n"))
+    take = settle(pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_rows).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "n"))
+    rows = mine.join(F.broadcast(take), (F.col("doc_id") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left_semi")
+    if take.where("n > 1").limit(1).count():  # texts are shuffled only where some are to be thrown together
+        rows = rows.groupBy("doc_id", "h").agg(F.max("y").alias("y"), F.first("text").alias("text"))
+    return rows.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("part"), "text")
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
