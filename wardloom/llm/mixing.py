@@ -160,7 +160,7 @@ class Mix:
         ends = np.cumsum(draw_counts(slots, shards, seed), axis=0) if slots else np.zeros((shards, 0), np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.array(slots, np.int64))])[:-1] if slots else np.zeros(0, np.int64)
         held = spark.sparkContext.broadcast((offsets, np.maximum(1, np.array(blocks, np.int64)), ends, np.array([n for _, n in filled], np.int64)))
-        drawn = spark.range(sum(slots)).mapInArrow(_slot_rows(held, block_words, seed), "source_no int, block long, shard int, slot long, pass int, most long")
+        drawn = spark.range(sum(slots)).mapInArrow(trimmed(_slot_rows(held, block_words, seed)), "source_no int, block long, shard int, slot long, pass int, most long")
         length = F.lit(block_words)
         first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)
         parts = self.rows.where("size > 0").select("doc_id", "h", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))

@@ -181,7 +181,7 @@ def _scored(docs: DataFrame, labels: DataFrame, mod: int, held: int, max_labelle
     if rates["kinds"] < 2:
         return hashed.select("doc_id", "h", F.lit(0.5 if rates["rate"] is None else float(rates["rate"])).alias("score"))
     lexicon = sc.broadcast(learn_lexicon(sample.where("part < 4")))
-    table = settle(sample.where("part >= 4").mapInArrow(_feature_rows(lexicon, ["y", "part"]), "y int, part int, x array<double>"))
+    table = settle(sample.where("part >= 4").mapInArrow(trimmed(_feature_rows(lexicon, ["y", "part"])), "y int, part int, x array<double>"))
     table = table.withColumn("features", array_to_vector("x"))
     if table.where("part < 8").select("y").distinct().count() < 2:
         return hashed.select("doc_id", "h", F.lit(float(rates["rate"])).alias("score"))
