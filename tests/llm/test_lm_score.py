@@ -68,6 +68,33 @@ def test_blocks_don_t_matter(docs, monkeypatch):
     assert a == b
 
 
+def test_teams_of_blocks_give_the_totals_of_all(spark, docs, corpus, monkeypatch):
+    """Small teams make several levels; an end of a text is in every block."""
+    wanted = {r["doc_id"]: (r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in lm.score_documents(docs).collect()}
+    sent, make = [], lm._answers
+
+    def seen(rows, blocks, ranges, kept, level=0):
+        got = make(rows, blocks, ranges, kept, level)
+        sent.append((level, blocks, rows.count()))
+        return got
+
+    monkeypatch.setattr(lm, "_answers", seen)
+    docs = docs.repartition(12)  # as many blocks
+    monkeypatch.setattr(lm, "TEAM", 3)
+    monkeypatch.setattr(lm, "RANGE_ENTRIES", 300)
+    got = {r["doc_id"]: (r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in lm.score_documents(docs).collect()}
+    assert got == wanted
+    assert max(level for level, _, _ in sent) >= 2
+    _, blocks, rows = min(sent)
+    sent.clear()
+    # twice the documents: twice the rows, at every level no more than a fixed number for each block of the first
+    lm.score_documents(docs.union(docs)).count()
+    _, blocks2, rows2 = min(sent)
+    assert blocks2 > 1.8 * blocks
+    assert rows2 / blocks2 < 1.15 * rows / blocks
+    assert all(r <= 2 * rows2 for _, _, r in sent)
+
+
 def test_expectation_maximisation_finds_the_mixture():
     rng = np.random.default_rng(2)
     p2, p1 = rng.uniform(0, 0.2, 4000), rng.uniform(0, 0.05, 4000)

@@ -7,13 +7,14 @@ every part (one of ``FOLDS``) of a block of documents is held out in turn, its o
 A context never seen has no bigram estimate; there the two others share the whole weight.
 
 Work flow. Documents are gathered in blocks and written once, bucketed by block, so that later passes need no shuffle of
-text. Each block sends its distinct n-grams with their counts, packed by hash range; each range sums them over the blocks
-and answers every block with the totals in the block's own order. A pass over blocks and answers gathers the events'
+text. Each block sends its distinct n-grams with their counts, packed by hash range; each range sums them over a team of
+blocks and answers every block with the totals in the block's own order. A pass over blocks and answers gathers the events'
 histogram for the mixture weights, another scores the documents. All counts cover the whole training corpus.
 
-A block sends a row for each range in which it has n-grams. Ranges take ``RANGE_ENTRIES`` entries, from ``MAX_RANGES`` ranges
-on up to four times as many, so the rows grow in proportion to the input up to ``4 * MAX_RANGES * RANGE_ENTRIES`` entries
-(about 0.6 TB of text); beyond that they get shorter, but are never more than the entries themselves.
+A team has ``TEAM`` blocks in the mean. With more blocks than that the sums of teams are rows like those of blocks, in ranges
+finer by the number of teams that meet, and are summed over teams of teams, and so on; totals come back the same way.
+Ranges are made for the entries of one team (``RANGE_ENTRIES`` each), so a block sends the same number of rows however
+large the corpus is, and no group of rows holds more than a team's, also where an n-gram is in every block.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .common import crc_mod, hash_words, mix, scratch_database, settle, trimmed,
 BLOCK_BYTES = 6_000_000
 #: Parts of a block that are held out in turn.
 FOLDS = 4
-#: Entries that one hash range gets in the mean, and the number of ranges from which it gets more.
-RANGE_ENTRIES, MAX_RANGES = 2_000_000, 16_384
+#: Blocks (or teams) whose rows meet in one sum, in the mean, and entries that one hash range gets of them.
+TEAM, RANGE_ENTRIES = 512, 2_000_000
 #: Context buckets, and steps of half an octave in which estimates are binned for the mixture weights.
 BUCKETS, BINS = 40, 64
 END = np.uint64(0x5DEECE66D1234567)
@@ -115,8 +116,6 @@ def _block_of(row: dict) -> Block:
 
 
 def _count_rows(ranges: int):
-    schema = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):  # a block at a time
@@ -128,25 +127,78 @@ def _count_rows(ranges: int):
                     for r, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                         if z > a:
                             rows.append((kind, r, row["block"], pack(keys[a:z]), pack_counts(own[a:z])))
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, schema, strict=True)], schema=schema)
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, COUNTS, strict=True)], schema=COUNTS)
 
     return run
 
 
-def _starts(ranges: int) -> np.ndarray:
-    """Where equal ranges of 64-bit keys begin."""
-    return np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
+def _starts(ranges: int, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Where equal ranges of 64-bit keys begin, or some of them."""
+    return np.array([(r << 64) // ranges for r in range(first, ranges if end is None else end)], np.uint64)
 
 
-def _sum_range(table: pa.Table) -> pa.Table:
-    """Totals of one range, for each block in the order of its own keys."""
+COUNTS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERS = "kind int, range long, block long, totals binary"
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one range: the distinct keys, their sums, which key each entry is, and where each row's entries begin and end."""
     keys = [unpack(k.as_py()) for k in table.column("keys")]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([unpack_counts(c.as_py()) for c in table.column("counts")]), minlength=len(every)).astype(np.int64)
-    edges = np.cumsum([0] + [len(k) for k in keys])
+    return every, total, at, np.cumsum([0] + [len(k) for k in keys])
+
+
+def _answer_rows(table: pa.Table, total: np.ndarray, at: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+    """The columns of ``ANSWERS``: for each row the totals in the order of its own keys."""
     answers = [pack_counts(total[at[a:z]]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    return [*(table.column(c) for c in ("kind", "range", "block")), pa.array(answers, pa.binary())]
+
+
+def _sum_range(table: pa.Table) -> pa.Table:
+    """Totals of one range over the whole corpus."""
+    _, total, at, edges = _merged(table)
     n = table.num_rows
-    return pa.table([table.column("kind"), table.column("range"), table.column("block"), pa.array(answers, pa.binary()), pa.array([int(total.sum())] * n, pa.int64()), pa.array([int((total > 0).sum())] * n, pa.int64())], names=["kind", "range", "block", "totals", "range_sum", "range_distinct"])
+    return pa.table([*_answer_rows(table, total, at, edges), pa.array([int(total.sum())] * n, pa.int64()), pa.array([int((total > 0).sum())] * n, pa.int64())], names=["kind", "range", "block", "totals", "range_sum", "range_distinct"])
+
+
+def _sum_team(ranges: int, finer: int):
+    """The sums of a team over one of ``ranges``, as rows of a block that is named after the team, in ``finer`` ranges for this one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        every, total, _, _ = _merged(table)
+        kind, team, coarse = (table.column(c)[0].as_py() for c in ("kind", "team", "range"))
+        edges = [int(e) for e in np.searchsorted(every, _starts(ranges * finer, coarse * finer, (coarse + 1) * finer))] + [len(every)]
+        rows = [(kind, coarse * finer + r, team, pack(every[a:z]), pack_counts(total[a:z])) for r, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
+
+    return run
+
+
+def _answer_team(table: pa.Table, upper: pa.Table) -> pa.Table:
+    """The corpus totals of a team's range, which ``upper`` has in finer ranges, for each of its rows."""
+    _, _, at, edges = _merged(table)
+    upper = upper.sort_by("range")
+    total = np.concatenate([unpack_counts(t.as_py()) for t in upper.column("totals")])
+    return pa.table(_answer_rows(table, total, at, edges), names=["kind", "range", "block", "totals"])
+
+
+def _answers(rows: DataFrame, blocks: int, ranges: int, kept, level: int = 0) -> tuple[DataFrame, int, int]:
+    """``ANSWERS`` for the rows ``COUNTS`` of so many blocks, the sum of all unigrams' counts and the number of those counted."""
+    if blocks <= TEAM:
+        answers = kept(rows.groupBy("kind", "range").applyInArrow(_sum_range, f"{ANSWERS}, range_sum long, range_distinct long"), f"answers_{level}", "block")
+        whole = answers.where(F.col("kind") == UNIGRAM).groupBy("range").agg(F.max("range_sum").alias("s"), F.max("range_distinct").alias("d")).agg(F.sum("s"), F.sum("d")).first()
+        return answers.select("kind", "range", "block", "totals"), int(whole[0] or 0), int(whole[1] or 0)
+    teams = -(-blocks // TEAM)
+    finer = min(teams, TEAM)
+    team = F.pmod(F.xxhash64("block", F.lit(level)), F.lit(teams)).cast("long")
+    # written by team and range, so that the way up and the way down need no exchange
+    rows = kept(rows.withColumn("team", team), f"counts_{level}", "kind", "range", "team")
+    sums = rows.groupBy("kind", "range", "team").applyInArrow(_sum_team(ranges, finer), "kind int, range long, block long, keys binary, counts binary")
+    upper, total, distinct = _answers(sums, teams, ranges * finer, kept, level + 1)
+    upper = upper.withColumns({"coarse": F.floor(F.col("range") / finer), "team": F.col("block")})
+    down = rows.groupBy("kind", "range", "team").cogroup(upper.groupBy("kind", "coarse", "team")).applyInArrow(_answer_team, ANSWERS)
+    return kept(down, f"answers_{level}", "block"), total, distinct
 
 
 class Estimates:
@@ -255,7 +307,7 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     and score are log10 probabilities under the smoothed unigram model of the contract and the interpolated model. Null,
     empty and blank texts have the end token only. Repeated rows are counted and scored one by one; equal texts get equal
     scores. A very long text stands whole in the block that it falls to, which ends with it. Only doc_id and text are read. An empty table gives no rows;
-    without training documents every estimate is the uniform one. The two tables of blocks and answers lie in a
+    without training documents every estimate is the uniform one. The tables of blocks, counts and answers lie in a
     database of their own in the shared folder, which is dropped when the scores are written.
     """
     spark = docs.sparkSession
@@ -263,21 +315,18 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     home = scratch_database(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def kept(df: DataFrame, what: str) -> DataFrame:
-        df.write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(f"{home}.{what}")
+    def kept(df: DataFrame, what: str, *by: str) -> DataFrame:
+        df.write.bucketBy(parts, *by).option("compression", "zstd").saveAsTable(f"{home}.{what}")
         return spark.table(f"{home}.{what}")
 
     try:
-        blocks = kept(rows.mapInArrow(trimmed(_gather), "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts")
-        size = blocks.agg(F.sum("bytes")).first()[0] or 0
-        entries = size / 5  # about five bytes of text for each entry
-        ranges = max(1, round(entries / min(4 * RANGE_ENTRIES, max(RANGE_ENTRIES, entries / MAX_RANGES))))
+        blocks = kept(rows.mapInArrow(trimmed(_gather), "block long, bytes long, ids array<long>, held array<boolean>, texts array<string>"), "texts", "block")
+        size, n = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+        entries = size / 5 * min(1, TEAM / max(1, n))  # of one team, about five bytes of text for each
+        ranges = max(1, round(entries / RANGE_ENTRIES))
         counts = blocks.mapInArrow(trimmed(_count_rows(ranges)), "kind int, range long, block long, keys binary, counts binary")
-        answers = counts.groupBy("kind", "range").applyInArrow(_sum_range, "kind int, range long, block long, totals binary, range_sum long, range_distinct long")
-        answers = kept(answers, "answers")
-        whole = answers.where(F.col("kind") == UNIGRAM).groupBy("range").agg(F.max("range_sum").alias("s"), F.max("range_distinct").alias("d")).agg(F.sum("s"), F.sum("d")).first()
-        total, distinct = int(whole[0] or 0), int(whole[1] or 0)
-        both = lambda f, schema: blocks.groupBy("block").cogroup(answers.select("kind", "range", "block", "totals").groupBy("block")).applyInPandas(f, schema)
+        answers, total, distinct = _answers(counts, n, ranges, kept)
+        both = lambda f, schema: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(f, schema)
         cells = both(_events(total, distinct), EVENTS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
         weights = learn_weights(cells.orderBy("cell").toPandas(), 1.0 / (distinct + 1))  # at most BUCKETS x BINS x BINS cells
         return settle(both(_scores(total, distinct, weights), SCORES))
