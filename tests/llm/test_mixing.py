@@ -4,8 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardloom.llm import mixing as mx
+from wardloom.llm.common import positions
 
 
 def test_targets_stop_at_the_cap_and_share_the_rest():
@@ -134,3 +136,18 @@ def test_odd_rows(odd, nothing):
     assert mx.mix_documents(odd).columns == odd.columns
     assert mx.mix_report(nothing).count() == 0
     assert mx.mix_documents(nothing).count() == 0
+
+
+def test_rows_repeated_very_often_take_places_next_to_each_other(spark):
+    """20,000 equal rows without an id among others: no gap, no overlap, and the mix takes what the target says."""
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of five words").alias("text"), F.lit("hot").alias("source"))
+    other = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.lit("hot").alias("source"))
+    docs = same.union(other).repartition(5)
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), 5).otherwise(2).alias("size"), F.lit(1).alias("g"))
+    got = sorted((r["start"], r["size"]) for r in positions(rows, ["g"], ["doc_id", "text"], F.col("size"), "start", per_cell=64).collect())
+    assert len(got) == 23_000 and got[0][0] == 0
+    assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+    report = mx.mix_report(docs).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"), F.max("target").alias("target")).first()
+    assert report["n"] == 23_000 and report["over"] <= 0 and report["taken"] == round(report["target"])
+    words = mx.mix_documents(docs).agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0]
+    assert words == report["taken"]

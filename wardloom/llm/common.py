@@ -87,8 +87,15 @@ def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: Copies of a row that are written out together.
+COPIES = 4096
+
+
 def positions(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, per_cell: int = 1024) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows that precede this one in its group.
+    """Add ``out``: the sum of ``value`` over the rows that precede this one in its group. ``value`` is 0 or more.
+
+    Rows equal in all columns are one row and a count until their places are known, so that a row repeated any number of
+    times takes one place in a window; their places follow each other.
 
     Rows of a group are dealt into about ``rows / per_cell`` cells by a hash of ``order``, and cells into spans of
     ``per_cell`` cells. The totals of spans give each span its start, those of its cells give each cell its own, and a window
@@ -96,8 +103,10 @@ def positions(df: DataFrame, group: list[str], order: list[str], value: Column,
     sees more than ``per_cell`` rows in the mean, save the one over spans, which has a row for about a million rows.
     The order inside a group is (hash cell, ``order``); ties take any order.
     """
+    columns = df.columns
+    df = settle(df.groupBy(*columns).agg(F.count("*").alias("_n")))
     cells = max(1, -(-df.count() // per_cell))
-    df = df.withColumns({"_cell": F.pmod(F.xxhash64(*order), F.lit(cells)), "_value": value.cast("long")})
+    df = df.withColumns({"_cell": F.pmod(F.xxhash64(*order), F.lit(cells)), "_value": F.col("_n") * value.cast("long")})
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     sofar = lambda col, w: F.coalesce(F.sum(col).over(w), F.lit(0))
     totals = df.groupBy(*group, "_cell").agg(F.sum("_value").alias("_sum")).withColumn("_span", F.floor(F.col("_cell") / per_cell))
@@ -109,7 +118,14 @@ def positions(df: DataFrame, group: list[str], order: list[str], value: Column,
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
     joined = df.join(starts, [F.col("_cell") == F.col("_at"), *same])
     inner = before(*group, "_cell").orderBy(*order)
-    return joined.withColumn(out, F.col("_start") + sofar("_value", inner)).drop("_cell", "_value", "_at", "_start", *[f"_g{i}" for i in range(len(group))])
+    found = joined.withColumn(out, F.col("_start") + sofar("_value", inner)).select(*columns, "_n", "_value", out)
+    if not df.where("_n > 1").limit(1).count():
+        return found.select(*columns, out)
+    once = found.where("_n = 1").select(*columns, out)
+    # copies are written out some at a time, by as many tasks as it takes
+    lots = found.where("_n > 1").withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))).repartition(*order, "_lot")
+    each = lots.withColumn("_i", F.explode(F.sequence(F.col("_lot") * COPIES, F.least(F.col("_n"), (F.col("_lot") + 1) * COPIES) - 1)))
+    return once.unionByName(each.select(*columns, (F.col(out) + F.col("_i") * F.floor(F.col("_value") / F.col("_n"))).cast("long").alias(out)))
 
 
 class WordHashes(dict):

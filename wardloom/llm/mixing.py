@@ -22,6 +22,8 @@ from .common import WORD, mix, numbered, positions, settle, trimmed
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Sources whose names and sums the driver holds at once.
 MAX_SOURCES = 200_000
+#: Words of a source within which the uses of equal rows are gathered.
+STRETCH = 65_536
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float = 2.0) -> list[float]:
@@ -217,8 +219,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = Mix(docs, **options)
     turn = plan.pieces.groupBy("doc_id", "h", "source_no", "start", "pass").agg(F.collect_list(F.struct("word", "words")).alias("spans"))
-    # every copy of a row has its own place; the text is fetched once for all of them
-    per = turn.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("uses")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "uses")
+    # every copy of a row has its own place, next to those of the others; the text is fetched once for all copies of a stretch
+    stretch = F.floor(F.col("start") / STRETCH)
+    per = turn.groupBy("doc_id", "h", "source_no", stretch).agg(F.collect_list("spans").alias("uses")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "uses")
     rows, (doc, text) = numbered(docs, "doc_id", "text")
     keyed = rows.withColumns({"_doc": F.col(doc).cast("long"), "_key": F.xxhash64(F.col(text).cast("string"))})
     if plan.rows.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
