@@ -166,3 +166,12 @@ def test_python_only_where_it_is_needed(spark):
     df = catalog.QUERIES["plan_metrics"](spark, "/root/testdata/sf0.001")
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.agg(F.count("*")).first()[0] == 200
+
+
+def test_event_windows_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    got, want = entry.queries()["event_windows"](spark, "/root/testdata/sf0.001").toPandas(), con.execute(entry.oracle_sql()["event_windows"]).df()
+    key = lambda df: sorted(map(tuple, df[["start", "event_type", "n", "total"]].astype({"start": "datetime64[us]"}).itertuples(index=False)))
+    assert len(got) and key(got) == key(want)
