@@ -133,3 +133,10 @@ def test_disagreements_of_all_kinds(spark, home):
     shape = {r["plan"]: r["magnitude"] for r in rows if r["kind"] == "compactness_measures_disagree"}
     assert shape and min(shape.values()) > reports.COMPACTNESS_SPREAD
     assert {r["plan"] for r in rows if r["kind"] == "metrics_constant_by_construction"} == set(range(PLANS))
+
+
+def test_plans_are_never_taken_for_a_small_table(spark):
+    state = State(spark, "/root/testdata/sf0.001")
+    rows = state.assignments()
+    assert rows.count() == state.n * PLANS
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= state.n * PLANS * 8

@@ -6,6 +6,7 @@ Customers are units, their orders people and votes, their nations counties. Plan
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.components import settle
 
 PLANS, K, SHIFT, DRAWS, WIDTH = 200, 8, 7, 25, 50
+#: Rows of all plans that one task makes, at most, about.
+ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +61,16 @@ class State:
         return self.customer.select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("parent"))
 
     def assignments(self, plans: int = PLANS, repeat: int = 1) -> DataFrame:
-        """plan, unit, district; with ``repeat`` each plan comes so many times."""
+        """plan, unit, district; with ``repeat`` each plan comes so many times.
+
+        Units are dealt to tasks before they meet the plans, so joins and groups by unit move no rows of plans. They meet them in
+        a join and not in an array, since Spark takes an exploded array to be as small as its table, and broadcasts all plans.
+        """
         n = self.n
         turned = F.pmod(F.col("unit") + SHIFT * F.floor(F.col("plan") / repeat), F.lit(n))
-        rows = self.customer.select(F.col("c_custkey").alias("unit"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(plans - 1).cast("long"))).alias("plan"))
+        parts = max(1, math.ceil(n * plans / ROWS))
+        units = self.customer.select(F.col("c_custkey").alias("unit")).repartition(parts, "unit")
+        rows = units.crossJoin(F.broadcast(self.spark.range(plans).withColumnRenamed("id", "plan")))
         return rows.select("plan", "unit", (F.floor(turned * K / n) + 1).cast("int").alias("district"))
 
     def layer2(self, plans: int = PLANS) -> DataFrame:
