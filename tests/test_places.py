@@ -241,3 +241,14 @@ def test_contexts_meet_locations(spark):
     places = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "case_id long, metric string")
     got = {(r["case_id"], r["metric"]): (r["trusted"], r["reason"]) for r in contexts.usable_locations(places, context).collect()}
     assert got == {(1, "a"): (False, "why"), (1, "b"): (True, None), (2, "a"): (True, None)}
+
+
+def test_polygons_are_dealt_to_all_tasks(spark):
+    square = lambda k: [[(x, y) for x, y in ((k, 0.0), (k + 1.0, 0.0), (k + 1.0, 1.0), (k, 1.0))]]
+    shape = "rings array<array<struct<x double, y double>>>"
+    units = spark.createDataFrame([(i, square(float(i))) for i in range(64)], f"unit long, {shape}").coalesce(1)
+    zones = spark.createDataFrame([(i, square(i + 0.5)) for i in range(64)], f"zone long, {shape}").coalesce(1)
+    assert polygons.polygon_areas(units, "unit").select(F.spark_partition_id()).distinct().count() == 4
+    got = polygons.overlay(units, zones, tile=5.0)
+    assert {(r["unit"], r["zone"]): r["share"] for r in got.collect()} == {(i, z): 0.5 for i in range(64) for z in (i - 1, i) if z >= 0}
+    assert "repartition" in got._jdf.queryExecution().analyzed().toString().lower()

@@ -20,6 +20,11 @@ from .graph import by_unit
 WORK = 1 << 21
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Few bytes, much work: in as many tasks as the setting says, not to be put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sides_of(rings: list[list[dict]]) -> np.ndarray:
     """Rows x0, y0, x1, y1 of all sides that aren't upright; upright ones bound no strip."""
     out = [np.concatenate([xy, np.roll(xy, -1, axis=0)], axis=1) for ring in rings if ring and len(xy := np.array([(p["x"], p["y"]) for p in ring], float)) > 2]
@@ -84,7 +89,7 @@ def polygon_areas(polygons: DataFrame, key: str) -> DataFrame:
             sides = [sides_of(r or []) for r in b.column("rings").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([shared_area(s, s) for s in sides], pa.float64())], [key, "area"])
 
-    return polygons.select(key, "rings").mapInArrow(run, f"{key} {kind}, area double")
+    return _dealt(polygons.select(key, "rings"), key).mapInArrow(run, f"{key} {kind}, area double")
 
 
 def _tiled(polygons: DataFrame, key: str, tile: float) -> DataFrame:
@@ -114,7 +119,7 @@ def overlay(units: DataFrame, zones: DataFrame, tile: float) -> DataFrame:
             area = [shared_area(sides_of(u), sides_of(z)) for u, z in zip(b.column("unit_rings").to_pylist(), b.column("zone_rings").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("zone"), pa.array(area, pa.float64())], ["unit", "zone", "area"])
 
-    found = met.mapInArrow(run, f"unit {unit_kind}, zone {zone_kind}, area double").where("area > 0")
+    found = _dealt(met, "unit").mapInArrow(run, f"unit {unit_kind}, zone {zone_kind}, area double").where("area > 0")
     whole = polygon_areas(units, "unit").select(F.col("unit").alias("_unit"), F.col("area").alias("_area"))
     return found.join(whole, F.col("unit") == F.col("_unit")).select("unit", "zone", "area", F.try_divide("area", "_area").alias("share"))
 
