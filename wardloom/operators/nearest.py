@@ -28,6 +28,8 @@ def ring_distance(ring: Column, x: Column, y: Column) -> Column:
 
 #: Levels that a search goes down at a time: a cell has 4^STRIDE below it.
 STRIDE = 2
+#: Outlines in one array, about.
+MET = 256
 
 
 def _pyramid(boxes: DataFrame, outlines: DataFrame, cell: float, top: int) -> DataFrame:
@@ -44,29 +46,37 @@ def _cell(at: str, width: float | Column) -> Column:
     return F.floor(F.col(at) / width).cast("long")
 
 
-def _around(rows: DataFrame, width: Column) -> DataFrame:
-    """``rows(x, y, ...)`` for each of the nine cells (cx, cy) at and around their point."""
-    near = lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col(c) / width).cast("long") + d)
-    return rows.select("*", F.explode(near("x")).alias("cx")).select("*", F.explode(near("y")).alias("cy"))
+def _around(homes: DataFrame, level: Column) -> DataFrame:
+    """``homes(hx, hy, ...)`` for each of the nine cells (cx, cy) of a level at and around them."""
+    near = lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.call_function("shiftright", F.col(c), level) + d)
+    return homes.select("*", F.explode(near("hx")).alias("cx")).select("*", F.explode(near("hy")).alias("cy"))
 
 
-def _still_near(met: DataFrame, width: float) -> DataFrame:
-    """The cells of each point that may hold its nearest outline: not farther than the far side of some cell with a corner."""
-    gap = lambda c: F.greatest(F.col(f"c{c}") * width - F.col(c), F.col(c) - (F.col(f"c{c}") + 1) * width, F.lit(0.0))
-    reach = lambda c: F.greatest(F.abs(F.col(f"c{c}") * width - F.col(c)), F.abs((F.col(f"c{c}") + 1) * width - F.col(c)))
-    far = F.min(F.when(F.col("anchored"), F.sqrt(reach("x") * reach("x") + reach("y") * reach("y")))).over(Window.partitionBy("point"))
+def _apart(low: dict[str, Column], high: dict[str, Column], cell: float) -> tuple[Column, Column]:
+    """The least and the greatest distance from a place in cell (hx, hy) to one in a box."""
+    h0, h1 = ({c: (F.col(f"h{c}") + d) * cell for c in "xy"} for d in (0, 1))
+    gap = {c: F.greatest(low[c] - h1[c], h0[c] - high[c], F.lit(0.0)) for c in "xy"}
+    reach = {c: F.greatest(high[c] - h0[c], h1[c] - low[c]) for c in "xy"}
+    return tuple(F.sqrt(d["x"] * d["x"] + d["y"] * d["y"]) for d in (gap, reach))
+
+
+def _still_near(met: DataFrame, width: float, cell: float) -> DataFrame:
+    """The cells that may hold the nearest outline of a point of (hx, hy): not farther than the far side of some cell with a corner."""
+    gap, reach = _apart({c: F.col(f"c{c}") * width for c in "xy"}, {c: (F.col(f"c{c}") + 1) * width for c in "xy"}, cell)
+    far = F.min(F.when(F.col("anchored"), reach)).over(Window.partitionBy("hx", "hy"))
     rows = met.withColumn("bound", F.least(F.col("bound"), far))
-    return rows.where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("bound") * (1 + 1e-12)).select("point", "x", "y", "bound", "cx", "cy")
+    return rows.where(gap <= F.col("bound") * (1 + 1e-12)).select("hx", "hy", "bound", "cx", "cy")
 
 
 def nearest_units(points: DataFrame, unit_geom: DataFrame, cell: float) -> DataFrame:
     """(point, unit, distance) for ``points(point, x, y)``: the nearest of ``unit_geom(unit, ring)``, of equal ones the smallest.
 
-    Points that an outline of their own grid cell holds are done. The others look around in a pyramid of grids, each level
-    2^STRIDE times as wide as the one below, for the first at which a cell around them holds a corner of an outline; one level
-    up, nothing beyond the nine cells can be nearer. From there they go down again, and at each level keep only the cells that
-    are not farther than the far side of some cell with a corner. At the bottom few outlines are left to be measured, however
-    far away they are.
+    Points that an outline of their own grid cell holds are done. The cells of the others look around in a pyramid of grids, each
+    level 2^STRIDE times as wide as the one below, for the first at which a cell around them holds a corner of an outline; one
+    level up, nothing beyond the nine cells can be nearer. From there they go down again, and at each level keep only the cells
+    that are not farther than the far side of some cell with a corner. At the bottom few outlines are left, however far away
+    they are. Only there the points meet them, as arrays of at most about ``MET`` outlines by cell; a point measures those whose
+    box is not farther than the far corner of another's. So what a search moves follows the cells, and a point moves once.
 
     ``cell`` is about the width of an outline. Numbers of points must be unique. Points without finite coordinates, and all
     points where there is no outline, get null.
@@ -93,21 +103,34 @@ def nearest_units(points: DataFrame, unit_geom: DataFrame, cell: float) -> DataF
         extent = max(max(wide[1], span[1]) - min(wide[0], span[0]), max(wide[3], span[3]) - min(wide[2], span[2]), cell)
         top = STRIDE * (math.ceil(math.log2(extent / cell) / STRIDE) + 1)  # here all lies in the nine cells around any point
         pyramid = _pyramid(boxes, outlines, cell, top)
+        left = left.withColumns({"hx": _cell("x", cell), "hy": _cell("y", cell)})
+        homes = settle(left.select("hx", "hy").distinct())
         level = F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(STRIDE))).alias("level")
-        wider = _around(left.select("*", level), F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))
-        begun = wider.join(pyramid.where("anchored"), ["level", "cx", "cy"]).groupBy("point", "x", "y").agg(F.least(F.min("level") + STRIDE, F.lit(top)).alias("start"))
+        wider = _around(homes.select("*", level), F.col("level"))
+        begun = wider.join(pyramid.where("anchored"), ["level", "cx", "cy"]).groupBy("hx", "hy").agg(F.least(F.min("level") + STRIDE, F.lit(top)).alias("start"))
         begun = settle(begun)
         cells = None
         for now in range(begun.agg(F.max("start")).first()[0], -1, -STRIDE):
             width, here = cell * 2**now, pyramid.where(F.col("level") == now).drop("level")
-            met = _around(begun.where(F.col("start") == now).drop("start"), F.lit(width)).join(here, ["cx", "cy"]).withColumn("bound", F.lit(float("inf")))
+            met = _around(begun.where(F.col("start") == now).drop("start"), F.lit(now)).join(here, ["cx", "cy"]).withColumn("bound", F.lit(float("inf")))
             if cells is not None:
                 below = here.select(F.shiftright("cx", STRIDE).alias("_x"), F.shiftright("cy", STRIDE).alias("_y"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "anchored")
-                met = met.unionByName(cells.join(below, (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y"))).select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "point", "x", "y", "anchored", "bound"))
-            cells = _still_near(met, width)
-        gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
-        close = cells.join(boxes, ["cx", "cy"]).where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("bound") * (1 + 1e-12))
-        found = held.unionByName(measured(close))
+                met = met.unionByName(cells.join(below, (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y"))).select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "hx", "hy", "anchored", "bound"))
+            cells = _still_near(met, width, cell)
+        gap, _ = _apart(*({c: F.col(f"{c}{i}") for c in "xy"} for i in (0, 1)), cell)
+        close = cells.join(boxes, ["cx", "cy"]).where(gap <= F.col("bound") * (1 + 1e-12)).dropDuplicates(["hx", "hy", "unit"])
+        block = F.pmod(F.xxhash64("unit"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("hx", "hy")) / MET))
+        lists = close.withColumn("block", block).groupBy("hx", "hy", "block").agg(F.collect_list(F.struct("unit", "ring", "x0", "x1", "y0", "y1")).alias("near")).drop("block")
+        x, y = F.col("x"), F.col("y")
+        size = lambda dx, dy: F.sqrt(dx * dx + dy * dy)
+        least = lambda o: size(F.greatest(o["x0"] - x, x - o["x1"], F.lit(0.0)), F.greatest(o["y0"] - y, y - o["y1"], F.lit(0.0)))
+        most = lambda o: size(F.greatest(o["x1"] - x, x - o["x0"]), F.greatest(o["y1"] - y, y - o["y0"]))
+        met = left.repartition(parts, "hx", "hy").join(lists, ["hx", "hy"])
+        far = F.array(F.array_min(F.transform("near", most)))  # an array of one: else found anew for each outline
+        asked_of = F.flatten(F.transform(far, lambda d: F.filter("near", lambda o: least(o) <= d * (1 + 1e-12))))
+        hit = F.array_min(F.transform(asked_of, lambda o: F.struct(ring_distance(o["ring"], x, y).alias("distance"), o["unit"].alias("unit"))))
+        best = met.select("point", hit.alias("hit")).groupBy("point").agg(F.min("hit").alias("hit"))
+        found = held.unionByName(best.select("point", F.col("hit.unit").alias("unit"), F.col("hit.distance").alias("distance")))
     return points.select("point").join(found, "point", "left")
 
 
