@@ -103,6 +103,12 @@ def test_components_legality_and_keys(square, spark):
     assert {r["plans"] for r in gr.distinct_plans(gr.canonical_key(a.unionByName(relabelled))).collect()} == {1, 2}
 
 
+def test_ids_are_just_those_of_the_districts(spark):
+    a = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2), (2, 3, 3), (3, 1, 0), (3, 2, 2), (4, 1, None)], "plan long, unit long, district int")
+    assert {r["plan"]: r["valid"] for r in gr.valid_ids(a, 2).collect()} == {0: True, 1: False, 2: False, 3: False, 4: False}
+    assert "collect_set" not in gr.valid_ids(a, 2)._jdf.queryExecution().toString()
+
+
 def test_adjacency_problems(spark):
     arcs = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 9), (4, 4)], "u long, v long")
     units = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "unit long")

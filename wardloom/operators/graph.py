@@ -127,6 +127,12 @@ def contiguity(parts: DataFrame) -> DataFrame:
     return parts.groupBy("plan", "district").agg(F.countDistinct("component").alias("pieces"))
 
 
+def valid_ids(assignments: DataFrame, k: int) -> DataFrame:
+    """(plan, valid): whether a plan's districts are just the numbers 1 to ``k``."""
+    n, first, last = F.count("district"), F.min("district"), F.max("district")
+    return assignments.select("plan", "district").distinct().groupBy("plan").agg(((n == k) & (first == 1) & (last == k)).alias("valid"))
+
+
 def plan_digest(assignments: DataFrame) -> DataFrame:
     """(plan, digest): 16 hex digits of sha256 over ``unit:district`` in unit order, joined by semicolons."""
     rows = F.array_sort(F.collect_list(F.struct("unit", "district")))
