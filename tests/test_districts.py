@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -109,6 +110,23 @@ def test_ids_are_just_those_of_the_districts(spark):
     assert "collect_set" not in gr.valid_ids(a, 2)._jdf.queryExecution().toString()
 
 
+def test_digests_hold_no_plan_whole(spark):
+    rows = [(p, u, (u * k) % 3) for k, p in enumerate(("a", "b", None)) for u in range(50)]
+    rows += [("a", 7, 2), ("a", 7, 0), ("b", None, 1)]
+    a = spark.createDataFrame(rows, "plan string, unit long, district int").repartition(5, "district")
+    text = lambda p: ";".join(":".join(str(x) for x in r[1:] if x is not None) for r in sorted((r for r in rows if r[0] == p), key=lambda r: (r[1] is not None, r[1] or 0, r[2])))
+    want = {p: hashlib.sha256(text(p).encode()).hexdigest()[:16] for p in ("a", "b", None)}
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    told = spark.conf.get(batch)
+    spark.conf.set(batch, 7)
+    try:
+        found = gr.plan_digest(a)
+        assert {r["plan"]: r["digest"] for r in found.collect()} == want
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(batch, told)
+
+
 def test_adjacency_problems(spark):
     arcs = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 9), (4, 4)], "u long, v long")
     units = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "unit long")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
-from .components import connected_components
+from .components import connected_components, settle
 
 
 def from_adjacency(adjacency: DataFrame) -> DataFrame:
@@ -133,17 +139,58 @@ def valid_ids(assignments: DataFrame, k: int) -> DataFrame:
     return assignments.select("plan", "district").distinct().groupBy("plan").agg(((n == k) & (first == 1) & (last == k)).alias("valid"))
 
 
-def plan_digest(assignments: DataFrame) -> DataFrame:
-    """(plan, digest): 16 hex digits of sha256 over ``unit:district`` in unit order, joined by semicolons."""
-    rows = F.array_sort(F.collect_list(F.struct("unit", "district")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["unit"].cast("string"), r["district"].cast("string"))), ";")
-    return assignments.groupBy("plan").agg(F.left(F.sha2(text, 256), F.lit(16)).alias("digest"))
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one plan that follow each other as one row (plan, at, text); ``at`` rises within a task and from task to task."""
+    at = TaskContext.get().partitionId() << 32
+    for b in batches:
+        if b.num_rows:
+            runs = pc.run_end_encode(b.column("plan"))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, *runs.run_ends.to_pylist()], pa.int32()), b.column("text")), ";")
+            yield pa.record_batch([runs.values, pa.array(range(at, at + len(text)), pa.int64()), text], names=["plan", "at", "text"])
+            at += len(text)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(plan, digest) of runs in order; a plan's text is hashed as it comes and never held whole."""
+    plan = sha = None
+    for b in batches:
+        for i in range(b.num_rows):
+            here = b.column("plan").slice(i, 1)
+            if sha is None or not here.equals(plan):
+                if sha is not None:
+                    yield pa.record_batch([plan, pa.array([sha.hexdigest()[:16]])], names=["plan", "digest"])
+                plan, sha = here, hashlib.sha256()
+            else:
+                sha.update(b";")
+            sha.update(b.column("text")[i].as_buffer())
+    if sha is not None:
+        yield pa.record_batch([plan, pa.array([sha.hexdigest()[:16]])], names=["plan", "digest"])
+
+
+def plan_digest(assignments: DataFrame, dealt: bool = False) -> DataFrame:
+    """(plan, digest): 16 hex digits of sha256 over ``unit:district`` in unit order, joined by semicolons.
+
+    Units are dealt to tasks by range, and each task sends the text of its range for each plan; the plan's ranges are hashed
+    one after the other. ``dealt``: the rows already lie so, ranges in the order of tasks.
+    """
+    kind = assignments.schema["plan"].dataType.simpleString()
+    rows = assignments if dealt else assignments.repartitionByRange("unit")
+    text = F.concat_ws(":", F.col("unit").cast("string"), F.col("district").cast("string")).alias("text")
+    runs = rows.sortWithinPartitions("plan", "unit", "district").select("plan", text).mapInArrow(_runs, f"plan {kind}, at long, text string")
+    return runs.repartition("plan").sortWithinPartitions("plan", "at").mapInArrow(_digests, f"plan {kind}, digest string")
+
+
+#: Districts of all plans whose names are sent to every task; more meet the plans in a shuffle.
+NAMED = 1_000_000
 
 
-def canonical_key(assignments: DataFrame) -> DataFrame:
+def canonical_key(assignments: DataFrame, dealt: bool = False) -> DataFrame:
     """(plan, key): as the digest, with each district named by its smallest unit, so labels don't matter."""
-    name = F.min("unit").over(Window.partitionBy("plan", "district"))
-    return plan_digest(assignments.withColumn("district", name)).withColumnRenamed("digest", "key")
+    names = settle(assignments.groupBy(F.col("plan").alias("_plan"), F.col("district").alias("_district")).agg(F.min("unit").alias("_name")))
+    few = names.count() <= NAMED
+    same = F.col("plan").eqNullSafe(F.col("_plan")) & F.col("district").eqNullSafe(F.col("_district"))
+    named = assignments.join(F.broadcast(names) if few else names, same).select("plan", "unit", F.col("_name").alias("district"))
+    return plan_digest(named, dealt and few).withColumnRenamed("digest", "key")
 
 
 def distinct_plans(keys: DataFrame) -> DataFrame:

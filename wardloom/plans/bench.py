@@ -84,7 +84,7 @@ _NULLS = _POOL + ", " + _stratum_sql("concentration", "first", "concentration DE
 
 
 def _keys(s: State) -> DataFrame:
-    return s.once("keys", lambda: gr.canonical_key(s.assignments()))
+    return s.once("keys", lambda: gr.canonical_key(s.assignments(ordered=True), dealt=True))
 
 
 @query(_NULLS)

@@ -60,8 +60,8 @@ class State:
     def membership(self) -> DataFrame:
         return self.customer.select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("parent"))
 
-    def assignments(self, plans: int = PLANS, repeat: int = 1) -> DataFrame:
-        """plan, unit, district; with ``repeat`` each plan comes so many times.
+    def assignments(self, plans: int = PLANS, repeat: int = 1, ordered: bool = False) -> DataFrame:
+        """plan, unit, district; with ``repeat`` each plan comes so many times, ``ordered`` units lie in ranges by task.
 
         Units are dealt to tasks before they meet the plans, so joins and groups by unit move no rows of plans. They meet them in
         a join and not in an array, since Spark takes an exploded array to be as small as its table, and broadcasts all plans.
@@ -69,7 +69,8 @@ class State:
         n = self.n
         turned = F.pmod(F.col("unit") + SHIFT * F.floor(F.col("plan") / repeat), F.lit(n))
         parts = max(1, math.ceil(n * plans / ROWS))
-        units = self.customer.select(F.col("c_custkey").alias("unit")).repartition(parts, "unit")
+        units = self.customer.select(F.col("c_custkey").alias("unit"))
+        units = units.repartitionByRange(parts, "unit") if ordered else units.repartition(parts, "unit")
         rows = units.crossJoin(F.broadcast(self.spark.range(plans).withColumnRenamed("id", "plan")))
         return rows.select("plan", "unit", (F.floor(turned * K / n) + 1).cast("int").alias("district"))
 
