@@ -39,6 +39,17 @@ def test_counts_base_and_scores(docs, corpus):
     assert sum(better) > 0.8 * len(better)
 
 
+def test_base_scores_need_no_pairs(docs, odd, monkeypatch):
+    rows = lambda df: sorted(map(str, df.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()))
+    want = [rows(lm.score_documents(d)) for d in (docs, odd)]
+
+    def never(*a, **k):
+        raise AssertionError("no mixture is learned")
+
+    monkeypatch.setattr(lm, "learn_weights", never)
+    assert [rows(lm.base_scores(d)) for d in (docs, odd)] == want
+
+
 def test_score_is_the_mixture_of_the_learned_weights(docs, corpus, monkeypatch):
     seen = {}
     learn = lm.learn_weights

@@ -65,9 +65,9 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 
 
 class Block:
-    """The n-grams of a block: distinct words (END among them) and pairs, and for each token the numbers of its pair."""
+    """The n-grams of a block: distinct words (END among them) and, if wanted, pairs, and for each token the number of its pair."""
 
-    def __init__(self, texts: list[bytes | None], held: list[bool]) -> None:
+    def __init__(self, texts: list[bytes | None], held: list[bool], pairs: bool = True) -> None:
         parts, lengths = [], []
         for t in texts:
             h = hash_words(words_of(t))
@@ -75,9 +75,12 @@ class Block:
             lengths.append(len(h) + 1)
         token = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.lengths = np.array(lengths, np.int64)
-        before = np.concatenate([[END], token[:-1]]) if len(token) else token  # the end of one text is the context of the next one's first word
         self.words, self.at = np.unique(token, return_inverse=True)
         train = np.repeat(~np.array(held, bool), self.lengths)
+        if not pairs:
+            self.own_words = np.bincount(self.at[train], minlength=len(self.words))
+            return
+        before = np.concatenate([[END], token[:-1]]) if len(token) else token  # the end of one text is the context of the next one's first word
         self.fold = np.where(train, np.repeat(np.arange(len(self.lengths)) % FOLDS, self.lengths), -1)
         key = mix(mix(before) ^ token)
         self.pairs, first, self.pair_at = np.unique(key, return_index=True, return_inverse=True)
@@ -111,18 +114,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _block_of(row: dict) -> Block:
-    return Block([t.encode() if t is not None else None for t in row["texts"]], row["held"])
+def _block_of(row: dict, pairs: bool = True) -> Block:
+    return Block([t.encode() if t is not None else None for t in row["texts"]], row["held"], pairs)
 
 
-def _count_rows(ranges: int):
+def _count_rows(ranges: int, pairs: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):  # a block at a time
                 row = b.slice(at, 1).to_pylist()[0]
-                block = _block_of(row)
+                block = _block_of(row, pairs)
                 rows = []
-                for kind, keys, own in ((UNIGRAM, block.words, block.own_words), (BIGRAM, block.pairs, block.own_pairs)):
+                for kind, keys, own in ((UNIGRAM, block.words, block.own_words), *([(BIGRAM, block.pairs, block.own_pairs)] if pairs else [])):
                     edges = np.append(np.searchsorted(keys, _starts(ranges)), len(keys))
                     for r, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                         if z > a:
@@ -279,22 +282,29 @@ def learn_weights(cells: pd.DataFrame, p0: float, rounds: int = 60, prior: float
     return out
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BASE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+SCORES = f"{BASE}, score double"
+
 
+def _scores(total: int, distinct: int, weights: np.ndarray | None):
+    """Rows of ``SCORES``, or without weights of ``BASE``."""
 
-def _scores(total: int, distinct: int, weights: np.ndarray):
     def run(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.to_dict("records"):
-            block = _block_of(row)
-            e = Estimates(block, *_totals(answers, row["block"]), total, distinct)
-            w = weights[e.bucket]
-            pair = np.log10(w[:, 0] * e.p2 + w[:, 1] * e.p1 + w[:, 2] * e.p0)
-            word = np.log10((e.words + 1.0) / (total + distinct + 1))
+            block = _block_of(row, weights is not None)
+            words, pairs = _totals(answers, row["block"])
+            word = np.log10((words + 1.0) / (total + distinct + 1))
             starts = np.concatenate([[0], np.cumsum(block.lengths)])[:-1]
             add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-            out.append(pd.DataFrame({"doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.array(row["held"], bool), "n_tokens": block.lengths, "n_known": add((e.words[block.at] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(word[block.at]), "score": add(pair[block.pair_at])}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
+            got = {"doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.array(row["held"], bool), "n_tokens": block.lengths, "n_known": add((words[block.at] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(word[block.at])}
+            if weights is not None:
+                e = Estimates(block, words, pairs, total, distinct)
+                w = weights[e.bucket]
+                pair = np.log10(w[:, 0] * e.p2 + w[:, 1] * e.p1 + w[:, 2] * e.p0)
+                got["score"] = add(pair[block.pair_at])
+            out.append(pd.DataFrame(got))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in (BASE if weights is None else SCORES).split(", ")})
 
     return run
 
@@ -310,6 +320,15 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     without training documents every estimate is the uniform one. The tables of blocks, counts and answers lie in a
     database of their own in the shared folder, which is dropped when the scores are written.
     """
+    return _scored(docs, mod, held, model=True)
+
+
+def base_scores(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
+    """The rows of ``score_documents`` without score: blocks count their words alone, and no mixture is learned."""
+    return _scored(docs, mod, held, model=False)
+
+
+def _scored(docs: DataFrame, mod: int, held: int, model: bool) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), (crc_mod("doc_id", mod) == held).alias("held"), F.col("text").cast("string").alias("text"))
     home = scratch_database(spark)
@@ -324,9 +343,11 @@ def score_documents(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
         size, n = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
         entries = size / 5 * min(1, TEAM / max(1, n))  # of one team, about five bytes of text for each
         ranges = max(1, round(entries / RANGE_ENTRIES))
-        counts = blocks.mapInArrow(trimmed(_count_rows(ranges)), "kind int, range long, block long, keys binary, counts binary")
+        counts = blocks.mapInArrow(trimmed(_count_rows(ranges, model)), "kind int, range long, block long, keys binary, counts binary")
         answers, total, distinct = _answers(counts, n, ranges, kept)
         both = lambda f, schema: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(f, schema)
+        if not model:
+            return settle(both(_scores(total, distinct, None), BASE))
         cells = both(_events(total, distinct), EVENTS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
         weights = learn_weights(cells.orderBy("cell").toPandas(), 1.0 / (distinct + 1))  # at most BUCKETS x BINS x BINS cells
         return settle(both(_scores(total, distinct, weights), SCORES))

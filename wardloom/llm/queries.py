@@ -11,7 +11,7 @@ from .chat_format import format_digest
 from .decontaminate import contained_items
 from .hard_negatives import mine_hard_negatives
 from .license_scan import scan_licenses
-from .lm_score import score_documents
+from .lm_score import base_scores, score_documents
 from .mixing import mix_report
 from .ngram_join import document_links
 from .quality_rff import score_quality
@@ -221,7 +221,7 @@ _CRC = """WITH steps AS (
 
 def lm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2's folds, counts and unigram scores."""
-    got = op2_lm_scoring(spark, sf_dir)
+    got = base_scores(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 3) + 0.0).alias("base_score"))
 
 
