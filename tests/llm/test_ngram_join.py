@@ -162,3 +162,17 @@ def test_links_of_odd_rows(odd, nothing):
     assert len(got) == 7 and sum(r == (1, 9, 1, 0) for r in got) == 2
     assert (None, 9, None, None) in got and (3, 0, 3, 0) in got and (2, 4, 2, 0) in got
     assert nj.document_links(nothing).count() == 0
+
+
+def test_sets_travel_in_less_than_their_hashes(spark):
+    """A text of words takes less than its hashes, a text that repeats itself goes as its few hashes; both come back whole."""
+    words = [f"word{i * i % 997}" for i in range(600)]
+    prose, line = " ".join(words), "the same line again and again\n" * 5000
+    rows = spark.createDataFrame([(1, prose), (2, line), (3, prose.upper() + " End")], "id long, text string")
+    sets = {t: nj.shingle_set(t.encode(), 4) for t in (prose, line, prose.upper() + " End")}
+    wanted = spark.createDataFrame([(*nj._keys(got), i) for i, got in enumerate(sets.values(), 1)], "k1 long, k2 long, rep long")
+    sent = {r["k1"]: bytes(r["shingles"]) for r in nj._arrays(rows, wanted, 4).collect()}
+    assert len(sent) == 3 and sum(map(len, sent.values())) < 0.6 * sum(got.nbytes for got in sets.values())
+    for got in sets.values():
+        assert nj.unpacked(sent[nj._keys(got)[0]]).tolist() == got.tolist()
+    assert len(sent[nj._keys(sets[line])[0]]) == 4 + sets[line].nbytes

@@ -25,6 +25,7 @@ brings its hub along from that count, so its postings are spread over all tasks
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -48,6 +49,9 @@ PROBES = 32
 SALTS = 64
 #: Postings that go out in one batch.
 POSTINGS = 200_000
+#: Bytes of text for each of its shingles up to which a set may travel as its text.
+TEXT_BYTES = 32
+
 
 def _needed(n: np.ndarray | int, pct: int):
     """ceil(pct n / 100): the least overlap that any partner of a set of size n must have with it."""
@@ -152,6 +156,21 @@ def _posting_rows(k: int, pct: int, frequent):
     return run
 
 
+def packed(text: bytes, got: np.ndarray, k: int) -> bytes:
+    """A set of ``k``-word shingles as it travels: ``k`` and its text, compressed, or 0 and its hashes where those take less.
+
+    A text many times longer than its set, since it repeats itself, is never sent.
+    """
+    if len(text) <= TEXT_BYTES * len(got) and len(small := zlib.compress(text, 1)) < got.nbytes:
+        return k.to_bytes(4, "little") + small
+    return bytes(4) + got.tobytes()
+
+
+def unpacked(sent: bytes) -> np.ndarray:
+    k = int.from_bytes(sent[:4], "little")
+    return shingle_set(zlib.decompress(sent[4:]), k) if k else np.frombuffer(sent[4:], np.uint64)
+
+
 def _array_rows(k: int):
     schema = pa.schema([("k1", pa.int64()), ("shingles", pa.binary())])
 
@@ -163,7 +182,7 @@ def _array_rows(k: int):
                 for text, k1, k2 in zip(binary_column(part, "text"), part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True):
                     got = shingle_set(text, k)
                     if _keys(got) == (k1, k2):
-                        rows.append((k1, got.tobytes()))
+                        rows.append((k1, packed(text, got, k)))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -262,7 +281,7 @@ def _search(pct: int, every: bool):
     def run(table: pa.Table) -> pa.Table:
         k1, first = np.unique(table.column("k1").to_numpy(), return_index=True)
         take = lambda c: [table.column(c)[int(i)].as_py() for i in first]
-        sets = [np.frombuffer(x, np.uint64) for x in take("shingles")]
+        sets = [unpacked(x) for x in take("shingles")]
         cell, two = table.column("cell")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
         before = [frozenset(c for c in cells if c < cell) for cells in take("cells")]
         block, ball = np.array(take("block")), np.array([b if b is not None else 0 for b in take("ball")], np.int64)
@@ -294,10 +313,13 @@ def _near_hub(pct: int, every: bool):
     part = 2 if every else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, y = None, np.empty(0, np.uint64)
         for b in batches:
             near = []
-            for x, y in zip(b.column("shingles"), b.column("middle"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            for x, middle in zip(b.column("shingles"), b.column("middle"), strict=True):
+                x = unpacked(x.as_py())
+                if (middle := middle.as_py()) != sent:  # rows of a hub follow each other
+                    sent, y = middle, unpacked(middle)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
                 near.append(100 * part * (union - both) <= (100 - pct) * union)
@@ -356,7 +378,7 @@ def _cells(docs: DataFrame, k: int, pct: int, frequent) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(k1, shingles) of the classes ``wanted(k1, k2, rep)``, read from the text of one of their documents."""
+    """(k1, shingles) of the classes ``wanted(k1, k2, rep)``, read from the text of one of their documents, ``packed``."""
     wanted = wanted.select("k1", "k2", F.col("rep").alias("id"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     texts = docs.join(wanted, "id").select("k1", "k2", "text")
