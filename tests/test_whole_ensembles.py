@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
+import re
 
 import pytest
 
@@ -140,3 +142,32 @@ def test_plans_are_never_taken_for_a_small_table(spark):
     rows = state.assignments()
     assert rows.count() == state.n * PLANS
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= state.n * PLANS * 8
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_meet_the_plans_once_for_both_ends(spark):
+    state = State(spark, "/root/testdata/sf0.001")
+    assert len(re.findall(r"Generate explode", _planned(gr.boundary_units(state.assignments(), state.edges())))) == 1
+
+
+def test_reports_and_layers_move_no_rows_of_plans_by_unit(spark):
+    state = State(spark, "/root/testdata/sf0.001")
+    moved = r"hashpartitioning\(plan#\d+L?, unit#"
+    assert not re.search(moved, _planned(adm.admin_report(state.assignments(), state.membership())))
+    assert not re.search(moved, _planned(adm.ballot_styles([state.assignments(), state.layer2()])))
+
+
+def test_layers_of_other_orders_holes_and_repeated_units(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "plan long, unit long, district int")
+    a = [(p, u, u // 3) for p in range(5, -1, -1) for u in range(9)] + [(1, 1, 7)]
+    b = [(p, u, (u + p) % 4) for p in range(6) for u in range(9) if (p, u) != (2, 3)] + [(1, 1, 3)]
+    third = [(p, u, u % 2) for p in (3, 1, 2) for u in range(9)]
+    for layers in ([a, b], [a, b, third]):
+        found = {}
+        for p in {r[0] for r in layers[-1]}:
+            units = [[(u, d) for q, u, d in rows if q == p] for rows in layers]
+            found[p] = len({tuple(d for _, d in x) for x in itertools.product(*units) if len({u for u, _ in x}) == 1})
+        assert {r["plan"]: r["ballot_styles"] for r in adm.ballot_styles([frame(x) for x in layers]).collect()} == found

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from .components import settle
+from .graph import beside, by_unit
 
 
 def pieces(assignments: DataFrame, membership: DataFrame) -> DataFrame:
@@ -19,7 +21,11 @@ def pieces(assignments: DataFrame, membership: DataFrame) -> DataFrame:
 
 def split_metrics(assignments: DataFrame, membership: DataFrame) -> DataFrame:
     """(plan, county_splits, split_pieces, excess_pieces)."""
-    return pieces(assignments, membership).groupBy("plan").agg(F.count_if(F.col("districts") > 1).alias("county_splits"), F.sum("districts").alias("split_pieces"), F.sum(F.col("districts") - 1).alias("excess_pieces"))
+    return _splits(pieces(assignments, membership))
+
+
+def _splits(found: DataFrame) -> DataFrame:
+    return found.groupBy("plan").agg(F.count_if(F.col("districts") > 1).alias("county_splits"), F.sum("districts").alias("split_pieces"), F.sum(F.col("districts") - 1).alias("excess_pieces"))
 
 
 def pieces_by_subdivision(assignments: DataFrame, membership: DataFrame) -> DataFrame:
@@ -56,11 +62,15 @@ def same_units(layers: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def ballot_styles(layers: list[DataFrame], membership: DataFrame | None = None) -> DataFrame:
     """(plan, ballot_styles): distinct combinations of districts over the layers, and of parents if given.
 
-    Layers hold (plan, unit, district). With parents, a unit without one makes the count null.
+    Layers hold (plan, unit, district). With parents, a unit without one makes the count null. Layers meet by unit, in arrays over
+    a block of plans.
     """
     out = layers[0].select("plan", "unit", F.col("district").alias("d0"))
     for i, layer in enumerate(layers[1:], 1):
-        out = out.join(layer.select("plan", "unit", F.col("district").alias(f"d{i}")), ["plan", "unit"])
+        own = [f"d{j}" for j in range(i)]
+        a = by_unit(out.select("plan", "unit", F.struct(*own).alias("district"))).withColumnRenamed("rows", "a")
+        met = a.join(by_unit(layer).withColumnRenamed("rows", "b"), ["unit", "block"]).select("unit", F.explode(beside("a", "b")).alias("_r"))
+        out = met.select(F.col("_r.a.plan").alias("plan"), "unit", *[F.col(f"_r.a.district.{c}").alias(c) for c in own], F.col("_r.b.district").alias(f"d{i}"))
     keys = [f"d{i}" for i in range(len(layers))]
     if membership is None:
         return out.groupBy("plan").agg(F.countDistinct(*keys).alias("ballot_styles"))
@@ -131,16 +141,17 @@ def degeneracy_report(membership: DataFrame, layers: int = 1, districts: int | N
 def admin_report(assignments: DataFrame, membership: DataFrame, voters: DataFrame | None = None) -> DataFrame:
     """A row a plan with all measures of :data:`REPORTED` over one layer. Styles by subdivision are null where a unit has no
     subdivision; the rate is null without ``voters(unit, voters)``, and a zero electorate is refused."""
-    styles = ballot_styles([assignments])
-    by = ballot_styles([assignments], membership).withColumnRenamed("ballot_styles", "ballot_styles_by_subdivision")
-    sizes = assignments.groupBy("plan").agg(F.countDistinct("unit").alias("n_units"), F.countDistinct("district").alias("n_districts"))
+    rows = assignments.join(membership.select("unit", "parent"), "unit", "left")
+    cells = settle(rows.select("plan", "parent", "district").distinct())  # all that the measures need, but for the units
+    by = F.when(F.count_if(F.col("parent").isNull()) == 0, F.countDistinct("parent", "district"))
+    styles = cells.groupBy("plan").agg(F.countDistinct("district").alias("ballot_styles"), by.alias("ballot_styles_by_subdivision")).withColumn("n_districts", F.col("ballot_styles"))
+    # distinct rows first: units lie dealt to tasks, a count of distinct ones would move them by plan
+    sizes = assignments.select("plan", "unit").distinct().groupBy("plan").agg(F.count("unit").alias("n_units"))
     facts = membership.agg(F.count_if(F.col("parent").isNull()).alias("n_units_in_no_subdivision"), F.countDistinct("parent").alias("n_subdivisions"))
-    if voters is None:
-        rate = styles.select("plan", F.lit(None).cast("double").alias("ballot_styles_per_10k"))
-    else:
-        if not voters.agg(F.sum("voters")).first()[0]:
-            raise ValueError("no voters: a rate for each 10,000 is not defined")
-        rate = ballot_styles_per_10k(styles, voters).withColumnRenamed("per_10k", "ballot_styles_per_10k")
-    out = sizes.join(split_metrics(assignments, membership), "plan", "left").join(styles, "plan").join(by, "plan").join(rate, "plan").join(F.broadcast(facts), F.lit(True))
+    total = None if voters is None else voters.agg(F.sum("voters")).first()[0]
+    if voters is not None and not total:
+        raise ValueError("no voters: a rate for each 10,000 is not defined")
+    rate = F.lit(None).cast("double") if total is None else ratio(10000 * F.col("ballot_styles"), F.lit(total))
+    out = sizes.join(_splits(cells.where("parent IS NOT NULL").groupBy("plan", "parent").agg(F.countDistinct("district").alias("districts"))), "plan", "left").join(styles.withColumn("ballot_styles_per_10k", rate), "plan").join(F.broadcast(facts), F.lit(True))
     none = {c: F.coalesce(c, F.lit(0)) for c in ("county_splits", "split_pieces", "excess_pieces")}
     return out.withColumns(none).withColumn("n_layers", F.lit(1)).select("plan", *REPORTED)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
@@ -34,26 +34,44 @@ PLAN_BLOCK = 256
 
 
 def by_unit(assignments: DataFrame) -> DataFrame:
-    """(unit, block, rows): each unit's districts in a block of plans, as an array of struct (plan, district) in order of plans."""
+    """(unit, block, rows): each unit's districts in a block of plans, as an array of struct (plan, district) in order of plans.
+
+    Only arrays that come in another order are sorted, since sorting them all takes longer than collecting them.
+    """
     block = F.floor(F.col("plan") / PLAN_BLOCK).alias("block")
-    return assignments.groupBy("unit", block).agg(F.array_sort(F.collect_list(F.struct("plan", "district"))).alias("rows"))
+    held = assignments.groupBy("unit", block).agg(F.collect_list(F.struct("plan", "district")).alias("rows"))
+    plans = F.col("rows")["plan"]
+    return held.withColumn("rows", F.when(plans == F.sort_array(plans), F.col("rows")).otherwise(F.array_sort("rows")))
+
+
+def beside(a: str, b: str) -> Column:
+    """Arrays ``a`` and ``b`` of :func:`by_unit` as one array of struct (a, b), for each plan that both have.
+
+    Arrays of the same plans, each once, are read side by side; others, where plans leave units out, plan by plan.
+    """
+    plans = F.col(a)["plan"]
+    same = (plans == F.col(b)["plan"]) & (F.size(F.array_distinct(plans)) == F.size(a))
+    found = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["plan"] == x["plan"]), lambda y: F.struct(x.alias(a), y.alias(b)))))
+    return F.when(same, F.arrays_zip(a, b)).otherwise(found)
 
 
 def _ends(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """Each plan's edges with the districts of both ends.
 
-    Units come with an array over plans, so an edge is joined once for a block of plans and not once for each plan. Arrays of the
-    same plans are read side by side; others, where plans leave units out, plan by plan.
+    Units come with an array over plans, so an edge is joined once for a block of plans and not once for each plan.
     """
     held = by_unit(assignments)
     a = held.select(F.col("unit").alias("u"), "block", F.col("rows").alias("a"))
     b = held.select(F.col("unit").alias("_v"), F.col("block").alias("_block"), F.col("rows").alias("b"))
-    pair = lambda x, y: F.struct(x["plan"].alias("plan"), x["district"].alias("du"), y["district"].alias("dv"))
-    beside = F.zip_with("a", "b", pair)
-    found = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: y["plan"] == x["plan"]), lambda y: pair(x, y))))
-    rows = F.when(F.col("a")["plan"] == F.col("b")["plan"], beside).otherwise(found)
     met = edges.join(a, "u").join(b, (F.col("v") == F.col("_v")) & (F.col("block") == F.col("_block")))
-    return met.select("u", *[c for c in edges.columns if c != "u"], F.explode(rows).alias("_r")).select(F.col("_r.plan").alias("plan"), "u", F.col("_r.du").alias("du"), *[c for c in edges.columns if c != "u"], F.col("_r.dv").alias("dv"))
+    rest = [c for c in edges.columns if c != "u"]
+    return met.select("u", *rest, F.explode(beside("a", "b")).alias("_r")).select(F.col("_r.a.plan").alias("plan"), "u", F.col("_r.a.district").alias("du"), *rest, F.col("_r.b.district").alias("dv"))
+
+
+def _sides(assignments: DataFrame, edges: DataFrame) -> DataFrame:
+    """(plan, unit, district, other): both ends of each edge between two districts; edges meet the plans once for both."""
+    end = lambda unit, own, other: F.struct(F.col(unit).alias("unit"), F.col(own).alias("district"), F.col(other).alias("other"))
+    return _ends(assignments, edges).where("du <> dv").select("plan", F.inline(F.array(end("u", "du", "dv"), end("v", "dv", "du"))))
 
 
 def contacts(assignments: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,16 +95,13 @@ def shortest_borders(edges: DataFrame, n: int = 8) -> DataFrame:
 
 def boundary_units(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan, unit, district, reach): units beside another district, and how many other districts they touch."""
-    cut = _ends(assignments, edges).where("du <> dv")
-    both = cut.select("plan", F.col("u").alias("unit"), F.col("du").alias("district"), F.col("dv").alias("other")).unionByName(cut.select("plan", F.col("v").alias("unit"), F.col("dv").alias("district"), F.col("du").alias("other")))
-    return both.groupBy("plan", "unit", "district").agg(F.countDistinct("other").alias("reach"))
+    return _sides(assignments, edges).groupBy("plan", "unit", "district").agg(F.countDistinct("other").alias("reach"))
 
 
 def move_candidates(assignments: DataFrame, edges: DataFrame, units: DataFrame, ideal: float) -> DataFrame:
     """(plan, unit, source, target, delta): single moves over a boundary and how they change the sum of squared
     deviations of district populations from ``ideal``."""
-    cut = _ends(assignments, edges).where("du <> dv")
-    moves = cut.select("plan", F.col("u").alias("unit"), F.col("du").alias("source"), F.col("dv").alias("target")).unionByName(cut.select("plan", F.col("v").alias("unit"), F.col("dv").alias("source"), F.col("du").alias("target"))).distinct()
+    moves = _sides(assignments, edges).select("plan", "unit", F.col("district").alias("source"), F.col("other").alias("target")).distinct()
     pops = assignments.join(units.select("unit", "pop"), "unit").groupBy("plan", "district").agg(F.sum("pop").alias("pop"))
     at = lambda end: pops.select(F.col("plan").alias(f"_p_{end}"), F.col("district").alias(f"_d_{end}"), F.col("pop").cast("double").alias(f"pop_{end}"))
     out = moves.join(units.select("unit", F.col("pop").cast("double").alias("pop")), "unit")
