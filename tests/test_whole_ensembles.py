@@ -12,6 +12,7 @@ import pytest
 from wardloom.operators import administrative as adm
 from wardloom.operators import geometry as geo
 from wardloom.operators import graph as gr
+from wardloom.operators import partisan as par
 from wardloom.operators import reports
 from wardloom.plans import catalog
 from wardloom.plans.mapping import PLANS, State
@@ -155,7 +156,7 @@ def test_edges_meet_the_plans_once_for_both_ends(spark):
 
 def test_reports_and_layers_move_no_rows_of_plans_by_unit(spark):
     state = State(spark, "/root/testdata/sf0.001")
-    moved = r"hashpartitioning\(plan#\d+L?, unit#"
+    moved = r"hashpartitioning\((plan#\d+L?, unit#|unit#\d+L?, (plan|block)#)"
     assert not re.search(moved, _planned(adm.admin_report(state.assignments(), state.membership())))
     assert not re.search(moved, _planned(adm.ballot_styles([state.assignments(), state.layer2()])))
 
@@ -171,3 +172,10 @@ def test_layers_of_other_orders_holes_and_repeated_units(spark):
             units = [[(u, d) for q, u, d in rows if q == p] for rows in layers]
             found[p] = len({tuple(d for _, d in x) for x in itertools.product(*units) if len({u for u, _ in x}) == 1})
         assert {r["plan"]: r["ballot_styles"] for r in adm.ballot_styles([frame(x) for x in layers]).collect()} == found
+
+
+def test_held_units_move_no_rows_of_plans_by_unit(spark, monkeypatch):
+    state, seen = State(spark, "/root/testdata/sf0.001"), []
+    monkeypatch.setattr(par, "refuse", lambda rows, *_: seen.append(_planned(rows)))
+    par.require_same_units(state.assignments(), state.votes())
+    assert seen and not re.search(r"hashpartitioning\(plan#\d+L?, unit#", seen[0])

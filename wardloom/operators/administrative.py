@@ -69,7 +69,9 @@ def ballot_styles(layers: list[DataFrame], membership: DataFrame | None = None)
     for i, layer in enumerate(layers[1:], 1):
         own = [f"d{j}" for j in range(i)]
         a = by_unit(out.select("plan", "unit", F.struct(*own).alias("district"))).withColumnRenamed("rows", "a")
-        met = a.join(by_unit(layer).withColumnRenamed("rows", "b"), ["unit", "block"]).select("unit", F.explode(beside("a", "b")).alias("_r"))
+        b = by_unit(layer).select(F.col("unit").alias("_unit"), F.col("block").alias("_block"), F.col("rows").alias("b"))
+        # blocks are compared beside the key, so that layers dealt by unit stay where they lie
+        met = a.join(b, (F.col("unit") == F.col("_unit")) & (F.col("block") <= F.col("_block")) & (F.col("block") >= F.col("_block"))).select("unit", F.explode(beside("a", "b")).alias("_r"))
         out = met.select(F.col("_r.a.plan").alias("plan"), "unit", *[F.col(f"_r.a.district.{c}").alias(c) for c in own], F.col("_r.b.district").alias(f"d{i}"))
     keys = [f"d{i}" for i in range(len(layers))]
     if membership is None:
