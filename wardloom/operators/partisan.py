@@ -35,7 +35,9 @@ def require_same_units(assignments: DataFrame, values: DataFrame) -> None:
     """Each plan must hold exactly the units of ``values``, each once."""
     n = values.select("unit").distinct().count()
     mine = assignments.join(values.select(F.col("unit").alias("_unit")).distinct(), F.col("unit") == F.col("_unit"), "left")
-    whole = mine.groupBy("plan").agg(F.count("*").alias("rows"), F.countDistinct("unit").alias("units"), F.count_if(F.col("_unit").isNull()).alias("unknown"))
+    # by unit first: units lie dealt to tasks, a count of distinct ones would move them by plan
+    each = mine.groupBy("plan", "unit").agg(F.count("*").alias("rows"), F.count_if(F.col("_unit").isNull()).alias("unknown"))
+    whole = each.groupBy("plan").agg(F.sum("rows").alias("rows"), F.count("unit").alias("units"), F.sum("unknown").alias("unknown"))
     refuse(whole.where((F.col("unknown") > 0) | (F.col("units") != n) | (F.col("rows") != F.col("units"))), "plan", "plans whose units are not those of the table")
 
 
