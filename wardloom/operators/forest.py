@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _ends
+from .blocks import Blocks, of
+from .components import settle
+from .graph import _ends, contracted
 
 #: Units and inner edges of one district that a task takes at once (some 100 bytes each); more are refused.
 MOST_ROWS = 8_000_000
@@ -71,14 +73,33 @@ def _forest(table: pa.Table) -> pa.Table:
     })
 
 
-def spanning_forest(assignments: DataFrame, edges: DataFrame) -> DataFrame:
+#: What a node of a forest stands for.
+NODES = ("units", "boundary", "parts")
+
+
+def spanning_forest(assignments: DataFrame | Blocks, edges: DataFrame, nodes: str = "units") -> DataFrame:
     """(plan, district, unit, parent, root, place, low, splits): a spanning forest of the units of each district.
 
     ``root`` is the smallest unit of a connected part, so it names the part; ``parent`` is null there. ``place`` and ``low`` are
     the numbers of the walk. ``splits`` is the number of parts that a unit's part falls into without it: 0 if it stands alone, 1
     if nothing breaks, more at articulation points. A district is walked in one task; one of more than ``MOST_ROWS`` units and
     inner edges is refused.
+
+    With ``nodes`` "boundary" units beside no other district are joined with those that they touch, and with "parts" all units
+    are (``graph.contracted``); ``unit`` is then the smallest of a node. Roots are the same, and with "boundary" so are the ``splits``
+    of units beside another district, while a task walks as many nodes as a border is long.
     """
+    if nodes not in NODES:
+        raise ValueError(f"nodes are {', '.join(NODES)}")
+    if nodes != "units":
+        blocks = of(assignments)
+        rows = settle(contracted(blocks, edges, boundary=nodes == "boundary"))
+        large = rows.groupBy("plan", "district").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS).limit(1).collect()
+        if large:
+            raise ValueError(f"district {large[0]['district']} of plan {large[0]['plan']} has {large[0]['n']} nodes and edges; at most {MOST_ROWS} are walked in one task")
+        return rows.select("plan", F.col("district").cast("int").alias("district"), "u", "v").groupBy("plan", "district").applyInArrow(_forest, FOREST)
+    if isinstance(assignments, Blocks):
+        assignments = assignments.source
     inner = _ends(assignments, edges).where("du = dv").select("plan", F.col("du").alias("district"), "u", "v")
     own = assignments.select("plan", "district", F.col("unit").alias("u"), F.col("unit").alias("v"))
     rows = inner.unionByName(own).select(F.col("plan").cast("long").alias("plan"), F.col("district").cast("int").alias("district"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))

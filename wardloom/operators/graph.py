@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from .blocks import NONE, PLAN_BLOCK, Blocks, Range, block_of, districts, of, smallest, unique
 from .components import connected_components, settle
 
 
@@ -29,10 +31,6 @@ def asymmetric_arcs(arcs: DataFrame, units: DataFrame) -> DataFrame:
     return dangling.unionByName(loops).unionByName(onesided)
 
 
-#: Plans whose districts of a unit stand in one array.
-PLAN_BLOCK = 256
-
-
 def by_unit(assignments: DataFrame) -> DataFrame:
     """(unit, block, rows): each unit's districts in a block of plans, as an array of struct (plan, district) in order of plans.
 
@@ -131,6 +129,63 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("unit").agg(F.count("*").alias("degree"))
 
 
+def _within(r: Range, a: np.ndarray, b: np.ndarray, lone: np.ndarray | None, across: bool) -> np.ndarray:
+    """Kinds by columns: the column of the smallest unit of this range that a unit is connected with in its district, without
+    passing units that are ``lone``. ``across``: a unit in several districts connects them."""
+    n = len(r.units)
+    met = r.same(a, b) & r.own[a] & r.own[b]
+    if lone is not None:
+        met &= ~(lone[:, a] | lone[:, b])
+    k, i = np.nonzero(met)
+    x, y = k * n + a[i], k * n + b[i]
+    if across and len(again := np.flatnonzero(r.units[1:] == r.units[:-1])):
+        k, i = np.nonzero((r.kinds[:, again] > NONE - 1) & (r.kinds[:, again + 1] > NONE - 1) & r.own[again])
+        x, y = np.concatenate([x, k * n + again[i]]), np.concatenate([y, k * n + again[i] + 1])
+    return smallest(r.n * n, x, y).reshape(r.n, n) % max(1, n)
+
+
+def contracted(blocks: Blocks, edges: DataFrame, boundary: bool = False, across: bool = False) -> DataFrame:
+    """(plan, district, u, v): a smaller graph whose parts are those of the districts. A node is the smallest of the units that it
+    stands for; each node comes with itself as well, so none is lost.
+
+    Units of a range that are connected in their district become one node, and only edges to other ranges are left. With ``boundary``
+    units beside another district stay nodes of their own: without one of them a district falls into as many parts here as
+    there. With ``across`` a unit in several districts connects them, and districts are 0.
+    """
+    rows, needs = blocks.by_edge(edges.select("u", "v"))
+
+    def run(r: Range, table: pa.Table) -> pa.Table:
+        _, a, b = r.pairs(*(table.column(c).to_numpy() for c in "uv"))
+        lone = None
+        if boundary:
+            lone = np.zeros(r.kinds.shape, bool)
+            k, i = np.nonzero(r.apart(a, b))
+            lone[k, a[i]] = lone[k, b[i]] = True
+        node = _within(r, a, b, lone, across)
+        same = r.same(a, b)
+        # side 0: two nodes of this range; 1: the node of a unit that edges from other ranges end at; 2: a node at their other end
+        k, c = np.nonzero((node == np.arange(len(r.units))) & r.own & (r.kinds > NONE - (1 if across else 0)))
+        found = [(k, c, c, np.zeros(len(k), np.int64))]
+        if boundary:
+            k, i = np.nonzero(same & r.own[a] & r.own[b] & (lone[:, a] | lone[:, b]))
+            found.append((k, node[k, a[i]], node[k, b[i]], np.zeros(len(k), np.int64)))
+        k, i = np.nonzero(same & (r.own[a] != r.own[b]))
+        mine = np.where(r.own[a[i]], a[i], b[i])
+        found.append((k, b[i], node[k, mine], np.where(r.own[b[i]], 1, 2)))
+        kind, at, to, side = (np.concatenate(x) for x in zip(*found, strict=True))
+        district = np.zeros(len(kind), np.int64) if across else r.kinds[kind, to]
+        kind, district, at, to, side = unique(kind, district, r.units[at], r.units[to], side)
+        i, plan = r.spread(kind)
+        return pa.table({"plan": pa.array(plan, pa.int64()), "district": districts(district[i]), "at": pa.array(at[i], pa.int64()), "node": pa.array(to[i], pa.int64()), "side": pa.array(side[i], pa.int32())})
+
+    found = blocks.meet(rows, run, "plan long, district long, at long, node long, side int", needs)
+    side = F.col("side")
+    ends = found.groupBy("plan", "district", "at", F.when(side == 0, F.col("node")).alias("to")).agg(F.max(F.when(side == 1, F.col("node"))).alias("own"), F.collect_set(F.when(side == 2, F.col("node"))).alias("others"))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    pairs = F.when(F.col("to").isNotNull(), F.array(pair(F.col("at"), F.col("to")))).otherwise(F.transform("others", lambda x: pair(F.col("own"), x)))
+    return ends.select("plan", "district", F.inline(pairs)).distinct()
+
+
 def components(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan, district, unit, component): connected parts of each district, named by their smallest unit.
 
@@ -201,6 +256,8 @@ NAMED = 1_000_000
 
 def canonical_key(assignments: DataFrame, dealt: bool = False) -> DataFrame:
     """(plan, key): as the digest, with each district named by its smallest unit, so labels don't matter."""
+    if isinstance(assignments, Blocks):
+        return _key(assignments)
     names = settle(assignments.groupBy(F.col("plan").alias("_plan"), F.col("district").alias("_district")).agg(F.min("unit").alias("_name")))
     few = names.count() <= NAMED
     same = F.col("plan").eqNullSafe(F.col("_plan")) & F.col("district").eqNullSafe(F.col("_district"))
@@ -208,6 +265,46 @@ def canonical_key(assignments: DataFrame, dealt: bool = False) -> DataFrame:
     return plan_digest(named, dealt and few).withColumnRenamed("digest", "key")
 
 
+def _key(blocks: Blocks) -> DataFrame:
+    """:func:`canonical_key` of packed plans: the text of a range is written where it lies."""
+
+    def least(r: Range) -> pa.Table:
+        kind, district, unit = [], [], []
+        for k in range(r.n):
+            names, at = np.unique(r.kinds[k], return_index=True)
+            kind.append(np.full(len(names), k))
+            district.append(names)
+            unit.append(r.units[at])
+        kind, district, unit = (np.concatenate(x) for x in (kind, district, unit))
+        here = district >= NONE
+        i, plan = r.spread(kind[here])
+        return pa.table({"plan": pa.array(plan, pa.int64()), "district": pa.array(district[here][i], pa.int64()), "name": pa.array(unit[here][i], pa.int64())})
+
+    names = blocks.alone(least, "plan long, district long, name long").groupBy("plan", "district").agg(F.min("name").alias("name"))
+    names = blocks.in_blocks(names.withColumn("block", block_of("plan")), "block")
+
+    def write(r: Range, table: pa.Table) -> pa.Table:
+        plan, district, name = (table.column(c).to_numpy() for c in ("plan", "district", "name"))
+        order = np.lexsort((district, plan))
+        plan, district, name = plan[order], district[order], name[order]
+        unit, again, texts = pa.array(r.units).cast(pa.string()), bool((r.units[1:] == r.units[:-1]).any()), []
+        for p, (low, high) in enumerate(zip(*(np.searchsorted(plan, r.plans, s) for s in ("left", "right")), strict=True)):
+            held = r.kinds[r.turn[p]]
+            here = np.flatnonzero(held >= NONE)
+            at = np.searchsorted(district[low:high], held[here])
+            if again:
+                order = np.lexsort((name[low:high][at], r.units[here]))
+                here, at = here[order], at[order]
+            rows = pc.binary_join_element_wise(unit.take(pa.array(here)), pa.array(name[low:high]).cast(pa.string()).take(pa.array(at)), ":")
+            texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), ";")[0].as_py() if len(rows) else None)
+        part = table.column("part")[0].as_py() if table.num_rows else 0
+        out = pa.table({"plan": pa.array(r.plans, pa.int64()), "at": pa.array([part] * len(r.plans), pa.int64()), "text": pa.array(texts, pa.string())})
+        return out.filter(pc.is_valid(out.column("text")))
+
+    runs = blocks.meet(names, write, "plan long, at long, text string")
+    return blocks.typed(runs.repartition("plan").sortWithinPartitions("plan", "at").mapInArrow(_digests, "plan long, digest string")).withColumnRenamed("digest", "key")
+
+
 def distinct_plans(keys: DataFrame) -> DataFrame:
     """(key, first_plan, plans): each different plan once."""
     return keys.groupBy("key").agg(F.min("plan").alias("first_plan"), F.count("*").alias("plans"))
@@ -223,7 +320,10 @@ def legality(assignments: DataFrame, units: DataFrame, k: int, epsilon: float, p
     """A row a plan: coverage, ids, non_empty, balanced (each district within epsilon of the ideal population), worst
     deviation, and contiguous where ``components`` are given."""
     n = units.agg(F.count("*").alias("_units"), F.sum("pop").alias("_total"))
-    pops = assignments.join(units.select("unit", "pop"), "unit").groupBy("plan", "district").agg(F.sum("pop").alias("pop"), F.countDistinct("unit").alias("units"))
+    if isinstance(assignments, Blocks):
+        pops = assignments.sums(units, ["pop"])
+    else:
+        pops = assignments.join(units.select("unit", "pop"), "unit").groupBy("plan", "district").agg(F.sum("pop").alias("pop"), F.countDistinct("unit").alias("units"))
     pops = pops.crossJoin(F.broadcast(n))
     ideal = F.col("_total") / F.lit(float(k))
     out = pops.groupBy("plan").agg(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 from ..sources.tables import refuse
+from .blocks import Blocks
 
 PREDOMINANCE_BAND, MINORITY_DISTRICT_SHARE, DECLINATION_MIN_DISTRICTS = 0.05, 0.25, 8
 SWINGS = [i / 100 for i in range(30, 71)]
@@ -27,7 +28,9 @@ def district_votes(assignments: DataFrame, votes: DataFrame, strict: bool = Fals
     lacks are left out.
     """
     if strict:
-        require_same_units(assignments, votes)
+        require_same_units(assignments.source if isinstance(assignments, Blocks) else assignments, votes)
+    if isinstance(assignments, Blocks):
+        return assignments.sums(votes, ["dem", "rep"]).drop("units")
     return assignments.join(votes.select("unit", "dem", "rep"), "unit").groupBy("plan", "district").agg(F.sum("dem").alias("dem"), F.sum("rep").alias("rep"))
 
 

@@ -45,7 +45,7 @@ _LEGAL = """, legal AS (SELECT plan, max(abs(pop - i)) <= 0.05 * any_value(i) +
 
 
 def _legality(s: State) -> DataFrame:
-    return gr.legality(s.assignments(), s.units(), 8, 0.05, forest.parts(forest.spanning_forest(s.assignments(), s.edges())))
+    return gr.legality(s.blocks(), s.units(), 8, 0.05, forest.parts(forest.spanning_forest(s.blocks(), s.edges(), nodes="parts")))
 
 
 @query(_LEGAL + "SELECT plan, TRUE AS coverage, TRUE AS ids, TRUE AS non_empty, TRUE AS contiguous, legal AS balanced, legal FROM legal")
@@ -84,7 +84,7 @@ _NULLS = _POOL + ", " + _stratum_sql("concentration", "first", "concentration DE
 
 
 def _keys(s: State) -> DataFrame:
-    return s.once("keys", lambda: gr.canonical_key(s.assignments(ordered=True), dealt=True))
+    return s.once("keys", lambda: gr.canonical_key(s.blocks()))
 
 
 @query(_NULLS)
@@ -94,10 +94,10 @@ def null_cases(s: State) -> DataFrame:
 
 
 def _null_cases(s: State) -> DataFrame:
-    votes = s.once("votes", lambda: par.district_votes(s.assignments(), s.votes()))
+    votes = s.once("votes", lambda: par.district_votes(s.blocks(), s.votes()))
     seats = par.seat_counts(votes).select("plan", F.col("dem_seats").alias("seats"))
     legal = _legality(s).select("plan", (F.col("coverage") & F.col("ids") & F.col("non_empty") & F.col("contiguous") & F.col("balanced")).alias("legal"))
-    order = s.assignments().groupBy("plan").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "district"))), lambda x: x["district"]).alias("order"))
+    order = s.blocks().order()
     pool = seats.join(tidy(par.vote_concentration(votes)), "plan").join(_keys(s), "plan").join(legal, "plan").join(order, "plan")
     return cases.null_cases(s.once("pool", lambda: pool), {"concentration": 12, "seat_outcome": 12, "random": 16}, 11)
 

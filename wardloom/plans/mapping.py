@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import Blocks
 from ..operators.components import settle
 
 PLANS, K, SHIFT, DRAWS, WIDTH = 200, 8, 7, 25, 50
@@ -31,6 +32,7 @@ class State:
         self.customer = table(spark, sf_dir, "customer")
         self.n = self.customer.count()  # from the footers
         self._kept: dict[str, DataFrame] = {}
+        self._blocks: Blocks | None = None
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A frame that several operators of one query read: computed and written once."""
@@ -74,6 +76,12 @@ class State:
         rows = units.crossJoin(F.broadcast(self.spark.range(plans).withColumnRenamed("id", "plan")))
         return rows.select("plan", "unit", (F.floor(turned * K / n) + 1).cast("int").alias("district"))
 
+    def blocks(self) -> Blocks:
+        """The assignments, packed once for all operators of a query."""
+        if self._blocks is None:
+            self._blocks = Blocks(self.assignments(ordered=True))
+        return self._blocks
+
     def layer2(self, plans: int = PLANS) -> DataFrame:
         return self.assignments(plans).select("plan", "unit", (F.col("unit") % 5 + 1).cast("int").alias("district"))
 
