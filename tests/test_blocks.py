@@ -69,6 +69,37 @@ def test_null_cases_order_plans_by_places_in_ranges(spark, state, most):
     assert got == sorted(held, key=lambda p: [held[p].get(u, 99) for u in range(N + 2)])
 
 
+def brute(rows, edges):
+    """{(plan, unit): smallest unit of its part}; a unit in two districts joins them."""
+    out = {}
+    for p in {r[0] for r in rows}:
+        held: dict = {}
+        for q, u, d in rows:
+            if q == p:
+                held.setdefault(u, set()).add(d)
+        root = {u: u for u in held}
+        moved = True
+        while moved:
+            moved = False
+            for u, v in edges:
+                if u in held and v in held and (held[u] & held[v]) - {None} and root[u] != root[v]:
+                    root[u] = root[v] = min(root[u], root[v])
+                    moved = True
+        out |= {(p, u): root[u] for u in held}
+    return out
+
+
+def test_connected_components_send_borders_only(state, monkeypatch):
+    a, e, _, _, rows = state
+    kept = settled(monkeypatch, components)
+    nowhere = a.limit(1).selectExpr("CAST(NULL AS long) AS plan", "unit", "district")
+    got = gr.components(a.unionByName(nowhere), e).collect()
+    want = brute(rows, [(r["u"], r["v"]) for r in e.collect()])
+    assert {(r["plan"], r["unit"]): r["component"] for r in got if r["plan"] is not None} == want
+    assert len(got) == len(rows) + 1 and [r["component"] == r["unit"] for r in got if r["plan"] is None] == [True]
+    assert kept and max(df.count() for df in kept) < len(rows) // 2  # before, an edge for each unit of each plan
+
+
 def test_units_meet_again_across_chunks(spark):
     rows = [(p, u, p % 3 + 1) for u in range(90) for p in range(7)]
     for order in (rows, sorted(rows)):

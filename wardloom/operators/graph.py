@@ -189,13 +189,36 @@ def contracted(blocks: Blocks, edges: DataFrame, boundary: bool = False, across:
 def components(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan, district, unit, component): connected parts of each district, named by their smallest unit.
 
-    Units must be whole numbers from 0 to 2^31 - 1, plans likewise: a node of the joint graph is both in one long.
+    Units must be whole numbers from 0 to 2^31 - 1, plans likewise: a node of the joint graph is both in one long. Units are
+    joined within their range first, then the ranges, and at last units learn the name of their part.
     """
-    node = lambda u: F.shiftleft(F.col("plan").cast("long"), 31) + F.col(u)
-    inner = _ends(assignments, edges).where("du = dv").select(node("u").alias("u"), node("v").alias("v"))
-    found = connected_components(inner).select(F.col("node").alias("_node"), (F.col("component") % (1 << 31)).alias("component"))
-    rows = assignments.withColumn("_at", node("unit")).join(found, F.col("_at") == F.col("_node"), "left")
-    return rows.select("plan", "district", "unit", F.coalesce("component", "unit").alias("component"))
+    blocks = of(assignments)
+    node = lambda u: F.shiftleft("plan", 31) + F.col(u)
+    joined = connected_components(contracted(blocks, edges, across=True).where("u <> v").select(node("u").alias("u"), node("v").alias("v")))
+    names = joined.where("node <> component").select(F.shiftright("node", 31).alias("plan"), (F.col("node") % (1 << 31)).alias("u"), (F.col("component") % (1 << 31)).alias("v"))
+    names = blocks.placed(names, "u").withColumnRenamed("_at0", "part").withColumn("block", block_of("plan"))
+    rows, needs = blocks.by_edge(edges.select("u", "v"))
+    both = rows.select("block", "part", F.lit(None).cast("long").alias("plan"), "u", "v").unionByName(names.select("block", "part", "plan", "u", "v"))
+
+    def run(r: Range, table: pa.Table) -> pa.Table:
+        named = table.filter(pc.is_valid(table.column("plan")))
+        u, v = (table.filter(pc.is_null(table.column("plan"))).column(c).to_numpy() for c in "uv")
+        _, a, b = r.pairs(u, v)
+        part = r.units[_within(r, a, b, None, True)][:, r.own][r.turn]
+        plan, old, new = (named.column(c).to_numpy() for c in ("plan", "u", "v"))
+        order = np.lexsort((old, plan))
+        plan, old, new = plan[order], old[order], new[order]
+        for p, (low, high) in enumerate(zip(*(np.searchsorted(plan, r.plans, s) for s in ("left", "right")), strict=True)):
+            if low < high:
+                at = np.minimum(np.searchsorted(old[low:high], part[p]), high - low - 1)
+                part[p] = np.where(old[low:high][at] == part[p], new[low:high][at], part[p])
+        held = r.kinds[:, r.own][r.turn]
+        p, c = np.nonzero(held > NONE - 1)
+        return pa.table({"plan": pa.array(r.plans[p], pa.int64()), "district": districts(held[p, c]), "unit": pa.array(r.units[r.own][c], pa.int64()), "component": pa.array(part[p, c], pa.int64())})
+
+    found = blocks.typed(blocks.meet(both, run, "plan long, district long, unit long, component long"))
+    nowhere = blocks.source.where("plan IS NULL OR unit IS NULL").select("plan", "district", "unit", F.col("unit").cast("long").alias("component"))
+    return found.unionByName(nowhere)
 
 
 def contiguity(parts: DataFrame) -> DataFrame:
