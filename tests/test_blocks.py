@@ -69,6 +69,15 @@ def test_null_cases_order_plans_by_places_in_ranges(spark, state, most):
     assert got == sorted(held, key=lambda p: [held[p].get(u, 99) for u in range(N + 2)])
 
 
+def test_null_scenarios_keep_orders_short(spark, monkeypatch):
+    pool = []
+    monkeypatch.setattr(State, "once", lambda self, name, make, f=State.once: pool.append(f(self, name, make)) or pool[-1])
+    got = bench.null_scenarios(State(spark, "/root/testdata/sf0.001"))
+    assert got.columns == ["case_id", "kind", "shift", "in_gate_sample"]
+    kept = [df for df in pool if "order" in df.columns]
+    assert kept and all(df.count() == 200 and df.agg(F.max(F.size("order"))).first()[0] < 150 // 3 for df in kept)  # before, a number a unit
+
+
 def brute(rows, edges):
     """{(plan, unit): smallest unit of its part}; a unit in two districts joins them."""
     out = {}
