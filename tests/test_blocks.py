@@ -109,6 +109,17 @@ def test_connected_components_send_borders_only(state, monkeypatch):
     assert kept and max(df.count() for df in kept) < len(rows) // 2  # before, an edge for each unit of each plan
 
 
+def test_pieces_by_contact_walk_joined_units(state, monkeypatch):
+    a, e, g, _, rows = state
+    kept = settled(monkeypatch, forest)
+    rook, queen = spatial.rook_edges(g), spatial.queen_edges(g)
+    got = {(r["plan"], r["district"]): (r["rook"], r["queen"]) for r in spatial.pieces_by_contact(a, rook, queen).collect()}
+    pieces = lambda edges: {(r["plan"], r["district"]): r["n"] for r in forest.spanning_forest(a, edges).groupBy("plan", "district").agg(F.count_if(F.col("parent").isNull()).alias("n")).collect()}
+    left, right = pieces(rook.select("u", "v")), pieces(queen)
+    assert got == {k: (left[k], right[k]) for k in left if k[1] is not None}
+    assert len(kept) == 2 and all(df.select("plan", "district", "u").distinct().count() < len(rows) // 2 for df in kept)
+
+
 def test_units_meet_again_across_chunks(spark):
     rows = [(p, u, p % 3 + 1) for u in range(90) for p in range(7)]
     for order in (rows, sorted(rows)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import of
 from .forest import spanning_forest
 
 
@@ -63,8 +64,10 @@ def pieces_by_contact(assignments: DataFrame, rook: DataFrame, queen: DataFrame)
     ``rook(u, v)`` and ``queen(u, v)`` are the edges of either kind; a district with fewer parts by corners hangs together at points.
     """
 
+    blocks = of(assignments)
+
     def pieces(edges: DataFrame, name: str) -> DataFrame:
-        rows = spanning_forest(assignments, edges.select("u", "v"))
+        rows = spanning_forest(blocks, edges.select("u", "v"), nodes="parts")
         return rows.groupBy("plan", "district").agg(F.count_if(F.col("parent").isNull()).alias(name))
 
     return pieces(rook, "rook").join(pieces(queen, "queen"), ["plan", "district"])

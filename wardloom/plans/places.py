@@ -105,8 +105,8 @@ def dissolved_districts(s: State) -> DataFrame:
 @query(_RUNS + "SELECT plan, district, sum(CASE WHEN b // 50 = a // 50 + 1 AND b - 50 < a THEN 2 ELSE 1 END)::BIGINT AS rook, sum(CASE WHEN b // 50 = a // 50 + 1 AND b - 50 < a - 1 THEN 2 ELSE 1 END)::BIGINT AS queen FROM runs GROUP BY ALL")
 def pieces_by_contact(s: State) -> DataFrame:
     """Parts of the districts of all plans by shared sides, and by shared corners."""
-    geom = s.once("geom", s.unit_geom)
-    return spatial.pieces_by_contact(s.assignments(), spatial.rook_edges(geom), spatial.queen_edges(geom))
+    geom = s.once("geom", lambda: s.unit_geom().repartition("unit"))  # few bytes, much work
+    return spatial.pieces_by_contact(s.blocks(), spatial.rook_edges(geom), spatial.queen_edges(geom))
 
 
 @query("SELECT unit, dem AS land, rep AS water, CASE WHEN dem + rep > 0 THEN round(rep / (dem + rep)::DOUBLE, 9) + 0.0 END AS share FROM units")
