@@ -120,6 +120,30 @@ def test_pieces_by_contact_walk_joined_units(state, monkeypatch):
     assert len(kept) == 2 and all(df.select("plan", "district", "u").distinct().count() < len(rows) // 2 for df in kept)
 
 
+def test_reock_and_hull_reduce_corners_where_units_lie(state):
+    a, e, g, _, rows = state
+    found = geo.outline_measures(a, g, e)
+    got = {(r["plan"], r["district"]): (r["reock"], r["convex_hull"]) for r in found.collect()}
+    area = {(r["plan"], r["district"]): r["area"] for r in geo.area_perimeter(a, g, e).collect()}
+    corners = lambda u: [(float(u % WIDTH + x), float(u // WIDTH + y)) for x in (0, 1) for y in (0, 1)]
+    for p, d in {(p, d) for p, u, d in rows if d is not None}:
+        points = geo.np.array([c for q, u, k in rows if (q, k) == (p, d) and u < N for c in corners(u)], float)
+        r = geo.bounding_circle(points)
+        assert got[p, d] == pytest.approx((area[p, d] / (geo.math.pi * r * r), area[p, d] / geo.shoelace(geo.hull(points))))
+    assert "_group_hull" not in found._jdf.queryExecution().toString()  # before, all corners of all plans were shuffled
+
+
+def test_hulls_lose_no_corner():
+    rng = geo.np.random.default_rng(3)
+    for points in (rng.normal(size=(500, 2)), rng.integers(0, 9, (500, 2)).astype(float), geo.np.column_stack([geo.np.arange(200.0), 3 * geo.np.arange(200.0)]), rng.normal(size=(300, 2)) * [1, 1e-7] + 1e3):
+        many, geo._MANY = geo._MANY, 10**9
+        try:
+            want = geo.hull(points)
+        finally:
+            geo._MANY = many
+        assert geo.np.array_equal(geo.hull(points), want)
+
+
 def test_units_meet_again_across_chunks(spark):
     rows = [(p, u, p % 3 + 1) for u in range(90) for p in range(7)]
     for order in (rows, sorted(rows)):

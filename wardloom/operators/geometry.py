@@ -2,7 +2,8 @@
 
 ``unit_geom(unit, area, perimeter, ring)`` holds a unit's area, perimeter and outline (array of struct x, y); ``edges`` the
 length that two units share. Area and perimeter of a district are additive: the sum over its units, less twice the shared
-lengths inside it. Reock and convex hull need the outline and run in grouped Arrow batches, one district at a time.
+lengths inside it. Reock and convex hull need the outline: corners are reduced to their hull where units lie, and only those of a
+district's hulls meet.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import NONE, Blocks, Range, of
 from .graph import contacts
 
 MEASURES = ("polsby_popper", "schwartzberg", "reock", "convex_hull")
@@ -22,7 +24,10 @@ MEASURES = ("polsby_popper", "schwartzberg", "reock", "convex_hull")
 
 def area_perimeter(assignments: DataFrame, unit_geom: DataFrame, edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """(plan, district, area, perimeter); ``met`` are the ``contacts`` of the edges, if at hand."""
-    sums = assignments.join(unit_geom.select("unit", "area", "perimeter"), "unit").groupBy("plan", "district").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("outer"))
+    if isinstance(assignments, Blocks):
+        sums = assignments.sums(unit_geom, ["area", "perimeter"]).withColumnRenamed("perimeter", "outer").drop("units")
+    else:
+        sums = assignments.join(unit_geom.select("unit", "area", "perimeter"), "unit").groupBy("plan", "district").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("outer"))
     met = contacts(assignments, edges) if met is None else met
     inner = met.where("du = dv").select("plan", F.col("du").alias("district"), F.col("shared_len").alias("inner"))
     return sums.join(inner, ["plan", "district"], "left").select("plan", "district", "area", (F.col("outer") - 2 * F.coalesce("inner", F.lit(0.0))).alias("perimeter"))
@@ -40,9 +45,36 @@ def compactness_summary(ratios: DataFrame, measures: tuple[str, ...] = ("polsby_
     return ratios.groupBy("plan").agg(*[f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
 
 
+#: Directions in which the outermost points are sought, and how many points make that worth while.
+_TURNS = np.linspace(0, 2 * np.pi, 16, endpoint=False)
+_WAYS = np.array([np.cos(_TURNS), np.sin(_TURNS)])
+_MANY = 64
+
+
+def _outer(pts: np.ndarray) -> np.ndarray:
+    """Sorted points without those that can't be corners of their hull: between others of the same x, or well inside the polygon of
+    the outermost points in sixteen directions."""
+    new = pts[1:, 0] != pts[:-1, 0]
+    pts = pts[np.concatenate([[True], new]) | np.concatenate([new, [True]])]
+    if len(pts) < _MANY:
+        return pts
+    far = pts[(pts @ _WAYS).argmax(axis=0)]
+    side = np.roll(far, -1, axis=0) - far
+    far, side = far[here := (side != 0).any(axis=1)], side[here]
+    if len(far) < 3:
+        return pts
+    slack = 1e-9 * float(np.abs(pts).max() + 1) * np.abs(side).max()
+    inside = np.ones(len(pts), bool)
+    for p, s in zip(far, side, strict=True):
+        inside &= s[0] * (pts[:, 1] - p[1]) - s[1] * (pts[:, 0] - p[0]) > slack
+    return pts[~inside]
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull of points, counter-clockwise."""
     pts = np.unique(points, axis=0)
+    if len(pts) >= _MANY:
+        pts = _outer(pts)
     if len(pts) < 3:
         return pts
 
@@ -97,25 +129,33 @@ def bounding_circle(points: np.ndarray) -> float:
     return circle[1]
 
 
-#: Groups of units in which a district's corners are reduced to their hull first.
-HULL_GROUPS = 32
-
-
-def _group_hull(table: pa.Table) -> pa.Table:
-    """The hull of one group's corners."""
-    points = hull(np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()]))
-    n = len(points)
-    return pa.table({"plan": pa.array([table.column("plan")[0].as_py()] * n, pa.int64()), "district": pa.array([table.column("district")[0].as_py()] * n, pa.int32()), "x": pa.array(points[:, 0]), "y": pa.array(points[:, 1])})
-
-
-def outline_measures(assignments: DataFrame, unit_geom: DataFrame, edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
+def _hulls(r: Range, table: pa.Table) -> pa.Table:
+    """(plan, district, x, y): the hull of each district's corners in one range."""
+    i, c = r.columns(table.column("unit").to_numpy())
+    points = np.column_stack([table.column(k).to_numpy() for k in "xy"])[i]
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    points, held = points[order], r.kinds[:, c[order]]
+    kind, district, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2))]
+    for k in range(r.n):
+        for d in np.unique(held[k]):
+            if d > NONE:
+                corners = hull(points[held[k] == d])
+                kind.append(np.full(len(corners), k))
+                district.append(np.full(len(corners), d))
+                found.append(corners)
+    kind, district, found = (np.concatenate(x) for x in (kind, district, found))
+    i, plan = r.spread(kind)
+    return pa.table({"plan": pa.array(plan, pa.int64()), "district": pa.array(district[i].astype(np.int32), pa.int32()), "x": pa.array(found[i, 0]), "y": pa.array(found[i, 1])})
+
+
+def outline_measures(assignments: DataFrame | Blocks, unit_geom: DataFrame, edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """(plan, district, reock, convex_hull): area over that of the smallest circle, and of the hull, around the outline.
 
-    Corners are reduced to the hulls of groups of units, and only those meet in the district, so no task holds all corners.
+    Corners are reduced to the hulls of ranges of units, and only those meet in the district, so no task holds all corners.
     """
-    group = F.pmod(F.xxhash64("unit"), F.lit(HULL_GROUPS)).alias("g")
-    corners = assignments.join(unit_geom.select("unit", F.explode("ring").alias("p")), "unit").select(F.col("plan").cast("long").alias("plan"), F.col("district").cast("int").alias("district"), group, F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    outer = corners.distinct().groupBy("plan", "district", "g").applyInArrow(_group_hull, "plan long, district int, x double, y double")
+    assignments = of(assignments)
+    corners = unit_geom.select("unit", F.explode("ring").alias("p")).select("unit", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    outer = assignments.meet(assignments.by_unit(corners), _hulls, "plan long, district int, x double, y double")
     outer = outer.groupBy("plan", "district").agg(F.collect_set(F.struct("x", "y")).alias("points"))
     rows = outer.join(area_perimeter(assignments, unit_geom, edges, met).select("plan", "district", "area"), ["plan", "district"])
 

@@ -72,11 +72,36 @@ def _sides(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     return _ends(assignments, edges).where("du <> dv").select("plan", F.inline(F.array(end("u", "du", "dv"), end("v", "dv", "du"))))
 
 
+def _contacts(blocks: Blocks, edges: DataFrame) -> DataFrame:
+    """:func:`contacts` of packed plans: edges are counted in their range."""
+    rows, needs = blocks.by_edge(edges.select("u", "v", F.col("shared_len").cast("double").alias("shared_len")), both=False)
+
+    def run(r: Range, table: pa.Table) -> pa.Table:
+        e, a, b = r.pairs(*(table.column(c).to_numpy() for c in "uv"))
+        lengths = table.column("shared_len")
+        known, length = pc.is_valid(lengths).to_numpy()[e], pc.fill_null(lengths, 0.0).to_numpy()[e]
+        du, dv = r.kinds[:, a], r.kinds[:, b]
+        k, i = np.nonzero((du >= NONE) & (dv >= NONE))
+        names = np.unique(r.kinds)
+        at = (k * len(names) + np.searchsorted(names, du[k, i])) * len(names) + np.searchsorted(names, dv[k, i])
+        cells, at = np.unique(at, return_inverse=True)
+        n, m, s = (np.bincount(at, w, len(cells)) for w in (None, known[i].astype(float), length[i]))
+        row, plan = r.spread(cells // max(1, len(names) ** 2))
+        first, second = names[cells // max(1, len(names)) % max(1, len(names))][row], names[cells % max(1, len(names))][row]
+        return pa.table({"plan": pa.array(plan, pa.int64()), "du": districts(first), "dv": districts(second), "n": pa.array(n[row], pa.int64()), "m": pa.array(m[row].astype(np.int64), pa.int64()), "s": pa.array(s[row], pa.float64())})
+
+    some = blocks.meet(rows, run, "plan long, du long, dv long, n long, m long, s double", needs).groupBy("plan", "du", "dv")
+    out = some.agg(F.sum("n").alias("edges"), F.when(F.sum("m") > 0, F.sum("s")).alias("shared_len"))
+    return out.select(*[F.col(c).cast(blocks.types["plan" if c == "plan" else "district"]).alias(c) for c in ("plan", "du", "dv")], "edges", "shared_len")
+
+
 def contacts(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan, du, dv, edges, shared_len): how many edges run from district to district, and their length together.
 
     What cut edges and perimeters need of the edges, in a row for each pair of districts.
     """
+    if isinstance(assignments, Blocks):
+        return _contacts(assignments, edges)
     return _ends(assignments, edges).groupBy("plan", "du", "dv").agg(F.count("*").alias("edges"), F.sum("shared_len").alias("shared_len"))
 
 
