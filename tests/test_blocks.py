@@ -153,6 +153,34 @@ def test_plan_disagreements_need_no_rows_of_plans_moved(state):
     assert rows_of(got) == rows_of(geo.outline_measures(a, g, e))
 
 
+def test_dissolved_districts_are_followed_at_once(state, spark, monkeypatch):
+    a, _, g, _, rows = state
+    a = a.where("plan < 3 AND district IS NOT NULL AND unit < 180").dropDuplicates(["plan", "unit"])
+    kept = settled(monkeypatch, polygons)
+    got = polygons.dissolve(a, g).collect()
+    assert len(kept) == 1  # before, once more for each doubling of the longest ring
+    held = {(r["plan"], r["unit"]): r["district"] for r in a.collect()}
+    sides: dict = {}
+    for (p, u), d in held.items():
+        x, y = u % WIDTH, u // WIDTH
+        for s, v in ((((x, y), (x + 1, y)), u - WIDTH), (((x + 1, y), (x + 1, y + 1)), u + 1 if x < WIDTH - 1 else -1), (((x + 1, y + 1), (x, y + 1)), u + WIDTH), (((x, y + 1), (x, y)), u - 1 if x else -1)):
+            if held.get((p, v)) != d:
+                sides.setdefault((p, d), []).append(s)
+    found: dict = {}
+    for r in got:
+        ring = [(q["x"], q["y"]) for q in r["points"]]
+        assert ring == list(dict.fromkeys(ring)) or len(ring) > 4
+        found.setdefault((r["plan"], r["district"]), []).extend(zip(ring, ring[1:] + ring[:1], strict=True))
+        turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
+        assert r["area"] == turn
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in sides.items()}
+    polygons_of = polygons.outlines(polygons.dissolve(a, g))
+    assert polygons_of.count() == len(sides)
+    monkeypatch.setattr(polygons, "MOST_SIDES", 3)
+    with pytest.raises(ValueError, match="at most 3"):
+        polygons.dissolve(a, g)
+
+
 def test_units_meet_again_across_chunks(spark):
     rows = [(p, u, p % 3 + 1) for u in range(90) for p in range(7)]
     for order in (rows, sorted(rows)):

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import NONE, Blocks, Range, of
 from .components import settle
-from .graph import by_unit
 
 #: Numbers in one working matrix, at most.
 WORK = 1 << 21
@@ -154,59 +154,91 @@ def unit_sides(unit_geom: DataFrame, digits: int = 6) -> DataFrame:
     return s.join(t, [F.col(c) == F.col(f"_{c}") for c in ("ax", "ay", "bx", "by")], "left").select("unit", "side", "ax", "ay", "bx", "by", "other")
 
 
-def district_sides(assignments: DataFrame, unit_geom: DataFrame) -> DataFrame:
+def district_sides(assignments: DataFrame | Blocks, unit_geom: DataFrame) -> DataFrame:
     """(plan, district, node, ax, ay, bx, by): the sides of units that no unit of the same district has from its other end.
 
-    Units meet their plans as arrays, so sides are not shuffled once for each plan.
+    Sides meet the plans in the ranges of their units, and only those that bound a district leave it.
     """
-    s, held = unit_sides(unit_geom), by_unit(assignments)
-    ours = held.select("unit", "block", F.col("rows").alias("own"))
-    theirs = held.select(F.col("unit").alias("_other"), F.col("block").alias("_block"), F.col("rows").alias("across"))
-    met = s.join(ours, "unit").join(theirs, (F.col("other") == F.col("_other")) & (F.col("block") == F.col("_block")), "left")
-    outer = F.filter("own", lambda r: F.coalesce(~F.array_contains(F.col("across"), r), F.lit(True)))
+    blocks, corners = of(assignments), ["ax", "ay", "bx", "by"]
     node = F.shiftleft(F.col("unit").cast("long"), 16) + F.col("side")
-    return met.select(node.alias("node"), "ax", "ay", "bx", "by", F.explode(outer).alias("r")).select(F.col("r.plan").alias("plan"), F.col("r.district").alias("district"), "node", "ax", "ay", "bx", "by")
-
-
-def dissolve(assignments: DataFrame, unit_geom: DataFrame, max_rounds: int = 40) -> DataFrame:
+    # a side without another unit leads back to its own one, and is marked
+    sides = unit_sides(unit_geom).select(F.col("unit").alias("u"), F.coalesce("other", "unit").alias("v"), F.col("other").isNull().alias("open"), node.alias("node"), *corners)
+    rows, needs = blocks.by_edge(sides, both=False)
+
+    def run(r: Range, table: pa.Table) -> pa.Table:
+        u, v, open_ = (table.column(c).to_numpy() for c in ("u", "v", "open"))
+        i, a = r.columns(u)
+        j, b = r.columns(v[i])
+        held = r.kinds[:, a]
+        shared = np.zeros(held.shape, np.int64)
+        k, x = np.nonzero((held[:, j] == r.kinds[:, b]) & ~open_[i][j])
+        np.add.at(shared, (k, j[x]), 1)
+        k, x = np.nonzero((shared == 0) & (held > NONE))
+        y, plan = r.spread(k)
+        k, x = k[y], x[y]
+        row = pa.array(i[x])
+        return pa.table([pa.array(plan, pa.int64()), pa.array(held[k, x], pa.int64()), *[table.column(c).take(row) for c in ("node", *corners)]], names=["plan", "district", "node", *corners])
+
+    return blocks.typed(blocks.meet(rows, run, "plan long, district long, node long, ax double, ay double, bx double, by double", needs))
+
+
+#: Sides of one district's border that a task takes at once; more are refused.
+MOST_SIDES = 8_000_000
+
+
+def _rings(table: pa.Table) -> pa.Table:
+    """(plan, district, ring, points, area) of one district, from its sides."""
+    order = np.argsort(table.column("node").to_numpy(), kind="stable")
+    ax, ay, bx, by = (table.column(c).to_numpy()[order] for c in ("ax", "ay", "bx", "by"))
+    _, at = np.unique(np.stack([np.concatenate([ax, bx]), np.concatenate([ay, by])]), axis=1, return_inverse=True)
+    at = at.ravel()
+    n = len(ax)
+    first = np.argsort(at[:n], kind="stable")
+    low, high = (np.searchsorted(at[:n][first], at[n:], s) for s in ("left", "right"))
+    size = high - low
+    i = np.repeat(np.arange(n), size)
+    j = first[np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)]
+    whole = 2 * np.pi
+    turn = np.mod(np.arctan2(ay[i] - by[i], ax[i] - bx[i]) - np.arctan2(by[j] - by[i], bx[j] - bx[i]), whole)
+    turn[(turn < 1e-9) | (turn > whole - 1e-9)] = whole  # straight back comes last
+    best = np.lexsort((j, turn, i))
+    best = best[np.concatenate([[True], i[best][1:] != i[best][:-1]])] if len(best) else best
+    after = np.full(n, -1)
+    after[i[best]] = j[best]
+    left, follow, rings = [True] * n, after.tolist(), []
+    for start in range(n):
+        path, u = [], start
+        while u >= 0 and left[u]:
+            left[u] = False
+            path.append(u)
+            u = follow[u]
+        if path and u == start:
+            rings.append(path)
+    ends = np.cumsum([0, *map(len, rings)])
+    x, y = ax[flat := np.array([u for r in rings for u in r], np.int64)], ay[flat]
+    points = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+    plan, district = (pa.array([table.column(c)[0].as_py()] * len(rings), table.schema.field(c).type) for c in ("plan", "district"))
+    area = [float(np.cumsum(x[a:b] * np.roll(y[a:b], -1) - np.roll(x[a:b], -1) * y[a:b])[-1]) / 2 for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table([plan, district, pa.array(range(len(rings)), pa.int32()), points, pa.array(area, pa.float64())], names=["plan", "district", "ring", "points", "area"])
+
+
+def dissolve(assignments: DataFrame | Blocks, unit_geom: DataFrame) -> DataFrame:
     """(plan, district, ring, points, area): the rings of every district of every plan.
 
     Outer rings run counter-clockwise and have positive areas, holes run clockwise and have negative ones; the areas of a district
     add up to those of its units. Where rings touch in a corner they stay apart. ``ring`` is its number in the district, from 0.
 
     Sides of units that occur once in a district are its border. Each points to the one that follows with the district on the
-    left: of the sides that start at its end, the first one clockwise from it. Pointer doubling then gives every side the
-    smallest one of its ring and how far ahead it is, in as many rounds as the longest ring has doublings. Units must share
-    whole sides; unit numbers must be whole and below 2^47, sides of a unit below 2^16.
+    left: of the sides that start at its end, the first one clockwise from it. A district's border is followed in one task, which
+    takes more than ``MOST_SIDES`` sides for an error. A ring starts at its smallest side, and rings come in order of theirs. Units
+    must share whole sides; unit numbers must be whole and below 2^47, sides of a unit below 2^16.
     """
     sides = settle(district_sides(assignments, unit_geom))
-    after = sides.select(F.col("plan").alias("_plan"), F.col("district").alias("_district"), F.col("ax").alias("_x"), F.col("ay").alias("_y"), F.col("node").alias("_node"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
-    met = sides.join(after, (F.col("plan") == F.col("_plan")) & (F.col("district") == F.col("_district")) & (F.col("bx") == F.col("_x")) & (F.col("by") == F.col("_y")))
-    whole = 2 * np.pi
-    turn = F.pmod(F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")) - F.atan2(F.col("cy") - F.col("by"), F.col("cx") - F.col("bx")), F.lit(whole))
-    turn = F.when((turn < 1e-9) | (turn > whole - 1e-9), whole).otherwise(turn)  # straight back comes last
-    now = met.groupBy("plan", "node").agg(F.min(F.struct(turn.alias("turn"), "_node")).alias("m")).select("plan", "node", F.col("m._node").alias("jump"), F.col("node").alias("least"), F.lit(0).cast("long").alias("ahead"))
-    now = settle(now)
-    for k in range(max_rounds):
-        on = now.select(F.col("plan").alias("_plan"), F.col("node").alias("_node"), F.col("jump").alias("_jump"), F.col("least").alias("_least"), F.col("ahead").alias("_ahead"))
-        better = F.col("_least") < F.col("least")
-        new = now.join(on, (F.col("plan") == F.col("_plan")) & (F.col("jump") == F.col("_node"))).select("plan", "node", F.col("_jump").alias("jump"), F.least("least", "_least").alias("least"), F.when(better, F.col("_ahead") + (1 << k)).otherwise(F.col("ahead")).alias("ahead"), better.alias("moved"))
-        new = settle(new)
-        moved = new.where("moved").limit(1).count()
-        now = new.drop("moved")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"rings did not close in {max_rounds} rounds")
-    placed = now.select(F.col("plan").alias("_plan"), F.col("node").alias("_node"), "least", "ahead")
-    rows = sides.join(placed, (F.col("plan") == F.col("_plan")) & (F.col("node") == F.col("_node")))
-    back = F.array_sort(F.collect_list(F.struct((-F.col("ahead")).alias("i"), F.col("ax").alias("x"), F.col("ay").alias("y"))))  # the smallest side has 0, the one after it most
-    ring = rows.groupBy("plan", "district", "least").agg(back.alias("b"))
-    points = F.transform(F.concat(F.slice("b", F.size("b"), F.lit(1)), F.slice("b", F.lit(1), F.size("b") - 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    ring = ring.select("plan", "district", "least", points.alias("points"))
-    number = F.transform(F.array_sort(F.collect_list(F.struct("least", "points"))), lambda r: r["points"])
-    out = ring.groupBy("plan", "district").agg(number.alias("rings")).select("plan", "district", F.posexplode("rings").alias("ring", "points"))
-    return out.select("plan", "district", "ring", "points", turned_area(F.col("points")).alias("area"))
+    large = sides.groupBy("plan", "district").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SIDES).limit(1).collect()
+    if large:
+        raise ValueError(f"district {large[0]['district']} of plan {large[0]['plan']} has {large[0]['n']} sides on its border; at most {MOST_SIDES} are followed in one task")
+    kind = ", ".join(f"{c} {sides.schema[c].dataType.simpleString()}" for c in ("plan", "district"))
+    return sides.groupBy("plan", "district").applyInArrow(_rings, f"{kind}, ring int, points array<struct<x: double, y: double>>, area double")
 
 
 def outlines(rings: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ runs AS (SELECT plan, district, min(unit) AS a, max(unit) AS b FROM islands GROU
 @query(_RUNS + "SELECT plan, district, sum(CASE WHEN b // 50 = a // 50 + 1 AND b - 50 < a THEN 2 ELSE 1 END)::BIGINT AS rings, 0::BIGINT AS holes, sum(b - a + 1)::DOUBLE AS area FROM runs GROUP BY ALL")
 def dissolved_districts(s: State) -> DataFrame:
     """Rings, holes and area of the outline of every district of every plan."""
-    rings = polygons.dissolve(s.assignments(), s.unit_geom())
+    rings = polygons.dissolve(s.blocks(), s.unit_geom())
     return rings.groupBy("plan", "district").agg(F.count("*").alias("rings"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("area").alias("area"))
 
 
