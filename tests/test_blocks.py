@@ -59,6 +59,16 @@ def settled(monkeypatch, *modules):
     return kept
 
 
+def test_packed_plans_give_the_same_rows(state):
+    a, e, g, units, _ = state
+    b = blocks.of(a)
+    assert b.frame.select("part").distinct().count() > 5 and b.keys.select("block").distinct().count() == 3
+    for f in (lambda x: gr.contacts(x, e), lambda x: gr._sides(x, e), lambda x: par.district_votes(x, units), lambda x: gr.legality(x, units, 3, 0.1), lambda x: gr.canonical_key(x), lambda x: geo.area_perimeter(x, g, e), lambda x: gr.move_candidates(x, e, units, 3.0)):
+        assert rows_of(f(b)) == rows_of(f(a)) and f(b).dtypes == f(a).dtypes
+    for f in (lambda x: gr.contacts(x, e), lambda x: par.district_votes(x, units), lambda x: gr.canonical_key(x)):
+        assert f(blocks.of(a.limit(0))).count() == 0
+
+
 @pytest.mark.parametrize("most", [256, 1000])
 def test_null_cases_order_plans_by_places_in_ranges(spark, state, most):
     rows = list({r[:2]: r for r in state[4] if r[0] < most}.values())
@@ -120,6 +130,19 @@ def test_pieces_by_contact_walk_joined_units(state, monkeypatch):
     assert len(kept) == 2 and all(df.select("plan", "district", "u").distinct().count() < len(rows) // 2 for df in kept)
 
 
+def test_legal_moves_walk_boundaries(state):
+    a, e, _, units, _ = state
+    a, moves = a.where("district IS NOT NULL").dropDuplicates(["plan", "unit"]), None
+    whole, less = forest.spanning_forest(a, e), forest.spanning_forest(a, e, nodes="boundary")
+    assert less.count() < whole.count() * 0.8
+    moves = gr.move_candidates(a, e, units.fillna(1), 3.0)
+    want, got = (forest.legal_moves(moves, f) for f in (whole, less))
+    assert rows_of(got) == rows_of(want) and got.where("NOT legal").count() > 5
+    assert rows_of(gr.contiguity(forest.parts(less))) == rows_of(gr.contiguity(forest.parts(whole)))
+    with pytest.raises(ValueError, match="nodes are"):
+        forest.spanning_forest(a, e, nodes="other")
+
+
 def test_reock_and_hull_reduce_corners_where_units_lie(state):
     a, e, g, _, rows = state
     found = geo.outline_measures(a, g, e)

@@ -68,10 +68,28 @@ def _ends(assignments: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _sides(assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan, unit, district, other): both ends of each edge between two districts; edges meet the plans once for both."""
+    if isinstance(assignments, Blocks):
+        return _cut(assignments, edges)
     end = lambda unit, own, other: F.struct(F.col(unit).alias("unit"), F.col(own).alias("district"), F.col(other).alias("other"))
     return _ends(assignments, edges).where("du <> dv").select("plan", F.inline(F.array(end("u", "du", "dv"), end("v", "dv", "du"))))
 
 
+def _cut(blocks: Blocks, edges: DataFrame) -> DataFrame:
+    """:func:`_sides` of packed plans: only edges between districts leave their range."""
+    rows, needs = blocks.by_edge(edges.select("u", "v"), both=False)
+
+    def run(r: Range, table: pa.Table) -> pa.Table:
+        _, a, b = r.pairs(*(table.column(c).to_numpy() for c in "uv"))
+        kind, i = np.nonzero(r.apart(a, b))
+        kind, own, other = np.concatenate([kind, kind]), np.concatenate([a[i], b[i]]), np.concatenate([b[i], a[i]])
+        i, plan = r.spread(kind)
+        kind, own, other = kind[i], own[i], other[i]
+        return pa.table({"plan": pa.array(plan, pa.int64()), "unit": pa.array(r.units[own], pa.int64()), "district": pa.array(r.kinds[kind, own], pa.int64()), "other": pa.array(r.kinds[kind, other], pa.int64())})
+
+    found = blocks.typed(blocks.meet(rows, run, "plan long, unit long, district long, other long", needs))
+    return found.withColumn("other", F.col("other").cast(blocks.types["district"]))
+
+
 def _contacts(blocks: Blocks, edges: DataFrame) -> DataFrame:
     """:func:`contacts` of packed plans: edges are counted in their range."""
     rows, needs = blocks.by_edge(edges.select("u", "v", F.col("shared_len").cast("double").alias("shared_len")), both=False)
@@ -125,7 +143,10 @@ def move_candidates(assignments: DataFrame, edges: DataFrame, units: DataFrame,
     """(plan, unit, source, target, delta): single moves over a boundary and how they change the sum of squared
     deviations of district populations from ``ideal``."""
     moves = _sides(assignments, edges).select("plan", "unit", F.col("district").alias("source"), F.col("other").alias("target")).distinct()
-    pops = assignments.join(units.select("unit", "pop"), "unit").groupBy("plan", "district").agg(F.sum("pop").alias("pop"))
+    if isinstance(assignments, Blocks):
+        pops = assignments.sums(units, ["pop"])
+    else:
+        pops = assignments.join(units.select("unit", "pop"), "unit").groupBy("plan", "district").agg(F.sum("pop").alias("pop"))
     at = lambda end: pops.select(F.col("plan").alias(f"_p_{end}"), F.col("district").alias(f"_d_{end}"), F.col("pop").cast("double").alias(f"pop_{end}"))
     out = moves.join(units.select("unit", F.col("pop").cast("double").alias("pop")), "unit")
     for end in ("source", "target"):

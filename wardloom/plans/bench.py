@@ -36,8 +36,8 @@ def articulation_units(s: State) -> DataFrame:
 @query(_MOVES.rstrip() + _SPLIT + f"SELECT d.*, CASE WHEN whole THEN 1 ELSE 2 END AS parts_left, whole AS legal FROM ({_DELTA}) d JOIN held ON held.plan = d.plan AND held.unit = d.unit")
 def legal_moves(s: State) -> DataFrame:
     """Every single-unit move of every plan, and whether the district that it leaves stays in one piece."""
-    moves = gr.move_candidates(s.assignments(), s.edges(), s.units(), s.orders.count() / 8.0)
-    return forest.legal_moves(moves, forest.spanning_forest(s.assignments(), s.edges()))
+    moves = gr.move_candidates(s.blocks(), s.edges(), s.units(), s.orders.count() / 8.0)
+    return forest.legal_moves(moves, forest.spanning_forest(s.blocks(), s.edges(), nodes="boundary"))
 
 
 _LEGAL = """, legal AS (SELECT plan, max(abs(pop - i)) <= 0.05 * any_value(i) + 1e-9 AS legal FROM dist, (SELECT sum(pop) / 8.0::DOUBLE AS i FROM units) GROUP BY plan)
